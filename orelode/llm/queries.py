@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import bpe, records, token_counts
+from orelode.llm import bpe, records, simhash, token_counts
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -24,13 +24,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE), end=0)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op9_binary_records)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op9_binary_records)}
 
 
 def oracle_sql() -> dict[str, str]:
