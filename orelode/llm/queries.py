@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import bpe, records, simhash, token_counts
+from orelode.llm import bpe, quality, records, secret_scan, simhash, token_counts
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -29,14 +29,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.measured(table(spark, sf_dir, "documents"))
+
+
+def joined_spans(name: str):
+    return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return out.select("doc_id", *counts, F.sha2(F.encode(joined_spans("base"), "UTF-8"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE), end=0)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op9_binary_records)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op5_quality, op9_binary_records, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.SQL}
