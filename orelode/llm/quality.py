@@ -10,6 +10,7 @@ agree with a probability below 1e-10).
 
 from __future__ import annotations
 
+import re
 import time
 from typing import NamedTuple
 
@@ -49,6 +50,11 @@ def repeated_words(hashes: str) -> str:
     return f"CASE WHEN size(array_distinct({hashes})) = size({hashes}) THEN 0 ELSE {covered} END"
 
 
+def run_words(words: str) -> str:
+    """Words equal to the one before."""
+    return f"size(filter({words}, (w, i) -> w <=> get({words}, i - 1)))"
+
+
 #: Measures of a text, each from the text alone.
 MEASURES = {
     "n_words": lambda t: f"size({words(t)})",
@@ -58,6 +64,7 @@ MEASURES = {
     "n_dup_lines": lambda t: f"size({lines(t)}) - size(array_distinct({lines(t)}))",
     "n_upper": lambda t: lost(t, "[A-Z]"),
     "n_lower": lambda t: lost(t, "[a-z]"),
+    "n_run_words": lambda t: f"element_at(transform(array({words(t)}), v -> {run_words('v')}), 1)",
     "n_repeat_words": lambda t: f"element_at(transform(array({window_hashes(words(t))}), v -> {repeated_words('v')}), 1)",
 }
 
@@ -73,8 +80,9 @@ RULES = (
     Rule("few words", ("n_words",), "n_words < 20"),
     Rule("repeated words", ("n_repeat_words", "n_words"), "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", ("n_symbols", "n_words"), "10 * n_symbols > n_words"),
-    Rule("repeated lines", ("n_dup_lines", "n_lines"), "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated lines", ("n_dup_lines", "n_lines"), "n_dup_lines > 3 AND 2 * n_dup_lines > n_lines"),
     Rule("word length", ("word_chars", "n_words"), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule("runs of a word", ("n_run_words", "n_words"), "100 * n_run_words > 30 * n_words"),
     Rule("capitals", ("n_upper", "n_lower"), "n_upper > n_lower"),
 )
 BASE = RULES[:2]
@@ -82,10 +90,7 @@ BASE = RULES[:2]
 
 def rejects(rule: Rule, text: str) -> Column:
     """The rule over the text itself."""
-    made = rule.rejects
-    for name in sorted(rule.needs, key=len, reverse=True):
-        made = made.replace(name, f"{{{name}}}")
-    return F.expr(made.format(**{n: f"({MEASURES[n](text)})" for n in rule.needs}))
+    return F.expr(re.sub(r"[a-z]\w+", lambda m: f"({MEASURES[m[0]](text)})" if m[0] in rule.needs else m[0], rule.rejects))
 
 
 def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
@@ -130,6 +135,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
         "word_chars": "length(array_join(words, ''))",
         "n_lines": "size(lines)",
         "n_dup_lines": "size(lines) - size(array_distinct(lines))",
+        "n_run_words": run_words("words"),
     }
     plain = [F.expr(whole.get(n) or MEASURES[n]("text")).cast("long").alias(n) for n in MEASURES if n != "n_repeat_words"]
     rows = rows.select("doc_id", *plain, F.expr(window_hashes("words")).alias("hashes"))
@@ -157,12 +163,13 @@ WITH docs AS (
         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[a-z]')) AS n_lower,
-        coalesce(n, 0) AS n_repeat_words
+        len(list_filter(words[2:], lambda w, i: w = words[i])) AS n_run_words, coalesce(n, 0) AS n_repeat_words
     FROM docs LEFT JOIN repeats USING (r)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper, n_lower, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper, n_lower, n_run_words, n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
-        OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_upper > n_lower) AS kept
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines)
+        OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_upper > n_lower
+        OR 100 * n_run_words > 30 * n_words) AS kept
 FROM measured
 """
