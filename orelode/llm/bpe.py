@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import pre_tokenizers
 
 from orelode.llm.runtime import Sink, column, task
-from orelode.llm.tokens import Encoder, encoder, unpack
+from orelode.llm.tokens import UNSURE, Encoder, byte_level, encoder, unpack
 
 LEAF, LONG = 16_384, 32_768
 #: More characters than either splitter looks ahead.
@@ -31,7 +30,6 @@ SPLICE = 512
 DONE = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 CUT = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("leaf", pa.int32()), ("segment", pa.int32()), ("special", pa.int64()), ("text", pa.string())])
 LEAVES = pa.schema([*CUT, ("starts", pa.binary()), ("ends", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
-BYTE_LEVEL = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
 
 class Run(NamedTuple):
@@ -67,8 +65,6 @@ def lengths(enc: Encoder) -> np.ndarray:
 
 def spans(enc: Encoder, text: str) -> tuple[list[int], list[int]]:
     """Starts and ends of the pre-tokens of normalized text without special tokens."""
-    from orelode.llm.tokens import UNSURE
-
     if enc.pieces is not None and not UNSURE.search(text):
         found = [m.span() for m in enc.pieces.finditer(text)]
     else:
@@ -76,19 +72,12 @@ def spans(enc: Encoder, text: str) -> tuple[list[int], list[int]]:
     return [a for a, _ in found], [b for _, b in found]
 
 
-def byte_level(text: str) -> str:
-    return BYTE_LEVEL.pre_tokenize_str(text)[0][0] if text else ""
-
-
 def by_model(enc: Encoder, units: str) -> list[int]:
     return [t.id for t in enc.bare.model.tokenize(units)]
 
 
 def packed_pieces(enc: Encoder, words: list[str]) -> list[bytes]:
-    cache = enc.cache
-    new = {w for w in words if w not in cache}
-    got = {w: np.array(by_model(enc, byte_level(w)), "<u4").tobytes() for w in new}
-    return [cache[w] if w in cache else got[w] for w in words]
+    return [enc.cache[w] if len(w) <= SPLICE else np.array(by_model(enc, byte_level(w)), "<u4").tobytes() for w in words]
 
 
 def encode_leaf(enc: Encoder, text: str, at: int) -> Run:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import bpe, quality, records, secret_scan, simhash, token_counts
+from orelode.llm import bpe, embedding_join, quality, records, secret_scan, simhash, token_counts, url_filters
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -43,14 +43,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(F.encode(joined_spans("base"), "UTF-8"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(table(spark, sf_dir, "pages"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE), end=0)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op5_quality, op9_binary_records, op10_secrets)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op9_binary_records, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL}
+    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.runtime import column, record, task
-from orelode.llm.tokens import LONG_PIECE, Encoder, encoder
+from orelode.llm.tokens import LONG_PIECE, Cache, Encoder, encoder
 
 SAMPLE, ENTRIES = 2_000, 65_536
 COUNTED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -30,32 +30,24 @@ def frequent(batches, path: str, entries: int):
             if len(counts) > 16 * entries:
                 counts = Counter(dict(counts.most_common(4 * entries)))
     words = [w for w, _ in counts.most_common(entries)]
-    got = enc.learn(set(words)) if words else {}
+    got = {w: enc.piece(w) for w in words}
     words = [w for w in words if len(got[w]) < 1024]
     yield pa.RecordBatch.from_pydict({"words": pa.array([pickle.dumps(words)], pa.binary()), "sizes": pa.array([bytes(len(got[w]) // 4 for w in words)], pa.binary())})
 
 
-class Lengths:
+class Lengths(dict):
     """Numbers of tokens of pre-tokens: the broadcast table, then what this worker has met."""
 
     def __init__(self, enc: Encoder, words: bytes, sizes: bytes, entries: int = 200_000):
-        self.enc, self.table, self.cache, self.entries = enc, dict(zip(pickle.loads(words), sizes, strict=True)), {}, entries
+        super().__init__(zip(pickle.loads(words), sizes, strict=True))
+        self.enc, self.met = enc, Cache(lambda w: len(enc.piece(w)) // 4, entries)
+
+    def __missing__(self, word: str) -> int:
+        return self.met[word]
 
     def count(self, text: str) -> int:
         pieces = self.enc.split(text)
-        if pieces is None:
-            return len(self.enc.encode(text)) // 4
-        found = list(map(self.table.get, pieces))
-        if None not in found:
-            return sum(found)
-        missed = [w for w, n in zip(pieces, found, strict=True) if n is None]
-        new = set(missed).difference(self.cache)
-        if len(self.cache) + len(new) > self.entries:
-            self.cache.clear()
-            new = set(missed)
-        got = {w: len(x) // 4 for w, x in self.enc.learn(new).items()} if new else {}
-        self.cache.update((w, n) for w, n in got.items() if len(w) <= LONG_PIECE)
-        return sum(filter(None, found)) + sum(got[w] if w in got else self.cache[w] for w in missed)
+        return len(self.enc.encode(text)) // 4 if pieces is None else sum(map(self.__getitem__, pieces))
 
 
 _kept: dict[tuple, Lengths] = {}

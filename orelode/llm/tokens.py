@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import threading
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,16 +32,45 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LONG_PIECE = 256
 
 
+#: Bytes without a printable character of their own stand for those from U+0100 on, in order: the byte-level alphabet.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
+def byte_level(text: str) -> str:
+    """A character for each byte of the text."""
+    return text.encode().decode("latin-1").translate(HIDDEN)
+
+
+class Cache(dict):
+    """What ``make`` gives for words, in two generations: when the young one is full it replaces the old one."""
+
+    def __init__(self, make, entries: int):
+        super().__init__()
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, word: str):
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(word) <= LONG_PIECE:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[word] = got
+        return got
+
+
 class Encoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, as packed ids."""
 
-    def __init__(self, path: str, entries: int = 250_000):
+    def __init__(self, path: str, entries: int = 200_000):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.entries, self.cache = entries, {}
+        self.cache = Cache(self.piece, entries)
         self.specials = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         plain = all(not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in made["added_tokens"])
@@ -60,46 +90,23 @@ class Encoder:
             return None
         return self.pieces.findall(text.lower() if self.lower else text)
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Packed ids of new pre-tokens; each must be one pre-token by itself."""
-        words = list(pieces)
-        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        of, ids = np.array(got.word_ids, np.int64), np.array(got.ids, "<u4")
-        ends = np.searchsorted(of, np.arange(len(words)), "right").tolist()
-        raw, start, out = ids.tobytes(), 0, {}
-        for word, end in zip(words, ends, strict=True):
-            out[word] = raw[4 * start : 4 * end]
-            start = end
-        return out
+    def piece(self, word: str) -> bytes:
+        """The packed ids of one pre-token, by the library's model."""
+        return struct.pack(f"<{len(got := self.bare.model.tokenize(byte_level(word)))}I", *[t.id for t in got])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.split(text)
-        if pieces is None:
-            if self.pieces is not None and self.special and (found := self.special.search(text)):
-                return self.encode(text[: found.start()]) + self.specials[found[0]].to_bytes(4, "little") + self.encode_rest(text, found.end())
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        cache = self.cache
-        new = set(pieces).difference(cache)
-        if not new:
-            return b"".join(map(cache.__getitem__, pieces))
-        if len(cache) + len(new) > self.entries:
-            cache.clear()
-            new = set(pieces)
-        got = self.learn(new)
-        if len(new) > self.entries:
-            return b"".join(map(got.__getitem__, pieces))
-        cache.update(got)
-        out = b"".join(map(cache.__getitem__, pieces))
-        for word in new:
-            if len(word) > LONG_PIECE:
-                del cache[word]
-        return out
-
-    def encode_rest(self, text: str, at: int) -> bytes:
-        """What follows a special token; a loop, as a text may hold many."""
-        out = []
-        while found := self.special.search(text, at):
+        if pieces is not None:
+            return b"".join(map(self.cache.__getitem__, pieces))
+        if self.pieces is not None and self.special and self.special.search(text):
+            return self.between(text)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def between(self, text: str) -> bytes:
+        """Special tokens, and the texts between them by themselves."""
+        out, at = [], 0
+        for found in self.special.finditer(text):
             out += [self.encode(text[at : found.start()]), self.specials[found[0]].to_bytes(4, "little")]
             at = found.end()
         return b"".join([*out, self.encode(text[at:])])
