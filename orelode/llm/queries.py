@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm import bpe, embedding_join, quality, records, secret_scan, simhash, token_counts, url_filters
+from orelode.llm import bpe, embedding_join, html_text, packing, quality, records, secret_scan, simhash, token_counts, url_filters
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,13 +55,21 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD), end=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE), end=0)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op8_packing, op9_binary_records, op10_secrets)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op9_binary_records, op10_secrets)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
