@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from orelode.llm import bpe, embedding_join, html_text, packing, quality, records, secret_scan, simhash, token_counts, url_filters
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -69,7 +70,7 @@ OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality,
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

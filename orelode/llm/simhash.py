@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.components import Forest, components, grouped_back
-from orelode.llm.runtime import column, record, task, written
+from orelode.llm.runtime import column, fresh, record, task, written
 
 BITS, SEED = 64, 42
 #: Variants that a cell holds on average, and that a task sorts at once.
@@ -167,3 +167,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     lows = grouped_back(linked, "component", F.min("low"), "component_id", linked.count()).select("fp", "component_id")
     of = written(distinct.select("fp", "low").join(lows, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
     return hashed.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """The first row of each group of near-duplicates, with all its columns.
+
+    ``docs`` must have its rows in the same order each time it is read, as a written table has. A null text counts as
+    one without words. Columns of any name pass through; an empty table gives an empty one.
+    """
+    (row,) = fresh(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    first = near_duplicates(rows, row, text, shingle, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows.join(first, row, "left_semi").drop(row)

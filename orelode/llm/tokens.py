@@ -2,7 +2,8 @@
 
 Two pre-tokenizers have a fast path: byte-level BPE with its regular expression, and lower-cased words with word ends.
 There, a text of characters up to U+017F is split by an equivalent expression with plain classes (a test compares both
-over that range), and only pre-tokens that the cache lacks go to the library. All other texts go to the library whole.
+over that range), and only pre-tokens that the cache lacks are encoded: short ones that aren't tokens themselves by
+merging the same vocabulary by rank, the others by the library. All other texts go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import threading
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
+import tiktoken
 from tokenizers import Tokenizer
 
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -28,6 +30,8 @@ WORD_PIECES = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}
 UNSURE = re.compile("[^\x00-\x1b\x20-ſ]")
 #: The pattern of the word vocabulary's splitter: a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for a word's end where ids are merged by rank.
+END = b"\xff"
 #: Pre-tokens longer than this are not kept.
 LONG_PIECE = 256
 
@@ -79,8 +83,9 @@ class Encoder:
         word = bool(norm) and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["pattern"] == {"Regex": WORD_PATTERN}
         byte = norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.pieces = (WORD_PIECES if word else BYTE_PIECES if byte else None) if plain else None
-        model = json.dumps(made["model"]["end_of_word_suffix"])
-        self.suffix = json.loads(model) or ""
+        self.suffix = made["model"]["end_of_word_suffix"] or ""
+        self.merge = self.by_rank(made)
+        self.pack = [i.to_bytes(4, "little") for i in range(len(made["model"]["vocab"]) + len(self.specials) + 1)]
         made.update(added_tokens=[], normalizer=None)
         self.bare = Tokenizer.from_str(json.dumps(made))  # for text that is normalized already and holds no special token
 
@@ -90,9 +95,35 @@ class Encoder:
             return None
         return self.pieces.findall(text.lower() if self.lower else text)
 
+    def by_rank(self, made: dict):
+        """A merger by rank over the same vocabulary, if ids are in the order of merges; else None.
+
+        Word ends are a byte that UTF-8 never holds. Words that are tokens themselves are left to the library.
+        """
+        merges = [m.split(" ") if isinstance(m, str) else m for m in made["model"]["merges"]]
+        vocab, suffix = made["model"]["vocab"], self.suffix
+        ids = [vocab[a + b] for a, b in merges]
+        if ids != list(range(len(vocab) - len(ids) - len(self.specials.keys() & vocab.keys()), len(vocab) - len(self.specials.keys() & vocab.keys()))):
+            return None
+        shown = {chr(HIDDEN.get(b, b)): bytes([b]) for b in range(256)}
+        ranks = {}
+        for token, i in vocab.items():
+            if token not in self.specials:
+                body = token.removesuffix(suffix) if suffix else token
+                ranks[b"".join(shown[c] for c in body) + (END if len(body) < len(token) else b"")] = i
+        if any(bytes([b]) not in ranks for b in range(255)):
+            return None
+        ranks.setdefault(END, len(vocab) + len(self.specials))
+        self.words = {raw.removesuffix(END).decode(errors="ignore") if suffix else raw.decode(errors="ignore") for raw in ranks}
+        return tiktoken.Encoding("by rank", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
     def piece(self, word: str) -> bytes:
-        """The packed ids of one pre-token, by the library's model."""
-        return struct.pack(f"<{len(got := self.bare.model.tokenize(byte_level(word)))}I", *[t.id for t in got])
+        """The packed ids of one pre-token."""
+        if self.merge is None or len(word) > LONG_PIECE or word in self.words:
+            ids = [t.id for t in self.bare.model.tokenize(byte_level(word))]
+        else:
+            ids = self.merge(word.encode() + END if self.suffix else word.encode())
+        return b"".join(map(self.pack.__getitem__, ids))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

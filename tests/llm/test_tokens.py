@@ -136,3 +136,15 @@ def test_index_and_damage(spark, tmp_path):
     f.write_bytes(raw)
     with pytest.raises(Exception, match="damaged"):
         records.read_records(spark, str(tmp_path / "r"), parts).collect()
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_by_rank(path):
+    enc, rng = Encoder(path), random.Random(11)
+    assert enc.merge is not None
+    tokens = [t for t in enc.bare.get_vocab() if t.isascii()]
+    for _ in range(20_000):
+        word = "".join(rng.choice(tokens).removesuffix("</w>") for _ in range(rng.randrange(1, 4)))
+        from orelode.llm.tokens import byte_level
+
+        assert unpack(enc.piece(word)).tolist() == [t.id for t in enc.bare.model.tokenize(byte_level(word))], word
