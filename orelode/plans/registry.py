@@ -1,9 +1,15 @@
-"""Names of the queries over the test tables."""
+"""All queries over the test tables, by name, and their SQL."""
+
+from __future__ import annotations
+
+from orelode.plans import text
+
+MODULES = (text,)
 
 
 def queries() -> dict:
-    return {}
+    return {name: made for m in MODULES for name, (made, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
