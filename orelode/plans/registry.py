@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orelode.plans import text
+from orelode.plans import rules, text
 
-MODULES = (text,)
+MODULES = (text, rules)
 
 
 def queries() -> dict:
