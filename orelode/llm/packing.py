@@ -31,6 +31,12 @@ PIECE_COLUMNS = "doc_id long, start long, length long, ids binary, doc_tokens lo
 FULL = 1 << 62
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """Distinct ids in order."""
+    own = np.sort(ids)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+
+
 def tokenize(batches, path: str, window: int, end: int | None, kind: str):
     """A row for each document; at the end one with the task's document frequencies, of the vocabulary's size."""
     enc, sink, base = encoder(path), Sink(TOKENS), TaskContext.get().partitionId() << 36
@@ -39,10 +45,10 @@ def tokenize(batches, path: str, window: int, end: int | None, kind: str):
     for batch in batches:
         for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
             ids = unpack(enc.encode(text or "") + tail).astype(kind)
-            terms = np.unique(ids)
+            terms = distinct(ids)
             counts[terms] += 1
             k = len(ids) // window
-            top = terms[-2:].tolist() if len(ids) else []
+            top = terms[-2:].tolist()
             full, rest = ids[: k * window].tobytes(), ids[k * window :].tobytes()
             if sink.add((base + row, doc, len(ids), *([-1, -1] + top)[: -3 : -1], base + windows, full, rest, None), len(full) + len(rest) + 100):
                 yield from sink.flush()
@@ -75,21 +81,26 @@ class Index:
     """BM25 postings of one shard."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float, terms: int):
-        uniques = [np.unique(r, return_counts=True) for r in rests]
-        size = [len(u) for u, _ in uniques]
-        doc = np.repeat(np.arange(len(rests)), size)
-        term = np.concatenate([u for u, _ in uniques]).astype(np.int64)
-        tf = np.concatenate([c for _, c in uniques]).astype(np.float64)
-        length = np.array([len(r) for r in rests], np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
-        self.n, at = len(rests), np.concatenate([[0], np.cumsum(size)])
-        self.query = [term[a:b][np.argsort(-weight[a:b], kind="stable")[:terms]] for a, b in zip(at, at[1:], strict=False)]
+        length = np.array([len(r) for r in rests])
+        keys = np.sort(np.repeat(np.arange(len(rests)) << 32, length) | np.concatenate(rests).astype(np.int64))
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        doc, term, tf = keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.concatenate([first, [len(keys)]])).astype(np.float64)
+        self.own_weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
+        self.n, self.terms, self.own_term, self.own_first = len(rests), terms, term, np.searchsorted(doc, np.arange(len(rests) + 1)).tolist()
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
+        self.doc, self.weight = doc[order], self.own_weight[order]
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def query(self, doc: int) -> np.ndarray:
+        """The terms of most weight of a document."""
+        a, b = self.own_first[doc], self.own_first[doc + 1]
+        own = self.own_weight[a:b]
+        best = np.argpartition(-own, self.terms - 1)[: self.terms] if b - a > self.terms else np.arange(b - a)
+        return self.own_term[a:b][best]
+
     def scores(self, doc: int) -> np.ndarray:
-        parts = [slice(self.first[t], self.first[t + 1]) for t in self.query[doc]]
+        asked = self.query(doc)
+        parts = [slice(a, b) for a, b in zip(self.first[asked].tolist(), self.first[asked + 1].tolist(), strict=True)]
         return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
 
 

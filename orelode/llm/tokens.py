@@ -115,7 +115,7 @@ class Encoder:
             return None
         ranks.setdefault(END, len(vocab) + len(self.specials))
         self.words = {raw.removesuffix(END).decode(errors="ignore") if suffix else raw.decode(errors="ignore") for raw in ranks}
-        return tiktoken.Encoding("by rank", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("by rank", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def piece(self, word: str) -> bytes:
         """The packed ids of one pre-token."""
