@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orelode.plans import rules, text
+from orelode.plans import evidence, graphs, rules, text
 
-MODULES = (text, rules)
+MODULES = (text, rules, graphs, evidence)
 
 
 def queries() -> dict:

@@ -38,3 +38,11 @@ def local(cores: int = 8, name: str = "orelode", **conf: str) -> SparkSession:
     for k, v in (base | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the checkpoint folder (the session's, else one under the warehouse), its lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint()
