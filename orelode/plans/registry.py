@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orelode.plans import evidence, graphs, rules, text
+from orelode.plans import evidence, graphs, replies, rules, text
 
-MODULES = (text, rules, graphs, evidence)
+MODULES = (text, rules, graphs, evidence, replies)
 
 
 def queries() -> dict:
