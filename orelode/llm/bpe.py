@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import Sink, column, task
+from orelode.llm.runtime import Sink, column, task, values
 from orelode.llm.tokens import UNSURE, Encoder, byte_level, encoder, unpack
 
 LEAF, LONG = 16_384, 32_768
@@ -56,7 +56,7 @@ def chained(runs: list[Run]) -> Run:
 def lengths(enc: Encoder) -> np.ndarray:
     """Bytes of text that each id of the vocabulary stands for."""
     if not hasattr(enc, "token_bytes"):
-        out = np.zeros(enc.library.get_vocab_size(with_added_tokens=True) + 1, np.int64)
+        out = np.zeros(enc.size + 1, np.int64)
         for token, i in enc.bare.get_vocab(with_added_tokens=False).items():
             out[i] = len(token.removesuffix(enc.suffix) if enc.suffix else token)
         enc.token_bytes = out
@@ -172,7 +172,7 @@ def decode(enc: Encoder, ids: list[int]) -> str:
 def encode_short(batches, path: str):
     enc, sink = encoder(path), Sink(DONE)
     for batch in batches:
-        for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+        for doc, text in zip(column(batch, "doc_id"), values(batch, "text"), strict=True):
             ids = enc.encode(text or "")
             if sink.add((doc, ids, decoded := decode(enc, unpack(ids).tolist())), len(ids) + len(decoded)):
                 yield from sink.flush()
@@ -182,7 +182,7 @@ def encode_short(batches, path: str):
 def cut_long(batches, path: str, leaf: int):
     enc, sink = encoder(path), Sink(CUT)
     for batch in batches:
-        for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+        for doc, text in zip(column(batch, "doc_id"), values(batch, "text"), strict=True):
             digest, n = hashlib.sha256(text.encode()).digest(), 0
             for segment, (part, special) in enumerate(segments(enc, text)):
                 if special < 0 and enc.library.normalizer is not None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import Sink, column, task
+from orelode.llm.runtime import Sink, task, values
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^A-Za-z>][^>]*(?:>|\Z)|<!\w[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.DOTALL)
@@ -306,7 +306,7 @@ def main_text(page: str) -> str:
 def text_batches(batches):
     sink = Sink(TEXTS)
     for batch in batches:
-        for page, url, source in zip(*(column(batch, c) for c in ("page_id", "url", "html")), strict=True):
+        for page, url, source in zip(*(values(batch, c) for c in ("page_id", "url", "html")), strict=True):
             if sink.add((page, url, text := main_text(source or "")), len(text) + 100):
                 yield from sink.flush()
     yield from sink.flush()

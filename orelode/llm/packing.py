@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orelode.llm.runtime import Sink, column, task, written
+from orelode.llm.runtime import Sink, column, task, values, written
 from orelode.llm.tokens import encoder, unpack
 
 WINDOW, SHARD, TERMS = 2048, 2_000, 16
@@ -41,9 +41,9 @@ def tokenize(batches, path: str, window: int, end: int | None, kind: str):
     """A row for each document; at the end one with the task's document frequencies, of the vocabulary's size."""
     enc, sink, base = encoder(path), Sink(TOKENS), TaskContext.get().partitionId() << 36
     tail, row, windows = b"" if end is None else end.to_bytes(4, "little"), 0, 0
-    counts = np.zeros(enc.library.get_vocab_size() + 1, np.int64)
+    counts = np.zeros(enc.size + 1, np.int64)
     for batch in batches:
-        for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+        for doc, text in zip(column(batch, "doc_id"), values(batch, "text"), strict=True):
             ids = unpack(enc.encode(text or "") + tail).astype(kind)
             terms = distinct(ids)
             counts[terms] += 1
@@ -69,7 +69,7 @@ def frequencies(batches):
 def full_windows(batches, window: int, kind: str):
     sink, step = Sink(PIECES), window * np.dtype(kind).itemsize
     for batch in batches:
-        for doc, n, first, full in zip(*(column(batch, c) for c in ("doc_id", "n", "first_window", "full")), strict=True):
+        for doc, n, first, full in zip(*(values(batch, c) for c in ("doc_id", "n", "first_window", "full")), strict=True):
             for k in range(len(full) // step):
                 ids = np.frombuffer(full, kind, window, k * step).astype("<u4").tobytes()
                 if sink.add((doc, k * window, window, ids, n, FULL + first + k, 0), len(ids) + 64):

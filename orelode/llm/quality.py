@@ -55,20 +55,25 @@ def run_words(words: str) -> str:
     return f"size(filter({words}, (w, i) -> w <=> get({words}, i - 1)))"
 
 
-#: Measures of a text, each from the text alone.
+#: Measures of a text, from itself and from its words.
 MEASURES = {
-    "n_words": lambda t: f"size({words(t)})",
-    "word_chars": lambda t: f"length(array_join({words(t)}, ''))",
-    "n_symbols": lambda t: lost(t, "[#*$%&|<>]"),
-    "n_lines": lambda t: f"size({lines(t)})",
-    "n_dup_lines": lambda t: f"size({lines(t)}) - size(array_distinct({lines(t)}))",
-    "n_upper": lambda t: lost(t, "[A-Z]"),
-    "n_lower": lambda t: lost(t, "[a-z]"),
-    "n_run_words": lambda t: f"element_at(transform(array({words(t)}), v -> {run_words('v')}), 1)",
-    "n_repeat_words": lambda t: f"element_at(transform(array({window_hashes(words(t))}), v -> {repeated_words('v')}), 1)",
+    "n_words": lambda t, w: f"size({w})",
+    "word_chars": lambda t, w: f"length(array_join({w}, ''))",
+    "n_symbols": lambda t, w: lost(t, "[#*$%&|<>]"),
+    "n_lines": lambda t, w: f"size({lines(t)})",
+    "n_dup_lines": lambda t, w: f"size({lines(t)}) - size(array_distinct({lines(t)}))",
+    "n_upper": lambda t, w: lost(t, "[A-Z]"),
+    "n_lower": lambda t, w: lost(t, "[a-z]"),
+    "n_run_words": lambda t, w: run_words(w),
+    "n_repeat_words": lambda t, w: f"element_at(transform(array({window_hashes(w)}), v -> {repeated_words('v')}), 1)",
 }
 
 
+def with_words(text: str, body: str) -> Column:
+    """``body`` with ``ws`` for the words of the text, which are split off once."""
+    return F.expr(f"element_at(transform(array({words(text)}), ws -> {body}), 1)")
+
+
 class Rule(NamedTuple):
     name: str
     needs: tuple[str, ...]
@@ -88,9 +93,9 @@ RULES = (
 BASE = RULES[:2]
 
 
-def rejects(rule: Rule, text: str) -> Column:
-    """The rule over the text itself."""
-    return F.expr(re.sub(r"[a-z]\w+", lambda m: f"({MEASURES[m[0]](text)})" if m[0] in rule.needs else m[0], rule.rejects))
+def rejects(rule: Rule, text: str) -> str:
+    """The rule over a text and its words ``ws``."""
+    return re.sub(r"[a-z]\w+", lambda m: f"({MEASURES[m[0]](text, 'ws')})" if m[0] in rule.needs else m[0], rule.rejects)
 
 
 def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
@@ -101,7 +106,7 @@ def cascade(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
         n = some.count()
         for k, rule in enumerate(rules if n else ()):
             began = time.perf_counter()
-            hits = some.select(F.count_if(rejects(rule, "text"))).first()[0]
+            hits = some.select(F.count_if(with_words("text", rejects(rule, "text")))).first()[0]
             rated.append((-(hits + 0.1) / max(time.perf_counter() - began, 1e-3), k))
     finally:
         some.unpersist()
@@ -115,10 +120,8 @@ def kept(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame
     name pass through; an empty table gives an empty one.
     """
     name = f"coalesce(`{text}`, '')"
-    verdict = F.lit(True)
-    for rule in reversed(cascade(docs, text, sample=sample)):
-        verdict = F.when(rejects(rule, name), False).otherwise(verdict)
-    return docs.filter(verdict)
+    steps = " ".join(f"WHEN {rejects(rule, name)} THEN false" for rule in cascade(docs, text, sample=sample))
+    return docs.filter(with_words(name, f"CASE {steps} ELSE true END"))
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -130,14 +133,8 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
     order = cascade(docs, text, sample=sample)
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.expr(words("text")).alias("words"), F.expr(lines("text")).alias("lines"))
-    whole = {
-        "n_words": "size(words)",
-        "word_chars": "length(array_join(words, ''))",
-        "n_lines": "size(lines)",
-        "n_dup_lines": "size(lines) - size(array_distinct(lines))",
-        "n_run_words": run_words("words"),
-    }
-    plain = [F.expr(whole.get(n) or MEASURES[n]("text")).cast("long").alias(n) for n in MEASURES if n != "n_repeat_words"]
+    whole = {"n_lines": "size(lines)", "n_dup_lines": "size(lines) - size(array_distinct(lines))"}
+    plain = [F.expr(whole.get(n) or MEASURES[n]("text", "words")).cast("long").alias(n) for n in MEASURES if n != "n_repeat_words"]
     rows = rows.select("doc_id", *plain, F.expr(window_hashes("words")).alias("hashes"))
     rows = rows.select("doc_id", *[n for n in MEASURES if n != "n_repeat_words"], F.expr(repeated_words("hashes")).cast("long").alias("n_repeat_words"))
     verdict = F.lit(True)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import Sink, column, record, scratch, task
+from orelode.llm.runtime import Sink, column, record, scratch, task, values
 from orelode.llm.tokens import encoder, unpack
 
 MASK = 0xA282EAD8
@@ -77,7 +77,7 @@ def write_part(batches, path: str, folder: str, end: int | None, wide: bool):
     store, top = opened(folder)
     enc, offsets, at, n_ids = None, [], 0, 0
     kind, tail = ("<u4" if wide else "<u2"), b"" if end is None else end.to_bytes(4, "little")
-    rows = (r for b in batches for r in zip(column(b, "doc_id"), column(b, "text"), strict=True))
+    rows = (r for b in batches for r in zip(column(b, "doc_id"), values(b, "text"), strict=True))
     if (first := next(rows, None)) is None:
         return
     enc = encoder(path)

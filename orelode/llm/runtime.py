@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where others keep them
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,7 +25,9 @@ def task(module: str, function: str, **settings) -> Callable:
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        return getattr(importlib.import_module(module), function)(batches, **settings)
+        from orelode.llm.runtime import trimmed
+
+        return getattr(importlib.import_module(module), function)(trimmed(batches), **settings)
 
     return run
 
@@ -71,6 +75,26 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 
 
+def values(batch: pa.RecordBatch, name: str) -> Iterator:
+    """A column's values one by one, for long texts."""
+    return (v.as_py() for v in batch.column(name))
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each one, freed memory goes back to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
@@ -78,7 +102,7 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 class Sink:
     """Rows gathered into batches of bounded bytes."""
 
-    def __init__(self, schema: pa.Schema, limit: int = 16 << 20):
+    def __init__(self, schema: pa.Schema, limit: int = 8 << 20):
         self.schema, self.limit, self.rows, self.size = schema, limit, [], 0
 
     def add(self, row: tuple, size: int = 64) -> bool:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import Sink, column, task
+from orelode.llm.runtime import Sink, column, task, values
 
 #: The patterns of the base: fixed values, with the least length of each match (of group 2 for assign).
 KINDS = ("assign", "access", "hex")
@@ -225,7 +225,7 @@ def structs(found: list[Span]) -> list[dict]:
 def scan_batches(batches):
     sink = Sink(SCANNED)
     for batch in batches:
-        for doc, text in zip(column(batch, "doc_id"), column(batch, "text"), strict=True):
+        for doc, text in zip(column(batch, "doc_id"), values(batch, "text"), strict=True):
             base, found = spans(text or "")
             if sink.add((doc, None, structs(base), structs(found)), 64 + 80 * len(found)):
                 yield from sink.flush()
@@ -245,7 +245,7 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def redact_batches(batches, text: str, length: str | None):
     for batch in batches:
-        new = [None if t is None else redacted(t, spans(t)[1]) for t in column(batch, text)]
+        new = [None if t is None else redacted(t, spans(t)[1]) for t in values(batch, text)]
         names = batch.schema.names
         out = batch.set_column(names.index(text), batch.schema.field(text), pa.array(new, batch.schema.field(text).type))
         if length:

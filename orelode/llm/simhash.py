@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.components import Forest, components, grouped_back
-from orelode.llm.runtime import column, fresh, record, task, written
+from orelode.llm.runtime import fresh, record, task, values, written
 
 BITS, SEED = 64, 42
 #: Variants that a cell holds on average, and that a task sorts at once.
@@ -58,7 +58,7 @@ def fingerprint(text: str, k: int) -> int:
 
 def fingerprints(batches, k: int):
     for batch in batches:
-        yield record(HASHED, doc_id=batch.column("doc_id"), fp=[fingerprint(t or "", k) for t in column(batch, "text")])
+        yield record(HASHED, doc_id=batch.column("doc_id"), fp=[fingerprint(t or "", k) for t in values(batch, "text")])
 
 
 def masks(bits: int, flips: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import column, record, task
+from orelode.llm.runtime import record, task, values
 from orelode.llm.tokens import LONG_PIECE, Cache, Encoder, encoder
 
 SAMPLE, ENTRIES = 2_000, 65_536
@@ -25,7 +25,7 @@ def frequent(batches, path: str, entries: int):
     """One row: the most frequent pre-tokens of these texts, and a byte each for their lengths."""
     enc, counts = encoder(path), Counter()
     for batch in batches:
-        for text in column(batch, "text"):
+        for text in values(batch, "text"):
             counts.update(w for w in enc.split(text or "") or () if len(w) <= LONG_PIECE)
             if len(counts) > 16 * entries:
                 counts = Counter(dict(counts.most_common(4 * entries)))
@@ -61,9 +61,8 @@ def count_batches(batches, path: str, table):
         _kept[key] = Lengths(encoder(path), words, sizes)
     lengths = _kept[key]
     for batch in batches:
-        texts = [t or "" for t in column(batch, "text")]
-        sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-        yield record(COUNTED, doc_id=batch.column("doc_id"), n_bytes=sizes, n_tokens=[lengths.count(t) for t in texts])
+        got = [(len(t) if t.isascii() else len(t.encode()), lengths.count(t)) for t in (v or "" for v in values(batch, "text"))]
+        yield record(COUNTED, doc_id=batch.column("doc_id"), n_bytes=[a for a, _ in got], n_tokens=[b for _, b in got])
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 1024, sample: int = SAMPLE, entries: int = ENTRIES) -> DataFrame:

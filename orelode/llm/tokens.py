@@ -8,6 +8,7 @@ merging the same vocabulary by rank, the others by the library. All other texts
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -68,12 +69,10 @@ class Cache(dict):
 class Encoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, as packed ids."""
 
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str, entries: int = 150_000):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self.size = path, len(made["model"]["vocab"].keys() | {t["content"] for t in made["added_tokens"]})
         self.cache = Cache(self.piece, entries)
         self.specials = {t["content"]: t["id"] for t in made["added_tokens"]}
         self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
@@ -89,6 +88,14 @@ class Encoder:
         made.update(added_tokens=[], normalizer=None)
         self.bare = Tokenizer.from_str(json.dumps(made))  # for text that is normalized already and holds no special token
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The whole tokenizer, loaded when a text first needs it."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens of a text, or None if only the library splits it."""
         if self.pieces is None or UNSURE.search(text) or (self.special and self.special.search(text)):
