@@ -3,7 +3,7 @@
 Texts are encoded once into a table in the shared folder. A document's full windows are sequences by themselves. Its
 rest goes to a shard: rests are dealt by range of their rarest tokens (those of the highest ids, as a BPE vocabulary
 lists merges from frequent to rare), with the row as the last key, so shards are even whatever documents have in
-common. Each shard holds its own inverted index of BM25 weights, with document frequencies and lengths of the whole
+common. Each ``SHARD`` of them in that order are a shard with its own inverted index of BM25 weights, with document frequencies and lengths of the whole
 corpus. It takes unused rests in turn as seeds; the index returns the unused neighbours by score, which fill the seed's
 window. The last one is cut; what is left of it is the next seed. So only a shard's last window has padding.
 """
@@ -154,17 +154,29 @@ def fill(sizes: list[int], index: Index, window: int):
         number += 1
 
 
-def pack_shards(batches, idf, window: int, kind: str, terms: int):
-    """Each partition is a shard of bounded size."""
-    docs = [(doc, n, np.frombuffer(rest, kind)) for b in batches for doc, n, rest in zip(*(column(b, c) for c in ("doc_id", "n", "rest")), strict=True)]
-    if not docs:
-        return
-    weights, average = idf.value
-    index, sink, base = Index([r for _, _, r in docs], weights, average, terms), Sink(PIECES), TaskContext.get().partitionId() << 32
-    for d, start, length, number, offset in fill([len(r) for _, _, r in docs], index, window):
-        doc, n, rest = docs[d]
-        if sink.add((doc, n - len(rest) + start, length, rest[start : start + length].astype("<u4").tobytes(), n, base + number, offset), 4 * length + 64):
-            yield from sink.flush()
+def pack_shards(batches, idf, window: int, kind: str, terms: int, shard: int):
+    """A partition's rows come sorted; each ``shard`` of them in turn is a shard."""
+    sink, base, held = Sink(PIECES), TaskContext.get().partitionId() << 32, []
+
+    def pack():
+        nonlocal base
+        weights, average = idf.value
+        rests = [np.frombuffer(rest, kind) for _, _, rest in held]
+        number = -1
+        for d, start, length, number, offset in fill([len(r) for r in rests], Index(rests, weights, average, terms), window):
+            doc, n, _ = held[d]
+            if sink.add((doc, n - len(rests[d]) + start, length, rests[d][start : start + length].astype("<u4").tobytes(), n, base + number, offset), 4 * length + 64):
+                yield from sink.flush()
+        base += number + 1
+
+    for batch in batches:
+        for row in zip(*(column(batch, c) for c in ("doc_id", "n", "rest")), strict=True):
+            held.append(row)
+            if len(held) == shard:
+                yield from pack()
+                held = []
+    if held:
+        yield from pack()
     yield from sink.flush()
 
 
@@ -187,6 +199,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end: int | None = N
         counts[r[0]] = r[1]
     idf = spark.sparkContext.broadcast((np.log1p((total - counts + 0.5) / (counts + 0.5)), max(1.0, (ids or 0) / max(1, total))))
     whole = tokens.filter(F.octet_length("full") > 0).select("doc_id", "n", "first_window", "full").mapInArrow(task(__name__, "full_windows", window=window, kind=kind), PIECE_COLUMNS)
-    dealt = tokens.filter(F.octet_length("rest") > 0).select("doc_id", "n", "rest", "rarest", "next_rarest", "row").repartitionByRange(max(1, ceil(rests / shard)), "rarest", "next_rarest", "row").sortWithinPartitions("rarest", "next_rarest", "row")
-    parts = dealt.select("doc_id", "n", "rest").mapInArrow(task(__name__, "pack_shards", idf=idf, window=window, kind=kind, terms=terms), PIECE_COLUMNS)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tokens.filter(F.octet_length("rest") > 0).select("doc_id", "n", "rest", "rarest", "next_rarest", "row").repartitionByRange(max(1, min(ceil(rests / shard), partitions)), "rarest", "next_rarest", "row").sortWithinPartitions("rarest", "next_rarest", "row")
+    parts = dealt.select("doc_id", "n", "rest").mapInArrow(task(__name__, "pack_shards", idf=idf, window=window, kind=kind, terms=terms, shard=shard), PIECE_COLUMNS)
     return whole.unionByName(parts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,9 +16,24 @@ pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back, where o
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bytes_of(size: str) -> int:
+    """A size setting in bytes."""
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", size.lower())
+    return int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m else 0
+
+
 def task(module: str, function: str, **settings) -> Callable:
-    """A function for mapInArrow that imports ``module`` in the worker, so that what it caches lives as long as that."""
-    root = ROOT
+    """A function for mapInArrow that imports ``module`` in the worker, so that what it caches lives as long as that.
+
+    Lowers the session's bound on the bytes of an Arrow batch to ``BATCH``: whole texts vary so much in length that a
+    bound on rows alone would not hold an executor's and a worker's memory.
+    """
+    root, spark = ROOT, SparkSession.getActiveSession()
+    if spark is not None and not 0 < bytes_of(spark.conf.get(BATCH_KEY, "64m")) <= BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))
 
     def run(batches):
         import importlib
