@@ -2,10 +2,11 @@
 
 Texts are encoded once into a table in the shared folder. A document's full windows are sequences by themselves. Its
 rest goes to a shard: rests are dealt by range of their rarest tokens (those of the highest ids, as a BPE vocabulary
-lists merges from frequent to rare), with the row as the last key, so shards are even whatever documents have in
-common. Each ``SHARD`` of them in that order are a shard with its own inverted index of BM25 weights, with document frequencies and lengths of the whole
-corpus. It takes unused rests in turn as seeds; the index returns the unused neighbours by score, which fill the seed's
-window. The last one is cut; what is left of it is the next seed. So only a shard's last window has padding.
+lists merges from frequent to rare), with the row as the last key, so partitions are even whatever documents have in
+common. Each ``SHARD`` rests in that order are a shard with its own inverted index of BM25 weights, with document
+frequencies and lengths of the whole corpus. It takes unused rests in turn as seeds; the index returns the unused
+neighbours by score, which fill the seed's window. The last one is cut; what is left of it is the next seed. So only a
+partition's last window has padding.
 """
 
 from __future__ import annotations
@@ -121,8 +122,8 @@ def neighbours(index: Index, seed: int, used: np.ndarray):
         found, top = found[scores[found] > 0], top * 4
 
 
-def fill(sizes: list[int], index: Index, window: int):
-    """(document, start, length, window, offset) of each piece."""
+def fill(sizes: list[int], index: Index, window: int, offset: int = 0):
+    """(document, start, length, window, offset) of each piece; ``offset`` of the first window is taken already."""
     used, turn, number = np.zeros(len(sizes), bool), 0, 0
     held: tuple[int, int] | None = None  # a document that was cut, and where
 
@@ -134,7 +135,7 @@ def fill(sizes: list[int], index: Index, window: int):
 
     while held or unused() is not None:
         seed, start = held or (unused(), 0)
-        used[seed], held, offset, near = True, None, 0, None
+        used[seed], held, near = True, None, None
         doc = seed
         while doc is not None:
             length = min(sizes[doc] - start, window - offset)
@@ -151,23 +152,22 @@ def fill(sizes: list[int], index: Index, window: int):
                 doc = unused()
             if doc is not None:
                 used[doc] = True
-        number += 1
+        number, offset = number + 1, 0
 
 
 def pack_shards(batches, idf, window: int, kind: str, terms: int, shard: int):
-    """A partition's rows come sorted; each ``shard`` of them in turn is a shard."""
-    sink, base, held = Sink(PIECES), TaskContext.get().partitionId() << 32, []
+    """A partition's rows come sorted; each ``shard`` of them in turn is a shard, which goes on in the last one's window."""
+    sink, base, taken, held = Sink(PIECES), TaskContext.get().partitionId() << 32, 0, []
 
     def pack():
-        nonlocal base
+        nonlocal base, taken
         weights, average = idf.value
         rests = [np.frombuffer(rest, kind) for _, _, rest in held]
-        number = -1
-        for d, start, length, number, offset in fill([len(r) for r in rests], Index(rests, weights, average, terms), window):
+        for d, start, length, number, offset in fill([len(r) for r in rests], Index(rests, weights, average, terms), window, taken):
             doc, n, _ = held[d]
             if sink.add((doc, n - len(rests[d]) + start, length, rests[d][start : start + length].astype("<u4").tobytes(), n, base + number, offset), 4 * length + 64):
                 yield from sink.flush()
-        base += number + 1
+        base, taken = (base + number, offset + length) if offset + length < window else (base + number + 1, 0)
 
     for batch in batches:
         for row in zip(*(column(batch, c) for c in ("doc_id", "n", "rest")), strict=True):
