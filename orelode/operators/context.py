@@ -103,3 +103,33 @@ def problems(items: DataFrame, total_limit: int = TOTAL_LIMIT - RESERVED, sectio
         secret = secret | F.col("text").rlike(pattern)
     codes = F.filter(F.array(F.when(F.col("before") > F.col("section_ord"), "section_order"), F.when(F.col("truncated") & ~F.col("text").endswith(MARKER), "no_mark"), F.when(secret, "secret"), F.when(F.col("section_ord") == 0, "unknown_section")), lambda c: c.isNotNull())
     return per_section.unionByName(total).unionByName(twice).unionByName(before.select(F.explode(codes).alias("code"), "package_id", F.col("item_id").alias("subject")))
+
+
+def evidence_items(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Items of ranked results: those with a graph route go to ``graph``, others to ``retrieval``; priority by the score's parts."""
+    graph = F.exists("evidence", lambda e: e.method == "graph")
+    priority = F.when(F.col("score_exact") > 0, 0).when(F.col("score_entity") > 0, 1).when(F.col("score_graph") > 0, 2).otherwise(3)
+    hops = F.array_min(F.transform(F.filter("evidence", lambda e: e.method == "graph"), lambda e: e.hops))
+    rows = results.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id")
+    section = F.when(graph, "graph").otherwise("retrieval")
+    return rows.select(F.col("query_id").alias("package_id"), F.format_string("%s:%04d", section, "rank").alias("item_id"), section.alias("section"), F.col("rank").alias("ordinal"), priority.alias("priority"), "rank", F.col("total").alias("score"), hops.alias("hops"), F.col("chunk_text").alias("text"), F.col("chunk_id").alias("provenance"))
+
+
+def seed_warnings(reports: DataFrame) -> DataFrame:
+    """(package_id, ordinal, code, detail) of seeds that aren't simply resolved."""
+    detail = F.when(F.col("status") == "redirected", F.concat_ws(" ", "value", F.lit("is now"), "successor")).when(F.col("status") == "ambiguous", F.concat_ws(" ", "value", F.lit("names"), F.concat_ws(", ", "node_ids"))).otherwise(F.concat_ws(" ", "value", F.lit("is not in the corpus")))
+    return reports.filter("status <> 'resolved'").select(F.col("query_id").alias("package_id"), "ordinal", F.concat(F.col("status"), F.lit("_seed")).alias("code"), detail.alias("detail"))
+
+
+def package_metadata(items: DataFrame) -> DataFrame:
+    """Items, characters and distinct sources in the order of places, for each package and section."""
+    first = items.groupBy("package_id", "section").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("characters"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("place", "provenance"))), lambda x: x["provenance"])).alias("sources"))
+    return first.withColumn("section_ord", F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")))
+
+
+def packaged(items: DataFrame, section_limit: int = SECTION_LIMIT, total_limit: int = TOTAL_LIMIT - RESERVED) -> DataFrame:
+    """Items redacted, in order, and cut to the budget; those without room are gone."""
+    clean = organised(redacted(items).drop("text").withColumnRenamed("redacted", "text"))
+    kept = budgeted(clean, section_limit, total_limit).select("package_id", "item_id", "size", "kept")
+    out = clean.join(kept, ["package_id", "item_id"]).withColumn("truncated", (F.col("kept") > 0) & (F.col("kept") < F.col("size"))).withColumn("text", cut_text(F.col("text"), F.col("size"), F.col("kept")))
+    return out.filter("text IS NOT NULL")

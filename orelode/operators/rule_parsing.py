@@ -79,3 +79,9 @@ def attack_references(rules: DataFrame, text: str = "text") -> DataFrame:
     of = F.flatten(F.transform(threat, lambda t, i: F.flatten(F.transform(t.technique, lambda q, j: F.concat(F.array(one(i, j, F.lit(-1), q["id"])), F.coalesce(F.transform(q["subtechnique"], lambda s, k: one(i, j, k, s["id"])), F.array().cast("array<struct<i:int,j:int,k:int,id:string>>")))))))
     rows = rules.select(*rules.columns, F.inline(of)).filter("id IS NOT NULL AND trim(id) <> ''")
     return rows.groupBy(*rules.columns, F.col("id").alias("technique")).agg(F.min(F.struct("i", "j", "k")).alias("p")).select(*rules.columns, "technique", F.concat_ws(".", *[F.col(f"p.{c}").cast("string") for c in "ijk"]).alias("place"))
+
+
+def raw_rules(rows: DataFrame) -> DataFrame:
+    """Bare queries (rule_id, query, language) as rules of an unknown format."""
+    none = F.lit(None).cast("string")
+    return rows.select("rule_id", F.lit("unknown").alias("format"), none.alias("identifier"), none.alias("title"), F.lit("unknown").alias("severity"), F.lit("unknown").alias("status"), named(V.LANGUAGES, F.col("language")).alias("language"), F.lit(None).cast("int").alias("risk_score"), "query", F.array().cast("array<string>").alias("tags"), F.when(F.trim("query") == "", "empty query").alias("fault"))
