@@ -46,7 +46,7 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
 
 
 def scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, chunk_id, score, matched``: BM25, rounded to six places, with the matched terms in order."""
+    """``query_id, chunk_id, score``: BM25, rounded to six places."""
     asked = query_terms(queries)
     some = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
     whole = lengths(chunks, key, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
@@ -55,8 +55,15 @@ def scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: s
     weighed = asked.join(idf, "term")
     tf = F.col("tf")
     part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)))
-    hits = some.join(weighed, "term").select("query_id", "chunk_id", "term", part.alias("part"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched"))
+    hits = some.join(weighed, "term").select("query_id", "chunk_id", part.alias("part"))
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def with_matched(found: DataFrame, chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Adds ``matched``, the query's terms that a chunk has, in order: for the few chunks of a result, not for all scored."""
+    rows = found.join(chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("chunk_text")), "chunk_id")
+    rows = rows.join(queries.select("query_id", first_seen(tokens(F.col("text"))).alias("asked")), "query_id")
+    return rows.withColumn("matched", F.array_sort(F.array_intersect("asked", tokens(F.col("chunk_text"))))).drop("chunk_text", "asked")
 
 
 def top(scored: DataFrame, limit: int, admitted: DataFrame | None = None) -> DataFrame:

@@ -24,7 +24,8 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = X.top(X.scores(documents(spark, sf_dir), passages(spark, sf_dir)), 10)
+    docs, asked = documents(spark, sf_dir), passages(spark, sf_dir)
+    found = X.with_matched(X.top(X.scores(docs, asked), 10), docs, asked)
     return found.select("query_id", "rank", "chunk_id", "score", F.array_join("matched", " ").alias("matched"))
 
 
