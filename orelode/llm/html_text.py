@@ -315,7 +315,7 @@ def text_batches(batches):
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """``page_id, url, text`` for each row, blocks joined by line ends; an empty text if there is no main text.
 
-    A null page counts as empty. Repeated rows, null keys and null URLs stay; other columns go; an empty table gives an
+    A tag whose quote is never closed ends at the next ``>``. A null page counts as empty. Repeated rows, null keys and null URLs stay; other columns go; an empty table gives an
     empty one.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("html"))
