@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL}
+    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL, "op7_embedding_dedup": embedding_join.SQL}

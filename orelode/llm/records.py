@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orelode.llm.runtime import Sink, column, record, scratch, task, values
+from orelode.llm.runtime import Sink, column, passing, record, scratch, task, values
 from orelode.llm.tokens import encoder, unpack
 
 MASK = 0xA282EAD8
@@ -158,5 +158,7 @@ def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, i
 
 def round_trip(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
     """Writes the records to a new shared folder and reads them back."""
-    folder = scratch(docs.sparkSession)
-    return read_records(docs.sparkSession, folder, write_records(docs, path, folder, end))
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
+    parts = write_records(docs, path, folder, end)
+    passing(spark, folder)
+    return read_records(spark, folder, parts)

@@ -59,9 +59,16 @@ def written(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.options(**options).parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def passing(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table from ``written``."""
     jvm = df.sparkSession._jvm
