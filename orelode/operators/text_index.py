@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.text import counted, first_seen, tokens
+from orelode.session import settled
 
 K1, B = 1.2, 0.75
 
@@ -48,7 +49,7 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
 def scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, chunk_id, score``: BM25, rounded to six places."""
     asked = query_terms(queries)
-    some = postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    some = settled(postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi"))  # read twice
     whole = lengths(chunks, key, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(whole)).select("term", "average", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -44,5 +44,8 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder (the session's, else one under the warehouse), its lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        own = (context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        context.setCheckpointDir(own)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)  # goes when the driver ends
     return df.checkpoint()
