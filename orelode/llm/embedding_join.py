@@ -22,7 +22,7 @@ from orelode.llm.components import Forest, components, grouped_back
 from orelode.llm.runtime import column, record, task, written
 
 #: Points in a block, points of a tile, and pivots at most (their table is broadcast).
-BLOCK, TILE, PIVOTS = 2_048, 2_048, 4_096
+BLOCK, TILE, PIVOTS = 8_192, 1_024, 4_096
 #: Radius of balls, and the slack that keeps rounding from settling a pair.
 BALL, SLACK = 0.05, 1e-7
 PLACED = pa.schema([("block", pa.int64()), ("home", pa.bool_()), ("point", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary())])
@@ -112,12 +112,13 @@ class Balls:
 
     def __init__(self, x: np.ndarray):
         self.of, leaders = np.full(len(x), -1), []
-        for i in range(len(x)):
-            if self.of[i] < 0:
-                near = (self.of < 0) & (((x - x[i]) ** 2).sum(axis=1) <= BALL * BALL) if i + 1 < len(x) else self.of < 0
-                self.of[near] = len(leaders)
-                self.of[i] = len(leaders)
-                leaders.append(i)
+        for at in range(0, len(x), 256):
+            close = x[at : at + 256] @ x.T >= 1 - BALL * BALL / 2
+            for i in range(at, min(at + 256, len(x))):
+                if self.of[i] < 0:
+                    self.of[(self.of < 0) & close[i - at]] = len(leaders)
+                    self.of[i] = len(leaders)
+                    leaders.append(i)
         self.leaders = np.array(leaders)
         self.order = np.argsort(self.of, kind="stable")
         self.cuts = np.searchsorted(self.of[self.order], np.arange(len(leaders) + 1))
@@ -135,13 +136,18 @@ class Block:
         self.reach, self.n, self.forest = float(np.sqrt(2 - 2 * threshold)), np.zeros(len(x), np.int64), Forest()
         self.balls = Balls(x)
         self.ball_weight = np.bincount(self.balls.of, weights, minlength=len(self.balls.leaders)).astype(np.int64)
+        most, least = self.reach + SLACK + self.balls.radius, self.reach - SLACK - self.balls.radius
+        self.some, self.all = 1 - most * most / 2, np.where(least > 0, 1 - least * least / 2, 2)  # a leader's cosine from which some of its ball, and all of it, are within reach
 
     def meet(self, y: np.ndarray, points: np.ndarray, weights: np.ndarray, own: bool) -> np.ndarray:
         """Adds links with others; returns the others' counts. ``own``: the others are the block's points themselves."""
         n, b = np.zeros(len(y), np.int64), self.balls
-        d = np.sqrt(np.maximum(0, 2 - 2 * y @ self.x[b.leaders].T))
-        inside = d + b.radius <= self.reach - SLACK
-        maybe = ~inside & (d - b.radius <= self.reach + SLACK)
+        cosine = y @ self.x[b.leaders].T
+        maybe = cosine >= self.some
+        if not maybe.any():
+            return n
+        inside = cosine >= self.all
+        maybe &= ~inside
         n += inside @ self.ball_weight
         for k in np.flatnonzero(inside.any(axis=0)):
             rows = np.flatnonzero(inside[:, k])
