@@ -1,20 +1,23 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned for secrets and for encoded runs: percent escapes, backslash escapes,
-base64, and, where base64 gives bytes of a compressed stream, what these hold. Every run that decodes to text is a new
-layer on the worklist, which remembers in which characters of the first layer it lies; layers that were met before
-(by their content and origin) end a cycle. A secret in a layer counts where the layer lies: escapes map character by
-character, base64 and compressed layers as a whole. The list ends when no layer is new.
+base64, and, where base64 gives bytes of a compressed stream, what these hold, however often they are compressed. Every
+run that decodes is a new layer on the worklist, which remembers in which characters of the first layer it lies; layers
+that were met before (by their content and origin) end a cycle. Bytes that are no text become replacement characters,
+which are in no secret. A secret in a layer counts where the layer lies: escapes map character by character, base64 and
+compressed layers as a whole. The list ends when no layer is new.
 """
 
 from __future__ import annotations
 
 import base64
 import bisect
+import codecs
+import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +38,15 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-#: Bytes that a compressed layer may have at most; a larger one isn't unwrapped beyond this and counts as no text.
-INFLATED = 64 << 20
+#: Bytes of a compressed layer that are held at once; a larger one is inflated again, in pieces, and scanned by parts.
+INFLATED, PIECE = 64 << 20, 8 << 20
+#: Where a text can be cut: no secret or encoded run goes over the end of such a match.
+CUT = re.compile(r"""[A-Za-z0-9]\x20(?=[A-Za-z0-9])|[^A-Za-z0-9+/_.=:\-"'\s%\\]""")
 SCANNED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 Span = tuple[int, int, int]
+Source = Callable[[], Iterator[bytes]]
 
 
 def scan(text: str) -> list[Span]:
@@ -55,10 +61,16 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; ``starts[i]`` and ``ends[i]`` say where its i-th character lies in the first layer."""
+    """A decoded text; ``starts[i]`` and ``ends[i]`` say where its i-th character lies in the first layer.
 
-    def __init__(self, text: str, starts=None, ends=None, at: tuple[int, int] | None = None):
-        self.text, self.starts, self.ends, self.at = text, starts, ends, at
+    ``part`` says that it is one of the parts of a text that isn't held as a whole.
+    """
+
+    def __init__(self, text: str, starts=None, ends=None, at: tuple[int, int] | None = None, part: bool = False):
+        self.text, self.starts, self.ends, self.at, self.part = text, starts, ends, at, part
+
+    def key(self) -> tuple:
+        return self.text if len(self.text) < 100 else hashlib.blake2b(self.text.encode(), digest_size=16).digest(), self.at
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.at:
@@ -66,28 +78,86 @@ class Layer:
         return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
-def utf8(raw: bytes) -> str | None:
-    """Text, if the bytes are nothing but text."""
+def parts(source: Source) -> Iterator[tuple[str, bool]]:
+    """The bytes as text, and whether it is only a part; parts end where no match of a pattern can go on."""
+    decoder, held, size, cut = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, False
+    for piece in source():
+        held.append(decoder.decode(piece))
+        size += len(held[-1])
+        if size > INFLATED:
+            text, width, at = "".join(held), 1 << 16, 0
+            while not at and width < 2 * size:
+                low = max(0, size - width)
+                at = max((m.end() for m in CUT.finditer(text, low)), default=0)
+                width *= 2
+            if at:
+                yield text[:at], True
+                cut = True
+            held, size = [text[at:]], len(text) - at
+    held.append(decoder.decode(b"", True))
+    yield "".join(held), cut
+
+
+def pieces(source: Source, bits: int) -> Iterator[bytes]:
+    """What one stream after another holds; an error if the first of them is broken or ends early."""
+    d, whole = zlib.decompressobj(bits), False
+    for rest in source():
+        while rest:
+            try:
+                out = d.decompress(rest, PIECE)
+            except zlib.error:
+                if whole:
+                    return
+                raise
+            if out:
+                yield out
+            rest = d.unconsumed_tail
+            if d.eof:
+                if bits < 0:
+                    return
+                rest, whole = d.unused_data.lstrip(b"\0"), True
+                d = zlib.decompressobj(bits)
+            elif not rest and len(out) == PIECE:
+                while out := d.decompress(b"", PIECE):
+                    yield out
+    if not whole:
+        raise zlib.error("no end")
+
+
+def inflated(source: Source, bits: int) -> tuple[Source, bytes] | None:
+    """The bytes of a complete gzip, zlib or raw deflate stream, and their digest."""
+    held, size, digest = [], 0, hashlib.blake2b(digest_size=16)
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
+        for piece in pieces(source, bits):
+            size += len(piece)
+            digest.update(piece)
+            if size <= INFLATED:
+                held.append(piece)
+            else:
+                held.clear()
+    except zlib.error:
+        return None
+    if not size:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    if size > INFLATED:
+        return lambda: pieces(source, bits), digest.digest()
+    out = b"".join(held)
+    return lambda: iter((out,)), digest.digest()
 
 
-def inflated(raw: bytes) -> bytes | None:
-    """What a gzip, zlib or raw deflate stream holds."""
-    if len(raw) < 8:
-        return None
-    for bits in ((31,) if raw[:2] == b"\x1f\x8b" else (15,) if raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0 else (-15,)):
-        try:
-            d = zlib.decompressobj(bits)
-            out = d.decompress(raw, INFLATED)
-            if d.eof and not d.unconsumed_tail and out:
-                return out
-        except zlib.error:
-            pass
-    return None
+def opened(raw: bytes) -> Iterator[tuple[str, bool]]:
+    """Texts that bytes hold, by themselves or compressed any number of times, and whether each is only a part."""
+    work, seen = [lambda: iter((raw,))], set()
+    while work:
+        source = work.pop()
+        yield from parts(source)
+        head = next(source(), b"")[:8]
+        if len(head) < 8:
+            continue
+        bits = 31 if head[:2] == b"\x1f\x8b" else 15 if head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0 else -15
+        if (found := inflated(source, bits)) and found[1] not in seen:
+            seen.add(found[1])
+            work.append(found[0])
 
 
 def unescaped(text: str, escapes: list[tuple[int, int, list[tuple[str, int, int]]]]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -133,8 +203,8 @@ def escape_runs(text: str) -> list:
     return out
 
 
-def packed(token: str) -> Iterator[str]:
-    """Texts that a base64 run holds, by itself or compressed."""
+def packed(token: str) -> Iterator[tuple[str, bool]]:
+    """Texts that a base64 run holds, by itself or compressed, and whether each is only a part."""
     bare = token.rstrip("=")
     if len(bare) % 4 == 1 or not any(c.isdigit() or c.isupper() for c in bare):
         return
@@ -142,11 +212,7 @@ def packed(token: str) -> Iterator[str]:
         raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
     except ValueError:
         return
-    if (text := utf8(raw)) is not None:
-        yield text
-    elif (out := inflated(raw)) is not None:
-        if (text := utf8(out)) is not None:
-            yield text
+    yield from opened(raw)
 
 
 def inner(layer: Layer) -> Iterator[Layer]:
@@ -162,27 +228,33 @@ def inner(layer: Layer) -> Iterator[Layer]:
             else:
                 yield Layer(new, starts, ends)
     for m in BASE64.finditer(text):
-        for new in packed(m[0]):
-            yield Layer(new, at=layer.place(*m.span()))
+        for new, part in packed(m[0]):
+            yield Layer(new, at=layer.place(*m.span()), part=part)
 
 
-def spans(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and these with what the layers add."""
-    base = scan(text)
-    work, seen, found = deque([Layer(text)]), {(text, None)}, set(base)
-    first = True
+def explore(layer: Layer, seen: set, found: set[Span]) -> None:
+    """Adds what the layers below this one hold; parts are done with one by one."""
+    work = deque([layer])
     while work:
-        layer = work.popleft()
-        if not first:
-            for a, kind, b in scan(layer.text):
-                x, y = layer.place(a, b)
+        for new in inner(work.popleft()):
+            key = new.key()
+            if key in seen:
+                continue
+            seen.add(key)
+            for a, kind, b in scan(new.text):
+                x, y = new.place(a, b)
                 found.add((x, kind, y))
-        first = False
-        for new in inner(layer):
-            key = new.text, new.at
-            if key not in seen:
-                seen.add(key)
+            if new.part:
+                explore(new, seen, found)
+            else:
                 work.append(new)
+
+
+def spans(text: str) -> tuple[list[Span], list[Span]]:
+    """Base spans, and these with what the layers add."""
+    base, first = scan(text), Layer(text)
+    found = set(base)
+    explore(first, {first.key()}, found)
     return base, added(base, found)
 
 

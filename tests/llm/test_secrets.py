@@ -68,3 +68,40 @@ def test_rows(spark):
     clean = S.redact(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)
     assert not any(plain(r.text or "") for r in clean.collect() if "AKIAAKIA" not in (r.text or ""))
+
+
+def b64(raw: bytes) -> str:
+    return base64.b64encode(raw).decode()
+
+
+def held(layer: str) -> bool:
+    return (2, 0, 2 + len(layer)) in S.spans(f"a {layer} b")[1]
+
+
+def test_compressed_layers_to_the_last():
+    raw = f"say {SECRET} now".encode()
+    deflated = zlib.compressobj(wbits=-15)
+    deflate = deflated.compress(raw) + deflated.flush()
+    gz, zl = gzip.compress, zlib.compress
+    for data in (gz(gz(raw)), gz(zl(raw)), zl(gz(zl(raw))), gz(deflate), gz(b"first member") + gz(raw), gz(gz(b"x" * 99) + gz(raw)), gz(b64(gz(raw)).encode())):
+        assert held(b64(data)), data
+    assert not held(b64(gz(raw)[:-12]))  # no complete stream
+
+
+def test_layers_that_are_not_all_text():
+    for mark in (" ", "　", "﻿", "​", "\f", "\0"):
+        raw = f"voilà{mark}: {SECRET} fin".encode()
+        assert held(b64(raw)) and held(b64(gzip.compress(raw))), mark
+    for raw in (f"voilà {SECRET}".encode("latin-1"), b"\xff\xfe" + SECRET.encode() + b"\x80"):
+        assert held(b64(raw)) and held(b64(zlib.compress(raw))), raw
+
+
+def test_large_layers_by_parts(monkeypatch):
+    monkeypatch.setattr(S, "INFLATED", 3000)
+    monkeypatch.setattr(S, "PIECE", 1000)
+    for before in (*range(2960, 3020, 3), 50_000):
+        fill = ("lorem ipsum, " * 9999)[:before]
+        raw = f"{fill} {SECRET} {fill}".encode()
+        assert held(b64(gzip.compress(raw))) and held(b64(gzip.compress(gzip.compress(raw)))), before
+        assert held(b64(gzip.compress(f"{fill} {b64(raw[-6000:] + SECRET.encode())}".encode())))
+    assert not held(b64(gzip.compress(b"lorem ipsum, " * 9999)))
