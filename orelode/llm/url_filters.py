@@ -60,15 +60,34 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root without its ``.`` and ``..`` segments."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))))
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolved(page: Column, link: Column) -> Column:
+    """The URL that a link in a page means, or null if it is none: another scheme, or relative in a page without URL."""
+    root, scheme = F.regexp_extract(page, r"(?s)^.*?://[^/?#]*", 0), F.regexp_extract(page, r"(?s)^(.*?:)//", 1)
+    path, query = path_of(page), F.regexp_extract(page, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
+    own, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^.*/", 0))
+    below = F.when(own == "", F.concat(path, F.when(rest.startswith("?"), "").otherwise(query))).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(folder, own)))
+    absolute = link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+    return F.when(absolute, F.when(link.contains("://"), link)).when(page.contains("://"), F.when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(root, below, rest)))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a, b``: a page's URL and where its canonical link or its refresh points, if absolute or from the host's root."""
+    """``a, b``: a page's URL and where its canonical links and refreshes point, relative ones resolved against it."""
     text, own = F.col(html), F.col(url)
-    some = pages.select(own.alias("a"), F.when(F.lower(text).contains("canonical"), F.regexp_extract(text, HREF, 1)).alias("canonical"), F.when(F.lower(text).contains("http-equiv"), F.regexp_extract(text, REFRESH, 1)).alias("refresh"))
-    links = some.select("a", F.explode(F.array("canonical", "refresh")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND b <> ''")
-    root = F.regexp_extract("a", r"(?s)^.*?://[^/?#]*", 0)
-    scheme = F.regexp_extract("a", r"(?s)^(.*?:)//", 1)
-    b = F.when(F.col("b").startswith("//"), F.concat(scheme, "b")).when(F.col("b").startswith("/"), F.concat(root, "b")).otherwise(F.col("b"))
-    return links.select("a", F.replace(b, F.lit("&amp;"), F.lit("&")).alias("b")).filter("contains(b, '://') AND a <> b")
+
+    def found(word: str, pattern: str) -> Column:
+        return F.when(F.lower(text).contains(word), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    links = pages.select(own.alias("a"), F.explode(F.concat(found("canonical", HREF), found("http-equiv", REFRESH))).alias("b")).filter("a IS NOT NULL AND b <> ''")
+    return links.select("a", resolved(F.col("a"), F.replace(F.col("b"), F.lit("&amp;"), F.lit("&"))).alias("b")).filter("b IS NOT NULL AND a <> b")
 
 
 def judged(pages: DataFrame, edges: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES) -> DataFrame:

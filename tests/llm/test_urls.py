@@ -1,5 +1,7 @@
 """Verdicts against the SQL and planted aliases."""
 
+from urllib.parse import urljoin
+
 import duckdb
 import pandas as pd
 
@@ -45,3 +47,24 @@ def test_given_redirects(spark):
     pages = spark.createDataFrame([(1, "http://u.example.org/1", None)], "page_id long, url string, html string")
     edges = spark.createDataFrame([("http://u.example.org/1", "http://v.example.org/2"), ("http://v.example.org/2", "http://example.net/es/"), (None, "x")], "a string, b string")
     assert url_filters.judged(pages, edges).first().verdict == "block"
+
+
+def test_relative_and_further_links(spark):
+    page, no = "http://h.example.org/a/b/c?q=1#f", "no url"
+    links = ["page2.html", "../x", "../../../x/", "?p=1", "./", "..", "d/../e?u=http://z/", "/r/../s", "//o.example.org/x", "http://o.example.org/./y", "g?a=1&amp;b=2", "#top"]
+    rows = [(page, f'<link rel="canonical" href="{x}">') for x in links] + [(page, f'<meta http-equiv="refresh" content="0; url={x}">') for x in links]
+    rows += [("http://h.example.org", '<link rel=canonical href="k"><link rel=canonical href="?p=1">'), (no, "<link rel=canonical href=k>"), (page, "<link rel=canonical href='mailto:x'>"), (page, None), (None, "<link rel=canonical href=k>")]
+    got = sorted(map(tuple, url_filters.page_links(spark.createDataFrame(rows, "url string, html string")).collect()))
+    want = [(page, urljoin(page, x.replace("&amp;", "&"))) for x in links if not x.startswith("http")] * 2 + [(page, "http://o.example.org/./y")] * 2
+    assert got == sorted([*want, ("http://h.example.org", "http://h.example.org/k"), ("http://h.example.org", "http://h.example.org?p=1")])
+    canonical, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = [
+        (1, "http://a.example.net/x/1", canonical % "../es/1"),
+        (2, "http://u.example.org/2", canonical % "http://u.example.org/3" + canonical % "http://b.example.net/es/2"),
+        (3, "http://v.example.org/2", refresh % "http://v.example.org/3" + refresh % "http://b.example.net/es/3"),
+        (4, "http://w.example.org/d/?p=1", canonical % "?p=2"),
+        (5, "http://w.example.org/d/?p=2", canonical % "http://b.example.net/fr/"),
+        (6, "http://x.example.org/", canonical % "es/1"),
+    ]
+    verdict = {r.page_id: r.verdict for r in url_filters.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
