@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,16 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+RUN, PAD, BREAKS = re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile("={0,2}"), re.compile("[/_-]")
+#: A base64 block's next line, with nothing else in it but closing marks, and a short line before.
+NEXT = re.compile(r"""\r?\n[ \t]*([A-Za-z0-9+/_-]+)(?=={0,2}[ \t]*(?:["'<,;)\]}]|\r?\n|\Z))""")
+BEFORE = re.compile(r"([A-Za-z0-9+/_-]+)\r?\n[ \t]*\Z")
+BAD, CODES = re.compile("[\udc80-\udcff]"), str.maketrans("-_", "+/")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 #: Bytes of a compressed layer that are held at once; a larger one is inflated again, in pieces, and scanned by parts.
 INFLATED, PIECE = 64 << 20, 8 << 20
+#: Bytes of a stream that are fed at once, and characters of the line before a run that can belong to it.
+FED, RUN_BEFORE = 16 << 10, 18
 #: Where a text can be cut: no secret or encoded run goes over the end of such a match.
 CUT = re.compile(r"""[A-Za-z0-9]\x20(?=[A-Za-z0-9])|[^A-Za-z0-9+/_.=:\-"'\s%\\]""")
 SCANNED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
@@ -70,7 +77,7 @@ class Layer:
         self.text, self.starts, self.ends, self.at, self.part = text, starts, ends, at, part
 
     def key(self) -> tuple:
-        return self.text if len(self.text) < 100 else hashlib.blake2b(self.text.encode(), digest_size=16).digest(), self.at
+        return self.text if len(self.text) < 100 else hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), self.at
 
     def place(self, a: int, b: int) -> tuple[int, int]:
         if self.at:
@@ -98,10 +105,11 @@ def parts(source: Source) -> Iterator[tuple[str, bool]]:
     yield "".join(held), cut
 
 
-def pieces(source: Source, bits: int) -> Iterator[bytes]:
-    """What one stream after another holds; an error if the first of them is broken or ends early."""
-    d, whole = zlib.decompressobj(bits), False
+def pieces(source: Source, bits: int, ends: list[int]) -> Iterator[bytes]:
+    """What one stream after another holds; an error if the first of them is broken or ends early. ``ends``: their ends."""
+    d, whole, fed = zlib.decompressobj(bits), False, 0
     for rest in source():
+        fed += len(rest)
         while rest:
             try:
                 out = d.decompress(rest, PIECE)
@@ -113,6 +121,7 @@ def pieces(source: Source, bits: int) -> Iterator[bytes]:
                 yield out
             rest = d.unconsumed_tail
             if d.eof:
+                ends.append(fed - len(d.unused_data))
                 if bits < 0:
                     return
                 rest, whole = d.unused_data.lstrip(b"\0"), True
@@ -124,11 +133,15 @@ def pieces(source: Source, bits: int) -> Iterator[bytes]:
         raise zlib.error("no end")
 
 
-def inflated(source: Source, bits: int) -> tuple[Source, bytes] | None:
-    """The bytes of a complete gzip, zlib or raw deflate stream, and their digest."""
-    held, size, digest = [], 0, hashlib.blake2b(digest_size=16)
+def inflated(source: Source) -> tuple[Source, bytes, int, bool] | None:
+    """The bytes of a complete gzip, zlib or raw deflate stream, their digest, its end, and whether it is a raw one."""
+    head = bytes(next(source(), b"")[:8])
+    if len(head) < 8:
+        return None
+    bits = 31 if head[:2] == b"\x1f\x8b" else 15 if head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0 else -15
+    held, size, digest, ends = [], 0, hashlib.blake2b(digest_size=16), []
     try:
-        for piece in pieces(source, bits):
+        for piece in pieces(source, bits, ends):
             size += len(piece)
             digest.update(piece)
             if size <= INFLATED:
@@ -140,24 +153,21 @@ def inflated(source: Source, bits: int) -> tuple[Source, bytes] | None:
     if not size:
         return None
     if size > INFLATED:
-        return lambda: pieces(source, bits), digest.digest()
+        return lambda: pieces(source, bits, []), digest.digest(), ends[-1], bits < 0
     out = b"".join(held)
-    return lambda: iter((out,)), digest.digest()
+    return lambda: iter((out,)), digest.digest(), ends[-1], bits < 0
 
 
-def opened(raw: bytes) -> Iterator[tuple[str, bool]]:
+def opened(source: Source) -> Iterator[tuple[str, bool]]:
     """Texts that bytes hold, by themselves or compressed any number of times, and whether each is only a part."""
-    work, seen = [lambda: iter((raw,))], set()
-    while work:
-        source = work.pop()
+    seen = set()
+    while True:
         yield from parts(source)
-        head = next(source(), b"")[:8]
-        if len(head) < 8:
-            continue
-        bits = 31 if head[:2] == b"\x1f\x8b" else 15 if head[0] & 15 == 8 and (head[0] << 8 | head[1]) % 31 == 0 else -15
-        if (found := inflated(source, bits)) and found[1] not in seen:
-            seen.add(found[1])
-            work.append(found[0])
+        found = inflated(source)
+        if not found or found[1] in seen or found[3] and found[2] < sum(map(len, source())):
+            return
+        source = found[0]
+        seen.add(found[1])
 
 
 def unescaped(text: str, escapes: list[tuple[int, int, list[tuple[str, int, int]]]]) -> tuple[str, np.ndarray, np.ndarray]:
@@ -203,16 +213,101 @@ def escape_runs(text: str) -> list:
     return out
 
 
-def packed(token: str) -> Iterator[tuple[str, bool]]:
-    """Texts that a base64 run holds, by itself or compressed, and whether each is only a part."""
-    bare = token.rstrip("=")
-    if len(bare) % 4 == 1 or not any(c.isdigit() or c.isupper() for c in bare):
-        return
-    try:
-        raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
-    except ValueError:
-        return
-    yield from opened(raw)
+def base64_runs(text: str) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """The lines of each base64 run, and where it ends with its padding."""
+    at = 0
+    while m := RUN.search(text, at):
+        lines = [m.span()]
+        low = max(at, text.rfind("\n", 0, m.start()) - RUN_BEFORE) if "\n" in text[at : m.start()] else m.start()
+        if low < m.start() and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t") and (before := BEFORE.search(text[low : m.start()])):
+            lines.insert(0, (low + before.start(1), low + before.end(1)))
+        while n := NEXT.match(text, lines[-1][1]):
+            lines.append(n.span(1))
+        at = PAD.match(text, lines[-1][1]).end()
+        yield lines, at
+
+
+class Run(Layer):
+    """A base64 run decoded from the first of ``starts`` on; a byte that is no text is a lone surrogate.
+
+    ``starts`` and ``stops`` are where base64 can begin and end in the run. What is no text before or after a secret
+    isn't part of its place, if such bytes are many.
+    """
+
+    def __init__(self, raw: bytes, starts: list[int], stops: list[int], whole: Callable[[int, int], tuple[int, int]]):
+        super().__init__(raw.decode("utf-8", "surrogateescape"), at=whole(starts[0], stops[-1]))
+        self.from_, self.to, self.whole = starts, stops, whole
+
+    def byte(self, i: int) -> int:
+        return len(self.text[:i].encode("utf-8", "surrogateescape"))
+
+    def garbage(self, a: int, b: int) -> bool:
+        return 8 * len(BAD.findall(self.text, a, b)) >= b - a > 0
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        text, first = self.text, self.from_[0]
+        left = max((m.end() for m in BAD.finditer(text, 0, a)), default=0)
+        after = BAD.search(text, b)
+        begin, end = self.from_[0], self.to[-1]
+        if left:
+            low, high = self.byte(left), self.byte(a)
+            i = bisect.bisect_left(self.from_, first + -(-low * 4 // 3))
+            if i < len(self.from_) and (self.from_[i] - first) // 4 * 3 <= high and self.garbage(0, left):
+                begin = self.from_[i]
+        if after:
+            least, most = first + -(-self.byte(b) * 4 // 3), first + -(-self.byte(after.start()) * 4 // 3)
+            i = bisect.bisect_right(self.to, most) - 1
+            if i >= 0 and self.to[i] >= least and self.garbage(after.start(), len(text)):
+                end = self.to[i]
+        return self.whole(begin, end)
+
+
+def readable(source: Source) -> bool:
+    """Whether bytes begin with what is mostly text."""
+    text = next(source())[:4096].decode("utf-8", "replace")
+    return 8 * sum(c == "�" or c < " " and c not in "\t\n\f\r" for c in text) <= len(text)
+
+
+def packed(layer: Layer, lines: list[tuple[int, int]], end: int) -> Iterator[Layer]:
+    """Layers that a base64 run holds, by itself or compressed.
+
+    Raw deflate has no mark and no checksum, and other bytes often are a short stream: it must end where base64 can, and
+    in a part of the run it must be text.
+    """
+    bare = "".join(layer.text[a:b] for a, b in lines).translate(CODES)
+    heads = [0, *accumulate(b - a for a, b in lines)]
+    marks = [heads[i] + m.start() - a for i, (a, b) in enumerate(lines) for m in BREAKS.finditer(layer.text, a, b)]
+    places, breaks = set(heads), set(marks)
+    starts, stops = sorted({*heads[:-1], *(m + 1 for m in marks)} - {heads[-1]}), sorted({*heads[1:], *marks})
+
+    def whole(s: int, e: int) -> tuple[int, int]:
+        i, j = bisect.bisect_right(heads, s) - 1, bisect.bisect_left(heads, e) - 1
+        return layer.place(lines[i][0] + s - heads[i], end if e == heads[-1] else lines[j][0] + e - heads[j])
+
+    for phase in range(4):
+        own = [s for s in starts if s % 4 == phase]
+        if not own:
+            continue
+        token = bare[own[0] :]
+        token = token[:-1] if len(token) % 4 == 1 else token
+        raw = base64.b64decode(token + "=" * (-len(token) % 4))
+        if raw:
+            yield Run(raw, own, stops, whole)
+        view = memoryview(raw)
+        for s in own:
+            if s not in places and s in breaks:
+                continue  # no text, gzip or zlib begins with these characters
+            source = chunks(view[(s - own[0]) // 4 * 3 :])
+            if found := inflated(source):
+                stop = stops[min(bisect.bisect_left(stops, s + -(-found[2] * 4 // 3)), len(stops) - 1)]
+                if found[3] and ((stop - s) * 3 // 4 != found[2] or (s or stop < heads[-1]) and not readable(found[0])):
+                    continue
+                for new, part in opened(found[0]):
+                    yield Layer(new, at=whole(s, stop), part=part)
+
+
+def chunks(view: memoryview) -> Source:
+    return lambda: (view[i : i + FED] for i in range(0, len(view), FED))
 
 
 def inner(layer: Layer) -> Iterator[Layer]:
@@ -227,9 +322,8 @@ def inner(layer: Layer) -> Iterator[Layer]:
                 yield Layer(new, layer.starts[starts], layer.ends[ends - 1])
             else:
                 yield Layer(new, starts, ends)
-    for m in BASE64.finditer(text):
-        for new, part in packed(m[0]):
-            yield Layer(new, at=layer.place(*m.span()), part=part)
+    for lines, end in base64_runs(text):
+        yield from packed(layer, lines, end)
 
 
 def explore(layer: Layer, seen: set, found: set[Span]) -> None:

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -105,3 +106,47 @@ def test_large_layers_by_parts(monkeypatch):
         assert held(b64(gzip.compress(raw))) and held(b64(gzip.compress(gzip.compress(raw)))), before
         assert held(b64(gzip.compress(f"{fill} {b64(raw[-6000:] + SECRET.encode())}".encode())))
     assert not held(b64(gzip.compress(b"lorem ipsum, " * 9999)))
+
+
+def assigned(text: str) -> list[str]:
+    return [text[a:b] for a, kind, b in S.spans(text)[1] if kind == 0]
+
+
+def test_urlsafe_layers_are_not_cut():
+    rng = random.Random(5)
+    for i in range(300):
+        raw = f"{rng.randbytes(rng.randrange(40)).hex()} {SECRET} {rng.random()}".encode()
+        layer = base64.urlsafe_b64encode(zlib.compress(raw)).decode()
+        assert layer in assigned(f"a {layer} b"), i
+
+
+def test_base64_in_paths():
+    for raw in (SECRET.encode(), f"é {SECRET} é".encode(), gzip.compress(SECRET.encode())):
+        layer = b64(raw)
+        bare = layer.rstrip("=")
+        for before in ("com/cfg/", "v/", "ab/", "abc/", "a-b_c/", "x-", "xy_"):
+            assert any(layer in x for x in assigned(f"https://x.{before}{layer} b")), before
+            assert any(bare in x for x in assigned(f"https://x.{before}{bare}/more/path-to_it b")), before
+    path = f"https://x.com/~fg/{b64(SECRET.encode())}"
+    assert assigned(path) == [b64(SECRET.encode())]
+
+
+def test_wrapped_base64():
+    rng = random.Random(6)
+    long = rng.randbytes(70).hex() + f" {SECRET} " + rng.randbytes(70).hex()
+    across = "x" * 40 + SECRET + "y" * 40
+    for raw in (gzip.compress(long.encode()), zlib.compress(long.encode()), across.encode()):
+        for width in (60, 64, 76):
+            for end in ("\n", "\r\n", "\n  "):
+                layer = end.join(b64(raw)[i : i + width] for i in range(0, len(b64(raw)), width))
+                for text in (f"{layer}", f"key: {layer}\nand more text", f"a list:\n{layer}\n\nend", f'"{layer}"', f"-----BEGIN CERTIFICATE-----\n{layer}\n-----END CERTIFICATE-----\n"):
+                    assert any(layer in x for x in assigned(text)), text
+    short = b64(across.encode())
+    assert any(short[9:] in x for x in assigned(f"key: {short[:9]}\n{short[9:]}\n"))
+
+
+def test_random_runs_hold_nothing():
+    rng = random.Random(7)
+    for text in (b64(rng.randbytes(300_000)), base64.urlsafe_b64encode(rng.randbytes(300_000)).decode(), base64.encodebytes(rng.randbytes(300_000)).decode()):
+        base, found = S.spans(text)
+        assert found == base
