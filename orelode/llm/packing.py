@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from orelode.llm.runtime import Sink, column, task, values, written
 from orelode.llm.tokens import encoder, unpack
 
-WINDOW, SHARD, TERMS = 2048, 2_000, 16
+WINDOW, SHARD = 2048, 2_000
 K1, B = 1.2, 0.75
 TOKENS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rarest", pa.int32()), ("next_rarest", pa.int32()), ("first_window", pa.int64()), ("full", pa.binary()), ("rest", pa.binary()), ("frequencies", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -81,7 +81,7 @@ def full_windows(batches, window: int, kind: str):
 class Index:
     """BM25 postings of one shard."""
 
-    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float, terms: int):
+    def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float, terms: int | None = None):
         length = np.array([len(r) for r in rests])
         keys = np.sort(np.repeat(np.arange(len(rests)) << 32, length) | np.concatenate(rests).astype(np.int64))
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -93,8 +93,10 @@ class Index:
         self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
     def query(self, doc: int) -> np.ndarray:
-        """The terms of most weight of a document."""
+        """The terms of a document; with a number of terms those of most weight."""
         a, b = self.own_first[doc], self.own_first[doc + 1]
+        if self.terms is None:
+            return self.own_term[a:b]
         own = self.own_weight[a:b]
         best = np.argpartition(-own, self.terms - 1)[: self.terms] if b - a > self.terms else np.arange(b - a)
         return self.own_term[a:b][best]
@@ -155,7 +157,7 @@ def fill(sizes: list[int], index: Index, window: int, offset: int = 0):
         number, offset = number + 1, 0
 
 
-def pack_shards(batches, idf, window: int, kind: str, terms: int, shard: int):
+def pack_shards(batches, idf, window: int, kind: str, terms: int | None, shard: int):
     """A partition's rows come sorted; each ``shard`` of them in turn is a shard, which goes on in the last one's window."""
     sink, base, taken, held = Sink(PIECES), TaskContext.get().partitionId() << 32, 0, []
 
@@ -180,12 +182,12 @@ def pack_shards(batches, idf, window: int, kind: str, terms: int, shard: int):
     yield from sink.flush()
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW, end: int | None = None, key: str = "doc_id", text: str = "text", shard: int = SHARD, terms: int = TERMS) -> DataFrame:
+def packed(docs: DataFrame, path: str, window: int = WINDOW, end: int | None = None, key: str = "doc_id", text: str = "text", shard: int = SHARD, terms: int | None = None) -> DataFrame:
     """A row for each piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     Pieces of a sequence lie side by side from offset 0; ``ids`` are packed (32-bit); ``end`` is added to each document.
     A null text counts as empty: a document without ids has no piece. Repeated rows are documents each; null keys stay;
-    other columns go; an empty table gives an empty one. A seed asks for its ``terms`` terms of most weight.
+    other columns go; an empty table gives an empty one. A seed asks for all its terms, or for the ``terms`` of most weight.
     """
     spark = docs.sparkSession
     size = Tokenizer.from_file(path).get_vocab_size()

@@ -65,3 +65,12 @@ def test_neighbours_share_terms():
     for d, _, _, number, _ in packing.fill([50] * 60, index, 200):
         windows[number].add(d % 5)
     assert np.mean([len(w) for w in windows.values()]) < 1.7
+
+
+def test_seed_asks_for_all_its_terms():
+    idf = np.arange(1.0, 101.0)
+    rests = [np.arange(40, 80), np.arange(100)[90:], np.arange(36, 44), np.arange(60, 80)]
+    index = packing.Index([r.astype("<u2") for r in rests], idf, 40.0)
+    assert list(packing.neighbours(index, 0, np.array([True, False, False, False]))) == [3, 2]
+    shared = [sum(index.weight[i] for i in range(index.first[t], index.first[t + 1]) for _ in [0] if index.doc[i] == 2) for t in rests[0]]
+    assert np.isclose(index.scores(0)[2], sum(shared))
