@@ -25,6 +25,8 @@ from orelode.llm.tokens import encoder, unpack
 
 WINDOW, SHARD = 2048, 2_000
 K1, B = 1.2, 0.75
+#: A term that more than one in so many documents of a shard has is common there.
+COMMON = 8
 TOKENS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("rarest", pa.int32()), ("next_rarest", pa.int32()), ("first_window", pa.int64()), ("full", pa.binary()), ("rest", pa.binary()), ("frequencies", pa.binary())])
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECE_COLUMNS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -83,14 +85,31 @@ class Index:
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, average: float, terms: int | None = None):
         length = np.array([len(r) for r in rests])
-        keys = np.sort(np.repeat(np.arange(len(rests)) << 32, length) | np.concatenate(rests).astype(np.int64))
+        small = len(rests) < 1 << 15 and len(idf) <= 1 << 16
+        wide, bits = (np.int32, 16) if small else (np.int64, 32)
+        keys = np.sort(np.repeat(np.arange(len(rests), dtype=wide) << bits, length) | np.concatenate(rests).astype(wide))
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        doc, term, tf = keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.concatenate([first, [len(keys)]])).astype(np.float64)
+        doc, term, tf = keys[first] >> bits, keys[first] & (1 << bits) - 1, np.diff(np.concatenate([first, [len(keys)]])).astype(np.float64)
         self.own_weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / average))
-        self.n, self.terms, self.own_term, self.own_first = len(rests), terms, term, np.searchsorted(doc, np.arange(len(rests) + 1)).tolist()
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], self.own_weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.terms, self.own_term, self.own_first = terms, term, np.searchsorted(doc, np.arange(len(rests) + 1)).tolist()
+        order = np.argsort(term.astype(np.uint16) if small else term, kind="stable")
+        self.doc, self.weight, own = doc[order], self.own_weight[order], term[order]
+        self.first = np.searchsorted(own, np.arange(len(idf) + 1))
+        common = np.flatnonzero(np.diff(self.first) * COMMON > len(rests))
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), len(rests)), np.float32)  # weights of the common terms in each document
+        whole = self.row[own] >= 0
+        self.table[self.row[own[whole]], self.doc[whole]] = self.weight[whole]
+        self.live = np.arange(len(rests))  # the documents that columns and postings are of
+
+    def drop(self, used: np.ndarray) -> None:
+        """Leaves used documents out of the index."""
+        keep = ~used[self.live]
+        place = np.cumsum(keep) - 1
+        left = keep[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(left)])[self.first]
+        self.doc, self.weight, self.table, self.live = place[self.doc[left]], self.weight[left], self.table[:, keep], self.live[keep]
 
     def query(self, doc: int) -> np.ndarray:
         """The terms of a document; with a number of terms those of most weight."""
@@ -102,15 +121,25 @@ class Index:
         return self.own_term[a:b][best]
 
     def scores(self, doc: int) -> np.ndarray:
+        """BM25 of the live documents for a document's terms: common terms by rows of the table, others by their postings."""
         asked = self.query(doc)
-        parts = [slice(a, b) for a, b in zip(self.first[asked].tolist(), self.first[asked + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
+        row = self.row[asked]
+        rare = asked[row < 0]
+        first = self.first[rare]
+        many = self.first[rare + 1] - first
+        total = np.cumsum(many)
+        at = np.arange(total[-1] if len(rare) else 0) + np.repeat(first - total + many, many)
+        return np.bincount(self.doc[at], self.weight[at], len(self.live)) + self.table[row[row >= 0]].sum(axis=0, dtype=np.float32)
 
 
 def neighbours(index: Index, seed: int, used: np.ndarray):
     """Unused documents by score, best first (ties in order); only those with a term in common."""
-    scores = index.scores(seed)
-    scores[used] = 0
+    gone = used[index.live]
+    if 2 * np.count_nonzero(gone) > len(gone):
+        index.drop(used)
+        gone = np.zeros(len(index.live), bool)
+    live, scores = index.live, index.scores(seed)
+    scores[gone] = 0
     found, top = np.flatnonzero(scores), 8
     while len(found):
         if len(found) > 4 * top:
@@ -119,7 +148,7 @@ def neighbours(index: Index, seed: int, used: np.ndarray):
         else:
             best = found
         best = best[np.argsort(-scores[best], kind="stable")]
-        yield from best.tolist()
+        yield from live[best].tolist()
         scores[best] = 0
         found, top = found[scores[found] > 0], top * 4
 
