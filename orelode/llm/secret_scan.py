@@ -1,11 +1,12 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned for secrets and for encoded runs: percent escapes, backslash escapes,
-base64, and, where base64 gives bytes of a compressed stream, what these hold, however often they are compressed. Every
-run that decodes is a new layer on the worklist, which remembers in which characters of the first layer it lies; layers
-that were met before (by their content and origin) end a cycle. Bytes that are no text become replacement characters,
-which are in no secret. A secret in a layer counts where the layer lies: escapes map character by character, base64 and
-compressed layers as a whole. The list ends when no layer is new.
+numeric character references, base64, and, where base64 or escapes give bytes of a compressed stream, what these hold,
+however often they are compressed. Bytes that hold UTF-16 are read as such too. Every run that decodes is a new layer on
+the worklist, which remembers in which characters of the first layer it lies; layers that were met before (by their
+content and origin) end a cycle. Bytes that are no text become replacement characters, which are in no secret. A secret
+in a layer counts where the layer lies: escapes map character by character, base64 and compressed layers as a whole. The
+list ends when no layer is new.
 """
 
 from __future__ import annotations
@@ -36,6 +37,15 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+")
+REFERENCES = re.compile(r"(?:&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});)+")
+REFERENCE = re.compile(r"&#(?:([0-9]+)|[xX]([0-9A-Fa-f]+));")
+#: Runs that escapes make bytes of, from an escape on (printable characters before it belong to them too), and what each
+#: of their units stands for.
+OCTETS = {"%": re.compile(r"%[0-9A-Fa-f]{2}[!-~]*"), "\\x": re.compile(r"\\x[0-9A-Fa-f]{2}(?:[!-~]|(?<=[!-~])\x20(?=[!-~]))*")}
+UNITS = {"%": re.compile(r"%([0-9A-Fa-f]{2})|(.)"), "\\x": re.compile(r"\\x([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"])|(.)")}
+NAMED = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0, "\\": 92, "'": 39, '"': 34}
+#: How compressed streams with a mark begin: gzip, and zlib with the usual window.
+MARKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 RUN, PAD, BREAKS = re.compile(r"[A-Za-z0-9+/_-]{16,}"), re.compile("={0,2}"), re.compile("[/_-]")
 #: A base64 block's next line, with nothing else in it but closing marks, and a short line before.
@@ -85,9 +95,9 @@ class Layer:
         return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
 
-def parts(source: Source) -> Iterator[tuple[str, bool]]:
+def parts(source: Source, kind: str = "utf-8") -> Iterator[tuple[str, bool]]:
     """The bytes as text, and whether it is only a part; parts end where no match of a pattern can go on."""
-    decoder, held, size, cut = codecs.getincrementaldecoder("utf-8")("replace"), [], 0, False
+    decoder, held, size, cut = codecs.getincrementaldecoder(kind)("replace"), [], 0, False
     for piece in source():
         held.append(decoder.decode(piece))
         size += len(held[-1])
@@ -163,6 +173,8 @@ def opened(source: Source) -> Iterator[tuple[str, bool]]:
     seen = set()
     while True:
         yield from parts(source)
+        if kind := two_bytes(bytes(next(source(), b"")[:64])):
+            yield from parts(source, kind)
         found = inflated(source)
         if not found or found[1] in seen or found[3] and found[2] < sum(map(len, source())):
             return
@@ -186,17 +198,46 @@ def percent_runs(text: str) -> list:
     out = []
     for m in PERCENT.finditer(text):
         raw, chars, at = bytes.fromhex(m[0].replace("%", "")), [], m.start()
-        try:
-            for c in raw.decode():
-                n = 3 * len(c.encode())
-                chars.append((c, at, at + n))
-                at += n
-        except UnicodeDecodeError:
-            continue
+        for c in raw.decode("utf-8", "surrogateescape"):
+            n = 3 if "\udc80" <= c <= "\udcff" else 3 * len(c.encode())
+            chars.append(("\ufffd" if "\udc80" <= c <= "\udcff" else c, at, at + n))
+            at += n
         out.append((m.start(), m.end(), chars))
     return out
 
 
+def reference_runs(text: str) -> list:
+    out = []
+    for m in REFERENCES.finditer(text):
+        codes = [(int(e[1] or e[2], 10 if e[1] else 16), m.start() + e.start(), m.start() + e.end()) for e in REFERENCE.finditer(m[0])]
+        out.append((m.start(), m.end(), [(chr(c) if 0 < c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd", x, y) for c, x, y in codes]))
+    return out
+
+
+def octet_layers(layer: Layer, sign: str) -> Iterator[Layer]:
+    """What compressed streams hold whose bytes are escaped, wholly or where they aren't printable."""
+    text, at = layer.text, 0
+    while m := OCTETS[sign].search(text, at):
+        left = m.start()
+        while left > at and "!" <= text[left - 1] <= "~":
+            left -= 1
+        at, raw, starts = m.end(), bytearray(), []
+        for u in UNITS[sign].finditer(text, left, at):
+            starts.append(u.start())
+            raw.append(int(u[1], 16) if u[1] else ord(u[2]) if sign == "%" else NAMED[u[2]] if u[2] else ord(u[3]))
+        starts.append(m.end())
+        view, done = memoryview(bytes(raw)), 0
+        first = bisect.bisect_left(starts, m.start())
+        for i in sorted({first, 0, *(x.start() for x in MARKED.finditer(view))}):
+            if i < done or not (found := inflated(chunks(view[i:]))):
+                continue
+            if found[3] and (found[2] < len(view) - i or not readable(found[0])):
+                continue  # raw deflate has no mark: it must fill the run and hold text
+            done = i + found[2]
+            for new, part in opened(found[0]):
+                yield Layer(new, at=layer.place(starts[i], starts[done]), part=part)
+
+
 def escape_runs(text: str) -> list:
     out = []
     for m in ESCAPES.finditer(text):
@@ -262,6 +303,14 @@ class Run(Layer):
         return self.whole(begin, end)
 
 
+def two_bytes(head: bytes) -> str | None:
+    """The kind of UTF-16 that bytes begin with, if every other one of many is zero, as in text that is mostly Latin."""
+    for zero, kind in ((head[1::2], "utf-16-le"), (head[::2], "utf-16-be")):
+        if 2 * zero.count(0) > len(zero) > 3:
+            return kind
+    return None
+
+
 def readable(source: Source) -> bool:
     """Whether bytes begin with what is mostly text."""
     text = next(source())[:4096].decode("utf-8", "replace")
@@ -293,6 +342,11 @@ def packed(layer: Layer, lines: list[tuple[int, int]], end: int) -> Iterator[Lay
         raw = base64.b64decode(token + "=" * (-len(token) % 4))
         if raw:
             yield Run(raw, own, stops, whole)
+            for s in own:
+                i = (s - own[0]) // 4 * 3
+                if kind := two_bytes(raw[i : i + 64]):
+                    yield Layer(raw[i:].decode(kind, "replace"), at=whole(s, stops[-1]))
+                    break
         view = memoryview(raw)
         for s in own:
             if s not in places and s in breaks:
@@ -313,7 +367,7 @@ def chunks(view: memoryview) -> Source:
 def inner(layer: Layer) -> Iterator[Layer]:
     """The layers that lie directly in this one."""
     text = layer.text
-    for has, runs in (("%", percent_runs), ("\\", escape_runs)):
+    for has, runs in (("%", percent_runs), ("\\", escape_runs), ("&#", reference_runs)):
         if has in text and (found := runs(text)):
             new, starts, ends = unescaped(text, found)
             if layer.at:
@@ -322,6 +376,9 @@ def inner(layer: Layer) -> Iterator[Layer]:
                 yield Layer(new, layer.starts[starts], layer.ends[ends - 1])
             else:
                 yield Layer(new, starts, ends)
+    for sign in OCTETS:
+        if sign in text:
+            yield from octet_layers(layer, sign)
     for lines, end in base64_runs(text):
         yield from packed(layer, lines, end)
 

@@ -4,6 +4,7 @@ import base64
 import gzip
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -150,3 +151,51 @@ def test_random_runs_hold_nothing():
     for text in (b64(rng.randbytes(300_000)), base64.urlsafe_b64encode(rng.randbytes(300_000)).decode(), base64.encodebytes(rng.randbytes(300_000)).decode()):
         base, found = S.spans(text)
         assert found == base
+
+
+def octets(raw: bytes, rng: random.Random, sign: str) -> str:
+    """Bytes as escapes; printable ones sometimes as they are."""
+    return "".join(chr(c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 and rng.random() < 0.5 else f"{sign}{c:02x}" for c in raw)
+
+
+WRAPS = {
+    "base64": lambda raw, rng: b64(raw), "urlsafe": lambda raw, rng: base64.urlsafe_b64encode(raw).decode(), "percent": lambda raw, rng: octets(raw, rng, "%"), "slash": lambda raw, rng: octets(raw, rng, "\\x"),
+    "all": lambda raw, rng: "".join(f"%{c:02X}" for c in raw), "references": lambda raw, rng: "".join(f"&#{c};" if rng.random() < 0.5 else f"&#x{c:x};" for c in raw), "u": lambda raw, rng: "".join(f"\\u{c:04x}" for c in raw),
+}
+SQUEEZES = {"gzip": gzip.compress, "zlib": zlib.compress, "twice": lambda raw: gzip.compress(zlib.compress(raw)), "utf16": lambda raw: raw.decode("latin-1").encode("utf-16-le")}
+
+
+def test_random_nestings():
+    """Layer upon layer, each undone by its own plain decoder while it is made: the secret is found within the run."""
+    rng = random.Random(11)
+    for i in range(400):
+        text, steps = f"{rng.randbytes(rng.randrange(9)).hex()} {SECRET} {rng.random()}", []
+        for _ in range(rng.randrange(1, 4)):
+            raw = text.encode()
+            squeeze = rng.choice((None, *SQUEEZES))
+            wrap = rng.choice(("base64", "urlsafe", "percent", "slash", "all") if squeeze in ("gzip", "zlib", "twice") else ("base64", "urlsafe") if squeeze else tuple(WRAPS))
+            text = WRAPS[wrap](SQUEEZES[squeeze](raw) if squeeze else raw, rng)
+            steps.append((squeeze, wrap))
+            if len(text) > 20_000:
+                break
+        found = [(a, b) for a, kind, b in S.spans(f"a {text} b")[1] if kind == 0]
+        assert any(2 <= a < b <= 2 + len(text) for a, b in found), (i, steps, text[:200])
+
+
+def test_octets_hold_streams():
+    rng = random.Random(12)
+    for data in (gzip.compress(SECRET.encode()), zlib.compress(f"say {SECRET}".encode())):
+        for sign in ("%", "\\x"):
+            layer = octets(data, rng, sign)
+            assert any(layer in x for x in assigned(f"see {layer} now")), layer
+    assert assigned("x%ff%70assword%3Dhunter2hunter2%fe y") == ["%70assword%3Dhunter2hunter2"]
+
+
+def test_bomb_and_long_runs():
+    """A layer of zeros that inflates 1,000 times, and long runs of each alphabet, in bounded time."""
+    began = time.perf_counter()
+    bomb = b64(gzip.compress(b"\0" * (80 << 20) + SECRET.encode()))
+    assert held(bomb)
+    for text in ("a" * 300_000, "%41" * 100_000, "a%" * 150_000, "\\x41" * 75_000, "&#65;" * 60_000, "x%41 " * 60_000):
+        S.spans(text)
+    assert time.perf_counter() - began < 60
