@@ -14,6 +14,7 @@ size. Tasks write under a name of their own and rename at the end, so a repeated
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -62,9 +63,32 @@ def unframe(f) -> bytes | None:
     return payload
 
 
+#: What Spark calls a store, where Arrow has another name for it.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme and host that Spark resolves it to, so that executors go where the driver does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return path.getFileSystem(conf).makeQualified(path).toString()
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    local = uri.removeprefix("file://") if uri.startswith("file:///") else uri.removeprefix("file:")
-    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(uri)
+    """A qualified folder's store and the path there; any store that Arrow has (local or mounted, s3, gs, abfss, hdfs)."""
+    scheme, _, rest = uri.partition(":")
+    if not rest or "/" in scheme:
+        raise ValueError(f"{uri} isn't qualified: executors can't know which store it is in")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def is_wide(path: str, end: int | None = None) -> bool:
+    """Whether ids of this vocabulary (and the end id) need 32 bits."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    return max([end or 0, *made["model"]["vocab"].values(), *(t["id"] for t in made["added_tokens"])]) > 0xFFFF
 
 
 def name(part: int, kind: str) -> str:
@@ -74,6 +98,7 @@ def name(part: int, kind: str) -> str:
 def write_part(batches, path: str, folder: str, end: int | None, wide: bool):
     """Encodes a partition's texts and writes its two files."""
     part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
+    most = 0xFFFFFFFF if wide else 0xFFFF
     store, top = opened(folder)
     enc, offsets, at, n_ids = None, [], 0, 0
     kind, tail = ("<u4" if wide else "<u2"), b"" if end is None else end.to_bytes(4, "little")
@@ -87,6 +112,8 @@ def write_part(batches, path: str, folder: str, end: int | None, wide: bool):
         while row is not None:
             doc, text = row
             ids = unpack(enc.encode(text or "") + tail)
+            if len(ids) and int(ids.max()) > most:
+                raise ValueError(f"id {int(ids.max())} doesn't fit the records' width")
             made = frame(KEY.pack(doc is not None, doc or 0) + ids.astype(kind).tobytes())
             f.write(made)
             offsets.append(at)
@@ -122,7 +149,7 @@ def read_parts(batches, folder: str, wide: bool):
 
 
 def read_record(folder: str, part: int, k: int, wide: bool = False) -> tuple[int | None, np.ndarray]:
-    """The k-th record of a part by its index: two seeks, for reads in any order."""
+    """The k-th record of a part of a qualified folder by its index: two seeks, for reads in any order."""
     store, top = opened(folder)
     with store.open_input_file(f"{top}/{name(part, 'idx')}") as f:
         f.seek(8 * k)
@@ -133,12 +160,14 @@ def read_record(folder: str, part: int, k: int, wide: bool = False) -> tuple[int
     return payload_ids(unframe(pa.BufferReader(raw)), wide)
 
 
-def write_records(docs: DataFrame, path: str, folder: str, end: int | None = None, key: str = "doc_id", text: str = "text", wide: bool = False) -> list[tuple[int, int, int]]:
+def write_records(docs: DataFrame, path: str, folder: str, end: int | None = None, key: str = "doc_id", text: str = "text", wide: bool | None = None) -> list[tuple[int, int, int]]:
     """Writes the ids of all texts in ascending order of the key (nulls first, ties by text) as parts in ``folder``.
 
     Returns (part, records, ids) for each part: a few numbers for each partition. A null text counts as empty; repeated
-    rows are records each; other columns go; an empty table gives no part. ``wide`` is for ids over 65,535.
+    rows are records each; other columns go; an empty table gives no part. ``wide`` records hold ids of 32 bits; unless
+    it is given, the vocabulary and the end id decide. An id that doesn't fit is an error.
     """
+    wide, folder = is_wide(path, end) if wide is None else wide, qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
@@ -152,13 +181,14 @@ def read_records(spark: SparkSession, folder: str, parts: list[tuple[int, int, i
     for part, _, n_ids in parts:
         rows.append((part, base))
         base += n_ids
+    folder = qualified(spark, folder)
     listed = spark.createDataFrame(rows, "part int, base long").repartitionByRange(max(1, len(rows)), "part")
     return listed.mapInArrow(task(__name__, "read_parts", folder=folder, wide=wide), "doc_id long, start long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, end: int | None = None) -> DataFrame:
     """Writes the records to a new shared folder and reads them back."""
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    parts = write_records(docs, path, folder, end)
+    spark, folder, wide = docs.sparkSession, scratch(docs.sparkSession), is_wide(path, end)
+    parts = write_records(docs, path, folder, end, wide=wide)
     passing(spark, folder)
-    return read_records(spark, folder, parts)
+    return read_records(spark, folder, parts, wide)

@@ -128,7 +128,7 @@ def test_index_and_damage(spark, tmp_path):
     parts = records.write_records(docs(spark, rows()), BYTE, str(tmp_path / "r"), end=0)
     part, n, _ = parts[0]
     whole = records.read_records(spark, str(tmp_path / "r"), parts).collect()
-    doc, ids = records.read_record(str(tmp_path / "r"), part, n - 1)
+    doc, ids = records.read_record(records.qualified(spark, str(tmp_path / "r")), part, n - 1)
     assert (doc, ids.tolist()) in [(r.doc_id, unpack(r.ids).tolist()) for r in whole]
     f = tmp_path / "r" / records.name(part, "rec")
     raw = bytearray(f.read_bytes())
@@ -148,3 +148,17 @@ def test_words_by_rank(path):
         from orelode.llm.tokens import byte_level
 
         assert unpack(enc.piece(word)).tolist() == [t.id for t in enc.bare.model.tokenize(byte_level(word))], word
+
+
+def test_record_width_and_stores(spark, tmp_path):
+    """Ids over 65,535 take 32 bits or are refused, never wrapped; folders go where Spark resolves them."""
+    assert not records.is_wide(BYTE, 0) and records.is_wide(BYTE, 70_000)
+    some = docs(spark, [("x", 1, "a b c", 1)])
+    out = records.round_trip(some, BYTE, end=70_000).collect()
+    assert unpack(out[0].ids).tolist()[-1] == 70_000
+    with pytest.raises(Exception, match="fit the records"):
+        records.write_records(some, BYTE, str(tmp_path / "n"), end=70_000, wide=False)
+    assert records.qualified(spark, "/a/b") == "file:/a/b"
+    assert records.opened("file:/a/b")[1] == records.opened("file:///a/b")[1] == "/a/b"
+    with pytest.raises(ValueError, match="qualified"):
+        records.opened("/a/b")
