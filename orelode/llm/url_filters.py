@@ -34,8 +34,14 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-HREF = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*['"]?([^"'\s>]+)"""
+#: Links are read off tags, outside comments and scripts. The patterns mean the same to Java's engine and to RE2.
+HIDDEN = r"(?is)<!--.*?-->|<script[ \t\n\f\r>].*?</script"
+TAGS = r"(?is)<(?:link|meta|base)[ \t\n\f\r/][^>]*>"
+CANONICAL = r"""(?is)^<link.*[ \t\n\f\r"'/]rel[ \t\n\f\r]*=[ \t\n\f\r]*(?:"(?:[^"]*[ \t\n\f\r])?canonical(?:[ \t\n\f\r][^"]*)?"|'(?:[^']*[ \t\n\f\r])?canonical(?:[ \t\n\f\r][^']*)?'|canonical[ \t\n\f\r/>])"""
+REFRESHES = r"""(?is)^<meta.*[ \t\n\f\r"'/]http-equiv[ \t\n\f\r]*=[ \t\n\f\r]*["']?refresh["' \t\n\f\r/>]"""
+HREF, CONTENT = (rf"""(?is)[ \t\n\f\r"'/]{name}[ \t\n\f\r]*=[ \t\n\f\r]*(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r"'>]+))""" for name in ("href", "content"))
+URL_OF = r"""(?is)(?:^|[;, \t\n\f\r])url[ \t\n\f\r]*=[ \t\n\f\r]*["']?([^"' \t\n\f\r]+)"""
+EDGES = r"^[ \t\n\f\r]+|[ \t\n\f\r]+$"
 
 
 def lowered(text: Column) -> Column:
@@ -79,15 +85,26 @@ def resolved(page: Column, link: Column) -> Column:
     return F.when(absolute, F.when(link.contains("://"), link)).when(page.contains("://"), F.when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(root, below, rest)))
 
 
-def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a, b``: a page's URL and where its canonical links and refreshes point, relative ones resolved against it."""
-    text, own = F.col(html), F.col(url)
+def attribute(tag: Column, pattern: str) -> Column:
+    """The value of a tag's attribute, quoted or not, with ``&amp;`` read and blanks around it cut; empty if there is none."""
+    value = F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+    return F.regexp_replace(F.replace(value, F.lit("&amp;"), F.lit("&")), EDGES, "")
 
-    def found(word: str, pattern: str) -> Column:
-        return F.when(F.lower(text).contains(word), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
-    links = pages.select(own.alias("a"), F.explode(F.concat(found("canonical", HREF), found("http-equiv", REFRESH))).alias("b")).filter("a IS NOT NULL AND b <> ''")
-    return links.select("a", resolved(F.col("a"), F.replace(F.col("b"), F.lit("&amp;"), F.lit("&"))).alias("b")).filter("b IS NOT NULL AND a <> b")
+def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``a, b``: a page's URL and where its canonical links and refreshes point, relative ones resolved against it.
+
+    A page's first ``base`` with a target takes its URL's place there.
+    """
+    low = F.lower(html)
+    some = pages.filter(F.col(url).isNotNull() & (low.contains("canonical") | low.contains("refresh")))
+    tags = F.regexp_extract_all(F.regexp_replace(F.col(html), HIDDEN, ""), F.lit(TAGS), F.lit(0))
+    rows = some.select(F.col(url).alias("a"), tags.alias("tags"))
+    targets = F.transform("tags", lambda t: F.when(t.rlike(CANONICAL), attribute(t, HREF)).when(t.rlike(REFRESHES), F.regexp_extract(attribute(t, CONTENT), URL_OF, 1)).otherwise(""))
+    bases = F.filter(F.transform("tags", lambda t: F.when(t.rlike("(?i)^<base"), attribute(t, HREF)).otherwise("")), lambda b: b != "")
+    rows = rows.select("a", F.get(bases, F.lit(0)).alias("base"), F.explode(F.filter(targets, lambda t: t != "")).alias("b"))
+    rows = rows.withColumn("page", F.coalesce(F.when(F.col("base").isNotNull(), resolved(F.col("a"), F.col("base"))), F.col("a")))
+    return rows.select("a", resolved(F.col("page"), F.col("b")).alias("b")).filter("b IS NOT NULL AND a <> b")
 
 
 def judged(pages: DataFrame, edges: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -110,25 +127,58 @@ def judged(pages: DataFrame, edges: DataFrame | None = None, key: str = "page_id
     return rows.join(spread, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("spread"), "block"), F.lit("allow")).alias("verdict"))
 
 
-SQL = r"""
+def resolving_sql(name: str, rows: str) -> str:
+    """Common table expressions that end with ``name`` (r, a, b): the links of ``rows`` (r, a, page, link) resolved."""
+    return rf"""
+{name}_parts AS (
+    SELECT r, a, page, link, regexp_extract(page, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(page, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS query,
+        regexp_extract(page, '(?s)^.*?://[^/?#]*', 0) AS root, regexp_extract(page, '(?s)^(.*?:)//', 1) AS scheme,
+        regexp_extract(link, '(?s)^[^?#]*', 0) AS own, regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS rest FROM {rows}
+), {name}_walks AS (
+    SELECT *, CASE WHEN starts_with(own, '/') THEN own WHEN own <> '' THEN (CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^.*/', 0) END) || own END AS walk FROM {name}_parts
+), {name}_kept AS (
+    SELECT *, string_split(walk, '/')[2:] AS steps, list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(walk, '/')[2:], lambda p: [p])),
+        lambda acc, x: CASE WHEN x[1] = '..' THEN list_slice(acc, 1, greatest(len(acc) - 1, 0)) WHEN x[1] = '.' THEN acc ELSE acc || x END) AS kept FROM {name}_walks
+), {name} AS (
+    SELECT r, a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN CASE WHEN contains(link, '://') THEN link END
+        WHEN contains(page, '://') THEN CASE WHEN starts_with(link, '//') THEN scheme || link
+            ELSE root || CASE WHEN own = '' THEN path || CASE WHEN starts_with(rest, '?') THEN '' ELSE query END
+                WHEN contains(walk, '/.') THEN '/' || array_to_string(kept, '/') || CASE WHEN steps[-1] IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END
+                ELSE walk END || rest END END AS b
+    FROM {name}_kept
+)"""
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def attribute_sql(pattern: str) -> str:
+    value = " || ".join(f"regexp_extract(tag, {quoted(pattern)}, {k})" for k in (1, 2, 3))
+    return f"regexp_replace(replace({value}, '&amp;', '&'), {quoted(EDGES)}, '', 'g')"
+
+
+SQL = rf"""
 WITH RECURSIVE pages_ AS (
-    SELECT page_id, url, coalesce(html, '') AS html,
+    SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
     FROM pages
 ), rules(verdict, host, path) AS (
     VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), listed AS (
+    SELECT r, url AS a, regexp_extract_all(regexp_replace(html, {quoted(HIDDEN)}, '', 'g'), {quoted(TAGS)}) AS tags FROM pages_ WHERE url IS NOT NULL
 ), tags AS (
-    SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages_ WHERE url IS NOT NULL
-), links AS (
-    SELECT a, CASE WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-        WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*[''"]?([^"''\s>]+)', 1) END AS b
-    FROM tags
-), edges AS (
-    SELECT a, replace(CASE WHEN starts_with(b, '//') THEN regexp_extract(a, '^(.*?:)//', 1) || b WHEN starts_with(b, '/') THEN regexp_extract(a, '^.*?://[^/?#]*', 0) || b ELSE b END, '&amp;', '&') AS b
-    FROM links WHERE b <> ''
-), both_ways AS (
-    SELECT a, b FROM edges WHERE contains(b, '://') UNION SELECT b, a FROM edges WHERE contains(b, '://')
+    SELECT r, a, unnest(tags) AS tag, unnest(range(len(tags))) AS nth FROM listed
+), base_tags AS (
+    SELECT r, a, a AS page, arg_min(target, nth) AS link FROM (SELECT r, a, nth, {attribute_sql(HREF)} AS target FROM tags WHERE regexp_matches(tag, '(?i)^<base')) WHERE target <> '' GROUP BY r, a
+), {resolving_sql("bases", "base_tags")}, found AS (
+    SELECT r, a, CASE WHEN regexp_matches(tag, {quoted(CANONICAL)}) THEN {attribute_sql(HREF)}
+        WHEN regexp_matches(tag, {quoted(REFRESHES)}) THEN regexp_extract({attribute_sql(CONTENT)}, {quoted(URL_OF)}, 1) END AS link FROM tags
+), targets AS (
+    SELECT found.r, found.a, coalesce(bases.b, found.a) AS page, link FROM found LEFT JOIN bases USING (r) WHERE link <> ''
+), {resolving_sql("edges", "targets")}, both_ways AS (
+    SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL
 ), reach(a, b) AS (
     SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
 ), nodes AS (

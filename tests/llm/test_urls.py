@@ -29,13 +29,16 @@ ROWS = [
 ]
 
 
+def by_sql(rows):
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
+    return [tuple(r) for r in con.execute(url_filters.SQL).fetchall()]
+
+
 def test_verdicts(spark):
     pages = spark.createDataFrame([(*r, "x") for r in ROWS], "page_id long, url string, html string, rule string")
     got = [tuple(r) for r in url_filters.judged(pages).collect()]
-    con = duckdb.connect()
-    con.register("pages", pd.DataFrame(ROWS, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
-    want = [tuple(r) for r in con.execute(url_filters.SQL).fetchall()]
-    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert sorted(map(str, got)) == sorted(map(str, by_sql(ROWS)))
     verdict = {r[0]: r[4] for r in got}
     assert [verdict[k] for k in (1, 2, 3, 4, 5, 6)] == ["allow", "block", "block", "block", "allow", "allow"]
     assert [verdict[k] for k in (8, 9, 10, None)] == ["block"] * 4  # aliases of a blocked page
@@ -68,3 +71,31 @@ def test_relative_and_further_links(spark):
     ]
     verdict = {r.page_id: r.verdict for r in url_filters.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert verdict == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+    assert verdict == {r[0]: r[4] for r in by_sql(pages)}
+
+
+def test_odd_tags_in_query_and_sql(spark):
+    """What is a link, what isn't, and what it is resolved against: the query and the SQL agree on each."""
+    blocked, canonical = "http://b.example.net/es/", '<link rel="canonical" href="%s">'
+    pages = [
+        ('<link rel="canonical" data-href="http://b.example.net/es/" href="http://u.example.org/x">', "allow"),
+        ('<link rel=canonical data-href="http://b.example.net/es/">', "allow"),
+        (f'<link href="{blocked}" rel="nofollow canonical">', "block"),
+        (f"<link rel='canonical next' href='  {blocked}\n'>", "block"),
+        (f'<link rel="canonical-x" href="{blocked}">', "allow"),
+        (f"<!-- {canonical % blocked} -->", "allow"),
+        (f"<script>var x = '{canonical % blocked}'</script>", "allow"),
+        (f"<base href='http://b.example.net/'>{canonical % 'es/1'}", "block"),
+        (f"<base target=_top><base href='/es/'>{canonical % 'http://x.example.org/'}", "allow"),
+        (f"<BASE HREF=//b.example.net/fr/x><meta http-equiv=refresh content='3; URL=y'>", "block"),
+        (f"<meta http-equiv=refresh content='0;url={blocked}'>", "block"),
+        (f'<meta content="0; url=\'{blocked}\'" http-equiv="Refresh">', "block"),
+        (f'<meta name="refresh" content="0; url={blocked}">', "allow"),
+        (f'<link rel="canonical" href="{blocked}', "allow"),
+        (f"{canonical % 'http://k.example.org/1'}{canonical % '../../b/./c/..'}{canonical % blocked}", "block"),
+        ("<link rel=canonical href=>", "allow"),
+    ]
+    rows = [(i, f"http://p{i}.example.org/a/b?q", html) for i, (html, _) in enumerate(pages)]
+    got = {r.page_id: r.verdict for r in url_filters.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[4] for r in by_sql(rows)}
+    assert got == dict(enumerate(v for _, v in pages))
