@@ -34,7 +34,8 @@ def test_measures(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, `words` string")
     got = quality.measured(docs).collect()
     key = lambda x: str(sorted(x.items()))
-    assert sorted((r.asDict() for r in got), key=key) == sorted(({"doc_id": d} | plain(t) for d, t, _ in rows()), key=key)
+    asked = lambda t: {k: v for k, v in plain(t).items() if k in (*quality.ASKED, "base_failed", "kept")}
+    assert sorted((r.asDict() for r in got), key=key) == sorted(({"doc_id": d} | asked(t) for d, t, _ in rows()), key=key)
     kept = quality.kept(docs).collect()
     assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if plain(r.text)["kept"])
     assert quality.measured(docs.limit(0)).collect() == [] and quality.kept(docs.limit(0)).collect() == []
@@ -50,3 +51,17 @@ def test_cheap_rules_first(spark):
     docs = spark.createDataFrame([(i, "too few") for i in range(200)], "doc_id long, text string")
     assert [r.name for r in quality.cascade(docs)][-1] != "few words"
     assert sorted(quality.cascade(docs)) == sorted(quality.RULES)
+
+
+def test_windows_whose_hashes_agree(spark):
+    """Equal hashes alone make no repeat: the words decide."""
+    docs = spark.createDataFrame([(t or "",) for _, t, _ in rows()], "text string").selectExpr("text", f"{quality.words('text')} AS words")
+    docs = docs.selectExpr("text", "words", f"{quality.window_hashes('words')} AS hashes").selectExpr("text", "words", "transform(hashes, h -> h % 2) AS hashes")
+    for r in docs.selectExpr("text", f"{quality.repeated_words('hashes', 'words')} AS n").collect():
+        assert r.n == plain(r.text)["n_repeat_words"]
+
+
+def test_long_texts_are_not_sampled(spark):
+    docs = spark.createDataFrame([(1, "x " * 70_000), (2, None)], "doc_id long, text string")
+    assert sorted(quality.cascade(docs)) == sorted(quality.RULES)
+    assert sorted(quality.cascade(docs.filter("doc_id = 1"))) == sorted(quality.RULES)
