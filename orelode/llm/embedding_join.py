@@ -4,11 +4,16 @@ Cosine at least ``threshold`` is a distance of at most r = sqrt(2 - 2 threshold)
 one point with a weight. Pivots, drawn from the points, split them into cells by the nearest pivot; for a point x of
 cell p and a point y of cell q within r, d(x, q) <= d(x, p) + 2 r by the triangle inequality, so x is replicated to
 those higher cells q for which that holds, and each pair meets exactly once: in the higher cell. Large cells are cut
-into blocks, which count as cells of their own. Each block joins its points with its replicas in tiles, by itself.
+into blocks, which count as cells of their own. The last blocks may get a replica of nearly every point: a block is dealt
+out to as many pieces as its replicas ask for, each with the block's own points and a share of the replicas, and each
+joins these in tiles, by itself.
 
-Within a block, points form balls around leaders of radius ``BALL``. Where the triangle inequality settles a pair of a
-point and a ball, its points are counted at once, so that dense groups cost their number of balls, not of pairs. A
-block returns a count for each point and a forest of links, never all pairs.
+Within a block, points form balls around leaders of radius ``BALL`` at most, all of whose points link. Where the triangle
+inequality settles a pair of a point and a ball, its points are counted at once, so that dense groups cost their number
+of balls, not of pairs, and one link of a point to a ball stands for all. A piece returns a count for each point and a
+forest of links, never all pairs.
+
+Vectors of other lengths meet no others. Lengths of at most a block of points are joined all together, a length a block.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from orelode.llm.components import Forest, components, grouped_back
 from orelode.llm.runtime import column, record, task, written
 
-#: Points in a block, points of a tile, and pivots at most (their table is broadcast).
+#: Points in a block (a piece of it has twice as many replicas), points of a tile, and pivots at most (their table is broadcast).
 BLOCK, TILE, PIVOTS = 8_192, 1_024, 4_096
 #: Radius of balls, and the slack that keeps rounding from settling a pair.
 BALL, SLACK = 0.05, 1e-7
@@ -58,62 +63,72 @@ def nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndar
     return d, d.argmin(axis=1)
 
 
-def home_cells(batches, pivots):
-    """The number of points of each cell."""
+def near_cells(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's home cell, and whether it may have partners in each of the cells from there on."""
+    d, home = nearest(x, pivots)
+    near = d <= d[np.arange(len(x)), home][:, None] + 2 * reach + SLACK
+    return home, near & (np.arange(len(pivots)) >= home[:, None])
+
+
+def home_cells(batches, pivots, reach: float):
+    """The number of points of each cell, and of those of others that may have partners in it."""
     counts = None
     for batch in batches:
         if batch.num_rows:
-            _, home = nearest(rows_of(batch), pivots.value)
-            counts = np.bincount(home, minlength=len(pivots.value)) + (0 if counts is None else counts)
+            home, near = near_cells(rows_of(batch), pivots.value, reach)
+            own = np.bincount(home, minlength=len(pivots.value))
+            made = np.stack([own, near.sum(axis=0) - own])
+            counts = made if counts is None else counts + made
     if counts is not None:
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(counts)), "n": counts.astype(np.int64)})
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(counts.shape[1]), "n": counts[0].astype(np.int64), "guests": counts[1].astype(np.int64)})
+
+
+def layout(counts: np.ndarray, guests: np.ndarray, block: int, piece: int) -> tuple[np.ndarray, ...]:
+    """By cell the first block and their number; by block the first piece and their number."""
+    of = np.maximum(1, -(-counts // block))
+    first = np.cumsum(of) - of
+    cell = np.repeat(np.arange(len(of)), of)
+    nth = np.arange(len(cell)) - first[cell]  # a cell's earlier blocks are guests of its later ones
+    replicas = guests[cell] + nth * -(-counts[cell] // of[cell])
+    pieces = np.maximum(1, -(-replicas // piece))
+    return first, of, np.cumsum(pieces) - pieces, pieces
+
+
+def expanded(first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ranges: which range each is in, and its member."""
+    which = np.repeat(np.arange(len(of)), of)
+    return which, first[which] + np.arange(len(which)) - (np.cumsum(of) - of)[which]
 
 
 def placed(batches, pivots, blocks, reach: float):
-    """Each point in its block, and replicas in the higher ones that it may have partners in."""
-    p, (first, of) = pivots.value, blocks.value
+    """Each point in all pieces of its block, and replicas in a piece of each higher one that it may have partners in."""
+    p, (first, of, first_piece, pieces) = pivots.value, blocks.value
     for batch in batches:
         for at in range(0, batch.num_rows, 1_000):
             some = batch.slice(at, 1_000)
-            if not some.num_rows:
-                continue
-            x, point, weight, vectors = rows_of(some), some.column("point").to_numpy(zero_copy_only=False), some.column("weight").to_numpy(zero_copy_only=False), column(some, "vector")
-            d, home = nearest(x, p)
+            x, point = rows_of(some), some.column("point").to_numpy(zero_copy_only=False)
+            home, near = near_cells(x, p, reach)
             block = first[home] + point % of[home]
-            near = d <= d[np.arange(len(x)), home][:, None] + 2 * reach + SLACK
-            for i in range(len(x)):
-                cells = np.flatnonzero(near[i])
-                cells = cells[cells >= home[i]]
-                to = np.concatenate([np.arange(first[c], first[c] + of[c]) for c in cells])
-                to = to[to > block[i]]
-                to = np.concatenate([[block[i]], to])
-                yield record(PLACED, block=to, home=np.arange(len(to)) == 0, point=np.full(len(to), point[i]), weight=np.full(len(to), weight[i]), vector=[vectors[i]] * len(to))
-
-
-def merged(batches, rows: int = 4_096):
-    """Larger batches of the same rows."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def placed_merged(batches, **settings):
-    yield from merged(placed(batches, **settings))
+            who, cell = np.nonzero(near)
+            which, to = expanded(first[cell], of[cell])
+            who = who[which]
+            who, to = who[to > block[who]], to[to > block[who]]
+            guests = first_piece[to] + point[who] % pieces[to]
+            own, at_home = expanded(first_piece[block], pieces[block])
+            rows = np.concatenate([own, who])
+            for k in range(0, len(rows), 20_000):
+                part = rows[k : k + 20_000]
+                taken = some.select(["point", "weight", "vector"]).take(pa.array(part))
+                yield record(PLACED, block=np.concatenate([at_home, guests])[k : k + 20_000], home=np.arange(k, k + len(part)) < len(own), point=taken.column("point"), weight=taken.column("weight"), vector=taken.column("vector"))
 
 
 class Balls:
-    """Points of a block by leaders: each point lies within ``BALL`` of its own."""
+    """Points of a block by leaders: each point lies within ``ball`` of its own."""
 
-    def __init__(self, x: np.ndarray):
+    def __init__(self, x: np.ndarray, ball: float):
         self.of, leaders = np.full(len(x), -1), []
         for at in range(0, len(x), 256):
-            close = x[at : at + 256] @ x.T >= 1 - BALL * BALL / 2
+            close = x[at : at + 256] @ x.T >= 1 - ball * ball / 2
             for i in range(at, min(at + 256, len(x))):
                 if self.of[i] < 0:
                     self.of[(self.of < 0) & close[i - at]] = len(leaders)
@@ -134,7 +149,10 @@ class Block:
     def __init__(self, x: np.ndarray, points: np.ndarray, weights: np.ndarray, threshold: float):
         self.x, self.points, self.weights, self.threshold = x, points, weights, threshold
         self.reach, self.n, self.forest = float(np.sqrt(2 - 2 * threshold)), np.zeros(len(x), np.int64), Forest()
-        self.balls = Balls(x)
+        self.balls = Balls(x, min(BALL, self.reach / 2))
+        for k, j in enumerate(self.balls.leaders):
+            for p in points[self.balls.own(k)].tolist():
+                self.forest.link(p, int(points[j]))
         self.ball_weight = np.bincount(self.balls.of, weights, minlength=len(self.balls.leaders)).astype(np.int64)
         most, least = self.reach + SLACK + self.balls.radius, self.reach - SLACK - self.balls.radius
         self.some, self.all = 1 - most * most / 2, np.where(least > 0, 1 - least * least / 2, 2)  # a leader's cosine from which some of its ball, and all of it, are within reach
@@ -154,21 +172,22 @@ class Block:
             mine = b.own(k)
             if not own:
                 self.n[mine] += weights[rows].sum()
-            top = int(self.points[b.leaders[k]])
-            for p in [*points[rows].tolist(), *self.points[mine].tolist()]:
-                self.forest.link(p, top)
+            self.link(points[rows], k)
         for k in np.flatnonzero(maybe.any(axis=0)):
             rows, mine = np.flatnonzero(maybe[:, k]), b.own(k)
             hit = y[rows] @ self.x[mine].T >= self.threshold
             n[rows] += hit @ self.weights[mine]
             if not own:
                 self.n[mine] += weights[rows] @ hit
-            for i in np.flatnonzero(hit.any(axis=1)):
-                cols = np.flatnonzero(hit[i])
-                for j in cols.tolist():
-                    self.forest.link(int(points[rows[i]]), int(self.points[mine[j]]))
+            self.link(points[rows[hit.any(axis=1)]], k)
         return n
 
+    def link(self, points: np.ndarray, ball: int) -> None:
+        """Links points with a ball, by its leader: the ball's own points are linked already."""
+        top = int(self.points[self.balls.leaders[ball]])
+        for p in points.tolist():
+            self.forest.link(p, top)
+
     def own_links(self):
         """Links within the block; a point's own weight isn't among its count."""
         for at in range(0, len(self.x), TILE):
@@ -176,14 +195,19 @@ class Block:
             self.n[part] += self.meet(self.x[part], self.points[part], self.weights[part], True) - self.weights[part]
 
 
-def join_block(batches, threshold: float):
-    """Rows come sorted by block, its own points first. Counts (other is null) and links (n is 0)."""
+def join_block(batches, threshold: float, blocks=None):
+    """Rows come sorted by piece, the block's own points first. Counts (other is null) and links (n is 0).
+
+    A block's own points meet each other in its first piece.
+    """
     block, held, made = None, [], None
+    firsts = None if blocks is None else set(blocks.value[2].tolist())
 
     def own() -> Block:
         x, points, weights = (np.concatenate(c) for c in zip(*held, strict=True))
         out = Block(x, points, weights, threshold)
-        out.own_links()
+        if firsts is None or block in firsts:
+            out.own_links()
         return out
 
     def done(b: Block):
@@ -230,23 +254,24 @@ def linked(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vec
     packed = written(rows.mapInArrow(task(__name__, "as_bytes"), "vec_id long, vector binary"))
     good = packed.filter("vector IS NOT NULL")
     points = written(good.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight")).withColumn("point", F.monotonically_increasing_id()))
-    found = None
-    for (size,) in sorted(points.select(F.octet_length("vector")).distinct().collect()):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = points.groupBy(F.octet_length("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    few = points.join(sizes.filter(F.col("n") <= block), F.octet_length("vector") == F.col("size"), "left_semi")
+    home = few.select(F.octet_length("vector").cast("long").alias("block"), F.lit(True).alias("home"), "point", "weight", "vector")
+    found = home.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(task(__name__, "join_block", threshold=threshold), "point long, other long, n long")
+    for size, total in sorted(sizes.filter(F.col("n") > block).collect()):  # lengths of more than a block of points each
         same = points.filter(F.octet_length("vector") == size)
-        total = same.count()
+        reach = float(np.sqrt(2 - 2 * threshold))
         draw = sorted(same.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(min(PIVOTS, max(1, round((total / block) ** 0.5 * 4)))).collect())
         pivots = spark.sparkContext.broadcast(unit(np.frombuffer(b"".join(bytes(r[0]) for r in draw), np.float64).reshape(len(draw), -1)))
-        counts = np.zeros(len(draw), np.int64)
-        for r in same.select("vector").mapInArrow(task(__name__, "home_cells", pivots=pivots), "cell long, n long").groupBy("cell").sum("n").collect():
-            counts[r[0]] = r[1]
-        of = np.maximum(1, -(-counts // block))
-        blocks = spark.sparkContext.broadcast((np.cumsum(of) - of, of))
-        reach = float(np.sqrt(2 - 2 * threshold))
-        dealt = same.select("point", "weight", "vector").mapInArrow(task(__name__, "placed_merged", pivots=pivots, blocks=blocks, reach=reach), "block long, home boolean, point long, weight long, vector binary")
-        joined = dealt.repartition("block").sortWithinPartitions("block", F.desc("home")).mapInArrow(task(__name__, "join_block", threshold=threshold), "point long, other long, n long")
-        found = joined if found is None else found.unionByName(joined)
-    if found is None:
-        return packed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        counts = np.zeros((2, len(draw)), np.int64)
+        for r in same.select("vector").mapInArrow(task(__name__, "home_cells", pivots=pivots, reach=reach), "cell long, n long, guests long").groupBy("cell").sum("n", "guests").collect():
+            counts[:, r[0]] = r[1], r[2]
+        blocks = spark.sparkContext.broadcast(layout(*counts, block, 2 * block))
+        dealt = same.select("point", "weight", "vector").mapInArrow(task(__name__, "placed", pivots=pivots, blocks=blocks, reach=reach), "block long, home boolean, point long, weight long, vector binary")
+        n = max(tasks, min(3 * int(blocks.value[3].sum()), 20 * tasks))  # given, as a piece's work grows faster than its bytes
+        joined = dealt.repartition(n, "block").sortWithinPartitions("block", F.desc("home")).mapInArrow(task(__name__, "join_block", threshold=threshold, blocks=blocks), "point long, other long, n long")
+        found = found.unionByName(joined)
     found = written(found)
     n = found.filter("other IS NULL").groupBy("point").agg(F.sum("n").alias("others"))
     classes = written(components(found.filter("other IS NOT NULL"), "point", "other").withColumnRenamed("node", "point").join(points.select("point", "low"), "point"))
