@@ -109,7 +109,7 @@ def splice(enc: Encoder, piece: str, cut: int, left: np.ndarray, right: np.ndarr
 
 
 def join(enc: Encoder, text: str, left: Run, right: Run, low: int, cut: int, high: int) -> Run:
-    """The pre-tokens of text[low:high] from those of its halves."""
+    """The pre-tokens of text[low:high] from those of its halves, where a window over the cut agrees with both."""
     w = 64
     while True:
         i = max(0, int(np.searchsorted(left.starts, max(low, cut - w), "right")) - 1)
@@ -118,14 +118,19 @@ def join(enc: Encoder, text: str, left: Run, right: Run, low: int, cut: int, hig
             s = low
         starts, ends = spans(enc, text[s:e])
         starts, ends = [s + a for a in starts], [s + b for b in ends]
-        agree = None
+        agree, before = None, s == low
+        for a, b in zip(starts, ends, strict=True):  # the left side's first pre-token that the window has as well
+            if before or a >= cut:
+                break
+            j = int(np.searchsorted(left.starts, a))
+            before = b <= cut - AHEAD and j < len(left.starts) and left.starts[j] == a and left.ends[j] == b
         for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
             if a >= cut and (b <= e - AHEAD or e == high):
                 j = int(np.searchsorted(right.starts, a))
                 if j < len(right.starts) and right.starts[j] == a and right.ends[j] == b:
                     agree = k, j
                     break
-        if agree or e == high:
+        if before and (agree or e == high):
             break
         w *= 4
     k, j = agree or (len(starts), len(right.starts))
