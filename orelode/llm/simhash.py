@@ -7,6 +7,10 @@ free, one row for each reachable prefix; the receiving task spreads the remainin
 share a variant are within the radius of each other, so a chain through them keeps every link's component without
 all pairs. The prefix is as long as the number of fingerprints asks for, so that a task's variants stay bounded; where
 a cell is fuller than others, its task splits it by the next bits.
+
+One fingerprint of 64 bits within 4 finds few texts whose shingle sets are 0.8 alike: their fingerprints differ in about
+ten bits. ``similar_links`` therefore takes ``TABLES`` shorter fingerprints of each set and hashes the balls of each; what
+collides in any is a candidate, candidates are sifted by all bits, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -26,6 +30,12 @@ from orelode.llm.runtime import fresh, record, task, values, written
 BITS, SEED = 64, 42
 #: Variants that a cell holds on average, and that a task sorts at once.
 CELL, AT_ONCE = 2_000_000, 2_000_000
+#: For similarity of sets: bits of a short fingerprint, tables of them, their radius, and variants of a table's cell. Texts
+#: 0.8 alike share a ball in one table with a probability of 0.27, so in one of ten with 0.96; more alike ones with more.
+SHORT, TABLES, NEAR, SHORT_CELL = 40, 10, 4, 64_000_000
+#: Words of 64 bits that hold all short fingerprints. Of all their bits, sets that are 0.8 alike differ in 68 with a
+#: deviation of 7.6: up to TIGHT they are alike for certain (error below 1e-8), over LOOSE they aren't (below 1e-6).
+WORDS, TIGHT, LOOSE = 7, 24, 106
 HASHED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("free", pa.int32())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -105,8 +115,12 @@ def collisions(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ON
             variants.append((low[left == f][:, None] ^ m[None, :]).ravel())
             source.append(np.repeat(own[left == f], len(m)).astype(np.int32))
         variants, source = np.concatenate(variants), np.concatenate(source)
-        order = np.argsort(variants)
-        variants, source = variants[order], source[order]
+        if b + (bits_of := int(len(fp)).bit_length()) <= BITS:  # sorted with their source, so that equal ones are in one order everywhere
+            keys = np.sort(variants << np.uint64(bits_of) | source.astype(np.uint64))
+            variants, source = keys >> np.uint64(bits_of), (keys & np.uint64((1 << bits_of) - 1)).astype(np.int64)
+        else:
+            order = np.argsort(variants)
+            variants, source = variants[order], source[order]
         same = np.flatnonzero(variants[1:] == variants[:-1])
         if len(same):
             pairs = np.unique(source[same].astype(np.int64) * len(fp) + source[same + 1])
@@ -150,7 +164,8 @@ def near_links(distinct: DataFrame, n: int, radius: int) -> DataFrame:
     all_variants = max(1, n) * sum(comb(BITS, i) for i in range(half + 1))
     prefix = min(40, max(0, round(log2(all_variants / CELL)) if all_variants > CELL else 0))
     cells = distinct.select("fp").mapInArrow(task(__name__, "spread_cells", prefix=prefix, half=half), "cell long, fp long, free int")
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "link_cells", prefix=prefix, radius=radius), "a long, b long")
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that cells aren't put together by their bytes
+    return cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "link_cells", prefix=prefix, radius=radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -169,6 +184,136 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return hashed.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    return np.unique(np.frombuffer(shingle_hashes(text, k), ">u8").astype(np.uint64))
+
+
+def sketch(own: np.ndarray) -> list[int]:
+    """``WORDS`` numbers of 64 bits; a bit is set if it is in over half of the set's members, each mixed anew for each word."""
+    ones = np.zeros(BITS * WORDS, np.int64)
+    salts = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(own), 20_000):
+        x = own[at : at + 20_000, None] ^ salts
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(own)).view(np.int64).tolist()
+
+
+SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), *[(f"s{i}", pa.int64()) for i in range(WORDS)]])
+ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32())])
+SETS = pa.schema([("row", pa.int64()), ("members", pa.list_(pa.int64()))])
+
+
+def sketches(batches, k: int):
+    for batch in batches:
+        rows = []
+        for row, text in zip(batch.column("row").to_pylist(), values(batch, "text"), strict=True):
+            own = shingle_set(text or "", k)
+            rows.append((row, xxhash.xxh3_128_digest(own.tobytes()), *sketch(own)))
+        yield record(SKETCHED, **{n: [r[i] for r in rows] for i, n in enumerate(SKETCHED.names)})
+
+
+def short_cells(batches, prefix: int):
+    """Each table's fingerprint of each set, for each prefix that a variant can have, with the flips left for the other bits."""
+    flips = masks(prefix, NEAR // 2)
+    free = (NEAR // 2 - np.bitwise_count(flips)).astype(np.int32)
+    powers = np.uint64(1) << np.arange(SHORT - 1, -1, -1, dtype=np.uint64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 5_000):
+            some = batch.slice(at, 5_000)
+            words = np.stack([some.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(WORDS)], axis=1)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
+            row = np.repeat(some.column("row").to_numpy(zero_copy_only=False), len(flips))
+            for t in range(TABLES):
+                fp = bits[:, t * SHORT : (t + 1) * SHORT].astype(np.uint64) @ powers
+                cell = ((fp >> np.uint64(SHORT - prefix))[:, None] ^ flips[None, :]).ravel().astype(np.int64) | t << SHORT
+                yield record(ITEMS, cell=cell, fp=np.repeat(fp.astype(np.int64), len(flips)), row=row, free=np.tile(free, len(fp)))
+
+
+def colliding(batches, prefix: int):
+    """Rows come sorted by cell. Pairs whose fingerprints are within the radius: neighbours in each variant's row order."""
+    cell, held = None, []
+
+    def done():
+        fp, row, free = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(row, kind="stable")
+        fp, row, free = fp[order].view(np.uint64), row[order], free[order]
+        for a, b in collisions(fp, free, SHORT - prefix):
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= NEAR
+            if near.any():
+                yield record(EDGES, a=np.minimum(row[a[near]], row[b[near]]), b=np.maximum(row[a[near]], row[b[near]]))
+
+    for batch in batches:
+        cells, fp, row, free = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names)
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and cells[a] != cell:
+                yield from done()
+                held = []
+            cell = cells[a]
+            held.append((fp[a:b].copy(), row[a:b].copy(), free[a:b].copy()))
+    if held:
+        yield from done()
+
+
+def member_sets(batches, k: int):
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), values(batch, "text"), strict=True):
+            yield record(SETS, row=[row], members=[shingle_set(text or "", k).view(np.int64)])
+
+
+def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Texts with the same shingles (``row, first``), and links ``a, b`` between the first rows of similar sets.
+
+    Similarity is that of Jaccard over sets of ``shingle`` words. Sets that collide in no table are missed (see the
+    constants, which are for a similarity of 0.8); no pair below it is linked, but for the error of ``TIGHT``. Pairs of
+    a dense group come as neighbours in each variant, so their number grows with the rows.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = written(rows.mapInArrow(task(__name__, "sketches", k=shingle), ", ".join(["row long", "digest binary", *(f"s{i} long" for i in range(WORDS))])))
+    distinct = written(made.groupBy("digest").agg(F.min("row").alias("row"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]))
+    same = made.select("row", "digest").join(distinct.select("digest", F.col("row").alias("first")), "digest").select("row", "first")
+    variants = max(1, distinct.count()) * sum(comb(SHORT, i) for i in range(NEAR // 2 + 1))
+    prefix = min(24, max(0, round(log2(variants / SHORT_CELL)) if variants > SHORT_CELL else 0))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TABLES)
+    items = distinct.drop("digest").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int")
+    pairs = items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix), "a long, b long").distinct()
+    side = lambda n: distinct.select(F.col("row").alias(n), F.array(*[f"s{i}" for i in range(WORDS)]).alias(f"s{n}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sifted = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= LOOSE))
+    tight = sifted.filter(F.col("apart") <= TIGHT).select("a", "b")
+    classes = written(components(tight))
+    of = lambda n: classes.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    open_ = sifted.filter(F.col("apart") > TIGHT).join(of("a"), "a", "left").join(of("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b")
+    open_ = written(open_)
+    asked = open_.select(F.col("a").alias("row")).union(open_.select("b")).distinct()
+    sets = written(rows.join(asked, "row", "left_semi").mapInArrow(task(__name__, "member_sets", k=shingle), "row long, members array<long>"))
+    member = lambda n: sets.select(F.col("row").alias(n), F.col("members").alias(f"m{n}"))
+    both = open_.join(member("a"), "a").join(member("b"), "b").withColumn("n", F.size(F.array_intersect("ma", "mb")))
+    alike = both.filter(F.col("n") >= similarity * (F.size("ma") + F.size("mb") - F.col("n")) - 1e-9).select("a", "b")
+    return same, tight.unionByName(alike)
+
+
+def similar_kept(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The first row of each group of texts that similar ones join, with all its columns.
+
+    ``docs`` must have its rows in the same order each time it is read, as a written table has. A null text is one
+    without words; all of these are alike. Columns of any name pass through; an empty table gives an empty one.
+    """
+    (row,) = fresh(docs, "row")
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    same, links = similar_links(rows, row, text, shingle, similarity)
+    later = components(links).filter("node <> component").select(F.col("node").alias("first"))
+    first = same.filter("row = first").join(later, "first", "left_anti").select(F.col("first").alias(row))
+    return rows.join(first, row, "left_semi").drop(row)
+
+
 def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """The first row of each group of near-duplicates, with all its columns.
 

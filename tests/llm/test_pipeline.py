@@ -11,7 +11,7 @@ import corpus_pipeline
 from orelode.llm import secret_scan, simhash
 from orelode.llm.tokens import unpack
 from tests.llm.test_quality import plain as plain_quality
-from tests.llm.test_simhash import plain_components
+from tests.llm.test_simhash import plain_components, similarity
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,9 +39,9 @@ def test_quality(stages):
 
 def test_dedup(stages):
     before, after = stages[1], stages[2]
-    prints = {d: simhash.fingerprint(t, 4) % 2**64 for d, t in zip(before.doc_id, before.text, strict=True)}
-    ids = list(prints)
-    group = plain_components([(a, b) for i, a in enumerate(ids) for b in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 4], ids)
+    sets = {d: frozenset(simhash.shingle_set(t, 5).tolist()) for d, t in zip(before.doc_id, before.text, strict=True)}
+    ids = list(sets)
+    group = plain_components([(a, b) for i, a in enumerate(ids) for b in ids[:i] if similarity(sets[a], sets[b]) >= 0.8], ids)
     assert sorted(group[d] for d in after.doc_id) == sorted(set(group.values()))
     assert 0 < len(after) < len(before)
 
@@ -80,3 +80,8 @@ def test_odd_documents(spark):
             assert out.columns == docs.columns, name
             n = out.count()
             assert n == (0 if part is not docs else {"quality rules": 3, "simhash near-dedup": 2, "secret scans": 6}[name])
+        packed = corpus_pipeline.pack(spark, part, SF)
+        assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+        want = sorted(len(t.encode(x[1] or "", add_special_tokens=False).ids) + 1 for x in rows) if part is docs else []
+        assert sorted(r.length for r in packed.collect()) == want  # all fit one window, so each is one piece

@@ -93,3 +93,62 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(words, "a string, b string").repartition(3)).collect()}
     assert got == plain_components(words, {x for p in words for x in p})
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_similar_texts(spark, monkeypatch):
+    """Pairs of 0.8 and more over five-word shingles against all pairs: near copies of all degrees, hot groups, odd texts."""
+    monkeypatch.setattr(simhash, "SHORT_CELL", 100_000)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = []
+    for d in range(120):
+        words = rng.choices(vocabulary, k=rng.randrange(20, 500))
+        for c in range(rng.randrange(1, 5)):
+            own = list(words)
+            for _ in range(rng.randrange(1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = "changed"
+            texts.append(" ".join(own))
+    base = rng.choices(vocabulary, k=200)
+    for i in range(150):  # a large group of near copies
+        own = list(base)
+        own[rng.randrange(200)] = f"new{i}"
+        texts.append(" ".join(own))
+    texts += [texts[-1]] * 100 + ["", None, "  ", "one", "one", "ONE", "one two"]
+    rows = [(i if i != 5 else None, t, "x") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").coalesce(1)
+    sets = [frozenset(simhash.shingle_set(t or "", 5).tolist()) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    groups = plain_components(links, range(len(texts)))
+    kept = {r.text or "" for r in simhash.similar_kept(docs).collect()}
+    want = {texts[i] or "" for i, g in groups.items() if i == g}
+    assert want <= kept and len(kept) <= len(want) * 1.02  # nothing goes that should stay; a few links may be missed
+    assert sum(0.8 <= similarity(sets[a], sets[b]) < 0.9 for a, b in links) > 100
+    again = simhash.similar_kept(docs)
+    assert again.columns == docs.columns
+    assert simhash.similar_kept(docs.limit(0)).collect() == []
+
+
+def test_similar_pairs_found(spark):
+    """Recall and precision of links between pairs of a planted similarity, each pair by itself."""
+    rng = random.Random(4)
+    texts, want = [], []
+    for _ in range(300):
+        n = rng.randrange(60, 300)
+        a = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for at in rng.sample(range(n), max(1, round(n * rng.choice((0.005, 0.01, 0.02, 0.03))))):
+            b[at] = "other"
+        texts += [" ".join(a), " ".join(b)]
+        x, y = (frozenset(simhash.shingle_set(t, 5).tolist()) for t in texts[-2:])
+        if similarity(x, y) >= 0.8:
+            want.append((len(texts) - 2, len(texts) - 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    _, links = simhash.similar_links(docs, "row")
+    got = {(r.a, r.b) for r in links.collect()}
+    recall = len(got & set(want)) / len(want)
+    print(f"recall {recall:.3f} of {len(want)} pairs")
+    assert got <= set(want) and recall > 0.97
