@@ -30,11 +30,20 @@ def first_seen(items: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
 
 
+#: White space that is cut from both ends of a value, not blanks alone.
+WHITE = " \t\n\r\f\u000b\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(F.col(text) if isinstance(text, str) else text, F.lit(WHITE))
+
+
 def folded(text: Column) -> Column:
     """Trimmed and lower-cased."""
-    return F.lower(F.trim(text))
+    return F.lower(stripped(text))
 
 
 def one_space(text: Column) -> Column:
     """White space as one blank, trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

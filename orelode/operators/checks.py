@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import one_space
+from orelode.functions.text import one_space, stripped
 
 #: Query languages of a rule's type, and bands of risk by severity: fixed values.
 LANGUAGES = {"eql": ("eql",), "esql": ("esql",), "query": ("kql", "lucene"), "threshold": ("kql", "lucene"), "new_terms": ("kql", "lucene")}
@@ -46,7 +46,7 @@ def rating(score: Column) -> Column:
 
 
 def change_label(before: Column, after: Column) -> Column:
-    b, a = F.trim(before), F.trim(after)
+    b, a = stripped(before), stripped(after)
     return F.when(b == "", F.concat(F.lit("Added "), a)).when(a == "", F.concat(F.lit("Removed "), b)).otherwise(F.concat(F.lit("Changed "), b, F.lit(" to "), a))
 
 
@@ -67,7 +67,7 @@ def rule_issues(rules: DataFrame) -> DataFrame:
         F.when(~type_ok, issue("language_mismatch", path, F.concat_ws("/", "type", "language"))),
         F.when(band, issue("risk_outside_band", path, F.concat_ws("/", "severity", F.col("risk_score").cast("string")), "warning")),
         F.when(~F.coalesce(F.col("risk_score").between(0, 100), F.lit(False)), issue("out_of_range", path, F.coalesce(F.col("risk_score").cast("string"), F.lit("null")))),
-        F.when(F.trim("query") == "", issue("missing_text", path, F.lit("query"))),
+        F.when(stripped("query") == "", issue("missing_text", path, F.lit("query"))),
         F.when(unpadded(F.col("query")) == unpadded(F.col("original")), issue("rule_unchanged", path, F.lit("query"))),
     )
     return rules.select("rule_id", F.inline(F.filter(found, lambda i: i.isNotNull())))
@@ -75,8 +75,8 @@ def rule_issues(rules: DataFrame) -> DataFrame:
 
 def citation_issues(cited: DataFrame, supplied: DataFrame) -> DataFrame:
     """Cited items (reply_id, path, item_id) that weren't supplied (reply_id, item_id, text), and empty ones."""
-    empty = cited.filter("item_id IS NULL OR trim(item_id) = ''").select("reply_id", F.lit("empty_citation").alias("code"), "path", F.lit("").alias("message"))
-    unknown = cited.filter("trim(item_id) <> ''").join(supplied.select("reply_id", "item_id").distinct(), ["reply_id", "item_id"], "left_anti").select("reply_id", F.lit("unknown_citation").alias("code"), "path", F.col("item_id").alias("message"))
+    empty = cited.filter(F.col("item_id").isNull() | (stripped("item_id") == "")).select("reply_id", F.lit("empty_citation").alias("code"), "path", F.lit("").alias("message"))
+    unknown = cited.filter(stripped("item_id") != "").join(supplied.select("reply_id", "item_id").distinct(), ["reply_id", "item_id"], "left_anti").select("reply_id", F.lit("unknown_citation").alias("code"), "path", F.col("item_id").alias("message"))
     return empty.unionByName(unknown)
 
 
@@ -108,5 +108,5 @@ def reported(issues: DataFrame) -> DataFrame:
 
 def mapping_document(tactic: Column, technique: Column, parent: Column, confidence: Column) -> Column:
     """A cited technique in the document's shape: with a parent it is the sub-technique."""
-    has = F.trim(parent) != ""
-    return F.to_json(F.struct(tactic.alias("tacticId"), F.when(has, F.trim(parent)).otherwise(technique).alias("techniqueId"), F.when(has, technique).alias("subTechniqueId"), F.bround(confidence * 100).cast("int").alias("confidence")), {"ignoreNullFields": "false"})
+    has = stripped(parent) != ""
+    return F.to_json(F.struct(tactic.alias("tacticId"), F.when(has, stripped(parent)).otherwise(technique).alias("techniqueId"), F.when(has, technique).alias("subTechniqueId"), F.bround(confidence * 100).cast("int").alias("confidence")), {"ignoreNullFields": "false"})

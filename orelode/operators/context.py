@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION_LIMIT, TOTAL_LIMIT, RESERVED = 20_000, 60_000, 8_000
+SECTION_LIMIT, TOTAL_LIMIT, RESERVED, WARNING_LIMIT = 20_000, 60_000, 8_000, 20_000
 MARKER = "\n[...truncated]"
-SECTIONS = ("rule", "entities", "mappings", "retrieval", "graph", "references", "provenance", "warnings", "metadata")
+#: Sections in their order: fixed values.
+SECTIONS = ("rule", "entities", "mappings", "retrieval", "graph", "knowledge", "references", "warnings", "metadata")
 #: Credentials that are masked, in order: fixed values.
 CREDENTIALS = (
     ("assignment", r"(?i)\b(api[_-]?key|apikey|secret|password|passwd|token|bearer|authorization)\s*[:=]\s*[\"']?([A-Za-z0-9._\-/+]{8,})[\"']?", "$1=[REDACTED]"),
@@ -79,10 +80,19 @@ def collapsed(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("package_id", "detail", "section").agg(F.min("ordinal").alias("ordinal"), F.min_by("item_id", "ordinal").alias("item_id"), F.count(F.lit(1)).alias("n"))
 
 
-def within_ceiling(warnings: DataFrame, limit: int = 20_000, notice: int = 80) -> DataFrame:
-    """The warnings (package_id, ordinal, text) before the first that would pass the limit, less room for a notice."""
-    upto = F.sum(F.length("text")).over(Window.partitionBy("package_id").orderBy("ordinal"))
-    return warnings.withColumn("upto", upto).filter(F.col("upto") <= limit - notice)
+def notice(n: Column, limit: int) -> Column:
+    return F.format_string(f"%d more warning(s) came up and are left out: this section holds {limit} characters at most", n)
+
+
+def within_ceiling(warnings: DataFrame, limit: int = WARNING_LIMIT) -> DataFrame:
+    """The warnings (package_id, ordinal, text) before the first that would pass the limit, less room for a notice that
+    counts all of them; where some are left out, a closing notice with their number, its ordinal after the last one's.
+    """
+    of = Window.partitionBy("package_id")
+    rows = warnings.select("package_id", "ordinal", "text").withColumn("n", F.count(F.lit(1)).over(of)).withColumn("upto", F.sum(F.length("text")).over(of.orderBy("ordinal")))
+    rows = rows.withColumn("fits", F.col("upto") <= limit - F.length(notice(F.col("n"), limit)))
+    left = rows.groupBy("package_id").agg(F.count_if(~F.col("fits")).alias("left"), (F.max("ordinal") + 1).alias("ordinal")).filter(F.col("left") > 0)
+    return rows.filter("fits").select("package_id", "ordinal", "text").unionByName(left.select("package_id", "ordinal", notice(F.col("left"), limit).alias("text")))
 
 
 def section_texts(items: DataFrame) -> DataFrame:
@@ -108,7 +118,7 @@ def problems(items: DataFrame, total_limit: int = TOTAL_LIMIT - RESERVED, sectio
 def evidence_items(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Items of ranked results: those with a graph route go to ``graph``, others to ``retrieval``; priority by the score's parts."""
     graph = F.exists("evidence", lambda e: e.method == "graph")
-    priority = F.when(F.col("score_exact") > 0, 0).when(F.col("score_entity") > 0, 1).when(F.col("score_graph") > 0, 2).otherwise(3)
+    priority = F.when(F.col("score_exact") > 0, 0).when(F.col("score_graph") > 0, 1).when(F.col("score_entity") > 0, 2).otherwise(3)
     hops = F.array_min(F.transform(F.filter("evidence", lambda e: e.method == "graph"), lambda e: e.hops))
     rows = results.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id")
     section = F.when(graph, "graph").otherwise("retrieval")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 from orelode.operators.mapping import split_field
 from orelode.session import arrow_task
@@ -113,7 +114,7 @@ def routed(occurrences: DataFrame, field: str = "field") -> DataFrame:
     """Occurrences by what their field name says: ``extractor, entity_type``; a field may have several routes."""
     spark = occurrences.sparkSession
     routes = F.broadcast(spark.createDataFrame(V.routes(), "route string, extractor string, entity_type string"))  # a fixed table of under 200 rows
-    return occurrences.withColumn("route", F.lower(F.trim(split_field(F.col(field))[0]))).join(routes, "route").drop("route")
+    return occurrences.withColumn("route", F.lower(stripped(split_field(F.col(field))[0]))).join(routes, "route").drop("route")
 
 
 def shapes(scopes: DataFrame, text: str = "text", field: str | None = None, kinds: tuple[str, ...] = tuple(SHAPES)) -> DataFrame:
@@ -127,7 +128,7 @@ def shapes(scopes: DataFrame, text: str = "text", field: str | None = None, kind
         hits = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
         if field:
             own = [f for f, e, _ in V.routes() if e == extractor]
-            hits = F.when(F.lower(F.trim(split_field(F.coalesce(F.col(field), F.lit("")))[0])).isin(*own), F.array().cast("array<string>")).otherwise(hits)
+            hits = F.when(F.lower(stripped(split_field(F.coalesce(F.col(field), F.lit("")))[0])).isin(*own), F.array().cast("array<string>")).otherwise(hits)
         found.append(_typed(hits, kind, extractor))
     return scopes.select("*", F.inline(F.flatten(F.array(*found))))
 

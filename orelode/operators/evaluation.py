@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 
 
 def citations(references: DataFrame) -> DataFrame:
     """``identifier, record_id, source``: records by the upper-cased identifier that they cite, each once."""
-    return references.select(F.upper(F.trim("value")).alias("identifier"), "record_id", "source").filter("identifier <> ''").distinct()
+    return references.select(F.upper(stripped("value")).alias("identifier"), "record_id", "source").filter("identifier <> ''").distinct()
 
 
 def technique_truth(cases: DataFrame, defined: DataFrame, cited: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def technique_truth(cases: DataFrame, defined: DataFrame, cited: DataFrame) -> D
 
     The first grade of a record in the order of anchors and of these rules counts.
     """
-    key = F.upper(F.trim("anchor"))
+    key = F.upper(stripped("anchor"))
     asked = cases.select("case_id", "ordinal", key.alias("identifier"))
     own = asked.join(defined, "identifier").select("case_id", "ordinal", F.lit(1).alias("rule"), "record_id", F.lit(3).alias("grade"))
     citing = asked.join(cited.select("identifier", "record_id"), "identifier").select("case_id", "ordinal", F.lit(2).alias("rule"), "record_id", F.lit(2).alias("grade"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import entities as E
 from orelode.operators import vocabulary as V
 from orelode.operators.mapping import split_field
@@ -34,7 +35,7 @@ def occurrences(rules: DataFrame) -> DataFrame:
 def scopes(rules: DataFrame, found: DataFrame) -> DataFrame:
     """Texts that shapes are read from: values of the blocks, and the query as a whole."""
     own = found.filter("walked").select("rule_id", "n", F.col("field").alias("source_field"), F.col("value").alias("text"), "location")
-    return own.union(rules.filter("trim(query) <> ''").select("rule_id", F.lit(2_000_000), F.lit("query"), "query", F.lit("detection.query")))
+    return own.union(rules.filter(stripped("query") != "").select("rule_id", F.lit(2_000_000), F.lit("query"), "query", F.lit("detection.query")))
 
 
 def entity(kind: Column, value: Column, field: Column, location: Column, section: Column, extractor: Column) -> list[Column]:
@@ -62,7 +63,7 @@ def metadata(rules: DataFrame) -> DataFrame:
         if column in rules.columns:
             value = F.col(column) if rules.schema[column].dataType.typeName() == "array" else F.array(F.col(column).cast("string"))
             parts.append(_typed(value, i, kind, field, location, section))
-    rows = rules.select("rule_id", F.inline(F.flatten(F.array(*parts)))).filter("trim(value) <> ''")
+    rows = rules.select("rule_id", F.inline(F.flatten(F.array(*parts)))).filter(stripped("value") != "")
     return rows.select("rule_id", "n", "entity_type", "value", "source_field", "location", "section", F.lit("metadata").alias("extractor"))
 
 

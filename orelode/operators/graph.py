@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
+
 NODE_TYPES = ("technique", "tactic", "software", "group", "mitigation", "campaign", "data_source", "rule", "lolbas_entry", "ecs_field", "tag", "external_reference")
 EDGE_TYPES = ("detects", "subtechnique_of", "belongs_to", "references", "has_tag", "uses_field", "uses", "mitigates", "observes")
 SKIPS = ("unresolved_target", "ambiguous_target", "target_node_absent")
@@ -41,7 +43,9 @@ def edge_type(start: Column, target: Column, field: Column) -> Column:
 
 
 def reference_edges(resolved: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges, and what was skipped and why, of resolved references (start_id, start_type, field, value, status, candidates).
+    """Edges, and what was skipped and why, of resolved references (start_id, start_type, source, source_id, field, value, status, candidates).
+
+    Source, its id, field and value are in an edge's key, so that distinct evidence makes distinct edges.
 
     ``nodes`` has ``record_id, node_id, node_type``.
     """
@@ -50,14 +54,14 @@ def reference_edges(resolved: DataFrame, nodes: DataFrame) -> tuple[DataFrame, D
     reason = F.when(F.col("status") == "unresolved", SKIPS[0]).when(F.col("status") == "ambiguous", SKIPS[1]).when(F.col("end_id").isNull(), SKIPS[2])
     rows = rows.withColumn("reason", reason)
     kind = edge_type(F.col("start_type"), F.col("end_type"), F.col("field"))
-    edges = rows.filter("reason IS NULL").withColumn("type", kind).select(edge_key(F.col("start_id"), F.col("type"), F.col("end_id"), F.col("field"), F.col("value").cast("string")).alias("key"), "type", "start_id", "end_id", "field", "value")
+    edges = rows.filter("reason IS NULL").withColumn("type", kind).select(edge_key(*[F.col(c).cast("string") for c in ("start_id", "type", "end_id", "source", "source_id", "field", "value")]).alias("key"), "type", "start_id", "end_id", "field", "value")
     skipped = rows.filter("reason IS NOT NULL").select("reason", "start_id", "field", "value", F.size("candidates").alias("candidates"))
     return edges, skipped
 
 
 def tag_edges(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Derived nodes and edges of ``node_id, tags``: each tag that isn't blank, and a CVE that it spells."""
-    tags = tagged.select("node_id", F.explode(F.array_distinct("tags")).alias("tag")).filter(F.trim("tag") != "").withColumn("tag", F.trim("tag"))
+    tags = tagged.select("node_id", F.explode(F.array_distinct("tags")).alias("tag")).withColumn("tag", stripped(F.col("tag"))).filter("tag <> ''").distinct()
     cve = r"(?i)^cve[._-](\d{4})[._-](\d{4,})$"
     named = tags.filter(F.col("tag").rlike(cve)).withColumn("cve", F.concat(F.lit("CVE-"), F.regexp_extract("tag", cve, 1), F.lit("-"), F.regexp_extract("tag", cve, 2)))
     derived = lambda kind, ident: node_id(F.lit("derived"), F.lit(kind), ident)
@@ -93,4 +97,4 @@ def type_counts(rows: DataFrame, column: str, names: tuple[str, ...]) -> DataFra
 def properties(**values: Column) -> Column:
     """A map of the values that aren't null or blank, as strings."""
     made = F.map_from_arrays(F.array(*[F.lit(k) for k in values]), F.array(*[v.cast("string") for v in values.values()]))
-    return F.map_filter(made, lambda _, v: v.isNotNull() & (F.trim(v) != ""))
+    return F.map_filter(made, lambda _, v: v.isNotNull() & (stripped(v) != ""))

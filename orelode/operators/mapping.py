@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 from orelode.session import arrow_task
 
@@ -66,7 +67,7 @@ def registry_key() -> Column:
     v, head = F.col("value"), F.substring_index("value", "\\", 1)
     hive = F.lit(None).cast("string")
     for short, name in V.HIVES.items():
-        hive = F.when(F.lower(F.trim(head)).isin(short, name.lower()), name).otherwise(hive)
+        hive = F.when(F.lower(stripped(head)).isin(short, name.lower()), name).otherwise(hive)
     tail = F.substring(v, F.length(head) + 2, F.length(v))
     return (
         F.when(~v.contains("\\"), unresolved("registry_key", "value carries no hive prefix"))
@@ -78,13 +79,13 @@ def registry_key() -> Column:
 
 #: What branches share, each computed once: of a value, its trimmed and lower form, a tag's token, a field's base name, and an address as numbers.
 def shared(entities: DataFrame) -> DataFrame:
-    v = F.trim("value")
+    v = stripped("value")
     name = F.coalesce(F.when(F.col("source_field") != "", F.col("source_field")), F.col("value"))
     rows = entities.withColumns({"m_trim": v, "m_base": split_field(name)[0], "m_token": F.when(F.lower(v).startswith("attack."), F.substring(v, 8, F.length(v))).otherwise(v), "m_parts": F.split(F.substring_index(v, "/", 1), r"\."), "m_prefix": F.substring_index(v, "/", -1).try_cast("int")})
     number = sum((F.get("m_parts", F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(4)), F.lit(0))
     size = F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("m_prefix"))
     rows = rows.withColumns({"m_low": F.lower("m_trim"), "m_up": F.upper("m_token"), "m_base": F.when(F.col("m_base") == "", F.col("value")).otherwise(F.col("m_base")), "m_net": F.when((F.col("entity_type") == "ip_address") & F.col("m_trim").rlike(IPV4_NET), number - number % size)})
-    return rows.withColumn("m_key", F.lower(F.trim("m_base")))
+    return rows.withColumn("m_key", F.lower(stripped("m_base")))
 
 
 def ipv4() -> Column:
@@ -170,7 +171,7 @@ def mapped(entities: DataFrame) -> DataFrame:
     out = unresolved("unknown", "no mapper claims this type", "none")
     for kind, branch in branches().items():
         out = F.when(F.col("entity_type") == kind, branch).otherwise(out)
-    odd = (F.col("entity_type") == "ip_address") & ~F.coalesce(F.trim("value").rlike(IPV4) | F.trim("value").rlike(IPV4_NET), F.lit(False))
+    odd = (F.col("entity_type") == "ip_address") & ~F.coalesce(stripped("value").rlike(IPV4) | stripped("value").rlike(IPV4_NET), F.lit(False))
     native = shared(entities.filter(~F.coalesce(odd, F.lit(False)))).select(*entities.columns, out.alias("mapped"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entities.schema.fields)
     return native.unionByName(entities.filter(odd).mapInArrow(arrow_task(__name__, "address_batches"), f"{schema}, mapped {OUT}"))

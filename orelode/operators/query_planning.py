@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import first_seen
+from orelode.functions.text import first_seen, stripped
 from orelode.operators import vocabulary as V
 
 #: Canonical types whose identifier names a record: fixed values.
@@ -15,7 +15,7 @@ FIELD_TYPES = ("field",)
 
 def documented_fields(records: DataFrame, field: str = "field_name") -> DataFrame:
     """Names of fields that the corpus documents, trimmed and lower-cased, each once."""
-    return records.select(F.lower(F.trim(F.col(field))).alias("documented")).filter("documented <> ''").distinct()
+    return records.select(F.lower(stripped(F.col(field))).alias("documented")).filter("documented <> ''").distinct()
 
 
 def rule_queries(entities: DataFrame, documented: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def rule_queries(entities: DataFrame, documented: DataFrame) -> DataFrame:
     spark = entities.sparkSession
     renames = F.broadcast(spark.createDataFrame(list(V.RENAMES.items()), "key string, renamed string"))  # a fixed table
     m, resolved = F.col("mapped"), F.col("mapped.status") != "unresolved"
-    rows = entities.withColumn("name", F.when(F.col("entity_type").isin(*FIELD_TYPES), F.coalesce(m["canonical_value"], F.col("value")))).withColumn("key", F.lower(F.trim("name")))
+    rows = entities.withColumn("name", F.when(F.col("entity_type").isin(*FIELD_TYPES), F.coalesce(m["canonical_value"], F.col("value")))).withColumn("key", F.lower(stripped("name")))
     known = documented.withColumn("is_documented", F.lit(True))
     rows = rows.join(renames, "key", "left").join(known.withColumnRenamed("documented", "key"), "key", "left")
     rows = rows.join(known.select(F.col("documented").alias("renamed"), F.col("is_documented").alias("rename_documented")), "renamed", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 
 SATURATION, DECAY = 12.0, 0.6
@@ -30,20 +31,20 @@ def weight(table: dict[str, float], of: Column, default: float) -> Column:
 
 def match_kind(hop: Column, seed: Column, identifiers: Column) -> Column:
     """How a graph candidate was met: a seed by one of its identifiers, a seed by its name, or a neighbour."""
-    return F.when(hop > 0, "graph_neighbour").when(F.array_contains(identifiers, F.lower(F.trim(seed))), "exact_identifier").otherwise("graph_seed")
+    return F.when(hop > 0, "graph_neighbour").when(F.array_contains(identifiers, F.lower(stripped(seed))), "exact_identifier").otherwise("graph_seed")
 
 
 def scored(candidates: DataFrame) -> DataFrame:
     """Adds the seven parts and ``total`` to candidates (evidence, source, section, identifiers, fields)."""
     e = F.col("evidence")
     has = lambda f: F.when(F.exists(e, f), 1.0).otherwise(0.0)
-    wanted = F.transform(F.concat("identifiers", "fields"), lambda x: F.lower(F.trim(x)))
+    wanted = F.transform(F.concat("identifiers", "fields"), lambda x: F.lower(stripped(x)))
     best = F.coalesce(F.array_max(F.transform(F.filter(e, lambda x: x.method == "text"), lambda x: x.raw_score)), F.lit(0.0))
     hops = F.array_min(F.transform(F.filter(e, lambda x: x.method == "graph"), lambda x: x.hops))
     source = F.when((F.col("source") == "ecs") & (F.size("fields") > 0), 1.0).otherwise(weight(V.SOURCE_WEIGHTS, F.col("source"), 0.5))
     parts = {
         "exact": has(lambda x: (x.match_kind == "exact_identifier") & (F.size(x.matched) > 0)),
-        "entity": has(lambda x: F.arrays_overlap(F.transform(x.matched, lambda m: F.lower(F.trim(m))), F.filter(F.col("wanted"), lambda w: w != ""))),
+        "entity": has(lambda x: F.arrays_overlap(F.transform(x.matched, lambda m: F.lower(stripped(m))), F.filter(F.col("wanted"), lambda w: w != ""))),
         "graph": has(lambda x: x.method == "graph"),
         "lexical": F.when(best > 0, best / (best + SATURATION)).otherwise(0.0),
         "source": source,

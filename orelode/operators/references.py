@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import first_seen
+from orelode.functions.text import first_seen, stripped
 
 #: Shapes of identifiers, first match counts: fixed values.
 KINDS = (("data_source", r"(?i)^DS\d{4}$"), ("tactic", r"(?i)^TA\d{4}$"), ("technique", r"(?i)^T\d{4}(\.\d{3})?$"), ("group", r"(?i)^G\d{4}$"), ("software", r"(?i)^S\d{4}$"), ("mitigation", r"(?i)^M\d{4}$"), ("cve", r"(?i)^CVE-\d{4}-\d{4,}$"))
@@ -18,12 +18,12 @@ KINDS = (("data_source", r"(?i)^DS\d{4}$"), ("tactic", r"(?i)^TA\d{4}$"), ("tech
 def classified(value: Column) -> Column:
     out = F.lit("unknown")
     for kind, pattern in reversed(KINDS):
-        out = F.when(F.trim(value).rlike(pattern), kind).otherwise(out)
+        out = F.when(stripped(value).rlike(pattern), kind).otherwise(out)
     return out
 
 
 def canonical(value: Column) -> Column:
-    return F.when(classified(value) == "unknown", value).otherwise(F.upper(F.trim(value)))
+    return F.when(classified(value) == "unknown", value).otherwise(F.upper(stripped(value)))
 
 
 def text_of(metadata: Column, key: str) -> Column:
@@ -61,23 +61,46 @@ def references(records: DataFrame) -> DataFrame:
     found = none
     for source, refs in by.items():
         found = F.when(F.col("source") == source, refs).otherwise(found)
-    kept = F.filter(found, lambda r: r["value"].isNotNull() & (F.trim(r["value"]) != ""))
+    kept = F.filter(found, lambda r: r["value"].isNotNull() & (stripped(r["value"]) != ""))
     rows = records.select("source", "id", F.posexplode(kept).alias("ordinal", "r"))
     return rows.select("source", "id", "ordinal", F.col("r.field").alias("field"), canonical(F.col("r.value")).alias("value"), classified(F.col("r.value")).alias("kind"))
 
 
 def identifier_index(records: DataFrame, identifiers: str = "identifiers", keep: tuple[str, ...] = ("source", "id", "ordinal")) -> DataFrame:
     """``key`` (trimmed, upper-cased) for each identifier of a record."""
-    return records.select(*keep, F.explode(identifiers).alias("identifier")).select(F.upper(F.trim("identifier")).alias("key"), *keep)
+    return records.select(*keep, F.explode(identifiers).alias("identifier")).select(F.upper(stripped("identifier")).alias("key"), *keep)
 
 
 def resolved(refs: DataFrame, index: DataFrame, value: str = "value", order: str = "ordinal", record: str = "id") -> DataFrame:
     """``refs`` with ``status`` and ``candidates``, in the index's order. Each reference needs a unique ``ref``."""
     keys = index.select("key", F.struct(F.col(order).alias("o"), F.col(record).alias("r")).alias("candidate"))
-    hits = refs.select("ref", F.upper(F.trim(F.col(value))).alias("key")).join(keys, "key").groupBy("ref").agg(F.array_sort(F.collect_list("candidate")).alias("found"))
+    hits = refs.select("ref", F.upper(stripped(F.col(value))).alias("key")).join(keys, "key").groupBy("ref").agg(F.array_sort(F.collect_list("candidate")).alias("found"))
     out = refs.join(hits, "ref", "left").withColumn("candidates", F.coalesce(F.transform("found", lambda c: c["r"]), F.array().cast(f"array<{dict(index.dtypes)[record]}>"))).drop("found")
     return out.withColumn("status", F.when(F.size("candidates") == 0, "unresolved").when(F.size("candidates") == 1, "resolved").otherwise("ambiguous"))
 
 
+#: Sources that answer a kind of reference: fixed values. Other kinds have none.
+KIND_SOURCES = {"technique": "mitre", "tactic": "mitre", "group": "mitre", "software": "mitre", "mitigation": "mitre", "data_source": "mitre", "ecs_field": "ecs", "sigma_rule": "sigma", "elastic_rule": "elastic"}
+
+
+def resolved_by_kind(refs: DataFrame, index: DataFrame, value: str = "value", order: str = "ordinal", record: str = "id") -> DataFrame:
+    """``resolved``, where only records of the source that answers a reference's ``kind`` are candidates; with ``note``.
+
+    ``index`` has ``source``. A kind that no source answers, or whose source isn't in the index, is unresolved.
+    """
+    asked = F.lit(None).cast("string")
+    for kind, source in KIND_SOURCES.items():
+        asked = F.when(F.col("kind") == kind, source).otherwise(asked)
+    there = index.select("source").distinct().select(F.col("source").alias("asked"), F.lit(True).alias("loaded"))
+    rows = refs.withColumn("asked", asked)
+    keys = index.select(F.col("source").alias("asked"), "key", F.struct(F.col(order).alias("o"), F.col(record).alias("r")).alias("candidate"))
+    hits = rows.select("ref", "asked", F.upper(stripped(F.col(value))).alias("key")).join(keys, ["asked", "key"]).groupBy("ref").agg(F.array_sort(F.collect_list("candidate")).alias("found"))
+    out = rows.join(hits, "ref", "left").join(F.broadcast(there), "asked", "left")  # a row for each source
+    out = out.withColumn("candidates", F.coalesce(F.transform("found", lambda c: c["r"]), F.array().cast(f"array<{dict(index.dtypes)[record]}>")))
+    n = F.size("candidates")
+    note = F.when(~F.coalesce("loaded", F.lit(False)), "no source at hand answers this kind").when(n == 0, "no record has this identifier").when(n > 1, F.format_string("%d records have this identifier", n))
+    return out.withColumns({"status": F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"), "note": note}).drop("found", "loaded", "asked")
+
+
 def resolution_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

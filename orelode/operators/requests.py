@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import one_space
+from orelode.functions.text import one_space, stripped
 from orelode.operators.entities import nested_values
 from orelode.operators.rule_parsing import strings
 
@@ -14,7 +14,7 @@ OPERATIONS = ("analyze", "enhance", "generate")
 
 def request_faults(requests: DataFrame) -> DataFrame:
     """``request_id, fault`` of requests (request_id, operation, rule_text, query, language, requirement)."""
-    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    said = lambda c: stripped(F.coalesce(c, F.lit(""))) != ""
     subjects = said("rule_text").cast("int") + said("query").cast("int") + said("requirement").cast("int")
     faults = F.array(
         F.when(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False)), "unknown operation"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import first_seen
+from orelode.functions.text import first_seen, stripped
 from orelode.operators import ranking as R
 from orelode.operators import text_index as X
 from orelode.operators import traverse as T
@@ -22,7 +22,7 @@ CANDIDATES, TOP = 200, 10
 
 def checked(queries: DataFrame) -> DataFrame:
     """Queries; one that states no text, entities or fields is an error."""
-    said = (F.trim("text") != "") | (F.size("entity_ids") > 0) | (F.size("canonical_fields") > 0)
+    said = (stripped("text") != "") | (F.size("entity_ids") > 0) | (F.size("canonical_fields") > 0)
     return queries.filter(F.when(said, True).otherwise(F.raise_error(F.format_string("query %s states nothing", F.col("query_id").cast("string"))).cast("boolean")))
 
 
@@ -52,7 +52,7 @@ def graph_route(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges:
     reports = settled(T.seeds(asked, T.identifier_index(nodes, identifiers)))
     starts = T.start_nodes(reports)
     reached = settled(T.walked(starts, edges, hops))
-    own = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in identifiers if c != "name"]), lambda v: F.lower(F.trim(v))), lambda v: v.isNotNull())
+    own = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in identifiers if c != "name"]), lambda v: F.lower(stripped(v))), lambda v: v.isNotNull())
     rows = reached.join(nodes.select("node_id", "record_id", "canonical_id", own.alias("own")), "node_id").join(starts.select("query_id", "node_id", "value"), ["query_id", "node_id"], "left")
     rows = rows.join(chunks.select("record_id", "chunk_id", "chunk_ord", "source", "section"), "record_id").join(queries.select("query_id", "sources", "sections"), "query_id")
     rows = rows.filter(((F.size("sources") == 0) | F.array_contains("sources", F.col("source"))) & ((F.size("sections") == 0) | F.array_contains("sections", F.col("section"))))
@@ -73,8 +73,8 @@ def retrieved(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: Da
     graph = graph_route(queries, chunks, nodes, edges, identifiers, max(limit, top), hops)[0] if mode != "text" else none
     rows = settled(R.merged(text, graph)).join(chunks.select("chunk_id", "record_id", "source", "section"), "chunk_id")
     rows = rows.join(queries.select("query_id", F.col("entity_ids").alias("identifiers"), F.col("canonical_fields").alias("fields")), "query_id")
-    folded = F.transform("fields", lambda f: F.lower(F.trim(f)))
-    place = F.array_min(F.filter(F.transform(F.flatten(F.transform("evidence", lambda e: e.matched)), lambda m: F.array_position(folded, F.lower(F.trim(m)))), lambda p: p > 0))
+    folded = F.transform("fields", lambda f: F.lower(stripped(f)))
+    place = F.array_min(F.filter(F.transform(F.flatten(F.transform("evidence", lambda e: e.matched)), lambda m: F.array_position(folded, F.lower(stripped(m)))), lambda p: p > 0))
     return R.ranked(R.scored(rows.withColumn("named_at", place)), top, limit).drop("identifiers", "fields", "named_at")
 
 

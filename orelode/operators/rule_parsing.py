@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 
 RESERVED = ("condition", "timeframe")
@@ -21,7 +22,7 @@ def kind(doc: Column, path: str) -> Column:
 def scalar(doc: Column, path: str) -> Column:
     """A string, or a number as one; nothing of booleans, empty strings and others."""
     shape, value = kind(doc, path), F.try_variant_get(doc, f"$.{path}", "string")
-    return F.when(shape.rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)") & (F.trim(value) != ""), value)
+    return F.when(shape.rlike("^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL)") & (stripped(value) != ""), value)
 
 
 def whole(doc: Column, path: str) -> Column:
@@ -39,7 +40,7 @@ def strings(doc: Column, path: str) -> Column:
 def named(table: dict[str, str], value: Column) -> Column:
     out = F.lit("unknown")
     for k, v in table.items():
-        out = F.when(F.lower(F.trim(value)) == k, v).otherwise(out)
+        out = F.when(F.lower(stripped(value)) == k, v).otherwise(out)
     return out
 
 
@@ -55,11 +56,11 @@ def parsed(rules: DataFrame, text: str = "text") -> DataFrame:
 
     ``fault`` names what a document lacks; its other columns are then null.
     """
-    rows = rules.withColumn("doc", F.try_parse_json(F.trim(text))).withColumn("format", format_of(F.col("doc")))
+    rows = rules.withColumn("doc", F.try_parse_json(stripped(text))).withColumn("format", format_of(F.col("doc")))
     d, sigma = F.col("doc"), F.col("format") == "sigma"
     condition = kind(d, "detection.condition").rlike("^(STRING|ARRAY)")
     fault = (
-        F.when(F.trim(text) == "", "empty document").when(F.col("format") == "invalid", "not a mapping").when(F.col("format") == "unknown", "no parser takes it")
+        F.when(stripped(text) == "", "empty document").when(F.col("format") == "invalid", "not a mapping").when(F.col("format") == "unknown", "no parser takes it")
         .when(sigma & scalar(d, "title").isNull(), "title is required").when(sigma & ~F.coalesce(condition, F.lit(False)), "condition is required").when(~sigma & scalar(d, "name").isNull(), "name is required")
     )
     pick = lambda a, b: F.when(F.col("fault").isNull(), F.when(sigma, a).otherwise(b))
@@ -77,11 +78,11 @@ def attack_references(rules: DataFrame, text: str = "text") -> DataFrame:
     threat = F.try_variant_get(F.try_parse_json(text), "$.threat", shape)
     one = lambda i, j, k, ident: F.struct(i.alias("i"), j.alias("j"), k.alias("k"), ident.alias("id"))
     of = F.flatten(F.transform(threat, lambda t, i: F.flatten(F.transform(t.technique, lambda q, j: F.concat(F.array(one(i, j, F.lit(-1), q["id"])), F.coalesce(F.transform(q["subtechnique"], lambda s, k: one(i, j, k, s["id"])), F.array().cast("array<struct<i:int,j:int,k:int,id:string>>")))))))
-    rows = rules.select(*rules.columns, F.inline(of)).filter("id IS NOT NULL AND trim(id) <> ''")
+    rows = rules.select(*rules.columns, F.inline(of)).filter(stripped("id") != "")
     return rows.groupBy(*rules.columns, F.col("id").alias("technique")).agg(F.min(F.struct("i", "j", "k")).alias("p")).select(*rules.columns, "technique", F.concat_ws(".", *[F.col(f"p.{c}").cast("string") for c in "ijk"]).alias("place"))
 
 
 def raw_rules(rows: DataFrame) -> DataFrame:
     """Bare queries (rule_id, query, language) as rules of an unknown format."""
     none = F.lit(None).cast("string")
-    return rows.select("rule_id", F.lit("unknown").alias("format"), none.alias("identifier"), none.alias("title"), F.lit("unknown").alias("severity"), F.lit("unknown").alias("status"), named(V.LANGUAGES, F.col("language")).alias("language"), F.lit(None).cast("int").alias("risk_score"), "query", F.array().cast("array<string>").alias("tags"), F.when(F.trim("query") == "", "empty query").alias("fault"))
+    return rows.select("rule_id", F.lit("unknown").alias("format"), none.alias("identifier"), none.alias("title"), F.lit("unknown").alias("severity"), F.lit("unknown").alias("status"), named(V.LANGUAGES, F.col("language")).alias("language"), F.lit(None).cast("int").alias("risk_score"), "query", F.array().cast("array<string>").alias("tags"), F.when(stripped("query") == "", "empty query").alias("fault"))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
 from orelode.session import settled
 
 
 def identifier_index(nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``key, node_id`` for each distinct identifier (trimmed, lower-cased) of a node."""
-    keys = F.filter(F.array_distinct(F.transform(F.array(*[F.col(c).cast("string") for c in columns]), lambda v: F.lower(F.trim(v)))), lambda k: k.isNotNull() & (k != ""))
+    keys = F.filter(F.array_distinct(F.transform(F.array(*[F.col(c).cast("string") for c in columns]), lambda v: F.lower(stripped(v)))), lambda k: k.isNotNull() & (k != ""))
     return nodes.select("node_id", F.explode(keys).alias("key"))
 
 
@@ -29,9 +30,9 @@ def seeds(asked: DataFrame, index: DataFrame) -> DataFrame:
 
     A value without a node is followed to its successor if that one has exactly one node.
     """
-    rows = asked.withColumn("key", F.lower(F.trim("value")))
+    rows = asked.withColumn("key", F.lower(stripped("value")))
     found = rows.join(index, "key", "left").groupBy("query_id", "ordinal", "value").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
-    moved = found.filter(F.size("node_ids") == 0).withColumn("original", F.upper(F.trim("value"))).join(redirects(asked.sparkSession), "original")
+    moved = found.filter(F.size("node_ids") == 0).withColumn("original", F.upper(stripped("value"))).join(redirects(asked.sparkSession), "original")
     moved = moved.withColumn("key", F.lower("successor")).join(index, "key", "left").groupBy("query_id", "ordinal", "value", "successor").agg(F.array_sort(F.collect_set("node_id")).alias("new_ids"))
     rows = found.join(moved.select("query_id", "ordinal", "successor", "new_ids"), ["query_id", "ordinal"], "left")
     follow = (F.size("node_ids") == 0) & (F.coalesce(F.size("new_ids"), F.lit(0)) == 1)

@@ -105,7 +105,7 @@ SELECT id || ':summary:' || lpad((k + 1)::VARCHAR, greatest(3, length((k + 1)::V
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with label lines set between their parts; short, unknown, leading and neighbouring labels among them."""
-    d = table(spark, sf_dir, "documents").filter("length(text) > 60")
+    d = table(spark, sf_dir, "documents")
     head = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("A title of this record, long enough to stand by itself\n")))
     parts = [head, "Description: ", F.col("text"), "\nTags: a\nQuery: ", F.substring("text", 1, 50), "\nNotes: not a known label\nCONDITION: x\nReferences: ", F.substring("text", 5, 55), "\nURL: ", F.substring("text", 9, 52), "\nStatus: stable"]
     return d.select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("id"), F.element_at(F.array(*map(F.lit, C.DEFAULT_SECTION)), (F.col("doc_id") % 5 + 1).cast("int")).alias("source"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
@@ -122,7 +122,7 @@ def sql_list(values) -> str:
 SECTIONED_CHUNKS = f"""WITH known(label, section) AS (VALUES {sql_list(C.SECTIONS.items())}), defaults(source, section) AS (VALUES {sql_list(C.DEFAULT_SECTION.items())}),
 r AS (SELECT 'r' || doc_id AS id, ['mitre', 'sigma', 'elastic', 'lolbas', 'ecs'][doc_id % 5 + 1] AS source,
     (CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'A title of this record, long enough to stand by itself' || chr(10) END) || 'Description: ' || text || chr(10) || 'Tags: a' || chr(10) || 'Query: ' || substr(text, 1, 50) || chr(10) || 'Notes: not a known label' || chr(10) || 'CONDITION: x' || chr(10)
-    || 'References: ' || substr(text, 5, 55) || chr(10) || 'URL: ' || substr(text, 9, 52) || chr(10) || 'Status: stable' AS text FROM documents WHERE length(text) > 60),
+    || 'References: ' || substr(text, 5, 55) || chr(10) || 'URL: ' || substr(text, 9, 52) || chr(10) || 'Status: stable' AS text FROM documents),
 lines AS (SELECT id, line, i, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY i) - length(line) - 1 AS pos FROM (
     SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM r WHERE length(text) > 2000)),
 marks AS (SELECT id, pos::INT AS pos, known.section, trim(regexp_extract(line, '^([A-Z][A-Za-z0-9 /&()''\\-]{{1,40}}):', 1)) AS label FROM lines
