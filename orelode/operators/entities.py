@@ -21,57 +21,88 @@ SHAPES = {
     "file_hash": ("file", r"\b(?:[A-Fa-f0-9]{64}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{32})\b"),
     "registry_key": ("registry", r"(?i)(?:HKLM|HKCU|HKCR|HKU|HKCC|HKEY_LOCAL_MACHINE|HKEY_CURRENT_USER|HKEY_CLASSES_ROOT|HKEY_USERS|HKEY_CURRENT_CONFIG|\\REGISTRY\\[A-Za-z]+)[\\/][^\s\"']*"),
 }
-HEAD = re.compile(r"([A-Za-z_@][A-Za-z0-9_.@\-]*)\s*(?::|==|!=)\s*")
-MEMBER = re.compile(r'"[^"]*"|[^\s()]+')
-NOT = re.compile(r"not\b\s*", re.I)
-WORDS = {"and", "or", "not"}
+#: The atoms of a query: literals, parentheses, separators, names, white space, and single characters of all else. What a
+#: name, a separator, a literal and a keyword is, the query language fixes.
+ATOM = re.compile(r"""(?P<literal>"(?:[^"\\]|\\.)*")|(?P<paren>[()])|(?P<space>\s+)|(?P<separator>==|!=|:)|(?P<name>[A-Za-z_@][A-Za-z0-9_.@\-]*)|(?P<other>.)""", re.DOTALL)
+BARE = re.compile(r"[^\s()]+")
+KEYWORDS = {"and", "or", "not"}
 PAIR = "array<struct<field:string,value:string,location:string>>"
 PAIRS = pa.list_(pa.struct([("field", pa.string()), ("value", pa.string()), ("location", pa.string())]))
 
 
-def closing(text: str, start: int) -> int | None:
-    """Where the quote or parenthesis that opens at ``start`` is closed."""
-    depth, quoted, i = 0, False, start
-    while i < len(text):
-        c = text[i]
-        if quoted and c == "\\":
+class Atoms:
+    """A query as a list of (kind, text, place), with what can be read from a place on."""
+
+    def __init__(self, query: str):
+        self.query = query
+        self.items = [(m.lastgroup, m[0], m.start()) for m in ATOM.finditer(query)]
+
+    def kind(self, i: int) -> str:
+        return self.items[i][0] if i < len(self.items) else "end"
+
+    def solid(self, i: int) -> int:
+        """The first atom from ``i`` on that isn't white space."""
+        return i + 1 if self.kind(i) == "space" else i
+
+    def clauses(self):
+        """(name, its place, the value's first atom) for each name before a separator; the receiver says where to go on."""
+        i = 0
+        while i < len(self.items):
+            after = self.solid(i + 1)
+            if self.kind(i) != "name" or self.kind(after) != "separator":
+                i += 1
+                continue
+            first = self.solid(after + 1)
+            if self.kind(first) == "name" and self.items[first][1].lower() == "not":
+                first = self.solid(first + 1)
+            to = yield self.items[i][1], self.items[i][2], first
+            i = to or after + 1
+
+    def group(self, i: int) -> tuple[list[str], int]:
+        """Members of the group that opens at ``i``, and the atom behind it; no atom if the group doesn't end."""
+        depth, members, joined = 0, [], False
+        for j in range(i, len(self.items)):
+            kind, text, _ = self.items[j]
+            if kind == "paren":
+                depth += 1 if text == "(" else -1
+                joined = False
+                if not depth:
+                    return [m[1:-1] if len(m) > 1 and m[0] == m[-1] == '"' else m for m in members if m.lower() not in KEYWORDS], j + 1
+            elif kind == "space":
+                joined = False
+            elif joined:
+                members[-1] += text
+            else:
+                members.append(text)
+                joined = True
+        return [], 0
+
+    def values(self, i: int) -> tuple[list[str], int]:
+        """What is stated from atom ``i`` on, and the atom behind it."""
+        kind, text, place = self.items[i] if i < len(self.items) else ("end", "", 0)
+        if kind == "literal":
+            return [text[1:-1]], i + 1
+        if text == "(":
+            return self.group(i)
+        if kind == "end" or text == '"' or not (m := BARE.match(self.query, place)):
+            return [], 0
+        while i < len(self.items) and self.items[i][2] < m.end():
             i += 1
-        elif c == '"':
-            quoted = not quoted
-            if not quoted and depth == 0:
-                return i
-        elif not quoted and c in "()":
-            depth += 1 if c == "(" else -1
-            if depth == 0:
-                return i
-        i += 1
-    return None
+        return [m[0]], i
 
 
 def pairs(query: str) -> list[dict]:
     """Fields and the values stated for them; a clause that doesn't end states none."""
-    out, at = [], 0
-    while m := HEAD.search(query, at):
-        at = m.end()
-        if m[1].lower() in WORDS:
-            continue
-        start = n.end() if (n := NOT.match(query, at)) else at
-        if start >= len(query):
-            continue
-        if query[start] in '("':
-            end = closing(query, start)
-            if end is None:
-                continue
-            body = query[start + 1 : end]
-            values = [body] if query[start] == '"' else [w[1:-1] if len(w) > 1 and w[0] == w[-1] == '"' else w for w in MEMBER.findall(body) if w.lower() not in WORDS]
-            end += 1
-        else:
-            end = next((i for i in range(start, len(query)) if query[i].isspace() or query[i] in "()"), len(query))
-            values = [query[start:end]] if end > start else []
-        if values:
-            at = end
-            out += [{"field": m[1], "value": v, "location": f"detection.query[{m.start()}]" + (f"[{k}]" if k else "")} for k, v in enumerate(values)]
-    return out
+    atoms, out = Atoms(query), []
+    clauses, to = atoms.clauses(), None
+    while True:
+        try:
+            name, place, first = clauses.send(to)
+        except StopIteration:
+            return out
+        values, to = ([], None) if name.lower() in KEYWORDS else atoms.values(first)
+        to = to if values else None
+        out += [{"field": name, "value": v, "location": f"detection.query[{place}]" + (f"[{k}]" if k else "")} for k, v in enumerate(values)]
 
 
 def leaves(value, field: str, path: str) -> list[dict]:

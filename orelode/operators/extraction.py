@@ -16,6 +16,8 @@ from orelode.operators.mapping import split_field
 
 EXTRACTORS = (*V.ROUTES, "field", "metadata")
 DOTTED = r"[a-z_@][A-Za-z0-9_@\-]*(?:\.[A-Za-z0-9_@\-]+)+"
+#: Keys of a detection that are no blocks of it.
+RESERVED = r"^detection\.(?:condition|timeframe)(?:\[|\z)"
 COLUMNS = ("rule_id", "entity_type", "value", "source_field", "location", "section", "extractor")
 #: Metadata columns: entity type, source field, location, section.
 METADATA = (
@@ -27,7 +29,7 @@ METADATA = (
 
 def occurrences(rules: DataFrame) -> DataFrame:
     """``rule_id, field, value, location, walked``: values of the blocks, then pairs of the query."""
-    walked = E.nested_values(rules.select("rule_id", "detection")).select("rule_id", "n", "field", "value", "location", F.lit(True).alias("walked"))
+    walked = E.nested_values(rules.select("rule_id", "detection")).filter(~F.col("location").rlike(RESERVED)).select("rule_id", "n", "field", "value", "location", F.lit(True).alias("walked"))
     stated = E.query_pairs(rules.select("rule_id", "query")).select("rule_id", F.col("n") + 1_000_000, "field", "value", "location", F.lit(False))
     return walked.union(stated)
 
@@ -84,6 +86,62 @@ def extracted(rules: DataFrame, types: tuple[str, ...] | None = None) -> DataFra
     return out.withColumn("ordinal", order).drop("n")
 
 
+def of_type(rows: DataFrame, *types: str) -> DataFrame:
+    return rows.filter(F.col("entity_type").isin(*types))
+
+
+def of_section(rows: DataFrame, section: str) -> DataFrame:
+    return rows.filter(F.col("section") == section)
+
+
+def by_extractor(rows: DataFrame, extractor: str) -> DataFrame:
+    return rows.filter(F.col("extractor") == extractor)
+
+
+def values_of(rows: DataFrame, entity_type: str) -> DataFrame:
+    """``rule_id, values``: a type's values in their order, repeats too."""
+    return of_type(rows, entity_type).groupBy("rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rule_id, entity_type, n, values`` for each type of a rule."""
+    listed = F.array_sort(F.collect_list(F.struct("ordinal", "value")))
+    return rows.groupBy("rule_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda x: x["value"]).alias("values"))
+
+
+class Registry:
+    """Extractors by name in their order, and the entity types that each can produce."""
+
+    def __init__(self):
+        self.names: dict[str, tuple[str, ...]] = {}
+
+    @classmethod
+    def standard(cls) -> Registry:
+        out = cls()
+        for name, types in V.ROUTES.items():
+            out.register(name, (*types, *(k for k, (e, _) in E.SHAPES.items() if e == name and k not in types)))
+        out.register("field", ("field", "field_modifier"))
+        out.register("metadata", tuple(dict.fromkeys(m[1] for m in METADATA)))
+        return out
+
+    def register(self, name: str, types: tuple[str, ...]) -> None:
+        if name in self.names:
+            raise ValueError(f"extractor {name} is registered already")
+        self.names[name] = types
+
+    def by_name(self, name: str) -> tuple[str, ...]:
+        if name not in self.names:
+            raise KeyError(f"no extractor {name}")
+        return self.names[name]
+
+    def producing(self, entity_type: str) -> tuple[str, ...]:
+        """Extractors that can produce a type; an error if none can."""
+        found = tuple(n for n, types in self.names.items() if entity_type in types)
+        if not found:
+            raise KeyError(f"no extractor produces {entity_type}")
+        return found
+
+
 def present_types(rows: DataFrame) -> DataFrame:
     """Types of each rule in the order they are first seen."""
     first = rows.groupBy("rule_id", "entity_type").agg(F.min("ordinal").alias("o"))

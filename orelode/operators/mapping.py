@@ -55,11 +55,11 @@ def file_hash() -> Column:
     labelled, bare = r"^\s*([A-Za-z0-9_]+)\s*=\s*([A-Fa-f0-9]+)\s*$", r"^\s*([A-Fa-f0-9]+)\s*$"
     digest = F.lower(F.regexp_extract(v, bare, 1))
     return (
-        F.when((F.length(v) - F.length(F.replace(v, F.lit("="), F.lit(""))) > 1) | v.contains(","), unresolved("file_hash", "value carries several digests; none chosen", "ambiguous"))
+        F.when((F.length(v) - F.length(F.replace(v, F.lit("="), F.lit(""))) > 1) | v.contains(","), unresolved("file_hash", "several digests, so none is taken", "ambiguous"))
         .when(v.rlike(labelled), normalized("file_hash", F.lower(F.regexp_extract(v, labelled, 2)), "value_split"))
         .when(v.rlike(bare) & F.length(digest).isin(32, 40, 64), normalized("file_hash", digest, "syntax_pattern"))
-        .when(v.rlike(bare), unresolved("file_hash", "digest length matches no known algorithm"))
-        .otherwise(unresolved("file_hash", "value is not a recognisable hash digest"))
+        .when(v.rlike(bare), unresolved("file_hash", "no algorithm has digests of this length"))
+        .otherwise(unresolved("file_hash", "not a hash digest"))
     )
 
 
@@ -70,8 +70,8 @@ def registry_key() -> Column:
         hive = F.when(F.lower(stripped(head)).isin(short, name.lower()), name).otherwise(hive)
     tail = F.substring(v, F.length(head) + 2, F.length(v))
     return (
-        F.when(~v.contains("\\"), unresolved("registry_key", "value carries no hive prefix"))
-        .when(hive.isNull(), unresolved("registry_key", "prefix is not a known registry hive"))
+        F.when(~v.contains("\\"), unresolved("registry_key", "no hive before the first backslash"))
+        .when(hive.isNull(), unresolved("registry_key", "not the name of a hive"))
         .when(hive == head, exact("registry_key"))
         .otherwise(normalized("registry_key", F.concat(hive, F.lit("\\"), tail), "alias_table"))
     )
@@ -107,7 +107,7 @@ def tag() -> Column:
 
 def vocabulary(kind: str, allowed: tuple[str, ...]) -> Column:
     token = F.col("m_low")
-    return F.when(~token.isin(*allowed), unresolved(kind, f"value is outside the {kind} vocabulary", "enum_conversion")).otherwise(exact_or(kind, token, "enum_conversion", token))
+    return F.when(~token.isin(*allowed), unresolved(kind, f"not a known {kind}", "enum_conversion")).otherwise(exact_or(kind, token, "enum_conversion", token))
 
 
 def split_field(name: Column) -> tuple[Column, Column]:
@@ -125,23 +125,23 @@ def field() -> Column:
         of.setdefault(f, []).append(c)
     single = F.lit(None).cast("string")
     for c, names in V.FIELD_CATEGORIES.items():
-        if some := [f for f in names.split() if len(of[f]) == 1]:
+        if some := [f for f in names if len(of[f]) == 1]:
             single = F.when(key.isin(*some), c).otherwise(single)
     several = key.isin(*[f for f, c in of.items() if len(c) > 1])
-    return F.when(several, unresolved("unknown_field", "field name applies to several categories", "ambiguous")).when(single.isNull(), unresolved("unknown_field", "field name is not in the alias table", "alias_table")).otherwise(outcome(single, base, None, "alias", "alias_table"))
+    return F.when(several, unresolved("unknown_field", "a field of several categories", "ambiguous")).when(single.isNull(), unresolved("unknown_field", "not a known field", "alias_table")).otherwise(outcome(single, base, None, "alias", "alias_table"))
 
 
 def branches() -> dict[str, Column]:
     v, trimmed, low = F.col("value"), F.col("m_trim"), F.col("m_low")
     out = {t: exact(c) for t, c in PLAIN.items()}
-    out |= {t: F.when(trimmed == "", unresolved(c, "value is empty", "none")).otherwise(exact_or(c, low, "case_normalization")) for t, c in LOWERED.items()}
+    out |= {t: F.when(trimmed == "", unresolved(c, "nothing is stated", "none")).otherwise(exact_or(c, low, "case_normalization")) for t, c in LOWERED.items()}
     number = r"^\d+$"
     out["file_hash"], out["registry_key"], out["tag"], out["field"] = file_hash(), registry_key(), tag(), field()
-    out["windows_event_id"] = F.when(trimmed.rlike(number), exact("event_id", trimmed)).otherwise(unresolved("event_id", "value is not a single numeric event identifier"))
-    out["network_port"] = F.when(trimmed.rlike(number) & (F.coalesce(trimmed.try_cast("long"), F.lit(99999)) <= 65535), exact("network_port", trimmed)).otherwise(unresolved("network_port", "value is not a port number between 0 and 65535"))
-    out["reference"] = F.when(trimmed.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://\S+$"), exact("reference_url")).otherwise(unresolved("unknown", "reference is not a URL; citation form is not canonicalised"))
+    out["windows_event_id"] = F.when(trimmed.rlike(number), exact("event_id", trimmed)).otherwise(unresolved("event_id", "not an event number"))
+    out["network_port"] = F.when(trimmed.rlike(number) & (F.coalesce(trimmed.try_cast("long"), F.lit(99999)) <= 65535), exact("network_port", trimmed)).otherwise(unresolved("network_port", "not a port from 0 to 65535"))
+    out["reference"] = F.when(trimmed.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://\S+$"), exact("reference_url")).otherwise(unresolved("unknown", "not a URL"))
     out["severity"], out["status"] = vocabulary("severity_level", V.SEVERITIES), vocabulary("rule_status", V.STATUSES)
-    empty = unresolved("unknown", "value is empty", "none")
+    empty = unresolved("unknown", "nothing is stated", "none")
     out["group"] = F.when(trimmed == "", empty).otherwise(exact("group"))
     out["user"] = F.when(trimmed == "", empty).when(trimmed.rlike(r"(?i)^S-\d+-\d+(?:-\d+)*$"), exact_or("security_identifier", F.upper(trimmed), "case_normalization", F.upper(trimmed))).otherwise(F.when(v.isNotNull(), exact("user_account")))
     out["ip_address"] = ipv4()
@@ -160,7 +160,7 @@ def address_batches(batches):
                     net = str(ipaddress.ip_network(v, strict=False))
                     rows.append(("ip_network", net, net, "normalized", "syntax_pattern", None))
                 except ValueError:
-                    rows.append(("ip_address", None, None, "unresolved", "syntax_pattern", "value is neither an address nor a network"))
+                    rows.append(("ip_address", None, None, "unresolved", "syntax_pattern", "not an address or a network"))
         names = ("canonical_type", "canonical_value", "canonical_id", "status", "method", "note")
         made = pa.array([dict(zip(names, r, strict=True)) for r in rows], pa.struct([(n, pa.string()) for n in names]))
         yield batch.append_column("mapped", made)
@@ -168,7 +168,7 @@ def address_batches(batches):
 
 def mapped(entities: DataFrame) -> DataFrame:
     """``entities`` (entity_type, value, source_field and more) with the struct ``mapped``; unknown types are unresolved."""
-    out = unresolved("unknown", "no mapper claims this type", "none")
+    out = unresolved("unknown", "a type without a canonical form", "none")
     for kind, branch in branches().items():
         out = F.when(F.col("entity_type") == kind, branch).otherwise(out)
     odd = (F.col("entity_type") == "ip_address") & ~F.coalesce(stripped("value").rlike(IPV4) | stripped("value").rlike(IPV4_NET), F.lit(False))
@@ -177,6 +177,58 @@ def mapped(entities: DataFrame) -> DataFrame:
     return native.unionByName(entities.filter(odd).mapInArrow(arrow_task(__name__, "address_batches"), f"{schema}, mapped {OUT}"))
 
 
+def detailed(rows: DataFrame) -> DataFrame:
+    """Mapped entities with ``confidence`` (1.0 for what has a canonical form, else 0.0) and ``attributes``.
+
+    Attributes are a digest's algorithm, an address's version, a network's prefix, a tactic's slug, the hive of a key,
+    the field that a name without a category still names, and the event's number.
+    """
+    m, v = F.col("mapped"), stripped("value")
+    kind, done = m["canonical_type"], m["status"] != "unresolved"
+    labelled = F.regexp_extract("value", r"^\s*([A-Za-z0-9_]+)\s*=", 1)
+    size = F.length(m["canonical_value"])
+    algorithm = F.when(labelled != "", F.lower(labelled)).when(size == 32, "md5").when(size == 40, "sha1").when(size == 64, "sha256")
+    address = kind.isin("ip_address", "ip_network") & done
+    made = {
+        "algorithm": F.when((kind == "file_hash") & done, algorithm),
+        "version": F.when(address, F.when(m["canonical_id"].contains(":"), "6").otherwise("4")),
+        "prefix_length": F.when((kind == "ip_network") & done, F.substring_index(m["canonical_id"], "/", -1)),
+        "tactic": F.when((kind == "attack_tactic_reference") & m["canonical_id"].isNull() & done, m["canonical_value"]),
+        "hive": F.when((kind == "registry_key") & done, F.substring_index(m["canonical_value"], "\\", 1)),
+        "canonical_field": F.when(F.col("entity_type") == "field", split_field(F.coalesce(F.when(F.col("source_field") != "", F.col("source_field")), F.col("value")))[0]),
+        "event_id": F.when((kind == "event_id") & done, v),
+    }
+    attributes = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, made)), F.array(*made.values())), lambda _, x: x.isNotNull())
+    return rows.withColumns({"confidence": F.when(done, 1.0).otherwise(0.0), "attributes": attributes})
+
+
+def unambiguous(rows: DataFrame) -> DataFrame:
+    """Mapped entities; one with several readings is an error."""
+    bad = F.raise_error(F.format_string("%s '%s' has several readings", "entity_type", "value")).cast("boolean")
+    return rows.filter(F.when(F.coalesce(F.col("mapped.method") != "ambiguous", F.lit(True)), True).otherwise(bad))
+
+
+def of_status(rows: DataFrame, *statuses: str) -> DataFrame:
+    return rows.filter(F.col("mapped.status").isin(*statuses))
+
+
+def of_type(rows: DataFrame, *types: str) -> DataFrame:
+    return rows.filter(F.col("mapped.canonical_type").isin(*types))
+
+
+def identifiers_of(rows: DataFrame, canonical_type: str, key: str = "rule_id", order: str = "ordinal") -> DataFrame:
+    """``key, identifiers``: the distinct canonical ids of a type in the order they are first seen."""
+    some = of_type(rows, canonical_type).filter("mapped.canonical_id IS NOT NULL")
+    first = some.groupBy(key, F.col("mapped.canonical_id").alias("i")).agg(F.min(order).alias("o"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "i"))), lambda x: x["i"]).alias("identifiers"))
+
+
+def grouped(rows: DataFrame, key: str = "rule_id", order: str = "ordinal") -> DataFrame:
+    """``key, canonical_type, n, canonical_values``: how many of each type, and what they are in order."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("mapped.canonical_value", "value").alias("v"))))
+    return rows.groupBy(key, F.col("mapped.canonical_type").alias("canonical_type")).agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda x: x["v"]).alias("canonical_values"))
+
+
 def resolved(rows: DataFrame) -> DataFrame:
     return rows.filter("mapped.status <> 'unresolved'")
 

@@ -72,6 +72,42 @@ def parsed(rules: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def strings_said(doc: Column, path: str) -> Column:
+    """``strings`` without blank ones."""
+    return F.filter(strings(doc, path), lambda x: stripped(x) != "")
+
+
+def described(rules: DataFrame, text: str = "text") -> DataFrame:
+    """``parsed`` with all else that a rule says: who, when, where it looks, what it detects, and what it rests on.
+
+    ``detection`` is the JSON text of a rule's named blocks in their order (its condition and timeframe stand by
+    themselves), ``attack`` the techniques of its threats, each once at its first place.
+    """
+    rows = parsed(rules, text).withColumn("doc", F.try_parse_json(stripped(text)))
+    d, sigma, good = F.col("doc"), F.col("format") == "sigma", F.col("fault").isNull()
+    pick = lambda a, b: F.when(good, F.when(sigma, a).otherwise(b))
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    frame = F.when(kind(d, "detection.timeframe") == "STRING", F.try_variant_get(d, "$.detection.timeframe", "string"))
+    block = F.get_json_object(stripped(text), "$.detection")
+    columns = {
+        "description": pick(scalar(d, "description"), scalar(d, "description")), "authors": pick(strings(d, "author"), strings(d, "author")), "version": pick(scalar(d, "version"), scalar(d, "version")),
+        "created": pick(scalar(d, "date"), scalar(d, "created_at")), "modified": pick(scalar(d, "modified"), scalar(d, "updated_at")),
+        "category": pick(scalar(d, "logsource.category"), none), "product": pick(scalar(d, "logsource.product"), none), "service": pick(scalar(d, "logsource.service"), none), "definition": pick(scalar(d, "logsource.definition"), none),
+        "indices": pick(nothing, strings(d, "index")), "detection": pick(block, none), "condition": pick(strings_said(d, "detection.condition"), nothing), "timeframe": pick(frame, none),
+        "rule_type": pick(none, scalar(d, "type")), "references": pick(strings(d, "references"), strings(d, "references")), "false_positives": pick(strings(d, "falsepositives"), strings(d, "false_positives")),
+    }
+    rows = rows.withColumns(columns).drop("doc")
+    return rows.withColumn("attack", F.when(good, F.when(~sigma, techniques(F.col(text))).otherwise(nothing)))
+
+
+def techniques(text: Column) -> Column:
+    """The techniques of a rule's threats in their order, each once."""
+    shape = "array<struct<technique:array<struct<id:string,subtechnique:array<struct<id:string>>>>>>"
+    threat = F.try_variant_get(F.try_parse_json(text), "$.threat", shape)
+    found = F.flatten(F.transform(threat, lambda t: F.flatten(F.transform(t.technique, lambda q: F.concat(F.array(q["id"]), F.coalesce(F.transform(q["subtechnique"], lambda s: s["id"]), F.array().cast("array<string>")))))))
+    return F.array_distinct(F.filter(F.coalesce(found, F.array().cast("array<string>")), lambda i: stripped(i) != ""))
+
+
 def attack_references(rules: DataFrame, text: str = "text") -> DataFrame:
     """``rules`` with ``technique, place`` for each technique of their threats, distinct by the first place."""
     shape = "array<struct<technique:array<struct<id:string,subtechnique:array<struct<id:string>>>>>>"

@@ -264,6 +264,25 @@ CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN '7' END AS
 CASE p_partkey % 7 WHEN 1 THEN p_size END AS risk_score, CASE p_partkey % 7 WHEN 1 THEN 'q' END AS query, ['a,b', 'one', ''][p_partkey % 7 + 1] AS tags, [NULL, NULL, NULL, 'title is required', 'not a mapping', 'condition is required', 'not a mapping'][p_partkey % 7 + 1] AS fault FROM part"""
 
 
+FULL = """CASE p_partkey % 4 WHEN 0 THEN concat('{"title": "', p_name, '", "description": "', p_type, '", "author": ["a", 3, "b"], "date": "2024/01/02", "version": 2, "logsource": {"category": "process_creation", "product": " ", "service": 7}, "detection": {"sel": {"Image|endswith": "', p_brand, '"}, "condition": ["sel", " ", 5, "not x"], "timeframe": "5m"}, "references": "http://x", "falsepositives": ["none"]}')
+WHEN 1 THEN concat('{"name": "', p_name, '", "description": null, "author": "solo", "created_at": "c", "updated_at": "u", "type": "eql", "index": ["i-', CAST(p_size AS STRING), '", true, "j"], "query": "q", "references": ["r1", "r2"], "false_positives": "fp", "threat": [{"technique": [{"id": "T1", "subtechnique": [{"id": "T1.1"}, {"id": " "}]}]}, {"technique": [{"id": "T1"}, {"id": "T2"}]}]}')
+WHEN 2 THEN '{"title": "t", "detection": {"condition": "c", "timeframe": 5}, "logsource": "x"}' ELSE '{"name": "n"}' END"""
+
+
+def described_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.described(table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_id", f"{FULL} AS text"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("authors", "indices", "condition", "references", "false_positives", "attack")]
+    return rows.select("rule_id", "format", "fault", "description", "version", "created", "modified", "category", "product", "service", "timeframe", "rule_type", F.md5(F.encode(F.regexp_replace("detection", " ", ""), "UTF-8")).alias("detection"), *lists)
+
+
+DESCRIBED_RULES = """SELECT p_partkey AS rule_id, ['sigma', 'elastic', 'sigma', 'unknown'][k] AS format, CASE WHEN k = 4 THEN 'no parser takes it' END AS fault, CASE k WHEN 1 THEN p_type END AS description, CASE k WHEN 1 THEN '2' END AS version, CASE k WHEN 1 THEN '2024/01/02' WHEN 2 THEN 'c' END AS created, CASE k WHEN 2 THEN 'u' END AS modified,
+CASE k WHEN 1 THEN 'process_creation' END AS category, NULL::VARCHAR AS product, CASE k WHEN 1 THEN '7' END AS service, CASE k WHEN 1 THEN '5m' END AS timeframe, CASE k WHEN 2 THEN 'eql' END AS rule_type,
+CASE k WHEN 1 THEN md5(replace('{"sel":{"Image|endswith":"' || p_brand || '"},"condition":["sel"," ",5,"not x"],"timeframe":"5m"}', ' ', '')) WHEN 3 THEN md5('{"condition":"c","timeframe":5}') END AS detection,
+CASE k WHEN 1 THEN 'a,b' WHEN 2 THEN 'solo' WHEN 3 THEN '' END AS authors, CASE k WHEN 1 THEN '' WHEN 2 THEN 'i-' || p_size || ',j' WHEN 3 THEN '' END AS indices, CASE k WHEN 1 THEN 'sel,not x' WHEN 2 THEN '' WHEN 3 THEN 'c' END AS condition,
+CASE k WHEN 1 THEN 'http://x' WHEN 2 THEN 'r1,r2' WHEN 3 THEN '' END AS "references", CASE k WHEN 1 THEN 'none' WHEN 2 THEN 'fp' WHEN 3 THEN '' END AS false_positives, CASE k WHEN 1 THEN '' WHEN 2 THEN 'T1,T1.1,T2' WHEN 3 THEN '' END AS attack
+FROM (SELECT *, p_partkey % 4 + 1 AS k FROM part)"""
+
+
 def attack_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_id", f"{DOC} AS text").filter("text <> ''")
     return P.attack_references(rows).select("rule_id", "technique", "place")
@@ -308,6 +327,7 @@ QUERIES = {
     "rating_bands": (rating_bands, RATING),
     "format_json": (format_json, FORMAT_JSON),
     "parsed_rules": (parsed_rules, PARSED_RULES),
+    "described_rules": (described_rules, DESCRIBED_RULES),
     "attack_references": (attack_references, ATTACK_REFERENCES),
     "ground_truth": (ground_truth, GROUND_TRUTH),
 }

@@ -73,31 +73,31 @@ def either(kind: str, canonical: str, method: str, ident: str = "NULL") -> str:
 TOKEN = "CASE WHEN starts_with(lower(trim(value)), 'attack.') THEN substr(trim(value), 8) ELSE trim(value) END"
 SQL_BRANCHES = {
     "process": out("'process'", "value", "NULL", "exact", "direct_type"),
-    "group": f"CASE WHEN trim(value) = '' THEN {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'none', repr('value is empty'))} ELSE {out(repr('group'), 'value', 'NULL', 'exact', 'direct_type')} END",
-    "user": f"CASE WHEN trim(value) = '' THEN {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'none', repr('value is empty'))} WHEN regexp_matches(trim(value), '(?i)^S-\\d+-\\d+(-\\d+)*$') THEN {either(repr('security_identifier'), 'upper(trim(value))', 'case_normalization', 'upper(trim(value))')} ELSE {out(repr('user_account'), 'value', 'NULL', 'exact', 'direct_type')} END",
-    "dns_name": f"CASE WHEN trim(value) = '' THEN {out(repr('domain_name'), 'NULL', 'NULL', 'unresolved', 'none', repr('value is empty'))} ELSE {either(repr('domain_name'), 'lower(trim(value))', 'case_normalization')} END",
-    "severity": f"CASE WHEN lower(trim(value)) IN {V.SEVERITIES} THEN {either(repr('severity_level'), 'lower(trim(value))', 'enum_conversion', 'lower(trim(value))')} ELSE {out(repr('severity_level'), 'NULL', 'NULL', 'unresolved', 'enum_conversion', repr('value is outside the severity_level vocabulary'))} END",
-    "status": f"CASE WHEN lower(trim(value)) IN {V.STATUSES} THEN {either(repr('rule_status'), 'lower(trim(value))', 'enum_conversion', 'lower(trim(value))')} ELSE {out(repr('rule_status'), 'NULL', 'NULL', 'unresolved', 'enum_conversion', repr('value is outside the rule_status vocabulary'))} END",
-    "windows_event_id": f"CASE WHEN regexp_matches(trim(value), '^\\d+$') THEN {out(repr('event_id'), 'value', 'trim(value)', 'exact', 'direct_type')} ELSE {out(repr('event_id'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('value is not a single numeric event identifier'))} END",
-    "network_port": f"CASE WHEN regexp_matches(trim(value), '^\\d+$') AND trim(value)::BIGINT <= 65535 THEN {out(repr('network_port'), 'value', 'trim(value)', 'exact', 'direct_type')} ELSE {out(repr('network_port'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('value is not a port number between 0 and 65535'))} END",
-    "reference": f"CASE WHEN regexp_matches(trim(value), '^[A-Za-z][A-Za-z0-9+.-]*://\\S+$') THEN {out(repr('reference_url'), 'value', 'NULL', 'exact', 'direct_type')} ELSE {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('reference is not a URL; citation form is not canonicalised'))} END",
-    "file_hash": f"""CASE WHEN length(value) - length(replace(value, '=', '')) > 1 OR contains(value, ',') THEN {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'ambiguous', repr('value carries several digests; none chosen'))}
+    "group": f"CASE WHEN trim(value) = '' THEN {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'none', repr('nothing is stated'))} ELSE {out(repr('group'), 'value', 'NULL', 'exact', 'direct_type')} END",
+    "user": f"CASE WHEN trim(value) = '' THEN {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'none', repr('nothing is stated'))} WHEN regexp_matches(trim(value), '(?i)^S-\\d+-\\d+(-\\d+)*$') THEN {either(repr('security_identifier'), 'upper(trim(value))', 'case_normalization', 'upper(trim(value))')} ELSE {out(repr('user_account'), 'value', 'NULL', 'exact', 'direct_type')} END",
+    "dns_name": f"CASE WHEN trim(value) = '' THEN {out(repr('domain_name'), 'NULL', 'NULL', 'unresolved', 'none', repr('nothing is stated'))} ELSE {either(repr('domain_name'), 'lower(trim(value))', 'case_normalization')} END",
+    "severity": f"CASE WHEN lower(trim(value)) IN {V.SEVERITIES} THEN {either(repr('severity_level'), 'lower(trim(value))', 'enum_conversion', 'lower(trim(value))')} ELSE {out(repr('severity_level'), 'NULL', 'NULL', 'unresolved', 'enum_conversion', repr('not a known severity_level'))} END",
+    "status": f"CASE WHEN lower(trim(value)) IN {V.STATUSES} THEN {either(repr('rule_status'), 'lower(trim(value))', 'enum_conversion', 'lower(trim(value))')} ELSE {out(repr('rule_status'), 'NULL', 'NULL', 'unresolved', 'enum_conversion', repr('not a known rule_status'))} END",
+    "windows_event_id": f"CASE WHEN regexp_matches(trim(value), '^\\d+$') THEN {out(repr('event_id'), 'value', 'trim(value)', 'exact', 'direct_type')} ELSE {out(repr('event_id'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not an event number'))} END",
+    "network_port": f"CASE WHEN regexp_matches(trim(value), '^\\d+$') AND trim(value)::BIGINT <= 65535 THEN {out(repr('network_port'), 'value', 'trim(value)', 'exact', 'direct_type')} ELSE {out(repr('network_port'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not a port from 0 to 65535'))} END",
+    "reference": f"CASE WHEN regexp_matches(trim(value), '^[A-Za-z][A-Za-z0-9+.-]*://\\S+$') THEN {out(repr('reference_url'), 'value', 'NULL', 'exact', 'direct_type')} ELSE {out(repr('unknown'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not a URL'))} END",
+    "file_hash": f"""CASE WHEN length(value) - length(replace(value, '=', '')) > 1 OR contains(value, ',') THEN {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'ambiguous', repr('several digests, so none is taken'))}
         WHEN regexp_matches(value, '^\\s*[A-Za-z0-9_]+\\s*=\\s*[A-Fa-f0-9]+\\s*$') THEN {out(repr('file_hash'), "lower(trim(split_part(value, '=', 2)))", 'NULL', 'normalized', 'value_split')}
         WHEN regexp_matches(value, '^\\s*[A-Fa-f0-9]+\\s*$') AND length(trim(value)) IN (32, 40, 64) THEN {out(repr('file_hash'), 'lower(trim(value))', 'NULL', 'normalized', 'syntax_pattern')}
-        WHEN regexp_matches(value, '^\\s*[A-Fa-f0-9]+\\s*$') THEN {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('digest length matches no known algorithm'))}
-        ELSE {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('value is not a recognisable hash digest'))} END""",
-    "registry_key": f"""CASE WHEN NOT contains(value, chr(92)) THEN {out(repr('registry_key'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('value carries no hive prefix'))}
-        WHEN {HIVE} IS NULL THEN {out(repr('registry_key'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('prefix is not a known registry hive'))}
+        WHEN regexp_matches(value, '^\\s*[A-Fa-f0-9]+\\s*$') THEN {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('no algorithm has digests of this length'))}
+        ELSE {out(repr('file_hash'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not a hash digest'))} END""",
+    "registry_key": f"""CASE WHEN NOT contains(value, chr(92)) THEN {out(repr('registry_key'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('no hive before the first backslash'))}
+        WHEN {HIVE} IS NULL THEN {out(repr('registry_key'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not the name of a hive'))}
         WHEN {HIVE} = split_part(value, chr(92), 1) THEN {out(repr('registry_key'), 'value', 'NULL', 'exact', 'direct_type')}
         ELSE {out(repr('registry_key'), f"{HIVE} || substr(value, length(split_part(value, chr(92), 1)) + 1)", 'NULL', 'normalized', 'alias_table')} END""",
     "tag": f"CASE WHEN regexp_matches({TOKEN}, '(?i)^T[0-9]{{4}}(\\.[0-9]{{3}})?$') THEN {either(repr('attack_technique_reference'), f'upper({TOKEN})', 'syntax_pattern', f'upper({TOKEN})')} "
     + " ".join(f"WHEN regexp_matches({TOKEN}, '(?i)^{p}$') THEN {either(repr(k), f'upper({TOKEN})', 'syntax_pattern', f'upper({TOKEN})')}" for k, p in (("attack_tactic_reference", "TA[0-9]{4}"), ("attack_group_reference", "G[0-9]{4}"), ("attack_software_reference", "S[0-9]{4}"), ("cve_reference", "CVE-[0-9]{4}-[0-9]{4,}")))
     + f" WHEN starts_with(lower(trim(value)), 'attack.') AND {TOKEN} <> '' THEN {out(repr('attack_tactic_reference'), f'lower({TOKEN})', 'NULL', 'normalized', 'syntax_pattern')} ELSE {out(repr('rule_tag'), 'value', 'NULL', 'exact', 'direct_type')} END",
-    "field": f"""CASE WHEN lower(regexp_replace(split_part(value, '|', 1), '(?i)(.)\\.caseless$', '\\1')) IN ('source', 'type', 'service') THEN {out(repr('unknown_field'), 'NULL', 'NULL', 'unresolved', 'ambiguous', repr('field name applies to several categories'))}
-        WHEN {case("lower(regexp_replace(split_part(value, '|', 1), '(?i)(.)[.]caseless$', chr(92) || '1'))", of_fields(True))} IS NULL THEN {out(repr('unknown_field'), 'NULL', 'NULL', 'unresolved', 'alias_table', repr('field name is not in the alias table'))}
+    "field": f"""CASE WHEN lower(regexp_replace(split_part(value, '|', 1), '(?i)(.)\\.caseless$', '\\1')) IN ('source', 'type', 'service') THEN {out(repr('unknown_field'), 'NULL', 'NULL', 'unresolved', 'ambiguous', repr('a field of several categories'))}
+        WHEN {case("lower(regexp_replace(split_part(value, '|', 1), '(?i)(.)[.]caseless$', chr(92) || '1'))", of_fields(True))} IS NULL THEN {out(repr('unknown_field'), 'NULL', 'NULL', 'unresolved', 'alias_table', repr('not a known field'))}
         ELSE {out(case("lower(regexp_replace(split_part(value, '|', 1), '(?i)(.)[.]caseless$', chr(92) || '1'))", of_fields(True)), "regexp_replace(split_part(value, '|', 1), '(?i)(.)[.]caseless$', chr(92) || '1')", 'NULL', 'alias', 'alias_table')} END""",
-    "nothing": out("'unknown'", "NULL", "NULL", "unresolved", "none", "'no mapper claims this type'"),
-    "ip_address": f"CASE WHEN regexp_matches(trim(value), '^{OCT}(\\.{OCT}){{3}}$') THEN {out(repr('ip_address'), 'value', 'trim(value)', 'exact', 'direct_type')} WHEN regexp_matches(trim(value), '^{OCT}(\\.{OCT}){{3}}/(3[0-2]|[12]?[0-9])$') THEN {out(repr('ip_network'), NET, NET, 'normalized', 'syntax_pattern')} ELSE {out(repr('ip_address'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('value is neither an address nor a network'))} END",
+    "nothing": out("'unknown'", "NULL", "NULL", "unresolved", "none", "'a type without a canonical form'"),
+    "ip_address": f"CASE WHEN regexp_matches(trim(value), '^{OCT}(\\.{OCT}){{3}}$') THEN {out(repr('ip_address'), 'value', 'trim(value)', 'exact', 'direct_type')} WHEN regexp_matches(trim(value), '^{OCT}(\\.{OCT}){{3}}/(3[0-2]|[12]?[0-9])$') THEN {out(repr('ip_network'), NET, NET, 'normalized', 'syntax_pattern')} ELSE {out(repr('ip_address'), 'NULL', 'NULL', 'unresolved', 'syntax_pattern', repr('not an address or a network'))} END",
 }
 NAMES = ("canonical_type", "canonical_value", "canonical_id", "status", "method", "note")
 SQL_ENTITIES = f"SELECT event_id, {ENTITY_TYPE} AS entity_type, {VALUE} AS value FROM events"
@@ -112,6 +112,17 @@ def mapping_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MAPPING_COUNTS = f"WITH c AS ({CANONICAL_FORMS}) SELECT entity_type, status, count(*) AS n, count_if(method = 'ambiguous')::BIGINT AS ambiguous, count(DISTINCT canonical_id) AS ids FROM c GROUP BY ALL"
 
+def mapping_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = M.detailed(M.mapped(entities(spark, sf_dir)))
+    return rows.select("event_id", "entity_type", "confidence", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("attributes"))
+
+
+MAPPING_DETAILS = f"""WITH c AS ({CANONICAL_FORMS}), v AS (SELECT c.*, e.value FROM c JOIN ({SQL_ENTITIES}) e USING (event_id)), d AS (SELECT *, status <> 'unresolved' AS done, regexp_extract(value, '^\\s*([A-Za-z0-9_]+)\\s*=', 1) AS label FROM v)
+SELECT event_id, entity_type, CASE WHEN done THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence, CASE WHEN entity_type = 'field' THEN 'canonical_field=' || regexp_replace(split_part(value, '|', 1), '(?i)(.)[.]caseless$', chr(92) || '1')
+WHEN NOT done THEN '' WHEN canonical_type = 'file_hash' THEN 'algorithm=' || CASE WHEN label <> '' THEN lower(label) ELSE CASE length(canonical_value) WHEN 32 THEN 'md5' WHEN 40 THEN 'sha1' ELSE 'sha256' END END
+WHEN canonical_type = 'ip_address' THEN 'version=4' WHEN canonical_type = 'ip_network' THEN 'prefix_length=' || split_part(canonical_id, '/', 2) || ';version=4' WHEN canonical_type = 'attack_tactic_reference' AND canonical_id IS NULL THEN 'tactic=' || canonical_value
+WHEN canonical_type = 'registry_key' THEN 'hive=' || split_part(canonical_value, chr(92), 1) WHEN canonical_type = 'event_id' THEN 'event_id=' || trim(value) ELSE '' END AS attributes FROM d"""
+
 FIELDS = ("process.name", "CommandLine|contains", "user", "made.up", "source", "file.path.caseless")
 QUERY = f"""CASE event_id % 6 WHEN 0 THEN concat('process.name:(a or b or "c d") and user.name : ', {S('user_id')})
  WHEN 1 THEN concat('not event.code == "', event_type, '" or x != (', {S('event_id')}, ')') WHEN 2 THEN 'file.path:"unterminated and y:z' WHEN 3 THEN concat('host.ip: not ', {S('user_id')}, ' or and:x')
@@ -176,6 +187,7 @@ SHAPE_SCAN = "WITH s AS (SELECT 'd' || doc_id AS scope, text FROM documents UNIO
 QUERIES = {
     "canonical_forms": (canonical_forms, CANONICAL_FORMS),
     "mapping_counts": (mapping_counts, MAPPING_COUNTS),
+    "mapping_details": (mapping_details, MAPPING_DETAILS),
     "query_pairs": (query_pairs, QUERY_PAIRS),
     "nested_values": (nested_values, NESTED_VALUES),
     "route_fields": (route_fields, ROUTE_FIELDS),
