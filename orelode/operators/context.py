@@ -35,40 +35,52 @@ def organised(items: DataFrame) -> DataFrame:
     return items.withColumn("section_ord", section).withColumn("place", F.row_number().over(Window.partitionBy("package_id").orderBy("section_ord", *keys)))
 
 
-def fitted(sizes: Column, limit: Column, trim: bool = True) -> Column:
-    """What is kept of each item (characters) under a limit, earliest first.
+POLICIES = ("none", "trim_tail", "drop_lowest")
 
-    With ``trim`` the item that crosses the limit is cut, its marker within the room; one that has no room for more
-    than the marker is dropped, and later ones that fit still come in. Without, all from the first that doesn't fit go.
-    """
-    marker = len(MARKER)
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("stop"), F.array().cast("array<long>").alias("kept"))
-
-    def step(acc, size):
-        room = limit - acc["used"]
-        cut = F.when(acc["stop"] | (room <= 0), F.lit(0)).when(size <= room, size).when(F.lit(trim) & (room > marker), room).otherwise(F.lit(0)).cast("long")
-        stop = acc["stop"] | (F.lit(not trim) & (room > 0) & (size > room))
-        return F.struct((acc["used"] + cut).alias("used"), stop.alias("stop"), F.array_append(acc["kept"], cut).alias("kept"))
-
-    return F.aggregate(F.transform(sizes, lambda s: s.cast("long")), start, step, lambda acc: acc["kept"])
 
+def fitted(rows: DataFrame, group: tuple[str, ...], limit: int, policy: str = "trim_tail", size: str = "size") -> DataFrame:
+    """``rows`` (place, and a size in characters) with ``kept``, what a limit leaves of each, earliest first.
 
-def budgeted(items: DataFrame, section_limit: int = SECTION_LIMIT, total_limit: int = TOTAL_LIMIT - RESERVED, trim: bool = True) -> DataFrame:
-    """``package_id, item_id, section, place, size, kept``: first each section within its limit, then all within the total.
-
-    A section or package within its limit is left as it is.
+    A group within its limit stays as it is. Else, by ``trim_tail``, the item that crosses the limit is cut, its marker
+    within the room; one that has no room for more than the marker is dropped, and later ones that fit still come in. By
+    ``drop_lowest`` all from the first that doesn't fit go, and by ``none`` a group over its limit is an error. A limit
+    of zero or less is none. Sums run along the places; only what may still fit a room of less than a marker is folded.
     """
-    def limited(groups: DataFrame, limit: int) -> DataFrame:
-        sizes = F.transform("items", lambda i: i["size"])
-        total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, s: a + s)
-        kept = F.when(F.lit(limit <= 0) | (total <= limit), F.transform(sizes, lambda s: s.cast("long"))).otherwise(fitted(sizes, F.lit(limit), trim))
-        return groups.withColumn("kept", kept).select("package_id", F.inline(F.arrays_zip("items", "kept"))).select("package_id", "items.*", "kept")
-
-    item = lambda size: F.struct("place", "item_id", "section", "size0", F.col(size).cast("long").alias("size"))
-    rows = items.withColumn("size0", F.length("text").cast("long"))
-    first = limited(rows.groupBy("package_id", "section").agg(F.array_sort(F.collect_list(item("size0"))).alias("items")), section_limit)
-    second = limited(first.withColumn("size1", F.col("kept")).drop("size").groupBy("package_id").agg(F.array_sort(F.collect_list(item("size1"))).alias("items")), total_limit)
-    return second.select("package_id", "item_id", "section", "place", F.col("size0").alias("size"), "kept")
+    if policy not in POLICIES:
+        raise ValueError(f"policy {policy!r} isn't known")
+    of, n = Window.partitionBy(*group), F.col(size).cast("long")
+    if limit <= 0:
+        return rows.withColumn("kept", n)
+    marker = len(MARKER)
+    out = rows.withColumns({"upto": F.sum(n).over(of.orderBy("place")), "in_all": F.sum(n).over(of)})
+    if policy == "none":
+        over = F.raise_error(F.format_string(f"%d characters are more than the {limit} allowed", "in_all")).cast("long")
+        return out.withColumn("kept", F.when(F.col("in_all") <= limit, n).otherwise(over)).drop("upto", "in_all")
+    before = F.col("upto") - n
+    crossing = (F.col("upto") > limit) & (before <= limit)
+    out = out.withColumn("room", F.min(F.when(crossing, limit - before)).over(of)).withColumn("at", F.min(F.when(crossing, F.col("place"))).over(of))
+    whole, first = F.col("upto") <= limit, F.col("place") == F.col("at")
+    if policy == "drop_lowest":
+        return out.withColumn("kept", F.when(whole, n).otherwise(F.lit(0).cast("long"))).drop("upto", "in_all", "room", "at")
+    out = out.withColumn("kept", F.when(whole, n).when(first & (F.col("room") > marker), F.col("room").cast("long")).otherwise(F.lit(0).cast("long")))
+    small = out.filter((F.col("place") > F.col("at")) & (F.col("room") <= marker) & (n <= F.col("room")) & (n > 0))
+    start = F.struct(F.max("room").cast("long").alias("room"), F.array().cast("array<long>").alias("places"))
+
+    def step(acc, item):  # at most as many come in as a marker has characters
+        fits = item["n"] <= acc["room"]
+        return F.struct(F.when(fits, acc["room"] - item["n"]).otherwise(acc["room"]).alias("room"), F.when(fits, F.array_append(acc["places"], item["place"])).otherwise(acc["places"]).alias("places"))
+
+    listed = F.array_sort(F.collect_list(F.struct(F.col("place").cast("long").alias("place"), n.alias("n"))))
+    late = small.groupBy(*group).agg(F.aggregate(listed, start, step, lambda acc: acc["places"]).alias("late"))
+    out = out.join(late, list(group), "left")
+    return out.withColumn("kept", F.when(F.coalesce(F.array_contains("late", F.col("place").cast("long")), F.lit(False)), n).otherwise(F.col("kept"))).drop("upto", "in_all", "room", "at", "late")
+
+
+def budgeted(items: DataFrame, section_limit: int = SECTION_LIMIT, total_limit: int = TOTAL_LIMIT - RESERVED, policy: str = "trim_tail") -> DataFrame:
+    """``package_id, item_id, section, place, size, kept``: first each section within its limit, then all within the total."""
+    rows = items.select("package_id", "item_id", "section", "place", F.length("text").cast("long").alias("size"))
+    first = fitted(rows, ("package_id", "section"), section_limit, policy).withColumnRenamed("kept", "size1")
+    return fitted(first, ("package_id",), total_limit, policy, "size1").select("package_id", "item_id", "section", "place", "size", "kept")
 
 
 def cut_text(text: Column, size: Column, kept: Column) -> Column:
@@ -137,9 +149,9 @@ def package_metadata(items: DataFrame) -> DataFrame:
     return first.withColumn("section_ord", F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")))
 
 
-def packaged(items: DataFrame, section_limit: int = SECTION_LIMIT, total_limit: int = TOTAL_LIMIT - RESERVED) -> DataFrame:
+def packaged(items: DataFrame, section_limit: int = SECTION_LIMIT, total_limit: int = TOTAL_LIMIT - RESERVED, policy: str = "trim_tail") -> DataFrame:
     """Items redacted, in order, and cut to the budget; those without room are gone."""
     clean = organised(redacted(items).drop("text").withColumnRenamed("redacted", "text"))
-    kept = budgeted(clean, section_limit, total_limit).select("package_id", "item_id", "size", "kept")
+    kept = budgeted(clean, section_limit, total_limit, policy).select("package_id", "item_id", "size", "kept")
     out = clean.join(kept, ["package_id", "item_id"]).withColumn("truncated", (F.col("kept") > 0) & (F.col("kept") < F.col("size"))).withColumn("text", cut_text(F.col("text"), F.col("size"), F.col("kept")))
     return out.filter("text IS NOT NULL")

@@ -92,11 +92,34 @@ def test_tied_field_records(spark):
     assert got == {"c": 1, "b": 2, "a": 3, "d": 4}
 
 
+def plain_fit(sizes, limit, trim):
+    if limit <= 0 or sum(sizes) <= limit:
+        return list(sizes)
+    used, out, stop = 0, [], False
+    for n in sizes:
+        room = limit - used
+        k = 0 if stop or room <= 0 else n if n <= room else room if trim and room > len(X.MARKER) else 0
+        stop = stop or (not trim and n > room)
+        out.append(k)
+        used += k
+    return out
+
+
 def test_budget_fold(spark):
-    sizes = F.array(*[F.lit(x) for x in (10, 30, 5, 40, 3)])
-    assert one(spark, X.fitted(sizes, F.lit(50))) == [10, 30, 5, 0, 3]
-    assert one(spark, X.fitted(sizes, F.lit(70))) == [10, 30, 5, 25, 0]
-    assert one(spark, X.fitted(sizes, F.lit(50), trim=False)) == [10, 30, 5, 0, 0]
+    import random
+
+    rng = random.Random(6)
+    groups = [(10, 30, 5, 40, 3), (50,), (51,), (), *(tuple(rng.choice((1, 2, 5, 14, 15, 16, 30, 50)) for _ in range(rng.randrange(1, 14))) for _ in range(60))]
+    rows = spark.createDataFrame([(g, i, n) for g, sizes in enumerate(groups) for i, n in enumerate(sizes)], "g int, place int, size long")
+    for policy, trim in (("trim_tail", True), ("drop_lowest", False)):
+        for limit in (50, 70, 0):
+            got = {}
+            for r in X.fitted(rows, ("g",), limit, policy).orderBy("g", "place").collect():
+                got.setdefault(r.g, []).append(r.kept)
+            assert got == {g: plain_fit(sizes, limit, trim) for g, sizes in enumerate(groups) if sizes}
+    with pytest.raises(Exception, match="more than the 50"):
+        X.fitted(rows, ("g",), 50, "none").collect()
+    assert X.fitted(rows.filter("g = 1"), ("g",), 50, "none").first().kept == 50
     assert one(spark, X.cut_text(F.lit("x" * 40), F.lit(40), F.lit(25))) == "x" * 10 + X.MARKER
 
 
