@@ -1,11 +1,14 @@
 """Inverted index and BM25 over chunks.
 
 Terms of a chunk are counted within its row, so postings need no shuffle. Statistics are those of all chunks, whatever
-a search's predicate lets through. A search reads only the postings of its terms.
+a search's predicate lets through. A search reads only the postings of its terms: of a stored index the buckets that its
+terms lie in; of chunks without an index it keeps its terms before it counts them.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,18 @@ from orelode.functions.text import counted, first_seen, tokens
 from orelode.session import settled
 
 K1, B = 1.2, 0.75
+#: Buckets of a stored index, and query terms up to which they are sent to all tasks.
+BUCKETS, SENT = 64, 100_000
+
+
+class Index(NamedTuple):
+    """A stored index: postings (``chunk_id, length, term, tf, bucket``) by a hash of their term, lengths, and their sums."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    chunks: int
+    average: float
+    buckets: int
 
 
 def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -46,16 +61,59 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -
     return queries.select(F.col(key).alias("query_id"), F.posexplode(first_seen(tokens(F.col(text)))).alias("place", "term"))
 
 
-def scores(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """``query_id, chunk_id, score``: BM25, rounded to six places."""
-    asked = query_terms(queries)
-    some = settled(postings(chunks, key, text).join(asked.select("term").distinct(), "term", "left_semi"))  # read twice
-    whole = lengths(chunks, key, text).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk_id", text: str = "text") -> None:
+    """Writes the index of chunks below ``path``: their words are read once."""
+    rows = settled(chunks.select(F.col(key).alias("chunk_id"), *[c for c in ("source",) if c in chunks.columns], tokens(F.col(text)).alias("tokens")))
+    own = rows.select("chunk_id", F.size("tokens").alias("length"), F.inline(counted(F.col("tokens")))).withColumn("bucket", bucket(F.col("term"), buckets))
+    own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.select(*[c for c in rows.columns if c != "tokens"], F.size("tokens").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
+    chunks.sparkSession.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def load(spark, path: str) -> Index:
+    """A stored index; one that isn't there is an error."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    postings_ = spark.read.schema("chunk_id string, length int, term string, tf int, bucket int").parquet(f"{path}/postings") if totals.chunks else spark.createDataFrame([], "chunk_id string, length int, term string, tf int, bucket int")
+    return Index(postings_, spark.read.parquet(f"{path}/lengths"), totals.chunks, totals.average, totals.buckets)
+
+
+def index_report(index: Index) -> DataFrame:
+    """Chunks, terms, postings, tokens and the average length of a stored index, and its chunks by source."""
+    terms = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    per = index.lengths.groupBy("source").agg(F.count(F.lit(1)).alias("n")) if "source" in index.lengths.columns else index.lengths.select(F.lit("").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sources = per.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
+    whole = index.lengths.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"), F.round(F.coalesce(F.avg("length"), F.lit(0.0)), 6).alias("average_length"))
+    return whole.crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(sources))  # a row each
+
+
+def asked_postings(chunks: DataFrame, terms: DataFrame, key: str, text: str) -> tuple[DataFrame, int, float]:
+    """Postings of these terms, the number of chunks, and their average length: words are read once."""
+    rows = settled(chunks.select(F.col(key).alias("chunk_id"), tokens(F.col(text)).alias("tokens")))
+    n, average = rows.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    some = rows.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(terms, "term")
+    return some.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), n, average or 0.0
+
+
+def scores(chunks: DataFrame | None, queries: DataFrame, key: str = "chunk_id", text: str = "text", k1: float = K1, b: float = B, index: Index | None = None) -> DataFrame:
+    """``query_id, chunk_id, score``: BM25, rounded to six places; over a stored index if one is given, else over chunks."""
+    asked = settled(query_terms(queries))
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= SENT else terms
+    if index is None:
+        some, n, average = asked_postings(chunks, terms, key, text)
+    else:
+        n, average = index.chunks, index.average
+        wanted = [r[0] for r in terms.select(bucket(F.col("term"), index.buckets)).distinct().collect()]  # a row for each bucket at most
+        some = index.postings.filter(F.col("bucket").isin(wanted)).drop("bucket").join(terms, "term")
+    some = settled(some)  # read twice
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(whole)).select("term", "average", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = asked.join(idf, "term")
-    tf = F.col("tf")
-    part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.when(F.col("average") > 0, F.col("average")).otherwise(1.0)))
+    weighed = asked.join(df, "term").select("query_id", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    tf, mean = F.col("tf"), average if average > 0 else 1.0
+    part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.lit(mean)))
     hits = some.join(weighed, "term").select("query_id", "chunk_id", part.alias("part"))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
