@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orelode.functions.text import stripped
+
 SOURCES = ("mitre", "sigma", "elastic", "lolbas", "ecs")
 
 
@@ -27,9 +29,18 @@ def available(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
 
 
 def lines(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """``source, line_number, line`` of a file's lines that aren't blank."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return rows.filter(F.trim(F.regexp_replace("line", r"\s", " ")) != "").select(F.lit(source).alias("source"), (F.col("pos") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
+    """``source, line_number, line`` of a file's lines that aren't blank; numbers count blank lines, from 1.
+
+    A large file is read by many tasks, each a stretch of it: a line's number is its place in its stretch after the lines
+    of the stretches before, which are counted first (a row for each stretch).
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("stretch"))
+    counted = rows.groupBy("file", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = counted.select("file", "stretch", "first", before.alias("before"))
+    n = F.col("at") - F.col("first") + F.col("before") + 1
+    rows = rows.join(stretches, ["file", "stretch"]).select(F.lit(source).alias("source"), n.cast("int").alias("line_number"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return rows.filter(stripped("line") != "")
 
 
 def fault(line: Column) -> Column:
@@ -67,6 +78,36 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "source string, line_number int, id string, source_id string, text string, metadata variant")
 
 
+def source_order(source: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, SOURCES)), source)
+
+
+def ordered(records: DataFrame) -> DataFrame:
+    """All records with ``source_ord``, source by source in their order and by line within one."""
+    return records.withColumn("source_ord", source_order(F.col("source")) - 1).orderBy("source_ord", "line_number")
+
+
+def by_source_id(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """All records of source ids (``source_id`` and, where given, ``source``), with ``nth``, their place in the file's order.
+
+    An id that several records share gives all of them.
+    """
+    keys = [c for c in ("source", "source_id") if c in asked.columns]
+    found = records.join(asked.select(*keys).distinct(), keys, "left_semi")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("source", "source_id").orderBy("line_number")))
+
+
+def by_id(records: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first record of each id (``id``) within a source."""
+    return first_records(records.join(asked.select("id").distinct(), "id", "left_semi"))
+
+
+def repeated_ids(records: DataFrame) -> DataFrame:
+    """``source, ordinal, id, n`` of ids that come more than once, in the order in which they are first seen."""
+    many = records.groupBy("source", "id").agg(F.count(F.lit(1)).alias("n"), F.min("line_number").alias("first")).filter("n > 1")
+    return many.withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("first"))).select("source", "ordinal", "id", "n")
+
+
 def first_records(records: DataFrame) -> DataFrame:
     """The first record of each id within its source."""
     nth = F.row_number().over(Window.partitionBy("source", "id").orderBy("line_number"))
@@ -79,6 +120,24 @@ def counts(records: DataFrame) -> DataFrame:
     return per.groupBy("source").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("ids"), F.count_if(F.col("n") > 1).alias("repeated"))
 
 
+class CorpusChangedError(Exception):
+    """The corpus isn't what it was when a run began."""
+
+
+def unchanged(before: dict[str, str], after: dict[str, str]) -> None:
+    """An error that names the sources whose file changed, came or went."""
+    if changed := sorted(s for s in before.keys() | after.keys() if before.get(s) != after.get(s)):
+        raise CorpusChangedError(", ".join(changed))
+
+
+def guarded_run(spark: SparkSession, root: str, run):
+    """What ``run()`` returns, if the corpus is the same before and after it."""
+    before = digests(spark, root)
+    out = run()
+    unchanged(before, digests(spark, root))
+    return out
+
+
 def digests(spark: SparkSession, root: str) -> dict[str, str]:
     """SHA-256 of each source's file; a run compares them before and after."""
     there, _ = available(spark, root)
