@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelode.llm.components import Forest, components, grouped_back
-from orelode.llm.runtime import fresh, record, task, values, written
+from orelode.llm.runtime import dropped, fresh, record, task, values, written
 
 BITS, SEED = 64, 42
 #: Variants that a cell holds on average, and that a task sorts at once.
@@ -61,8 +61,8 @@ def fingerprint(text: str, k: int) -> int:
     if not n:
         return 0
     rows, ones = np.frombuffer(raw, np.uint8).reshape(-1, 8), np.zeros(BITS, np.int64)
-    for at in range(0, n, 100_000):
-        ones += np.unpackbits(rows[at : at + 100_000], axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, n, 60_000):  # so many fit 16 bits
+        ones += np.add.reduce(np.unpackbits(rows[at : at + 60_000], axis=1), axis=0, dtype=np.uint16)
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
@@ -198,12 +198,12 @@ def sketch(own: np.ndarray) -> list[int]:
         x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.add.reduce(np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1), axis=0, dtype=np.uint16)
     return np.packbits(2 * ones > len(own)).view(np.int64).tolist()
 
 
-SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), *[(f"s{i}", pa.int64()) for i in range(WORDS)]])
-ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32())])
+SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(WORDS)]])
+ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32()), ("class", pa.int64())])
 SETS = pa.schema([("row", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
@@ -212,7 +212,7 @@ def sketches(batches, k: int):
         rows = []
         for row, text in zip(batch.column("row").to_pylist(), values(batch, "text"), strict=True):
             own = shingle_set(text or "", k)
-            rows.append((row, xxhash.xxh3_128_digest(own.tobytes()), *sketch(own)))
+            rows.append((row, xxhash.xxh3_128_digest(own.tobytes()), len(own), *sketch(own)))
         yield record(SKETCHED, **{n: [r[i] for r in rows] for i, n in enumerate(SKETCHED.names)})
 
 
@@ -226,28 +226,38 @@ def short_cells(batches, prefix: int):
             some = batch.slice(at, 5_000)
             words = np.stack([some.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(WORDS)], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-            row = np.repeat(some.column("row").to_numpy(zero_copy_only=False), len(flips))
+            row, kind = (np.repeat(some.column(c).to_numpy(zero_copy_only=False), len(flips)) for c in ("row", "class"))
             for t in range(TABLES):
                 fp = bits[:, t * SHORT : (t + 1) * SHORT].astype(np.uint64) @ powers
                 cell = ((fp >> np.uint64(SHORT - prefix))[:, None] ^ flips[None, :]).ravel().astype(np.int64) | t << SHORT
-                yield record(ITEMS, cell=cell, fp=np.repeat(fp.astype(np.int64), len(flips)), row=row, free=np.tile(free, len(fp)))
+                yield record(ITEMS, **{"cell": cell, "fp": np.repeat(fp.astype(np.int64), len(flips)), "row": row, "free": np.tile(free, len(fp)), "class": kind})
 
 
-def colliding(batches, prefix: int):
-    """Rows come sorted by cell. Pairs whose fingerprints are within the radius: neighbours in each variant's row order."""
+def colliding(batches, prefix: int, nearest: bool):
+    """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius: neighbours in each
+    variant's row order. ``nearest``: for each row only the one before it of the fewest differing bits in this cell.
+    """
     cell, held = None, []
 
     def done():
-        fp, row, free = (np.concatenate(c) for c in zip(*held, strict=True))
+        fp, row, free, kind = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(row, kind="stable")
-        fp, row, free = fp[order].view(np.uint64), row[order], free[order]
+        fp, row, free, kind = fp[order].view(np.uint64), row[order], free[order], kind[order]
+        best = np.full(len(row), np.iinfo(np.int64).max)
         for a, b in collisions(fp, free, SHORT - prefix):
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= NEAR
-            if near.any():
-                yield record(EDGES, a=np.minimum(row[a[near]], row[b[near]]), b=np.maximum(row[a[near]], row[b[near]]))
+            apart = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
+            fits = (apart <= NEAR) & (kind[a] != kind[b])
+            a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+            if nearest:
+                np.minimum.at(best, b, apart[fits] << 48 | a)
+            elif len(a):
+                yield record(EDGES, a=row[a], b=row[b])
+        found = np.flatnonzero(best < np.iinfo(np.int64).max)
+        if len(found):
+            yield record(EDGES, a=row[best[found] & ((1 << 48) - 1)], b=row[found])
 
     for batch in batches:
-        cells, fp, row, free = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names)
+        cells, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names)
         cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a == b:
@@ -256,7 +266,7 @@ def colliding(batches, prefix: int):
                 yield from done()
                 held = []
             cell = cells[a]
-            held.append((fp[a:b].copy(), row[a:b].copy(), free[a:b].copy()))
+            held.append(tuple(c[a:b].copy() for c in own))
     if held:
         yield from done()
 
@@ -267,37 +277,62 @@ def member_sets(batches, k: int):
             yield record(SETS, row=[row], members=[shingle_set(text or "", k).view(np.int64)])
 
 
+def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar, but for those that others join already.
+
+    Sizes and all bits of the sketches sift pairs; what is alike for certain makes classes, and the sets of the other
+    pairs between different classes decide.
+    """
+    words = F.array(*[f"s{i}" for i in range(WORDS)])
+    side = lambda x: distinct.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), words.alias(f"s{x}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
+    sifted = written(both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= LOOSE))
+    tight = sifted.filter(F.col("apart") <= TIGHT).select("a", "b")
+    classes = written(components(tight))
+    of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    unsure = written(sifted.filter(F.col("apart") > TIGHT).join(of("a"), "a", "left").join(of("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b"))
+    asked = unsure.select(F.col("a").alias("row")).union(unsure.select("b")).distinct()
+    sets = written(rows.join(asked, "row", "left_semi").mapInArrow(task(__name__, "member_sets", k=shingle), "row long, members array<long>"))
+    member = lambda x: sets.select(F.col("row").alias(x), F.col("members").alias(f"m{x}"))
+    met = unsure.join(member("a"), "a").join(member("b"), "b").withColumn("n", F.size(F.array_intersect("ma", "mb")))
+    alike = met.filter(F.col("n") >= similarity * (F.size("ma") + F.size("mb") - F.col("n")) - 1e-9).select("a", "b")
+    out = written(tight.unionByName(alike))
+    for made in (sifted, classes, unsure, sets):
+        dropped(made)
+    return out
+
+
 def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Texts with the same shingles (``row, first``), and links ``a, b`` between the first rows of similar sets.
 
     Similarity is that of Jaccard over sets of ``shingle`` words. Sets that collide in no table are missed (see the
-    constants, which are for a similarity of 0.8); no pair below it is linked, but for the error of ``TIGHT``. Pairs of
-    a dense group come as neighbours in each variant, so their number grows with the rows.
+    constants, which are for a similarity of 0.8); no pair below it is linked, but for the error of ``TIGHT``. First each
+    set meets its nearest one in each cell, which joins dense groups with few pairs; then all that collide and aren't
+    joined yet. So a group's pairs grow with its rows, and links stand for their components.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = written(rows.mapInArrow(task(__name__, "sketches", k=shingle), ", ".join(["row long", "digest binary", *(f"s{i} long" for i in range(WORDS))])))
-    distinct = written(made.groupBy("digest").agg(F.min("row").alias("row"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]))
-    same = made.select("row", "digest").join(distinct.select("digest", F.col("row").alias("first")), "digest").select("row", "first")
+    made = written(rows.mapInArrow(task(__name__, "sketches", k=shingle), ", ".join(["row long", "digest binary", "n long", *(f"s{i} long" for i in range(WORDS))])))
+    distinct = written(made.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]))
+    same = written(made.select("row", "digest").join(distinct.select("digest", F.col("row").alias("first")), "digest").select("row", "first"))
+    dropped(made)
     variants = max(1, distinct.count()) * sum(comb(SHORT, i) for i in range(NEAR // 2 + 1))
     prefix = min(24, max(0, round(log2(variants / SHORT_CELL)) if variants > SHORT_CELL else 0))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TABLES)
-    items = distinct.drop("digest").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int")
-    pairs = items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix), "a long, b long").distinct()
-    side = lambda n: distinct.select(F.col("row").alias(n), F.array(*[f"s{i}" for i in range(WORDS)]).alias(f"s{n}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    sifted = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", apart.alias("apart")).filter(F.col("apart") <= LOOSE))
-    tight = sifted.filter(F.col("apart") <= TIGHT).select("a", "b")
-    classes = written(components(tight))
-    of = lambda n: classes.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    open_ = sifted.filter(F.col("apart") > TIGHT).join(of("a"), "a", "left").join(of("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b")
-    open_ = written(open_)
-    asked = open_.select(F.col("a").alias("row")).union(open_.select("b")).distinct()
-    sets = written(rows.join(asked, "row", "left_semi").mapInArrow(task(__name__, "member_sets", k=shingle), "row long, members array<long>"))
-    member = lambda n: sets.select(F.col("row").alias(n), F.col("members").alias(f"m{n}"))
-    both = open_.join(member("a"), "a").join(member("b"), "b").withColumn("n", F.size(F.array_intersect("ma", "mb")))
-    alike = both.filter(F.col("n") >= similarity * (F.size("ma") + F.size("mb") - F.col("n")) - 1e-9).select("a", "b")
-    return same, tight.unionByName(alike)
+
+    def pairs(sets: DataFrame, nearest: bool) -> DataFrame:
+        items = sets.drop("digest", "n").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int, class long")
+        return items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix, nearest=nearest), "a long, b long").distinct()
+
+    near = verified(pairs(distinct.withColumn("class", F.col("row")), True), distinct, rows, shingle, similarity)
+    classes = written(components(near))
+    joined = distinct.join(classes.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
+    rest = verified(pairs(joined, False), distinct, rows, shingle, similarity)
+    links = written(near.unionByName(rest))
+    for table in (distinct, classes, near, rest):
+        dropped(table)
+    return same, links
 
 
 def similar_kept(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -309,9 +344,11 @@ def similar_kept(docs: DataFrame, text: str = "text", shingle: int = 5, similari
     (row,) = fresh(docs, "row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     same, links = similar_links(rows, row, text, shingle, similarity)
-    later = components(links).filter("node <> component").select(F.col("node").alias("first"))
-    first = same.filter("row = first").join(later, "first", "left_anti").select(F.col("first").alias(row))
-    return rows.join(first, row, "left_semi").drop(row)
+    later = components(links).filter("node <> component").select("node")
+    gone = written(same.filter("row <> first").select("row").union(later).select(F.col("row").alias(row)))
+    for made in (same, links):
+        dropped(made)
+    return rows.join(gone, row, "left_anti").drop(row)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
