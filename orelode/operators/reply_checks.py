@@ -176,7 +176,8 @@ def evidence(r: Column, said: Column) -> Column:
     unnamed = lambda m, n: made("fabricated_name", below(m["path"], n), F.format_string("%s isn't in what was supplied", stripped(blank(m[n]))), (stripped(blank(m[n])) != "") & ~F.col("folded").contains(F.lower(one_space(blank(m[n])))))
     parts.append(many(mapped(r), lambda m: issues(*[unnamed(m, n) for n in ("tactic_name", "technique_name", "parent_technique_name")])))
     asserted = lambda t: F.array_distinct(F.regexp_extract_all(t["value"], F.lit(ASSERTED), F.lit(0)))
-    parts.append(many(said, lambda t: many(asserted(t), lambda x: issues(made("fabricated_identifier", t["path"], F.format_string("%s is asserted, but isn't in what was supplied", x), lacks(x))))))
+    prose = F.filter(said, lambda t: ~t["path"].rlike(r"(identifier|_id)$"))  # what a field claims is checked above
+    parts.append(many(prose, lambda t: many(asserted(t), lambda x: issues(made("fabricated_identifier", t["path"], F.format_string("%s is asserted, but isn't in what was supplied", x), lacks(x))))))
 
     def bare(name: str) -> Column:
         return many(r[name], lambda o, i: issues(made("unsupported_claim", below(at(name, i), "evidence"), F.lit("called supported, yet nothing is cited"), (o["support"] == "supported") & (F.coalesce(F.size(o["evidence"]), F.lit(0)) <= 0))))

@@ -77,8 +77,9 @@ def sql_type(fields: tuple[Field, ...]) -> str:
 
 
 def typed(replies: DataFrame, column: str = "reply") -> DataFrame:
-    """``replies`` with ``result``, their text read into the type of all operations; a broken reply gives nulls."""
-    return replies.withColumn("result", F.from_json(column, sql_type(ALL)))
+    """``replies`` with ``result``, their text read into the type of all operations; null if it is no JSON object."""
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json(column)).startswith("OBJECT"), F.lit(False))
+    return replies.withColumn("result", F.when(whole, F.from_json(column, sql_type(ALL))))
 
 
 def prompt_text(fields: tuple[Field, ...], depth: int = 0) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orelode.plans import builds, evidence, graphs, replies, rules, text
+from orelode.plans import builds, evidence, graphs, packs, replies, rules, text
 
-MODULES = (text, rules, graphs, builds, evidence, replies)
+MODULES = (text, rules, graphs, builds, evidence, replies, packs)
 
 
 def queries() -> dict:
