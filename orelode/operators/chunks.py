@@ -106,5 +106,7 @@ def problems(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(code, chunk_id) of chunks that break a rule."""
     repeated = chunks.groupBy("chunk_id").count().filter("count > 1").select(F.lit("duplicate_id").alias("code"), "chunk_id")
     checks = {"missing_parent": "record_id IS NULL OR record_id = ''", "foreign_id": "NOT startswith(chunk_id, concat(record_id, ':'))", "too_long": f"length(text) > {limit}"}
+    if lost := [c for c in ("source", "source_id", "location") if c in chunks.columns]:
+        checks["missing_provenance"] = " OR ".join(f"coalesce({c}, '') = ''" for c in lost)
     codes = F.filter(F.array(*[F.when(F.expr(c), k) for k, c in checks.items()]), lambda x: x.isNotNull())
     return chunks.select(F.explode(codes).alias("code"), "chunk_id").unionByName(repeated)

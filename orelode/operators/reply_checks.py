@@ -18,6 +18,7 @@ from orelode.operators.replies import Field
 
 GROUPS = ("structure", "evidence", "uncertainty", "rule", "security", "provenance")
 ISSUE = "array<struct<code:string,severity:string,path:string,message:string>>"
+LEDGER = "array<struct<identifier:string,status:string,candidates:array<string>>>"
 #: Shapes of identifiers that prose can assert, and of links: fixed values.
 ASSERTED = r"\b(?:TA\d{4}|T\d{4}(?:\.\d{3})?|M\d{4}|S\d{4}|G\d{4}|DS\d{4}|CVE-\d{4}-\d{4,7})\b"
 URL = r"https?://[^\s\"'<>)\]]+"
@@ -26,10 +27,11 @@ TEMPLATE, FENCE = r"\{\{.*?\}\}", r"<</?[A-Z_]+>>"
 REASONING = ("operation_mismatch", "duplicate", "unknown_reference", "unknown_item", "fabricated_identifier", "uncertainty_dropped", "uncertainty_changed", "ambiguity_narrowed", "fabricated_candidate", "fabricated_uncertainty", "presented_as_fact", "unsettled_in_rule", "no_changes", "original_altered", "rule_unchanged", "no_rationale")
 
 
-def supplied(items: DataFrame, rules: DataFrame) -> DataFrame:
+def supplied(items: DataFrame, rules: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """``request_id, material, folded, items, ledger, rule_query`` of packages' items and rules (package_id, raw_text, query).
 
     ``ledger`` has the first report of each identifier that isn't settled; one that was led to a successor is settled.
+    Identifiers that only the packages' accounts (``packages.provenance``) call unresolved or ambiguous come after these.
     """
     seed = F.col("kind") == "seed_resolution"
     about = F.struct("source", "location", F.col("kind").isin("retrieved_text", "retrieved_graph").alias("retrieved"), "status", F.coalesce(F.col("metadata")["identifier"], F.lit("")).alias("identifier"))
@@ -42,7 +44,13 @@ def supplied(items: DataFrame, rules: DataFrame) -> DataFrame:
     first = F.filter("unsure", lambda e, i: F.array_position(F.transform("unsure", lambda x: x["identifier"]), e["identifier"]) == i + 1)
     out = rules.select("package_id", "raw_text", "query").join(listed, "package_id", "full_outer")
     material = F.concat_ws("\n", "raw_text", "query", F.array_join(F.transform("texts", lambda t: t["text"]), "\n"))
-    return out.select(F.col("package_id").alias("request_id"), material.alias("material"), F.lower(one_space(material)).alias("folded"), F.col("items"), F.transform(first, lambda e: F.struct(e["identifier"].alias("identifier"), e["status"].alias("status"), e["candidates"].alias("candidates"))).alias("ledger"), F.coalesce("query", F.lit("")).alias("rule_query"))
+    entries = F.coalesce(F.transform(first, lambda e: F.struct(e["identifier"].alias("identifier"), e["status"].alias("status"), e["candidates"].alias("candidates"))), F.array().cast(LEDGER))
+    if accounts is not None:
+        out = out.withColumn("entries", entries).join(accounts.select("package_id", "unresolved_identifiers", "ambiguous_identifiers"), "package_id", "left")
+        listed = lambda status: F.transform(F.array_distinct(F.coalesce(f"{status}_identifiers", F.array().cast("array<string>"))), lambda i: F.struct(i.alias("identifier"), F.lit(status).alias("status"), F.array().cast("array<string>").alias("candidates")))
+        more = F.filter(F.concat(listed("unresolved"), listed("ambiguous")), lambda e: ~F.exists("entries", lambda o: o["identifier"] == e["identifier"]))
+        entries = F.concat("entries", more.cast(LEDGER))
+    return out.select(F.col("package_id").alias("request_id"), material.alias("material"), F.lower(one_space(material)).alias("folded"), F.col("items"), entries.alias("ledger"), F.coalesce("query", F.lit("")).alias("rule_query"))
 
 
 def at(path: Column | str, i: Column) -> Column:

@@ -46,10 +46,16 @@ def first_chunks(chunks: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def statistics(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """One row: chunks, terms, postings, tokens, and the average length."""
-    whole = lengths(chunks, key, text).agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"))
-    terms = postings(chunks, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
-    return whole.crossJoin(F.broadcast(terms)).withColumn("average_length", F.when(F.col("chunks") > 0, F.round(F.col("total_tokens") / F.col("chunks"), 6)).otherwise(F.lit(0.0)))
+    """One row: chunks, terms, postings, tokens, and the average length; words are read once."""
+    rows = settled(chunks.select(tokens(F.col(text)).alias("tokens")))
+    whole = rows.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total_tokens"))
+    terms = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    return whole.crossJoin(F.broadcast(terms)).withColumn("average_length", F.when(F.col("chunks") > 0, F.round(F.col("total_tokens") / F.col("chunks"), 6)).otherwise(F.lit(0.0)))  # a row each
+
+
+def source_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks by source."""
+    return chunks.groupBy("source").agg(F.count(F.lit(1)).alias("chunks")).orderBy("source")
 
 
 def document_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:

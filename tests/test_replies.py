@@ -119,3 +119,5 @@ def test_supplied_from_packages(spark):
     items = spark.createDataFrame([], P.ITEM).withColumn("place", F.lit(1))
     rules = spark.createDataFrame([("1", "raw", "q")], "package_id string, raw_text string, query string")
     assert C.supplied(items, rules).first().material == "raw\nq"
+    accounts = spark.createDataFrame([("1", ["T1", "T1"], ["M1"])], "package_id string, unresolved_identifiers array<string>, ambiguous_identifiers array<string>")
+    assert [(e.identifier, e.status) for e in C.supplied(items, rules, accounts).first().ledger] == [("T1", "unresolved"), ("M1", "ambiguous")]
