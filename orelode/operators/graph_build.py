@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orelode.functions.text import stripped
 from orelode.operators import graph as G
 from orelode.operators import references as R
+from orelode.session import settled
 
 #: The order of the build, objects that become nodes, and what a rule's source is called: fixed values.
 ORDER = ("mitre", "ecs", "sigma", "elastic", "lolbas")
@@ -83,7 +84,7 @@ def reference_edges(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     named = normal.select(F.col("id").alias("target_record"), F.coalesce(R.text_of(F.col("metadata"), "techniqueId"), R.text_of(F.col("metadata"), "id")).alias("target_name"), F.struct(build_order(F.col("source")).alias("o"), "line_number").alias("p")).groupBy("target_record").agg(F.min_by("target_name", "p").alias("target_name"))
     rows = found.withColumn("target_record", F.when(F.col("status") == "resolved", F.get("candidates", F.lit(0))))
     rows = rows.join(target.select(F.col("record_id").alias("target_record"), "t.*"), "target_record", "left").join(named, "target_record", "left")
-    rows = rows.withColumn("reason", F.when(F.col("status") == "unresolved", G.SKIPS[0]).when(F.col("status") == "ambiguous", G.SKIPS[1]).when(F.col("node_id").isNull(), G.SKIPS[2]))
+    rows = settled(rows.drop("ref").withColumn("reason", F.when(F.col("status") == "unresolved", G.SKIPS[0]).when(F.col("status") == "ambiguous", G.SKIPS[1]).when(F.col("node_id").isNull(), G.SKIPS[2])))  # read twice
     kind = G.edge_type(F.col("start_type"), F.col("node_type"), F.col("field"))
     edges = rows.filter("reason IS NULL").withColumn("type", kind).select(
         G.edge_key(F.col("start_id"), F.col("type"), F.col("node_id"), F.col("source"), F.col("source_id"), F.col("field"), F.col("value")).alias("key"), "type", "start_id", F.col("node_id").alias("end_id"),
@@ -127,12 +128,12 @@ def built(records: DataFrame, sources: tuple[str, ...] | None = None) -> tuple[D
     A part of the sources is a graph by itself: references to the rest are unresolved or find no node.
     """
     some = chosen(records, sources)
-    own = record_nodes(some)
+    own = settled(record_nodes(some))
     edges, skipped = reference_edges(some, own)
     derived, tagged = tag_parts(some, own)
     nodes = first_of(own.unionByName(derived.select(own.columns)), "node_id", "build_ord", "line_number", "record_id")
     edges = first_of(edges.unionByName(tagged), "key", "build_ord", "line_number", "ordinal", "start_id")
-    return nodes, edges, skipped
+    return settled(nodes), settled(edges), skipped
 
 
 def stored(records: DataFrame, path: str, sources: tuple[str, ...] | None = None) -> dict[str, int]:
