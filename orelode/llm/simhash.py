@@ -10,7 +10,8 @@ a cell is fuller than others, its task splits it by the next bits.
 
 One fingerprint of 64 bits within 4 finds few texts whose shingle sets are 0.8 alike: their fingerprints differ in about
 ten bits. ``similar_links`` therefore takes ``TABLES`` shorter fingerprints of each set and hashes the balls of each; what
-collides in any is a candidate, candidates are sifted by all bits, and the sets themselves decide.
+collides in any is a candidate. Candidates are sifted where they meet, by their sizes and by a sketch that estimates
+their similarity (a bit each of ``MARKS`` least hashes), and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ CELL, AT_ONCE = 2_000_000, 2_000_000
 #: For similarity of sets: bits of a short fingerprint, tables of them, their radius, and variants of a table's cell. Texts
 #: 0.8 alike share a ball in one table with a probability of 0.27, so in one of ten with 0.96; more alike ones with more.
 SHORT, TABLES, NEAR, SHORT_CELL = 40, 10, 4, 64_000_000
-#: Words of 64 bits that hold all short fingerprints. Of all their bits, sets that are 0.8 alike differ in 68 with a
-#: deviation of 7.6: up to TIGHT they are alike for certain (error below 1e-8), over LOOSE they aren't (below 1e-6).
-WORDS, TIGHT, LOOSE = 7, 24, 106
+#: Words of 64 bits that hold all short fingerprints, and marks of a sketch: two sets agree in a mark with probability
+#: (1 + similarity) / 2. Of MARKS marks, sets that are 0.8 alike agree in 461 with a deviation of 6.8: with fewer than
+#: LEAST of them (error 0.006) they aren't 0.8 alike, from CERTAIN on (error below 1e-6) they are.
+WORDS, MARKS, LEAST, CERTAIN = 7, 512, 444, 494
 HASHED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("free", pa.int32())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -202,8 +204,20 @@ def sketch(own: np.ndarray) -> list[int]:
     return np.packbits(2 * ones > len(own)).view(np.int64).tolist()
 
 
-SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(WORDS)]])
-ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32()), ("class", pa.int64())])
+def marks(own: np.ndarray) -> bytes:
+    """A bit of the least hash of the set under each of ``MARKS`` hash functions; ones for an empty set."""
+    rng = np.random.default_rng(SEED)
+    factors, terms = rng.integers(0, 1 << 31, MARKS, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, MARKS, np.uint32)
+    members = (own ^ own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MARKS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(members), 1_000):
+        least = np.minimum(least, (members[at : at + 1_000, None] * factors + terms).min(axis=0))
+    return np.packbits(least >> np.uint32(2) & np.uint32(1)).tobytes()
+
+
+SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("marks", pa.binary()), *[(f"s{i}", pa.int64()) for i in range(WORDS)]])
+ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32()), ("class", pa.int64()), ("n", pa.int32()), ("marks", pa.binary())])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("certain", pa.bool_())])
 SETS = pa.schema([("row", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
@@ -212,7 +226,7 @@ def sketches(batches, k: int):
         rows = []
         for row, text in zip(batch.column("row").to_pylist(), values(batch, "text"), strict=True):
             own = shingle_set(text or "", k)
-            rows.append((row, xxhash.xxh3_128_digest(own.tobytes()), len(own), *sketch(own)))
+            rows.append((row, xxhash.xxh3_128_digest(own.tobytes()), len(own), marks(own), *sketch(own)))
         yield record(SKETCHED, **{n: [r[i] for r in rows] for i, n in enumerate(SKETCHED.names)})
 
 
@@ -226,42 +240,47 @@ def short_cells(batches, prefix: int):
             some = batch.slice(at, 5_000)
             words = np.stack([some.column(f"s{i}").to_numpy(zero_copy_only=False) for i in range(WORDS)], axis=1)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1)
-            row, kind = (np.repeat(some.column(c).to_numpy(zero_copy_only=False), len(flips)) for c in ("row", "class"))
+            which = pa.array(np.repeat(np.arange(some.num_rows), len(flips)))
+            told = {c: some.column(c).take(which) for c in ("row", "class", "n", "marks")}
             for t in range(TABLES):
                 fp = bits[:, t * SHORT : (t + 1) * SHORT].astype(np.uint64) @ powers
                 cell = ((fp >> np.uint64(SHORT - prefix))[:, None] ^ flips[None, :]).ravel().astype(np.int64) | t << SHORT
-                yield record(ITEMS, **{"cell": cell, "fp": np.repeat(fp.astype(np.int64), len(flips)), "row": row, "free": np.tile(free, len(fp)), "class": kind})
+                yield record(ITEMS, cell=cell, fp=np.repeat(fp.astype(np.int64), len(flips)), free=np.tile(free, len(fp)), **told)
 
 
-def colliding(batches, prefix: int, nearest: bool):
-    """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius: neighbours in each
-    variant's row order. ``nearest``: for each row only the one before it of the fewest differing bits in this cell.
+def colliding(batches, prefix: int, nearest: bool, similarity: float):
+    """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius and whose sizes and
+    marks don't rule them out: neighbours in each variant's row order. ``nearest``: for each row only the one before it
+    that agrees in most marks in this cell.
     """
     cell, held = None, []
 
     def done():
-        fp, row, free, kind = (np.concatenate(c) for c in zip(*held, strict=True))
+        fp, row, free, kind, n, told = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(row, kind="stable")
-        fp, row, free, kind = fp[order].view(np.uint64), row[order], free[order], kind[order]
-        best = np.full(len(row), np.iinfo(np.int64).max)
+        fp, row, free, kind, n, told = fp[order].view(np.uint64), row[order], free[order], kind[order], n[order], told[order]
+        best = np.full(len(row), -1)
         for a, b in collisions(fp, free, SHORT - prefix):
-            apart = np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64)
-            fits = (apart <= NEAR) & (kind[a] != kind[b])
+            fits = (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR) & (kind[a] != kind[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
             a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+            agree = MARKS - np.bitwise_count(told[a] ^ told[b]).sum(axis=1, dtype=np.int64)
+            fits = agree >= LEAST
+            a, b, agree = a[fits], b[fits], agree[fits]
             if nearest:
-                np.minimum.at(best, b, apart[fits] << 48 | a)
+                np.maximum.at(best, b, agree << 40 | a)
             elif len(a):
-                yield record(EDGES, a=row[a], b=row[b])
-        found = np.flatnonzero(best < np.iinfo(np.int64).max)
+                yield record(PAIRS, a=row[a], b=row[b], certain=agree >= CERTAIN)
+        found = np.flatnonzero(best >= 0)
         if len(found):
-            yield record(EDGES, a=row[best[found] & ((1 << 48) - 1)], b=row[found])
+            yield record(PAIRS, a=row[best[found] & ((1 << 40) - 1)], b=row[found], certain=best[found] >> 40 >= CERTAIN)
 
     for batch in batches:
-        cells, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names)
+        if not batch.num_rows:
+            continue
+        cells, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names[:-1])
+        own.append(np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
         cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
             if held and cells[a] != cell:
                 yield from done()
                 held = []
@@ -277,28 +296,23 @@ def member_sets(batches, k: int):
             yield record(SETS, row=[row], members=[shingle_set(text or "", k).view(np.int64)])
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar, but for those that others join already.
 
-    Sizes and all bits of the sketches sift pairs; what is alike for certain makes classes, and the sets of the other
-    pairs between different classes decide.
+    What is alike for certain makes classes, and the sets of the other pairs between different classes decide.
     """
-    words = F.array(*[f"s{i}" for i in range(WORDS)])
-    side = lambda x: distinct.select(F.col("row").alias(x), F.col("n").alias(f"n{x}"), words.alias(f"s{x}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-    sifted = written(both.select("a", "b", apart.alias("apart")).filter(F.col("apart") <= LOOSE))
-    tight = sifted.filter(F.col("apart") <= TIGHT).select("a", "b")
-    classes = written(components(tight))
+    met = written(pairs.groupBy("a", "b").agg(F.bool_or("certain").alias("certain")))
+    certain = met.filter("certain").select("a", "b")
+    classes = written(components(certain))
     of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    unsure = written(sifted.filter(F.col("apart") > TIGHT).join(of("a"), "a", "left").join(of("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b"))
+    unsure = written(met.filter("NOT certain").join(of("a"), "a", "left").join(of("b"), "b", "left").filter("NOT coalesce(ca = cb, false)").select("a", "b"))
     asked = unsure.select(F.col("a").alias("row")).union(unsure.select("b")).distinct()
     sets = written(rows.join(asked, "row", "left_semi").mapInArrow(task(__name__, "member_sets", k=shingle), "row long, members array<long>"))
     member = lambda x: sets.select(F.col("row").alias(x), F.col("members").alias(f"m{x}"))
-    met = unsure.join(member("a"), "a").join(member("b"), "b").withColumn("n", F.size(F.array_intersect("ma", "mb")))
-    alike = met.filter(F.col("n") >= similarity * (F.size("ma") + F.size("mb") - F.col("n")) - 1e-9).select("a", "b")
-    out = written(tight.unionByName(alike))
-    for made in (sifted, classes, unsure, sets):
+    both = unsure.join(member("a"), "a").join(member("b"), "b").withColumn("n", F.size(F.array_intersect("ma", "mb")))
+    alike = both.filter(F.col("n") >= similarity * (F.size("ma") + F.size("mb") - F.col("n")) - 1e-9).select("a", "b")
+    out = written(certain.unionByName(alike))
+    for made in (met, classes, unsure, sets):
         dropped(made)
     return out
 
@@ -307,14 +321,14 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int =
     """Texts with the same shingles (``row, first``), and links ``a, b`` between the first rows of similar sets.
 
     Similarity is that of Jaccard over sets of ``shingle`` words. Sets that collide in no table are missed (see the
-    constants, which are for a similarity of 0.8); no pair below it is linked, but for the error of ``TIGHT``. First each
-    set meets its nearest one in each cell, which joins dense groups with few pairs; then all that collide and aren't
-    joined yet. So a group's pairs grow with its rows, and links stand for their components.
+    constants, which are for a similarity of 0.8 and more); no pair below it is linked, but for the error of ``CERTAIN``.
+    First each set meets its nearest one in each cell, which joins dense groups with few pairs; then all that collide and
+    aren't joined yet. Links stand for their components.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    made = written(rows.mapInArrow(task(__name__, "sketches", k=shingle), ", ".join(["row long", "digest binary", "n long", *(f"s{i} long" for i in range(WORDS))])))
-    distinct = written(made.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]))
+    made = written(rows.mapInArrow(task(__name__, "sketches", k=shingle), ", ".join(["row long", "digest binary", "n int", "marks binary", *(f"s{i} long" for i in range(WORDS))])))
+    distinct = written(made.groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("marks").alias("marks"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(WORDS)]))
     same = written(made.select("row", "digest").join(distinct.select("digest", F.col("row").alias("first")), "digest").select("row", "first"))
     dropped(made)
     variants = max(1, distinct.count()) * sum(comb(SHORT, i) for i in range(NEAR // 2 + 1))
@@ -322,13 +336,13 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TABLES)
 
     def pairs(sets: DataFrame, nearest: bool) -> DataFrame:
-        items = sets.drop("digest", "n").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int, class long")
-        return items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix, nearest=nearest), "a long, b long").distinct()
+        items = sets.drop("digest").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int, class long, n int, marks binary")
+        return items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix, nearest=nearest, similarity=similarity), "a long, b long, certain boolean")
 
-    near = verified(pairs(distinct.withColumn("class", F.col("row")), True), distinct, rows, shingle, similarity)
+    near = verified(pairs(distinct.withColumn("class", F.col("row")), True), rows, shingle, similarity)
     classes = written(components(near))
     joined = distinct.join(classes.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
-    rest = verified(pairs(joined, False), distinct, rows, shingle, similarity)
+    rest = verified(pairs(joined, False), rows, shingle, similarity)
     links = written(near.unionByName(rest))
     for table in (distinct, classes, near, rest):
         dropped(table)
