@@ -16,6 +16,7 @@ their similarity (a bit each of ``MARKS`` least hashes), and the sets themselves
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import accumulate, combinations
 from math import comb, log2
 
@@ -204,14 +205,22 @@ def sketch(own: np.ndarray) -> list[int]:
     return np.packbits(2 * ones > len(own)).view(np.int64).tolist()
 
 
+@cache
+def hash_functions() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and terms, the same in every task."""
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 1 << 31, MARKS, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, MARKS, np.uint32)
+
+
 def marks(own: np.ndarray) -> bytes:
     """A bit of the least hash of the set under each of ``MARKS`` hash functions; ones for an empty set."""
-    rng = np.random.default_rng(SEED)
-    factors, terms = rng.integers(0, 1 << 31, MARKS, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, MARKS, np.uint32)
+    factors, terms = hash_functions()
     members = (own ^ own >> np.uint64(32)).astype(np.uint32)
     least = np.full(MARKS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(members), 1_000):
-        least = np.minimum(least, (members[at : at + 1_000, None] * factors + terms).min(axis=0))
+    for at in range(0, len(members), 128):  # so many products stay in a core's cache
+        hashes = members[at : at + 128, None] * factors
+        hashes += terms
+        np.minimum(least, hashes.min(axis=0), out=least)
     return np.packbits(least >> np.uint32(2) & np.uint32(1)).tobytes()
 
 
@@ -263,7 +272,7 @@ def colliding(batches, prefix: int, nearest: bool, similarity: float):
         for a, b in collisions(fp, free, SHORT - prefix):
             fits = (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR) & (kind[a] != kind[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
             a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
-            agree = MARKS - np.bitwise_count(told[a] ^ told[b]).sum(axis=1, dtype=np.int64)
+            agree = np.concatenate([np.zeros(0, np.int64), *(MARKS - np.bitwise_count(told[a[k : k + 50_000]] ^ told[b[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 50_000))])
             fits = agree >= LEAST
             a, b, agree = a[fits], b[fits], agree[fits]
             if nearest:
