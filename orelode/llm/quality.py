@@ -90,7 +90,7 @@ RULES = (
     Rule("repeated words", ("n_repeat_words", "n_words"), "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", ("n_symbols", "n_words"), "10 * n_symbols > n_words"),
     Rule("repeated lines", ("n_dup_lines", "n_lines"), "n_dup_lines > 3 AND 2 * n_dup_lines > n_lines"),
-    Rule("word length", ("word_chars", "n_words"), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+    Rule("word length", ("word_chars", "n_words", "n_upper", "n_lower"), "word_chars < 2 * n_words OR (word_chars > 20 * n_words AND 2 * (n_upper + n_lower) > word_chars)"),  # scripts without blanks have long words
     Rule("runs of a word", ("n_run_words", "n_words"), "100 * n_run_words > 30 * n_words"),
     Rule("capitals", ("n_upper", "n_lower"), "n_upper > n_lower"),
 )
@@ -190,7 +190,7 @@ WITH docs AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words OR (n_dup_lines > 3 AND 2 * n_dup_lines > n_lines)
-        OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR n_upper > n_lower
+        OR word_chars < 2 * n_words OR (word_chars > 20 * n_words AND 2 * (n_upper + n_lower) > word_chars) OR n_upper > n_lower
         OR 100 * n_run_words > 30 * n_words) AS kept
 FROM measured
 """

@@ -19,14 +19,14 @@ def plain(text):
         "n_run_words": sum(a == b for a, b in zip(words, words[1:])), "n_repeat_words": len({j for i, w in enumerate(windows) if n[w] > 1 for j in range(i, i + 8)}),
     }
     base = m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"]
-    bad = base or 10 * m["n_symbols"] > m["n_words"] or (m["n_dup_lines"] > 3 and 2 * m["n_dup_lines"] > m["n_lines"]) or m["word_chars"] < 2 * m["n_words"] or m["word_chars"] > 20 * m["n_words"] or m["n_upper"] > m["n_lower"] or 100 * m["n_run_words"] > 30 * m["n_words"]
+    bad = base or 10 * m["n_symbols"] > m["n_words"] or (m["n_dup_lines"] > 3 and 2 * m["n_dup_lines"] > m["n_lines"]) or m["word_chars"] < 2 * m["n_words"] or (m["word_chars"] > 20 * m["n_words"] and 2 * (m["n_upper"] + m["n_lower"]) > m["word_chars"]) or m["n_upper"] > m["n_lower"] or 100 * m["n_run_words"] > 30 * m["n_words"]
     return m | {"base_failed": base, "kept": not bad}
 
 
 def rows():
     rng = random.Random(4)
     some = [" ".join(rng.choices([f"word{i}" for i in range(k)], k=n)) for k in (2, 9, 300) for n in (5, 19, 20, 60, 400)]
-    some += [None, "", "  \n\t ", "\n\n", "a b c d e f g h\n" * 6, "x" * 900, "é b\x0bc\x85 \x0c d", ("one two three four five six seven eight " * 3) + " ".join(map(str, range(40))), "BIG! " * 30, "# a| " * 30, " lead and trail \n same\n same\nsame\n"]
+    some += [None, "", "  \n\t ", "\n\n", "a b c d e f g h\n" * 6, "x" * 900, "é b\x0bc\x85 \x0c d", ("one two three four five six seven eight " * 3) + " ".join(map(str, range(40))), "BIG! " * 30, " ".join("漢字" * (15 + i) for i in range(25)), " ".join("long" * (9 + i) for i in range(25)), "# a| " * 30, " lead and trail \n same\n same\nsame\n"]
     return [(i if i != 3 else None, t, "x") for i, t in enumerate(some + some[:3])]
 
 
