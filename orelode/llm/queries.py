@@ -17,24 +17,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests. A null text is empty: no ids. Repeated rows and null keys stay; an empty table gives an empty one."""
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document. A null text is empty: 0 and 0. Repeated rows and null keys stay; an empty table gives an empty one."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. A null page is empty, and so is its text. Repeated rows, null keys and URLs stay; an empty table gives an empty one."""
     return html_text.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. A null text has no words: fingerprint zero, linked like any other. Repeated rows stay; a null key is no least id unless alone."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document. A null text has no words, so the base rejects it. Repeated rows and null keys stay; an empty table gives an empty one."""
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
@@ -43,25 +48,30 @@ def joined_spans(name: str):
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document. A null text has none: zeros, the digest of an empty list, no spans. Repeated rows and null keys stay; an empty table gives an empty one."""
     out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return out.select("doc_id", *counts, F.sha2(F.encode(joined_spans("base"), "UTF-8"), 256).alias("base_sha256"), joined_spans("spans").alias("spans"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL. A null URL, or one without ://, has an empty host and path, no rule, and is allowed. Repeated rows and null keys stay; an empty table gives an empty one."""
     return url_filters.judged(table(spark, sf_dir, "pages"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector. One that is null, zero or not finite links with nothing. Repeated rows are vectors each; an empty table gives an empty one."""
     return embedding_join.linked(table(spark, sf_dir, "embeddings"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a sequence. A null text is its end id alone. Repeated rows are documents each, null keys stay; an empty table gives no piece."""
     out = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD), end=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its record says, read back from the files. A null text is its end id alone. Null keys come first, repeated rows are records each; an empty table gives no record."""
     out = records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE), end=0)
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -74,3 +74,32 @@ def test_seed_asks_for_all_its_terms():
     assert list(packing.neighbours(index, 0, np.array([True, False, False, False]))) == [3, 2]
     shared = [sum(index.weight[i] for i in range(index.first[t], index.first[t + 1]) for _ in [0] if index.doc[i] == 2) for t in rests[0]]
     assert np.isclose(index.scores(0)[2], sum(shared))
+
+
+def plain_scores(rests, idf, average, seed):
+    """BM25 by its formula, term by term."""
+    out = []
+    for r in rests:
+        n, total = len(r), 0.0
+        for t in set(rests[seed].tolist()):
+            tf = int((r == t).sum())
+            total += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * n / average)) if tf else 0.0
+        out.append(total)
+    return np.array(out)
+
+
+def test_scores_against_the_formula():
+    """Common and rare terms, before and after used rests leave the index; and the neighbours that follow."""
+    rng = np.random.default_rng(3)
+    rests = [np.sort(rng.choice(400, size=rng.integers(1, 80), p=(w := 1 / np.arange(1, 401)) / w.sum())).astype("<u2") for _ in range(90)]
+    idf, average = rng.random(500) + 0.1, 40.0
+    index, used = packing.Index(rests, idf, average), np.zeros(90, bool)
+    for step in range(3):
+        for seed in range(0, 90, 7):
+            want = plain_scores(rests, idf, average, seed)
+            assert np.allclose(index.scores(seed), want[index.live], rtol=1e-5)
+            found = list(packing.neighbours(index, seed, used))
+            assert set(found) == {d for d in range(90) if want[d] > 0 and not used[d]}
+            assert all(want[a] >= want[b] - 1e-4 for a, b in zip(found, found[1:], strict=False))
+        used[rng.choice(90, 50, replace=False)] = True
+        index.drop(used)
