@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def arrow_task(module: str, function: str, **settings) -> Callable:
@@ -40,12 +42,37 @@ def local(cores: int = 8, name: str = "orelode", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the checkpoint folder (the session's, else one under the warehouse), its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = (context.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-        context.setCheckpointDir(own)
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)  # goes when the driver ends
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one under the warehouse.
+
+    A cluster whose only folder would be each machine's own is an error: later reads would miss what other executors wrote.
+    """
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if given:
+        return given.rstrip("/")
+    base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if base.split(":", 1)[0] in ("file", base) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base}/scratch"
+
+
+def settled(df: DataFrame, **options) -> DataFrame:
+    """``df`` computed once into a table in the shared folder, its lineage cut; the table goes when the driver ends.
+
+    Columns without a type hold nulls only and become strings.
+    """
+    spark = df.sparkSession
+    df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
+    path = f"{shared_folder(spark)}/orelode-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table from ``settled``; nothing may read it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = jvm.org.apache.hadoop.fs.Path(top)
+        folder.getFileSystem(conf).delete(folder, True)
