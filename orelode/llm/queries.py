@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orelode.llm import bpe, embedding_join, html_text, packing, quality, records, secret_scan, simhash, token_counts, url_filters
+from orelode.llm import bpe, embedding_join, html_text, merkle, packing, quality, records, secret_scan, simhash, token_counts, url_filters
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -76,7 +76,23 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op8_packing, op9_binary_records, op10_secrets)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that a tampered leaf gives.
+
+    Null values are ``-`` in a leaf; a null language is a tree of its own, the first; null keys are the first leaves of
+    theirs and are never tampered with. Repeated rows are leaves each, and ties of a key go by digest; an empty table
+    gives an empty one.
+    """
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(hit & F.col("n_chars").isNotNull(), merkle.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    out = merkle.manifest(docs, "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], "lang", tampered)
+    folded = merkle.folded(F.coalesce("tampered_leaf", "leaf"), F.col("left"), F.col("right"))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("left"), F.col("right")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op8_packing, op9_binary_records, op10_secrets, op12_merkle)
 
 
 def queries() -> dict:
@@ -84,4 +100,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL, "op7_embedding_dedup": embedding_join.SQL}
+    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL, "op7_embedding_dedup": embedding_join.SQL, "op12_merkle": merkle.SQL}
