@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orelode.llm import bpe, chat, embedding_join, html_text, merkle, packing, quality, records, secret_scan, simhash, token_counts, url_filters
+from orelode.llm import bpe, chat, embedding_join, html_text, merkle, packing, quality, records, resampling, secret_scan, simhash, token_counts, url_filters
 
 WORD, BYTE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -76,6 +76,15 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards all passages of ``benchmark``.
+
+    A null text has no words: weight 0, no rank. Repeated rows are rows each; null keys have the noise of an empty one
+    and come first among ties; an empty table gives an empty one.
+    """
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that a tampered leaf gives.
 
@@ -115,7 +124,7 @@ def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op8_packing, op9_binary_records, op10_secrets, op12_merkle, op13_chat)
+OPERATORS = (op1_bpe, op2_token_counts, op3_html_text, op4_simhash, op5_quality, op6_url_filters, op7_embedding_dedup, op8_packing, op9_binary_records, op10_secrets, op11_resampling, op12_merkle, op13_chat)
 
 
 def queries() -> dict:
@@ -123,4 +132,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL, "op7_embedding_dedup": embedding_join.SQL, "op12_merkle": merkle.SQL, "op13_chat": chat.SQL}
+    return {"op5_quality": quality.SQL, "op6_url_filters": url_filters.SQL, "op7_embedding_dedup": embedding_join.SQL, "op11_resampling": resampling.sql(), "op12_merkle": merkle.SQL, "op13_chat": chat.SQL}
