@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions.text import first_seen, folded, stripped
+from orelode.operators import block_search as S
 from orelode.operators import ranking as R
 from orelode.operators import text_index as X
 from orelode.operators import traverse as T
@@ -38,13 +39,19 @@ def text_route(queries: DataFrame, chunks: DataFrame, limit: int = CANDIDATES, i
     """
     lexical = F.when(F.size("lexical_fields") > 0, F.col("lexical_fields")).otherwise(F.col("canonical_fields"))
     asked = queries.select("query_id", F.concat_ws(" ", "text", F.concat_ws(" ", "entity_ids"), F.concat_ws(" ", lexical)).alias("text"))
-    scored = settled(X.scores(chunks, asked, index=index))
     filters = queries.filter((F.size("sources") > 0) | (F.size("sections") > 0)).select("query_id", "sources", "sections", F.lit(True).alias("filtered"))
-    rows = scored.join(filters, "query_id", "left")
-    met = rows.filter("filtered").join(chunks.select("chunk_id", "source", "section"), "chunk_id").filter(admits())
-    kept = rows.filter("filtered IS NULL").select(scored.columns).unionByName(met.select(scored.columns))
+
+    def admitted(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(filters, "query_id", "left")
+        met = rows.filter("filtered").join(chunks.select("chunk_id", "source", "section"), "chunk_id").filter(admits())
+        return rows.filter("filtered IS NULL").select(pairs.columns).unionByName(met.select(pairs.columns))
+
+    if index is None:
+        best = X.top(admitted(settled(X.scores(chunks, asked))), limit)
+    else:
+        best = S.search(index, asked, limit, admitted).drop("matched")
     named = queries.select("query_id", first_seen(F.concat("entity_ids", "canonical_fields")).alias("ids"))
-    found = X.match_kinds(settled(X.top(kept, limit)), chunks, named)
+    found = X.match_kinds(settled(best), chunks, named)
     return found.select("query_id", "chunk_id", R.evidence("text", F.col("match_kind"), F.col("score"), F.lit(None), F.col("named")).alias("evidence"))
 
 

@@ -1,8 +1,13 @@
 """Inverted index and BM25 over chunks.
 
-Terms of a chunk are counted within its row, so postings need no shuffle. Statistics are those of all chunks, whatever
-a search's predicate lets through. A search reads only the postings of its terms: of a stored index the buckets that its
-terms lie in; of chunks without an index it keeps its terms before it counts them.
+Terms of a chunk are counted within its row, so a stored index's postings come from its rows alone; a search without an
+index groups the words of its terms by chunk in a shuffle. Statistics are those of all chunks, whatever a search's
+predicate lets through. A search of a stored index reads the buckets that its terms lie in.
+
+A stored index has a term's postings in blocks by their impact, what BM25 makes of them but for the term's own weight:
+bands of equal width from the highest possible one down, so a term has ``BANDS`` blocks at most, however common it is,
+and no sort or number over its postings is needed. A table of blocks says the highest impact of each. ``block_search``
+reads the blocks that a query can need only.
 """
 
 from __future__ import annotations
@@ -13,21 +18,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.text import counted, first_seen, tokens
-from orelode.session import settled
+from orelode.session import dropped, settled, spread
 
 K1, B = 1.2, 0.75
 #: Buckets of a stored index, and query terms up to which they are sent to all tasks.
-BUCKETS, SENT = 64, 100_000
+BUCKETS, SENT = 16, 100_000
+#: Bands of impact, and groups that the chunks' terms are stored by.
+BANDS, SLOTS = 32, 8
 
 
 class Index(NamedTuple):
-    """A stored index: postings (``chunk_id, length, term, tf, bucket``) by a hash of their term, lengths, and their sums."""
+    """A stored index.
+
+    ``postings``: ``chunk_id, length, term, tf, block, bucket``, by a hash of their term; ``blocks``: ``term, block, n,
+    impact, bucket``; ``forward``: the chunks' terms, ``chunk_id, source, length, terms, slot``.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
+    blocks: DataFrame
+    forward: DataFrame
     chunks: int
     average: float
     buckets: int
+    slots: int
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.forward.drop("terms", "slot")
 
 
 def lengths(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -71,25 +88,56 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk_id", text: str = "text") -> None:
-    """Writes the index of chunks below ``path``: their words are read once."""
-    rows = settled(chunks.select(F.col(key).alias("chunk_id"), *[c for c in ("source",) if c in chunks.columns], tokens(F.col(text)).alias("tokens")))
-    own = rows.select("chunk_id", F.size("tokens").alias("length"), F.inline(counted(F.col("tokens")))).withColumn("bucket", bucket(F.col("term"), buckets))
-    own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    rows.select(*[c for c in rows.columns if c != "tokens"], F.size("tokens").alias("length")).write.mode("overwrite").parquet(f"{path}/lengths")
-    chunks.sparkSession.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+def impact(tf: Column, length: Column, average: float, k1: float = K1, b: float = B) -> Column:
+    """What BM25 makes of a posting, but for its term's weight."""
+    return (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest(length, F.lit(1)) / F.lit(average if average > 0 else 1.0)))
+
+
+def weight(df: Column, chunks: int) -> Column:
+    """A term's own weight."""
+    return F.log1p((F.lit(chunks) - df + 0.5) / (df + 0.5))
+
+
+def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk_id", text: str = "text", bands: int = BANDS, slots: int = SLOTS) -> None:
+    """Writes the index of chunks below ``path``: their words are read once, and no term's postings go through one task.
+
+    Buckets and slots say how finely a search can choose what to read, not how many tasks write or read them: a large one
+    is split over files.
+    """
+    source = [c for c in ("source",) if c in chunks.columns]
+    rows = spread(chunks.select(F.col(key).alias("chunk_id"), *source, F.col(text).alias("words"))).select("chunk_id", *source, tokens(F.col("words")).alias("tokens"))
+    rows = settled(rows.select("chunk_id", *source, F.size("tokens").alias("length"), counted(F.col("tokens")).alias("terms"), bucket(F.col("chunk_id").cast("string"), slots).alias("slot")))
+    rows.hint("rebalance", "slot").sortWithinPartitions("slot", "chunk_id").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/forward")
+    n, average = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
+    own = rows.select("chunk_id", "length", F.inline("terms")).withColumn("bucket", bucket(F.col("term"), buckets))
+    band = F.floor((1 - impact(F.col("tf"), F.col("length"), average or 0.0) / (K1 + 1)) * bands)
+    placed = own.withColumn("block", F.greatest(F.lit(0), F.least(band, F.lit(bands - 1))).cast("int"))
+    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    dropped(rows)
+    highest = F.max(impact(F.col("tf"), F.col("length"), average or 0.0)).alias("impact")
+    blocks = _stored(chunks.sparkSession, path, "postings", dict(chunks.dtypes)[key], n).groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), highest)
+    blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    totals = chunks.sparkSession.createDataFrame([(n, float(average or 0.0), buckets, slots, dict(chunks.dtypes)[key])], "chunks long, average double, buckets int, slots int, kind string")
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def _stored(spark, path: str, name: str, kind: str, chunks: int) -> DataFrame:
+    """A part of a stored index; that of no chunks has no files."""
+    schema = {"postings": f"chunk_id {kind}, length int, term string, tf int, block int, bucket int", "blocks": "term string, block int, n long, impact double, bucket int"}[name]
+    return spark.read.schema(schema).parquet(f"{path}/{name}") if chunks else spark.createDataFrame([], schema)
 
 
 def load(spark, path: str) -> Index:
     """A stored index; one that isn't there is an error."""
     totals = spark.read.parquet(f"{path}/totals").first()
-    postings_ = spark.read.schema("chunk_id string, length int, term string, tf int, bucket int").parquet(f"{path}/postings") if totals.chunks else spark.createDataFrame([], "chunk_id string, length int, term string, tf int, bucket int")
-    return Index(postings_, spark.read.parquet(f"{path}/lengths"), totals.chunks, totals.average, totals.buckets)
+    forward = spark.read.parquet(f"{path}/forward") if totals.chunks else spark.createDataFrame([], f"chunk_id {totals.kind}, length int, terms array<struct<term:string,tf:int>>, slot int")
+    stored = [_stored(spark, path, name, totals.kind, totals.chunks) for name in ("postings", "blocks")]
+    return Index(*stored, forward, totals.chunks, totals.average, totals.buckets, totals.slots)
 
 
 def index_report(index: Index) -> DataFrame:
     """Chunks, terms, postings, tokens and the average length of a stored index, and its chunks by source."""
-    terms = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    terms = index.blocks.groupBy("term").agg(F.sum("n").alias("df")).agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     per = index.lengths.groupBy("source").agg(F.count(F.lit(1)).alias("n")) if "source" in index.lengths.columns else index.lengths.select(F.lit("").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     sources = per.agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("sources"))
     whole = index.lengths.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_tokens"), F.round(F.coalesce(F.avg("length"), F.lit(0.0)), 6).alias("average_length"))
@@ -114,12 +162,11 @@ def scores(chunks: DataFrame | None, queries: DataFrame, key: str = "chunk_id",
     else:
         n, average = index.chunks, index.average
         wanted = [r[0] for r in terms.select(bucket(F.col("term"), index.buckets)).distinct().collect()]  # a row for each bucket at most
-        some = index.postings.filter(F.col("bucket").isin(wanted)).drop("bucket").join(terms, "term")
+        some = index.postings.filter(F.col("bucket").isin(wanted)).drop("bucket", "block").join(terms, "term")
     some = settled(some)  # read twice
     df = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").select("query_id", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tf, mean = F.col("tf"), average if average > 0 else 1.0
-    part = F.col("idf") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * F.greatest(F.col("length"), F.lit(1)) / F.lit(mean)))
+    weighed = asked.join(df, "term").select("query_id", "term", weight(F.col("df"), n).alias("idf"))
+    part = F.col("idf") * impact(F.col("tf"), F.col("length"), average, k1, b)
     hits = some.join(weighed, "term").select("query_id", "chunk_id", part.alias("part"))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
@@ -143,6 +190,7 @@ def match_kinds(found: DataFrame, chunks: DataFrame, identifiers: DataFrame, key
     """Adds ``match_kind`` and ``named``: identifiers (query_id, ids) that a chunk has as a whole token, in their order."""
     rows = found.join(chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("chunk_text")), "chunk_id").join(identifiers.select("query_id", "ids"), "query_id", "left")
     own = F.array_distinct(tokens(F.col("chunk_text")))
-    named = F.filter(F.coalesce("ids", F.array().cast("array<string>")), lambda i: F.array_contains(own, F.lower(i)))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    named = F.element_at(F.transform(F.array(own), lambda o: F.filter(ids, lambda i: F.array_contains(o, F.lower(i)))), 1)  # a text's words once, not for each id
     rows = rows.withColumn("named", named).drop("chunk_text", "ids")
     return rows.withColumn("match_kind", F.when(F.size("named") > 0, "exact_identifier").otherwise("lexical"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelode.functions.text import first_seen, tokens
+from orelode.operators import block_search as S
 from orelode.operators import chunks as C
 from orelode.operators import metrics as M
 from orelode.operators import text_index as X
-from orelode.session import table
+from orelode.session import passing, table
 
 #: Tokens as the index has them, in DuckDB.
 SQL_TOKENS = "flatten(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*'), lambda t: CASE WHEN regexp_matches(t, '[._-]') THEN list_prepend(t, regexp_split_to_array(t, '[._-]')) ELSE [t] END))"
@@ -23,9 +24,21 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> X.Index:
+    """The index of all documents, saved in the shared folder by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = passing(spark)
+        X.save(documents(spark, sf_dir), path)
+        _STORED[key] = path
+    return X.load(spark, _STORED[key])
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = documents(spark, sf_dir), passages(spark, sf_dir)
-    found = X.with_matched(X.top(X.scores(docs, asked), 10), docs, asked)
+    found = S.search(stored_index(spark, sf_dir), passages(spark, sf_dir), 10)
     return found.select("query_id", "rank", "chunk_id", "score", F.array_join("matched", " ").alias("matched"))
 
 
@@ -48,7 +61,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A predicate on chunks leaves the statistics of the whole corpus as they are."""
     docs = documents(spark, sf_dir)
-    found = X.top(X.scores(docs, passages(spark, sf_dir)), 5, docs.filter("lang = 'de'"))
+    german = docs.filter("lang = 'de'").select("chunk_id").distinct()
+    found = S.search(stored_index(spark, sf_dir), passages(spark, sf_dir), 5, lambda pairs: pairs.join(german, "chunk_id", "left_semi"))
     return found.select("query_id", "rank", "chunk_id", "score")
 
 
@@ -59,17 +73,17 @@ FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def text_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, asked = documents(spark, sf_dir), passages(spark, sf_dir)
-    named = asked.select("query_id", F.slice(first_seen(F.filter(tokens(F.col("text")), lambda t: F.length(t) > 5)), 1, 3).alias("ids"))
-    found = X.match_kinds(X.top(X.scores(docs, asked), 10), docs, named)
+    named = asked.select("query_id", first_seen(F.filter(tokens(F.col("text")), lambda t: F.length(t) > 5)).alias("ids"))
+    found = X.match_kinds(S.search(stored_index(spark, sf_dir), asked, 10), docs, named)
     return found.select("query_id", "rank", "chunk_id", "match_kind", F.array_join("named", ",").alias("named"))
 
 
 TEXT_CANDIDATES = f"""WITH {BM25},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10),
-names AS (SELECT item_id AS query_id, t, i, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM (
+names AS (SELECT item_id AS query_id, t, i FROM (
     SELECT item_id, t, min(i) AS i FROM (SELECT item_id, unnest({SQL_TOKENS.format("text")}) AS t, generate_subscripts({SQL_TOKENS.format("text")}, 1) AS i FROM benchmark) WHERE length(t) > 5 GROUP BY item_id, t)),
 found AS (SELECT b.query_id, b.rank, b.chunk_id, list(names.t ORDER BY names.i) FILTER (list_contains(tok.t, names.t)) AS named
-    FROM best b JOIN tok ON tok.chunk_id = b.chunk_id LEFT JOIN names ON names.query_id = b.query_id AND names.k <= 3 GROUP BY ALL)
+    FROM best b JOIN tok ON tok.chunk_id = b.chunk_id LEFT JOIN names ON names.query_id = b.query_id GROUP BY ALL)
 SELECT query_id, rank::INT AS rank, chunk_id, CASE WHEN len(named) > 0 THEN 'exact_identifier' ELSE 'lexical' END AS match_kind, coalesce(array_to_string(named, ','), '') AS named FROM found"""
 
 
@@ -155,7 +169,7 @@ UNION ALL SELECT 'too_long', chunk_id FROM c WHERE length(text) > 2000"""
 
 def ranking_and_judgments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The BM25 ranking by the documents' sources as records, and grades from the labels."""
-    found = X.top(X.scores(documents(spark, sf_dir), passages(spark, sf_dir)), 20).join(documents(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
+    found = S.search(stored_index(spark, sf_dir), passages(spark, sf_dir), 20).join(documents(spark, sf_dir).select("chunk_id", "source"), "chunk_id")
     ranking = found.select(F.col("query_id").alias("case_id"), F.col("rank").alias("position"), F.col("source").alias("record_id"))
     grades = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("source").alias("record_id")).agg(F.count_if(F.col("quality") == 1).alias("good"))
     judgments = passages(spark, sf_dir).select(F.col("query_id").alias("case_id")).join(grades, (F.col("case_id") + F.col("good")) % 3 != 0).select("case_id", "record_id", ((F.col("case_id") + F.col("good")) % 4).cast("int").alias("grade"))

@@ -42,6 +42,12 @@ def local(cores: int = 8, name: str = "orelode", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its scan has fewer splits than there are; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, else one under the warehouse.
 
@@ -56,17 +62,25 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/scratch"
 
 
+def passing(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/orelode-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.mkdirs(folder)
+    store.deleteOnExit(folder)
+    return path
+
+
 def settled(df: DataFrame, **options) -> DataFrame:
-    """``df`` computed once into a table in the shared folder, its lineage cut; the table goes when the driver ends.
+    """``df`` computed once into a table in the shared folder, its lineage cut.
 
     Columns without a type hold nulls only and become strings.
     """
     spark = df.sparkSession
     df = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
-    path = f"{shared_folder(spark)}/orelode-{uuid.uuid4().hex}"
+    path = f"{passing(spark)}/rows"
     df.write.options(**options).parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
