@@ -62,10 +62,15 @@ def graph_route(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, edges:
     starts = T.start_nodes(reports)
     reached = settled(T.walked(starts, edges, hops))
     own = F.filter(F.transform(F.array(*[F.col(c).cast("string") for c in identifiers if c != "name"]), lambda v: F.lower(stripped(v))), lambda v: v.isNotNull())
-    rows = reached.join(nodes.select("node_id", "record_id", "canonical_id", own.alias("own")), "node_id").join(starts.select("query_id", "node_id", "value"), ["query_id", "node_id"], "left")
-    rows = rows.join(chunks.select("record_id", "chunk_id", "chunk_ord", "source", "section"), "record_id").join(queries.select("query_id", "sources", "sections"), "query_id")
-    rows = rows.filter(admits())
-    rows = rows.withColumn("place", F.struct("rank", "chunk_ord", "chunk_id"))
+    named = nodes.select("node_id", "record_id", "canonical_id", own.alias("own"))
+    held = chunks.select("record_id", "chunk_id", "chunk_ord", "source", "section")
+
+    def candidates_of(some: DataFrame) -> DataFrame:
+        rows = some.join(named, "node_id").join(starts.select("query_id", "node_id", "value"), ["query_id", "node_id"], "left")
+        rows = rows.join(held, "record_id").join(queries.select("query_id", "sources", "sections"), "query_id").filter(admits())
+        return rows.withColumn("place", F.struct("rank", "chunk_ord", "chunk_id"))
+
+    rows = T.expanded(reached, candidates_of, limit)
     some = T.rationed(rows, reached.select("query_id", "hop").distinct(), limit)
     kind = R.match_kind(F.col("hop"), F.coalesce("value", F.lit("")), F.col("own"))
     matched = F.when(kind == "exact_identifier", F.array_distinct(F.array("value", "canonical_id"))).otherwise(F.array("canonical_id"))

@@ -7,11 +7,14 @@ a node's hop and path.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.text import stripped
 from orelode.operators import vocabulary as V
+from orelode.operators.numbering import numbered
 from orelode.session import settled
 
 
@@ -46,25 +49,52 @@ def start_nodes(reports: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "node_id").agg(F.min_by("value", "ordinal").alias("value"), F.min("ordinal").alias("ordinal"))
 
 
+def queued(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``rank``, 1, 2, 3 ... in each query's queue."""
+    return numbered(rows, ["query_id"], order, "rank").withColumn("rank", F.col("rank") + 1)
+
+
 def walked(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """``query_id, node_id, hop, rank, path`` of the nodes within ``hops`` of a query's starts (query_id, node_id, ordinal).
 
-    ``edges`` (key, type, start_id, end_id) count both ways. ``rank`` is the place in the queue of its hop.
+    ``edges`` (key, type, start_id, end_id) count both ways. ``rank`` is the place in the queue of its hop. Queues are
+    numbered by ranges, so one query's level runs in as many tasks as its rows fill.
     """
     both = edges.select(F.col("start_id").alias("node_id"), F.col("end_id").alias("next"), "type", "key").unionByName(edges.select(F.col("end_id").alias("node_id"), F.col("start_id").alias("next"), "type", "key"))
-    queue = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    both, made = settled(both), starts.select("query_id", "node_id", F.lit(0).alias("hop"), queue("ordinal", "node_id").alias("rank"), F.array().cast("array<string>").alias("path"))
-    level = settled(made)
+    both = settled(both)
+    level = queued(settled(starts.select("query_id", "node_id", "ordinal")), ["ordinal", "node_id"])
+    level = settled(level.select("query_id", "node_id", F.lit(0).alias("hop"), "rank", F.array().cast("array<string>").alias("path")))
     seen = level
     for hop in range(1, hops + 1):
         reach = level.join(both, "node_id").select("query_id", F.col("next").alias("node_id"), "rank", "type", "key", F.concat("path", F.array("key")).alias("path"))
         new = reach.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
         first = new.groupBy("query_id", "node_id").agg(F.min(F.struct("rank", "type", "key", "path")).alias("f"))
-        level = settled(first.select("query_id", "node_id", F.lit(hop).alias("hop"), queue("f.rank", "f.type", "node_id", "f.key").alias("rank"), F.col("f.path").alias("path")))
+        first = settled(first.select("query_id", "node_id", F.col("f.rank").alias("from"), "f.type", "f.key", "f.path"))
+        level = settled(queued(first, ["from", "type", "node_id", "key"]).select("query_id", "node_id", F.lit(hop).alias("hop"), "rank", "path"))
         seen = seen.unionByName(level)
     return seen
 
 
+def expanded(reached: DataFrame, candidates_of: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """Candidates of reached nodes (query_id, hop, rank), of as many nodes of each level as can matter to ``rationed``.
+
+    ``candidates_of`` makes candidates (query_id, hop, place ...; places in the order of ranks) of some of the nodes. A
+    level is expanded from its first ranks on, in slices that double, until it has ``limit`` candidates or no more nodes:
+    no ration goes beyond a level's first ``limit``. So a hub's neighbours are joined as far as they are needed.
+    """
+    still = settled(reached.groupBy("query_id", "hop").agg(F.max("rank").alias("last"), F.lit(0).cast("long").alias("have")))
+    out, low, high = None, 0, limit
+    while True:
+        some = reached.filter((F.col("rank") > low) & (F.col("rank") <= high)).join(still.select("query_id", "hop"), ["query_id", "hop"])
+        rows = settled(candidates_of(some))
+        out = rows if out is None else out.unionByName(rows)
+        more = still.join(rows.groupBy("query_id", "hop").agg(F.count(F.lit(1)).alias("n")), ["query_id", "hop"], "left")
+        still = settled(more.select("query_id", "hop", "last", (F.col("have") + F.coalesce("n", F.lit(0))).alias("have")).filter((F.col("have") < limit) & (F.col("last") > high)))
+        if still.isEmpty():
+            return out
+        low, high = high, 2 * high
+
+
 def rationed(candidates: DataFrame, levels: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` candidates (query_id, hop, place) of each query: seeds first, then equal shares of what is left
     for each deeper level that was reached (``levels``: query_id, hop), and what levels leave over in the order of hops.
