@@ -43,19 +43,19 @@ def edge_type(start: Column, target: Column, field: Column) -> Column:
 
 
 def reference_edges(resolved: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges, and what was skipped and why, of resolved references (start_id, start_type, source, source_id, field, value, status, candidates).
+    """Edges, and what was skipped and why, of resolved references (start_id, start_type, source, source_id, field, value, status, record, n_candidates).
 
     Source, its id, field and value are in an edge's key, so that distinct evidence makes distinct edges.
 
     ``nodes`` has ``record_id, node_id, node_type``.
     """
     target = nodes.select(F.col("record_id").alias("target_record"), F.col("node_id").alias("end_id"), F.col("node_type").alias("end_type"))
-    rows = resolved.withColumn("target_record", F.when(F.col("status") == "resolved", F.get("candidates", F.lit(0)))).join(target, "target_record", "left")
+    rows = resolved.withColumn("target_record", F.col("record")).join(target, "target_record", "left")
     reason = F.when(F.col("status") == "unresolved", SKIPS[0]).when(F.col("status") == "ambiguous", SKIPS[1]).when(F.col("end_id").isNull(), SKIPS[2])
     rows = rows.withColumn("reason", reason)
     kind = edge_type(F.col("start_type"), F.col("end_type"), F.col("field"))
     edges = rows.filter("reason IS NULL").withColumn("type", kind).select(edge_key(*[F.col(c).cast("string") for c in ("start_id", "type", "end_id", "source", "source_id", "field", "value")]).alias("key"), "type", "start_id", "end_id", "field", "value")
-    skipped = rows.filter("reason IS NOT NULL").select("reason", "start_id", "field", "value", F.size("candidates").alias("candidates"))
+    skipped = rows.filter("reason IS NOT NULL").select("reason", "start_id", "field", "value", F.col("n_candidates").cast("int").alias("candidates"))
     return edges, skipped
 
 

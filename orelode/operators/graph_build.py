@@ -70,6 +70,16 @@ def edge_evidence(source: Column, source_id: Column, field: Column, value: Colum
     return F.map_from_arrays(F.array(*map(F.lit, EDGE_EVIDENCE)), F.array(source, source_id, field, place, value, F.coalesce(canonical, F.lit("")), F.lit(status), F.lit(method), F.lit(origin), F.coalesce(evidence, F.lit(""))))
 
 
+def placed_index(normal: DataFrame) -> DataFrame:
+    """The identifiers of normalized records, which are candidates in the order of the build."""
+    return R.identifier_index(normal.withColumn("place", F.struct(build_order(F.col("source")).alias("o"), "line_number")), keep=("source", "id", "place"))
+
+
+def skipped_candidates(records: DataFrame, skipped: DataFrame, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """``candidate_set, place, record`` of the ambiguous references that a build of these records skipped."""
+    return R.candidate_sets(placed_index(R.normalized(chosen(records, sources))), skipped, order="place", scope="source")
+
+
 def reference_edges(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of the records' references (``key, type, start_id, end_id, evidence, build_ord, line_number, ordinal``), and what was skipped.
 
@@ -78,11 +88,10 @@ def reference_edges(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     own = nodes.select(F.col("record_id").alias("id"), "source", F.col("node_id").alias("start_id"), F.col("node_type").alias("start_type"), "source_id", "build_ord", "line_number")
     refs = R.references(records).unionByName(stated_tactics(records)).join(own, ["source", "id"]).withColumn("ref", F.struct("source", "id", "line_number", "ordinal"))
     normal = R.normalized(records)
-    index = R.identifier_index(normal.withColumn("place", F.struct(build_order(F.col("source")).alias("o"), "line_number")), keep=("source", "id", "place"))
-    found = R.resolved_by_kind(refs, index, order="place")
+    found = R.resolved_by_kind(refs, placed_index(normal), order="place")
     target = nodes.groupBy("record_id").agg(F.max_by(F.struct("node_id", "node_type"), F.struct("build_ord", "line_number")).alias("t"))
     named = normal.select(F.col("id").alias("target_record"), F.coalesce(R.text_of(F.col("metadata"), "techniqueId"), R.text_of(F.col("metadata"), "id")).alias("target_name"), F.struct(build_order(F.col("source")).alias("o"), "line_number").alias("p")).groupBy("target_record").agg(F.min_by("target_name", "p").alias("target_name"))
-    rows = found.withColumn("target_record", F.when(F.col("status") == "resolved", F.get("candidates", F.lit(0))))
+    rows = found.withColumn("target_record", F.col("record"))
     rows = rows.join(target.select(F.col("record_id").alias("target_record"), "t.*"), "target_record", "left").join(named, "target_record", "left")
     rows = settled(rows.drop("ref").withColumn("reason", F.when(F.col("status") == "unresolved", G.SKIPS[0]).when(F.col("status") == "ambiguous", G.SKIPS[1]).when(F.col("node_id").isNull(), G.SKIPS[2])))  # read twice
     kind = G.edge_type(F.col("start_type"), F.col("node_type"), F.col("field"))
@@ -90,7 +99,7 @@ def reference_edges(records: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
         G.edge_key(F.col("start_id"), F.col("type"), F.col("node_id"), F.col("source"), F.col("source_id"), F.col("field"), F.col("value")).alias("key"), "type", "start_id", F.col("node_id").alias("end_id"),
         edge_evidence(F.col("source"), F.col("source_id"), F.col("field"), F.col("value"), F.col("target_name"), "resolved", "identifier_index", "resolved_reference", F.col("target_record")).alias("evidence"), "build_ord", "line_number", "ordinal",
     )
-    skipped = rows.filter("reason IS NOT NULL").select("reason", "source", "source_id", F.col("field").alias("source_field"), F.col("value").alias("original_value"), F.when(F.col("reason") == G.SKIPS[1], F.col("candidates")).otherwise(F.array().cast("array<string>")).alias("candidates"), F.coalesce("note", F.lit("the record stands for no node")).alias("note"))
+    skipped = rows.filter("reason IS NOT NULL").select("reason", "source", "source_id", F.col("field").alias("source_field"), F.col("value").alias("original_value"), F.when(F.col("reason") == G.SKIPS[1], F.col("candidate_set")).alias("candidate_set"), F.coalesce("note", F.lit("the record stands for no node")).alias("note"))
     return edges, skipped
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelode.session import settled
+
 
 def collapsed(ranking: DataFrame) -> DataFrame:
     """The first place of each record of a case, and places counted anew."""
@@ -43,13 +45,56 @@ def means(values: DataFrame, names: list[str], by: str | None = None) -> DataFra
     return (values.groupBy(by) if by else values.groupBy()).agg(F.count(F.lit(1)).alias("cases"), *aggs)
 
 
+#: Parts of a range that are counted in a round, values that are sorted in the end, and ranks up to which they are sent to all tasks.
+PARTS, LAST, SENT = 256, 10_000, 50_000
+
+
+def selected(values: DataFrame, wanted: DataFrame, by: str, value: str) -> DataFrame:
+    """``by, k, chosen``: the k-th smallest value (from 0) of each group, exactly, without sorting a group.
+
+    ``wanted``: ``by, k, lo, hi, n`` with the least and greatest value and the number of values of the group. A round
+    counts the values of a range by ``PARTS`` parts of equal width and goes on with the part that holds the rank, from
+    its least to its greatest value; a part of ``LAST`` values at most is sorted. Every round parts the least from the
+    greatest value, so ranges always shrink. Nulls and NaN are no values. Values are read once a round, so settle what
+    is dear.
+    """
+    rows = values.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    targets = settled(wanted.select(F.col(by).alias("of"), "k", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("inside")))
+    few = targets.count() <= SENT  # else groups are many, and rows go to their group's ranks by a shuffle
+    done = None
+
+    def inside(some: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(some) if few else some, F.col("g").eqNullSafe(F.col("of")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+    while True:
+        ready = targets.filter("lo = hi OR inside <= %d" % LAST)
+        done = ready if done is None else done.unionByName(ready)
+        still = targets.filter("lo < hi AND inside > %d" % LAST)
+        if still.isEmpty():
+            break
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * PARTS), F.lit(PARTS - 1))
+        counts = inside(still).groupBy("of", "k", "below", part.alias("part")).agg(F.count(F.lit(1)).alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("inside").over(Window.partitionBy("of", "k").orderBy("part"))  # as many rows as there are parts
+        placed = counts.withColumn("upto", F.col("below") + upto).filter((F.col("k") < F.col("upto")) & (F.col("k") >= F.col("upto") - F.col("inside")))
+        targets = settled(placed.select("of", "k", "lo", "hi", (F.col("upto") - F.col("inside")).alias("below"), "inside"))
+    done = settled(done)
+    one = done.filter("lo = hi").select(F.col("of").alias(by), "k", F.col("lo").alias("chosen"))
+    nth = F.row_number().over(Window.partitionBy("of", "k").orderBy("v"))  # of LAST rows at most
+    rest = inside(done.filter("lo < hi")).withColumn("nth", nth).filter(F.col("nth") == F.col("k") - F.col("below") + 1)
+    return one.unionByName(rest.select(F.col("of").alias(by), "k", F.col("v").alias("chosen")))
+
+
 def latency(values: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, median and p95 (the sorted value at int(0.95 n)), three places.
+    """Mean, median and p95 (the sorted value at int(0.95 n)), three places, of each group's values; null groups are one.
 
-    Values are counted before they are ranked, so a group is as long as it has different values.
+    Ranks are selected by counts, so no group is sorted or goes through one task. A group without a value has no row.
     """
-    counts = values.groupBy(by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    running = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(by).orderBy("v"))).join(values.groupBy(by).agg(F.count(F.lit(1)).alias("n")), by)
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95).cast("double")))
-    middle = [F.min(F.when(F.col("upto") > m, F.col("v"))) for m in (F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))]
-    return running.groupBy(by).agg(F.round(F.sum(F.col("v") * F.col("c")) / F.max("n"), 3).alias("mean"), F.round((middle[0] + middle[1]) / 2, 3).alias("median"), F.round(F.min(F.when(F.col("upto") > at, F.col("v"))), 3).alias("p95"))
+    rows = values.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    whole = settled(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean")))
+    ranks = {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2), "last": F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95).cast("double")))}
+    asked = whole.withColumns(ranks)
+    wanted = asked.select(by, "lo", "hi", "n", F.explode(F.array_distinct(F.array(*ranks))).alias("k"))
+    found = selected(rows, wanted, by, value).groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("k", "chosen"))).alias("at"))  # three ranks
+    out = asked.join(found.withColumnRenamed(by, "of"), F.col(by).eqNullSafe(F.col("of")))
+    at = lambda name: F.element_at("at", F.col(name))
+    return out.select(by, F.round("mean", 3).alias("mean"), F.round((at("low") + at("high")) / 2, 3).alias("median"), F.round(at("last"), 3).alias("p95"))

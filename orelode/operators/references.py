@@ -1,7 +1,9 @@
 """Identifiers of records, references between them, and their resolution.
 
-A reference is resolved (one record has the identifier), ambiguous (several have, all are listed and none is chosen)
-or unresolved. A record that has an identifier twice counts twice.
+A reference is resolved (one record has the identifier), ambiguous (several have, and none is chosen) or unresolved. A
+record that has an identifier twice counts twice. Each distinct key is resolved once: a reference has the number of its
+candidates and the id of their set, and the sets are a table of their own, so that many references to one key of many
+records cost their sum and not their product.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orelode.functions.text import first_seen, stripped
+from orelode.operators.numbering import numbered
+from orelode.session import settled
 
 #: Shapes of identifiers, first match counts: fixed values.
 KINDS = (("data_source", r"(?i)^DS\d{4}$"), ("tactic", r"(?i)^TA\d{4}$"), ("technique", r"(?i)^T\d{4}(\.\d{3})?$"), ("group", r"(?i)^G\d{4}$"), ("software", r"(?i)^S\d{4}$"), ("mitigation", r"(?i)^M\d{4}$"), ("cve", r"(?i)^CVE-\d{4}-\d{4,}$"))
@@ -71,12 +75,44 @@ def identifier_index(records: DataFrame, identifiers: str = "identifiers", keep:
     return records.select(*keep, F.explode(identifiers).alias("identifier")).select(F.upper(stripped("identifier")).alias("key"), *keep)
 
 
+def keyed(refs: DataFrame, value: str, scope: str | None) -> DataFrame:
+    """``refs`` with ``candidate_set``: the key that they ask for, after the source that has to answer."""
+    key = F.upper(stripped(F.col(value)))
+    return refs.withColumn("candidate_set", key if scope is None else F.concat(F.col(scope), F.lit(":"), key))
+
+
+def sets_of(index: DataFrame, order: str, record: str, scope: str | None) -> DataFrame:
+    """``candidate_set, o, record`` of an identifier index."""
+    key = F.col("key") if scope is None else F.concat(F.col(scope), F.lit(":"), F.col("key"))
+    return index.select(key.alias("candidate_set"), F.col(order).alias("o"), F.col(record).alias("record"))
+
+
+def settled_keys(refs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``refs`` (candidate_set) with ``status, n_candidates, record``: the record that is the only candidate.
+
+    Candidates are counted before they meet references, so the join has a row for each key.
+    """
+    counts = sets.groupBy("candidate_set").agg(F.count(F.lit(1)).alias("n_candidates"), F.first("record").alias("record"))
+    out = refs.join(counts, "candidate_set", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    n = F.col("n_candidates")
+    return out.withColumns({"status": F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"), "record": F.when(n == 1, F.col("record")), "candidate_set": F.when(n > 0, F.col("candidate_set"))})
+
+
 def resolved(refs: DataFrame, index: DataFrame, value: str = "value", order: str = "ordinal", record: str = "id") -> DataFrame:
-    """``refs`` with ``status`` and ``candidates``, in the index's order. Each reference needs a unique ``ref``."""
-    keys = index.select("key", F.struct(F.col(order).alias("o"), F.col(record).alias("r")).alias("candidate"))
-    hits = refs.select("ref", F.upper(stripped(F.col(value))).alias("key")).join(keys, "key").groupBy("ref").agg(F.array_sort(F.collect_list("candidate")).alias("found"))
-    out = refs.join(hits, "ref", "left").withColumn("candidates", F.coalesce(F.transform("found", lambda c: c["r"]), F.array().cast(f"array<{dict(index.dtypes)[record]}>"))).drop("found")
-    return out.withColumn("status", F.when(F.size("candidates") == 0, "unresolved").when(F.size("candidates") == 1, "resolved").otherwise("ambiguous"))
+    """``refs`` with ``candidate_set, n_candidates, record, status``; see ``candidate_sets`` and ``listed``."""
+    return settled_keys(keyed(refs, value, None), sets_of(index, order, record, None))
+
+
+def candidate_sets(index: DataFrame, resolved: DataFrame, order: str = "ordinal", record: str = "id", scope: str | None = None) -> DataFrame:
+    """``candidate_set, place, record``: the candidates of the sets that resolved references name, in the index's order."""
+    asked = resolved.filter("candidate_set IS NOT NULL").select("candidate_set").distinct()
+    return numbered(settled(sets_of(index, order, record, scope).join(asked, "candidate_set", "left_semi")), ["candidate_set"], ["o", "record"], "place").drop("o")
+
+
+def listed(resolved: DataFrame, sets: DataFrame) -> DataFrame:
+    """``resolved`` with ``candidates``, an array in each row: for reports of few references, as rows hold whole sets."""
+    arrays = sets.groupBy("candidate_set").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda c: c["record"]).alias("candidates"))
+    return resolved.join(arrays, "candidate_set", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast(arrays.schema["candidates"].dataType)))
 
 
 #: Sources that answer a kind of reference: fixed values. Other kinds have none.
@@ -86,20 +122,17 @@ KIND_SOURCES = {"technique": "mitre", "tactic": "mitre", "group": "mitre", "soft
 def resolved_by_kind(refs: DataFrame, index: DataFrame, value: str = "value", order: str = "ordinal", record: str = "id") -> DataFrame:
     """``resolved``, where only records of the source that answers a reference's ``kind`` are candidates; with ``note``.
 
-    ``index`` has ``source``. A kind that no source answers, or whose source isn't in the index, is unresolved.
+    ``index`` has ``source``, which comes first in a set's id. A kind that no source answers, or whose source isn't in the index, is unresolved.
     """
     asked = F.lit(None).cast("string")
     for kind, source in KIND_SOURCES.items():
         asked = F.when(F.col("kind") == kind, source).otherwise(asked)
     there = index.select("source").distinct().select(F.col("source").alias("asked"), F.lit(True).alias("loaded"))
     rows = refs.withColumn("asked", asked)
-    keys = index.select(F.col("source").alias("asked"), "key", F.struct(F.col(order).alias("o"), F.col(record).alias("r")).alias("candidate"))
-    hits = rows.select("ref", "asked", F.upper(stripped(F.col(value))).alias("key")).join(keys, ["asked", "key"]).groupBy("ref").agg(F.array_sort(F.collect_list("candidate")).alias("found"))
-    out = rows.join(hits, "ref", "left").join(F.broadcast(there), "asked", "left")  # a row for each source
-    out = out.withColumn("candidates", F.coalesce(F.transform("found", lambda c: c["r"]), F.array().cast(f"array<{dict(index.dtypes)[record]}>")))
-    n = F.size("candidates")
+    out = settled_keys(keyed(rows, value, "asked"), sets_of(index, order, record, "source")).join(F.broadcast(there), "asked", "left")  # a row for each source
+    n = F.col("n_candidates")
     note = F.when(~F.coalesce("loaded", F.lit(False)), "no source at hand answers this kind").when(n == 0, "no record has this identifier").when(n > 1, F.format_string("%d records have this identifier", n))
-    return out.withColumns({"status": F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous"), "note": note}).drop("found", "loaded", "asked")
+    return out.withColumn("note", note).drop("loaded", "asked")
 
 
 def resolution_counts(rows: DataFrame) -> DataFrame:

@@ -33,10 +33,15 @@ def seeds(asked: DataFrame, index: DataFrame) -> DataFrame:
 
     A value without a node is followed to its successor if that one has exactly one node.
     """
-    rows = asked.withColumn("key", F.lower(stripped("value")))
-    found = rows.join(index, "key", "left").groupBy("query_id", "ordinal", "value").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
+    def nodes_of(rows: DataFrame, name: str) -> DataFrame:
+        """Each distinct key's nodes are gathered once, then joined with what asks for it."""
+        keys = rows.select("key").distinct()
+        per = index.join(keys, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_set("node_id")).alias(name))
+        return rows.join(per, "key", "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{dict(index.dtypes)['node_id']}>"))).drop("key")
+
+    found = nodes_of(asked.select("query_id", "ordinal", "value", F.lower(stripped("value")).alias("key")), "node_ids")
     moved = found.filter(F.size("node_ids") == 0).withColumn("original", F.upper(stripped("value"))).join(redirects(asked.sparkSession), "original")
-    moved = moved.withColumn("key", F.lower("successor")).join(index, "key", "left").groupBy("query_id", "ordinal", "value", "successor").agg(F.array_sort(F.collect_set("node_id")).alias("new_ids"))
+    moved = nodes_of(moved.select("query_id", "ordinal", "successor", F.lower("successor").alias("key")), "new_ids")
     rows = found.join(moved.select("query_id", "ordinal", "successor", "new_ids"), ["query_id", "ordinal"], "left")
     follow = (F.size("node_ids") == 0) & (F.coalesce(F.size("new_ids"), F.lit(0)) == 1)
     status = F.when(F.size("node_ids") == 1, "resolved").when(F.size("node_ids") > 1, "ambiguous").when(follow, "redirected").otherwise("unresolved")

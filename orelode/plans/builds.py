@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from orelode.operators import graph as G
 from orelode.operators import graph_build as B
-from orelode.session import table
+from orelode.operators import references as R
+from orelode.session import settled, table
 
 T = "concat('T', CAST({} AS STRING))".format
 #: Table, and its record's source, line, id, source id and metadata; nations of key 3 in 7 are in two domains.
@@ -41,8 +42,11 @@ def graph_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_build_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, skipped = B.built(records(spark, sf_dir))
-    return skipped.withColumn("candidates", F.array_join("candidates", ","))
+    rows = records(spark, sf_dir)
+    _, _, skipped = B.built(rows)
+    skipped = settled(skipped)
+    out = R.listed(skipped, B.skipped_candidates(rows, skipped)).drop("candidate_set")
+    return out.withColumn("candidates", F.array_join("candidates", ","))
 
 
 RECORDS = """mitre AS (SELECT 'mitre:ent:' || n_nationkey AS id, 'ent:T' || (1000 + n_nationkey) AS sid, 'T' || (1000 + n_nationkey) AS aid, n_name AS name, 'domain=ent;' AS dom, 'technique' AS kind, n_nationkey + 1 AS line FROM nation

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from orelode.operators import references as R
 from orelode.sources import corpus as S
@@ -55,11 +56,9 @@ def test_references_and_resolution(spark, root):
     assert listed["m1", 0] == ("tactics", "TA0002", "tactic") and listed["m2", 0] == ("parentTechniqueId", "T1059", "technique")
     assert [listed["s1", i][1] for i in range(4)] == ["T1059", "T4040", "T9999", "T1059.001"]
     assert ("s1", 4) not in listed
-    from pyspark.sql import functions as F
-
     index = R.identifier_index(made.withColumn("ordinal", F.col("line_number")), keep=("id", "ordinal"))
     out = R.resolved(refs.withColumn("ref", F.concat_ws("|", "id", "ordinal")), index)
-    status = {(r.id, r.value): (r.status, list(r.candidates)) for r in out.collect()}
+    status = {(r.id, r.value): (r.status, list(r.candidates)) for r in R.listed(out, R.candidate_sets(index, out)).collect()}
     assert status["s1", "T1059"] == ("resolved", ["m1"])
     assert status["s1", "T9999"] == ("ambiguous", ["m3", "m4"])
     assert status["s1", "T4040"] == ("unresolved", [])
@@ -71,3 +70,14 @@ def test_an_identifier_twice_is_ambiguous(spark):
     index = R.identifier_index(spark.createDataFrame([("a", 1, ["x", "X "])], "id string, ordinal int, identifiers array<string>"), keep=("id", "ordinal"))
     refs = spark.createDataFrame([("r", "X")], "ref string, value string")
     assert R.resolved(refs, index).first().status == "ambiguous"
+
+
+def test_a_hot_key_costs_a_sum(spark):
+    """300,000 references to one key of 2,000 records: the join has a row for each key, the set is there once."""
+    index = spark.range(2000).selectExpr("'HOT' AS key", "concat('r', id) AS id", "id AS ordinal").unionByName(spark.createDataFrame([("ONE", "x", 1)], "key string, id string, ordinal long"))
+    refs = spark.range(300_000).selectExpr("id AS ref", "CASE id % 3 WHEN 0 THEN ' hot' WHEN 1 THEN 'Hot ' ELSE 'one' END AS value")
+    out = R.resolved(refs, index)
+    got = {(r.status, r.n_candidates, r.record, r.candidate_set): r["n"] for r in out.groupBy("status", "n_candidates", "record", "candidate_set").agg(F.count("*").alias("n")).collect()}
+    assert got == {("ambiguous", 2000, None, "HOT"): 200_000, ("resolved", 1, "x", "ONE"): 100_000}
+    sets = R.candidate_sets(index, out.filter("status = 'ambiguous'")).collect()
+    assert [(r.place, r.record) for r in sorted(sets, key=lambda r: r.place)] == [(k, f"r{k}") for k in range(2000)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orelode.operators import graph as G
 from orelode.operators import graph_build as B
+from orelode.operators import references as R
 
 RECORDS = [
     ("mitre", 1, "mitre:T1059", "enterprise:T1059", {"objectType": "technique", "techniqueId": "T1059", "techniqueName": "Scripts", "domain": "enterprise", "tactics": [{"tacticId": " ta0002\n"}, "x", {"tacticId": 3}], "url": "http://e.org/1"}),
@@ -68,8 +69,9 @@ def test_edges(graph):
     assert set(one) == set(B.EDGE_EVIDENCE) and one["canonical_id"] == "T1059" and one["evidence"] == "mitre:T1059" and one["source_location"] == "sigma:s1:mitreTechniques"
 
 
-def test_skipped(graph):
-    got = {(r.reason, r.source_id, r.original_value, tuple(r.candidates)) for r in graph[2].collect()}
+def test_skipped(graph, records):
+    listed = R.listed(graph[2], B.skipped_candidates(records, graph[2]))
+    got = {(r.reason, r.source_id, r.original_value, tuple(r.candidates)) for r in listed.collect()}
     assert got == {("target_node_absent", "s1", "T1999", ()), ("unresolved_target", "s1", "T4444", ()), ("ambiguous_target", "s1", "M1013", ("mitre:M1013-e", "mitre:M1013-m")), ("unresolved_target", "enterprise:T1059", "x", ())}
     assert {r.reason: r.n for r in B.diagnostics(graph[2]).collect()} == dict.fromkeys(G.SKIPS, 1) | {"unresolved_target": 2}
 
