@@ -6,6 +6,9 @@ merged: each says where it stands, and who found it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +77,32 @@ def _typed(value: Column, i: int, kind: str, field: str, location: str, section:
     return F.transform(said, lambda v, j: F.struct((F.lit(i * 1000) + j).alias("n"), v.alias("value"), F.lit(kind).alias("entity_type"), F.lit(field).alias("source_field"), F.lit(location).alias("location"), F.lit(section).alias("section")))
 
 
-def extracted(rules: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
-    """Entities of rules with ``ordinal``; only of these types if given."""
+def extracted(rules: DataFrame, types: tuple[str, ...] | None = None, registry: Registry | None = None) -> DataFrame:
+    """Entities of rules with ``ordinal``; only of these types if given. ``registry``: these extractors, in their order.
+
+    A caller's own extractors run with the standard ones, and not at all where none of their types is asked for.
+    """
+    registry = registry or Registry.standard()
+    wanted = registry.names if types is None else tuple(dict.fromkeys(n for t in types for n in registry.names if t in registry.names[n]))
     found = occurrences(rules)
-    routed = E.routed(found).select("rule_id", "n", *entity(F.col("entity_type"), F.col("value"), F.col("field"), F.col("location"), F.lit("detection"), F.col("extractor")))
-    read = E.shapes(scopes(rules, found).withColumnRenamed("n", "at"), "text", "source_field").select("rule_id", (F.col("at") + 4_000_000).alias("n"), *entity(F.col("entity_type"), F.col("value"), F.col("source_field"), F.col("location"), F.lit("detection"), F.col("extractor")))
-    out = routed.unionByName(read).unionByName(fields(found, rules)).unionByName(metadata(rules))
+    parts = []
+    if set(wanted) & set(V.ROUTES):
+        parts.append(E.routed(found).select("rule_id", "n", *entity(F.col("entity_type"), F.col("value"), F.col("field"), F.col("location"), F.lit("detection"), F.col("extractor"))))
+        parts.append(E.shapes(scopes(rules, found).withColumnRenamed("n", "at"), "text", "source_field").select("rule_id", (F.col("at") + 4_000_000).alias("n"), *entity(F.col("entity_type"), F.col("value"), F.col("source_field"), F.col("location"), F.lit("detection"), F.col("extractor"))))
+    if "field" in wanted:
+        parts.append(fields(found, rules))
+    if "metadata" in wanted:
+        parts.append(metadata(rules))
+    for name in wanted:
+        if name in registry.runs:
+            own = registry.runs[name](rules, found)
+            parts.append(own.select("rule_id", F.col("n").cast("long").alias("n"), *entity(*[F.col(c) for c in COLUMNS[1:-1]], F.lit(name))).filter(F.col("entity_type").isin(*registry.names[name])))
+    if not parts:
+        return rules.sparkSession.createDataFrame([], ", ".join([f"rule_id {dict(rules.dtypes)['rule_id']}", *(f"{c} string" for c in COLUMNS[1:]), "ordinal long"]))
+    out = reduce(DataFrame.unionByName, parts).filter(F.col("extractor").isin(*wanted))
     if types is not None:
         out = out.filter(F.col("entity_type").isin(*types))
-    order = F.array_position(F.array(*map(F.lit, EXTRACTORS)), F.col("extractor")).cast("long") * 100_000_000 + F.col("n")
+    order = (F.array_position(F.array(*map(F.lit, registry.names)), F.col("extractor")).cast("long")) * 100_000_000 + F.col("n")
     return out.withColumn("ordinal", order).drop("n")
 
 
@@ -110,10 +130,15 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 
 class Registry:
-    """Extractors by name in their order, and the entity types that each can produce."""
+    """Extractors by name in their order, the entity types that each can produce, and what a caller's own ones do.
+
+    An own extractor is a function of rules and their occurrences (``rule_id, n, field, value, location, walked``) to
+    ``rule_id, n, entity_type, value, source_field, location, section``, where ``n`` is its order within a rule.
+    """
 
     def __init__(self):
         self.names: dict[str, tuple[str, ...]] = {}
+        self.runs: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 
     @classmethod
     def standard(cls) -> Registry:
@@ -124,10 +149,14 @@ class Registry:
         out.register("metadata", tuple(dict.fromkeys(m[1] for m in METADATA)))
         return out
 
-    def register(self, name: str, types: tuple[str, ...]) -> None:
+    def register(self, name: str, types: tuple[str, ...], run: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> None:
         if name in self.names:
             raise ValueError(f"extractor {name} is registered already")
+        if run is None and name not in EXTRACTORS:
+            raise ValueError(f"extractor {name} isn't a standard one, so it needs a function")
         self.names[name] = types
+        if run is not None:
+            self.runs[name] = run
 
     def by_name(self, name: str) -> tuple[str, ...]:
         if name not in self.names:

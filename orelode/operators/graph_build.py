@@ -13,6 +13,7 @@ from orelode.functions.text import stripped
 from orelode.operators import graph as G
 from orelode.operators import references as R
 from orelode.session import settled
+from orelode.sources import store
 
 #: The order of the build, objects that become nodes, and what a rule's source is called: fixed values.
 ORDER = ("mitre", "ecs", "sigma", "elastic", "lolbas")
@@ -146,13 +147,25 @@ def built(records: DataFrame, sources: tuple[str, ...] | None = None) -> tuple[D
 
 
 def stored(records: DataFrame, path: str, sources: tuple[str, ...] | None = None) -> dict[str, int]:
-    """Builds the graph into tables below ``path``; says how many records were read, and nodes and edges written."""
+    """Builds the graph and merges it into the store below ``path``: nodes by their id, edges by their key.
+
+    What earlier builds stored stays, unless this one has it too; the same build again writes nothing. ``skipped`` is what
+    this build skipped. Says how many records were read, and nodes and edges added, changed and written anew.
+    """
     nodes, edges, skipped = built(records, sources)
-    for name, rows in (("nodes", nodes), ("edges", edges), ("skipped", skipped)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    skipped.write.mode("overwrite").parquet(f"{path}/skipped")
+    out = {"records_read": chosen(records, sources).count(), "skipped": records.sparkSession.read.parquet(f"{path}/skipped").count()}
+    for name, rows, key in (("nodes", nodes, "node_id"), ("edges", edges, "key")):
+        told = store.merge(rows, f"{path}/{name}", key)
+        out |= {f"{name}_{what}": told[what] for what in ("added", "changed", "written")}
+    return out
+
+
+def stored_graph(records: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a store, with the columns of a build."""
+    nodes, edges, _ = built(records.limit(0))
     spark = records.sparkSession
-    count = lambda name: spark.read.parquet(f"{path}/{name}").count()
-    return {"records_read": chosen(records, sources).count(), "nodes_written": count("nodes"), "edges_written": count("edges"), "skipped": count("skipped")}
+    return store.read(spark, f"{path}/nodes", nodes.schema), store.read(spark, f"{path}/edges", edges.schema)
 
 
 def problems(nodes: DataFrame, edges: DataFrame, skipped: DataFrame) -> DataFrame:

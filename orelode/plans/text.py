@@ -11,6 +11,7 @@ from orelode.operators import chunks as C
 from orelode.operators import metrics as M
 from orelode.operators import text_index as X
 from orelode.session import passing, table
+from orelode.sources import corpus as S_
 
 #: Tokens as the index has them, in DuckDB.
 SQL_TOKENS = "flatten(list_transform(regexp_extract_all(lower({0}), '[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*'), lambda t: CASE WHEN regexp_matches(t, '[._-]') THEN list_prepend(t, regexp_split_to_array(t, '[._-]')) ELSE [t] END))"
@@ -209,7 +210,22 @@ def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATENCY_P95 = """WITH v AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
 SELECT l_returnflag, round(avg(v), 3) AS mean, round(median(v), 3) AS median, round(max(CASE WHEN i = least(n - 1, floor(n * 0.95::DOUBLE)) THEN v END), 3) AS p95 FROM v GROUP BY l_returnflag"""
 
+def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as the corpus' JSON lines, a folder of files for each source, and read through its envelope."""
+    root = passing(spark)
+    source = F.element_at(F.array(*map(F.lit, S_.SOURCES)), (F.col("doc_id") % len(S_.SOURCES) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").withColumn("to", source)
+    made = docs.select("to", F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("sourceId"), F.coalesce("text", F.lit("")).alias("text"), F.struct("lang", "n_chars").alias("metadata"))).alias("value"))
+    for name, path in S_.layout(root).items():
+        made.filter(F.col("to") == name).select("value").write.text(path)
+    rows = S_.corpus(spark, root)
+    return rows.select("source", "id", "source_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.try_variant_get("metadata", "$.lang", "string").alias("lang"), F.try_variant_get("metadata", "$.n_chars", "long").alias("n_chars"))
+
+
+CORPUS_RECORDS = f"SELECT {list(S_.SOURCES)!r}[doc_id % {len(S_.SOURCES)} + 1] AS source, 'd' || doc_id AS id, coalesce(source, '') AS source_id, md5(coalesce(text, '')) AS digest, lang, n_chars FROM documents"
+
 QUERIES = {
+    "corpus_records": (corpus_records, CORPUS_RECORDS),
     "bm25_topk": (bm25_topk, BM25_TOPK),
     "bm25_filtered": (bm25_filtered, BM25_FILTERED),
     "text_candidates": (text_candidates, TEXT_CANDIDATES),

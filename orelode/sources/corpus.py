@@ -5,10 +5,13 @@ Line numbers count blank lines, which hold no record. A line that breaks the env
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.text import stripped
+from orelode.session import settled
 
 SOURCES = ("mitre", "sigma", "elastic", "lolbas", "ecs")
 
@@ -34,13 +37,18 @@ def lines(spark: SparkSession, path: str, source: str) -> DataFrame:
     A large file is read by many tasks, each a stretch of it: a line's number is its place in its stretch after the lines
     of the stretches before, which are counted first (a row for each stretch).
     """
-    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("stretch"))
+    rows = placed(spark, path).select(F.lit(source).alias("source"), F.col("n").cast("int").alias("line_number"), F.regexp_replace("value", "\r$", "").alias("line"))
+    return rows.filter(stripped("line") != "")
+
+
+def placed(spark: SparkSession, path: str) -> DataFrame:
+    """``file, size, n, value``: every line of a file as it is, with its number from 1."""
+    of = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.monotonically_increasing_id().alias("at"), of["file_path"].alias("file"), of["file_size"].alias("size"), of["file_block_start"].alias("stretch"))
     counted = rows.groupBy("file", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stretches = counted.select("file", "stretch", "first", before.alias("before"))
-    n = F.col("at") - F.col("first") + F.col("before") + 1
-    rows = rows.join(stretches, ["file", "stretch"]).select(F.lit(source).alias("source"), n.cast("int").alias("line_number"), F.regexp_replace("value", "\r$", "").alias("line"))
-    return rows.filter(stripped("line") != "")
+    return rows.join(stretches, ["file", "stretch"]).select("file", "size", (F.col("at") - F.col("first") + F.col("before") + 1).alias("n"), "value")
 
 
 def fault(line: Column) -> Column:
@@ -138,7 +146,28 @@ def guarded_run(spark: SparkSession, root: str, run):
     return out
 
 
+#: Lines of a digest's leaf, and nodes of a node.
+LEAF, FANOUT = 4096, 1024
+
+
+def file_digest(spark: SparkSession, path: str, leaf: int = LEAF, fanout: int = FANOUT) -> str:
+    """A tree digest of a file of lines: many tasks each hash a stretch, and no cell or task holds the whole.
+
+    Lines are hashed, ``leaf`` of them in order to a leaf, ``fanout`` nodes to a node, until one is left; the file's
+    bytes and lines are hashed with it, so a last line's end counts too. How the file is split changes nothing.
+    """
+    rows = placed(spark, path).select("size", "n", F.sha2(F.col("value").cast("binary"), 256).alias("h"))
+    above = lambda nodes, at: nodes.groupBy(at.alias("i")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col("h")))), lambda x: x["h"]), ""), 256).alias("h")).withColumnRenamed("i", "n")
+    lines_, size = rows.agg(F.count(F.lit(1)), F.max("size")).first()
+    if not lines_:
+        return hashlib.sha256(b"0:0:").hexdigest()
+    nodes, left = above(rows, F.floor((F.col("n") - 1) / leaf)), -(-lines_ // leaf)
+    while left > 1:
+        nodes, left = above(settled(nodes), F.floor(F.col("n") / fanout)), -(-left // fanout)
+    return hashlib.sha256(f"{size}:{lines_}:{nodes.first().h}".encode()).hexdigest()
+
+
 def digests(spark: SparkSession, root: str) -> dict[str, str]:
-    """SHA-256 of each source's file; a run compares them before and after."""
+    """A digest of each source's file; a run compares them before and after."""
     there, _ = available(spark, root)
-    return {s: spark.read.format("binaryFile").load(layout(root)[s]).select(F.sha2("content", 256)).first()[0] for s in there}
+    return {s: file_digest(spark, layout(root)[s]) for s in there}

@@ -87,7 +87,17 @@ def test_part_and_store(records, spark, tmp_path):
     nodes, edges, skipped = B.built(records, ("sigma",))
     assert {r.node_type for r in nodes.collect()} == {"rule", "tag", "external_reference"}
     assert {r.note for r in skipped.collect()} == {"no source at hand answers this kind"} and edges.filter("type = 'detects'").count() == 0
-    got = B.stored(records, str(tmp_path / "graph"))
-    assert got == {"records_read": 13, "nodes_written": 14, "edges_written": 12, "skipped": 4}
+    path = str(tmp_path / "graph")
+    first = B.stored(records, path, ("sigma",))
+    assert first["nodes_added"] == nodes.count() and first["edges_added"] == edges.count() and first["skipped"] == skipped.count()
+    whole = B.stored(records, path)
+    assert (whole["records_read"], whole["skipped"]) == (13, 4)
+    kept, linked = B.stored_graph(records, path)
+    full_nodes, full_edges, _ = B.built(records)
+    ids = lambda df, c: sorted(r[0] for r in df.select(c).collect())
+    assert ids(kept, "node_id") == sorted({*ids(nodes, "node_id"), *ids(full_nodes, "node_id")}) and len(ids(full_nodes, "node_id")) == 14
+    assert ids(linked, "key") == sorted({*ids(edges, "key"), *ids(full_edges, "key")}) and len(ids(full_edges, "key")) == 12
+    again = B.stored(records, path)
+    assert not any(again[f"{n}_{w}"] for n in ("nodes", "edges") for w in ("added", "changed", "written"))
     assert B.built(records.limit(0))[0].collect() == []
     assert {r.record_id: r.source_id for r in B.neighbours_by_record(nodes).collect()} == {"sigma:1": "s1", "sigma:3": "s3"}
