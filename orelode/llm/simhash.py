@@ -10,8 +10,9 @@ a cell is fuller than others, its task splits it by the next bits.
 
 One fingerprint of 64 bits within 4 finds few texts whose shingle sets are 0.8 alike: their fingerprints differ in about
 ten bits. ``similar_links`` therefore takes ``TABLES`` shorter fingerprints of each set and hashes the balls of each; what
-collides in any is a candidate. Candidates are sifted where they meet, by their sizes and by a sketch that estimates
-their similarity (a bit each of ``MARKS`` least hashes), and the sets themselves decide.
+collides in any is a candidate, whatever else collides with it. Candidates are sifted where they meet, by their sizes and
+by a sketch that estimates their similarity (a bit each of ``MARKS`` least hashes), and the sets themselves decide. What a
+first pass has joined counts as one class: of a fingerprint's rows only those meet that are of different classes.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ SHORT, TABLES, NEAR, SHORT_CELL = 40, 10, 4, 64_000_000
 #: (1 + similarity) / 2. Of MARKS marks, sets that are 0.8 alike agree in 461 with a deviation of 6.8: with fewer than
 #: LEAST of them (error 0.006) they aren't 0.8 alike, from CERTAIN on (error below 1e-6) they are.
 WORDS, MARKS, LEAST, CERTAIN = 7, 512, 444, 494
+#: Pairs that are held at once, and those of a fingerprint's rows beyond which rows meet the next ones in some orders of
+#: their marks only: over 20,000 rows of as many classes that share a fingerprint of a cell.
+PART, MOST, ORDERS, NEXT = 1_000_000, 400_000_000, 16, 64
 HASHED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("free", pa.int32())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -130,6 +134,64 @@ def collisions(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ON
             yield pairs // len(fp), pairs % len(fp)
 
 
+def ball_pairs(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ONCE):
+    """All pairs of distinct fingerprints that share a variant, as (index, index) arrays; a ball bounds those of a variant."""
+    stack = [(np.arange(len(fp)), free, bits)]
+    while stack:
+        own, left, b = stack.pop()
+        if len(own) < 2:
+            continue
+        if b and size_of(b, left) > at_once:
+            bit = (fp[own] >> np.uint64(b - 1)) & np.uint64(1)
+            for side in (0, 1):
+                after = left - (bit != side)
+                stack.append((own[after >= 0], after[after >= 0], b - 1))
+            continue
+        low = fp[own] & np.uint64((1 << b) - 1)
+        made = [((low[left == f][:, None] ^ masks(b, int(f))[None, :]).ravel(), np.repeat(own[left == f], len(masks(b, int(f))))) for f in np.unique(left)]
+        variants, source = (np.concatenate(c) for c in zip(*made, strict=True))
+        order = np.argsort(variants, kind="stable")
+        variants, source = variants[order], source[order]
+        codes, at, d = [], np.flatnonzero(variants[1:] == variants[:-1]), 1
+        while len(at):
+            x, y = np.minimum(source[at], source[at + d]), np.maximum(source[at], source[at + d])
+            codes.append(np.unique(x * len(fp) + y))
+            d += 1
+            at = at[at + d < len(variants)]
+            at = at[variants[at] == variants[at + d]]
+        if codes:
+            pairs = np.unique(np.concatenate(codes))
+            yield pairs // len(fp), pairs % len(fp)
+
+
+def between(kind: np.ndarray, first: np.ndarray, second: np.ndarray | None, told: np.ndarray):
+    """Pairs of rows of different classes, of one list or of two: index arrays of at most ``PART`` or one row's pairs.
+
+    The most frequent class is taken apart, so a list that is nearly one class costs its others only. Beyond ``MOST``
+    pairs rows meet the next ``NEXT`` in ``ORDERS`` orders of their marks instead.
+    """
+    rows = first if second is None else np.concatenate([first, second])
+    classes, n = np.unique(kind[rows], return_counts=True)
+    if len(classes) < 2:
+        return
+    common = classes[n.argmax()]
+    others = rows[kind[rows] != common]
+    if len(others) * len(rows) > MOST:
+        rng = np.random.default_rng(SEED)
+        for _ in range(ORDERS):
+            words = rng.permutation(told.shape[1])
+            order = rows[np.lexsort([told[rows, w] for w in words])]
+            for d in range(1, min(NEXT, len(order) - 1) + 1):
+                yield order[:-d], order[d:]
+        return
+    step = max(1, PART // len(rows))
+    for at in range(0, len(others), step):
+        some = others[at : at + step]
+        x, y = np.repeat(some, len(rows)), np.tile(rows, len(some))
+        keep = (kind[x] != kind[y]) & ((kind[y] == common) | (x < y))
+        yield x[keep], y[keep]
+
+
 def link_cells(batches, prefix: int, radius: int):
     """Rows come sorted by cell. Verified edges of each cell, as a forest."""
     cell, held, left = None, [], []
@@ -259,30 +321,58 @@ def short_cells(batches, prefix: int):
 
 def colliding(batches, prefix: int, nearest: bool, similarity: float):
     """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius and whose sizes and
-    marks don't rule them out: neighbours in each variant's row order. ``nearest``: for each row only the one before it
-    that agrees in most marks in this cell.
+    marks don't rule them out: of each cell all of them, whatever the order of rows. ``nearest``: for each row only the one
+    before it that agrees in most marks in this cell, of its neighbours in each variant.
     """
     cell, held = None, []
 
+    def sifted(a, b):
+        fits = (kind[a] != kind[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+        a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+        agree = np.concatenate([np.zeros(0, np.int64), *(MARKS - np.bitwise_count(told[a[k : k + 50_000]] ^ told[b[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 50_000))])
+        fits = agree >= LEAST
+        return a[fits], b[fits], agree[fits]
+
+    def made(pairs):
+        a, b, agree = sifted(*pairs)
+        if len(a):
+            yield record(PAIRS, a=row[a], b=row[b], certain=agree >= CERTAIN)
+
     def done():
+        nonlocal fp, row, free, kind, n, told
         fp, row, free, kind, n, told = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.argsort(row, kind="stable")
         fp, row, free, kind, n, told = fp[order].view(np.uint64), row[order], free[order], kind[order], n[order], told[order]
-        best = np.full(len(row), -1)
-        for a, b in collisions(fp, free, SHORT - prefix):
-            fits = (np.bitwise_count(fp[a] ^ fp[b]) <= NEAR) & (kind[a] != kind[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
-            a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
-            agree = np.concatenate([np.zeros(0, np.int64), *(MARKS - np.bitwise_count(told[a[k : k + 50_000]] ^ told[b[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 50_000))])
-            fits = agree >= LEAST
-            a, b, agree = a[fits], b[fits], agree[fits]
-            if nearest:
+        if nearest:
+            best = np.full(len(row), -1)
+            for a, b in collisions(fp, free, SHORT - prefix):
+                near = np.bitwise_count(fp[a] ^ fp[b]) <= NEAR
+                a, b, agree = sifted(a[near], b[near])
                 np.maximum.at(best, b, agree << 40 | a)
-            elif len(a):
-                yield record(PAIRS, a=row[a], b=row[b], certain=agree >= CERTAIN)
-        found = np.flatnonzero(best >= 0)
-        if len(found):
-            yield record(PAIRS, a=row[best[found] & ((1 << 40) - 1)], b=row[found], certain=best[found] >> 40 >= CERTAIN)
-
+            found = np.flatnonzero(best >= 0)
+            if len(found):
+                yield record(PAIRS, a=row[best[found] & ((1 << 40) - 1)], b=row[found], certain=best[found] >> 40 >= CERTAIN)
+            return
+        if (kind == kind[0]).all():
+            return
+        own, at, count = np.unique(fp, return_index=True, return_counts=True)
+        rows = np.split(np.argsort(fp, kind="stable"), np.cumsum(count)[:-1])
+        least, most = (np.array([f(kind[r]) for r in rows]) for f in (np.min, np.max))
+        for f in np.flatnonzero(least < most):
+            for pairs in between(kind, rows[f], None, told):
+                yield from made(pairs)
+        for a, b in ball_pairs(own, free[at], SHORT - prefix):
+            differ = (np.bitwise_count(own[a] ^ own[b]) <= NEAR) & (np.minimum(least[a], least[b]) < np.maximum(most[a], most[b]))
+            a, b = a[differ], b[differ]
+            single = (count[a] == 1) & (count[b] == 1)
+            if single.any():
+                yield from made((at[a[single]], at[b[single]]))
+            for x, y in zip(a[~single].tolist(), b[~single].tolist(), strict=True):
+                for i, j in between(kind, rows[x], rows[y], told):
+                    across = fp[i] != fp[j]  # those of one fingerprint have met
+                    yield from made((i[across], j[across]))
+
+    fp = row = free = kind = n = told = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -358,18 +448,22 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int =
     return same, links
 
 
-def similar_kept(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The first row of each group of texts that similar ones join, with all its columns.
+def similar_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The row of the least ``key`` of each group of texts that similar ones join, with all its columns.
 
-    ``docs`` must have its rows in the same order each time it is read, as a written table has. A null text is one
-    without words; all of these are alike. Columns of any name pass through; an empty table gives an empty one.
+    Of rows of one key (repeated or null; nulls come first) the first as ``docs`` has them. ``docs`` must be read the same
+    each time, as a written table is. A null text is one without words; all of these are alike. Columns of any name pass
+    through; an empty table gives an empty one.
     """
     (row,) = fresh(docs, "row")
     rows = docs.withColumn(row, F.monotonically_increasing_id())
     same, links = similar_links(rows, row, text, shingle, similarity)
-    later = components(links).filter("node <> component").select("node")
-    gone = written(same.filter("row <> first").select("row").union(later).select(F.col("row").alias(row)))
-    for made in (same, links):
+    joined = components(links).withColumnRenamed("node", "first")
+    member = same.join(joined, "first", "left").select("row", F.coalesce("component", "first").alias("g"))
+    member = written(member.join(rows.select(F.col(row).alias("row"), F.col(key).alias("key")), "row"))
+    least = grouped_back(member, "g", F.min(F.struct("key", "row")), "least", member.count())
+    gone = written(least.filter("row <> least.row").select(F.col("row").alias(row)))
+    for made in (same, links, member):
         dropped(made)
     return rows.join(gone, row, "left_anti").drop(row)
 

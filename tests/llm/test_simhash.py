@@ -4,11 +4,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from orelode.llm import simhash
 from orelode.llm.components import components
+from orelode.llm.runtime import written
 
 
 def plain_fingerprint(text, k=4):
@@ -118,7 +120,7 @@ def test_similar_texts(spark, monkeypatch):
         own[rng.randrange(200)] = f"new{i}"
         texts.append(" ".join(own))
     texts += [texts[-1]] * 100 + ["", None, "  ", "one", "one", "ONE", "one two"]
-    rows = [(i if i != 5 else None, t, "x") for i, t in enumerate(texts)]
+    rows = [(i if i else None, t, "x") for i, t in enumerate(texts)]  # nulls come first
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string").coalesce(1)
     sets = [frozenset(simhash.shingle_set(t or "", 5).tolist()) for t in texts]
     links = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
@@ -152,3 +154,70 @@ def test_similar_pairs_found(spark):
     recall = len(got & set(want)) / len(want)
     print(f"recall {recall:.3f} of {len(want)} pairs")
     assert got <= set(want) and recall > 0.97
+
+
+def items_of(texts, k=5):
+    """What reaches a cell: all texts, with a prefix of no bits, so that each table is one cell."""
+    rows = []
+    for i, t in enumerate(texts):
+        own = simhash.shingle_set(t, k)
+        rows.append({"row": i, "class": i, "n": len(own), "marks": simhash.marks(own), **{f"s{j}": v for j, v in enumerate(simhash.sketch(own))}})
+    names = ["row", "class", "n", "marks", *(f"s{j}" for j in range(simhash.WORDS))]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * simhash.WORDS]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in zip(names, kinds, strict=True)], names=names)
+    made = pa.Table.from_batches(list(simhash.short_cells(iter([batch]), 0))).sort_by("cell")
+    return made.combine_chunks().to_batches()
+
+
+def pairs_of(items, nearest=False):
+    return {(a, b) for r in simhash.colliding(iter(items), 0, nearest, 0.8) for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True)}
+
+
+@pytest.mark.parametrize("stranger", [0, 1, 2])
+def test_strangers_between_lose_nothing(stranger):
+    """Three rows of one fingerprint, two of them alike: the pair is found wherever the third lies."""
+    alike, other = b"\x0f" * 64, b"\xf0" * 64
+    told = [other if i == stranger else alike for i in range(3)]
+    item = pa.RecordBatch.from_arrays([pa.array([0] * 3, pa.int64()), pa.array([77] * 3, pa.int64()), pa.array([0, 1, 2], pa.int64()), pa.array([2] * 3, pa.int32()), pa.array([0, 1, 2], pa.int64()), pa.array([100] * 3, pa.int32()), pa.array(told, pa.binary())], schema=simhash.ITEMS)
+    assert pairs_of([item]) == {tuple(i for i in range(3) if i != stranger)}
+
+
+@pytest.mark.parametrize(("families", "size"), [(20, 40), (4, 200), (1, 1200)])
+def test_families_of_templates(families, size):
+    """Planted pairs of 0.8 and more among texts that share most of a template: what collides in a table is found."""
+    rng = random.Random(size)
+    texts, want = [], []
+    for _ in range(families):
+        base = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+        for _ in range(size // 2):
+            a = list(base)
+            for at in rng.sample(range(300), 10):
+                a[at] = f"v{rng.randrange(10**6)}"
+            b = list(a)
+            for at in rng.sample(range(300), 5):
+                b[at] = f"v{rng.randrange(10**6)}"
+            want.append((len(texts), len(texts) + 1))
+            texts += [" ".join(a), " ".join(b)]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = {p for p in want if jaccard(*p) >= 0.8}
+    items = items_of(texts)
+    collide = set()
+    for batch in items:
+        cells, fp, row = (batch.column(c).to_numpy() for c in ("cell", "fp", "row"))
+        at = {(c, r): f for c, f, r in zip(cells.tolist(), fp.tolist(), row.tolist(), strict=True)}
+        collide |= {(a, b) for a, b in want for c in set(cells.tolist()) if (c, a) in at and (c, b) in at and (at[c, a] ^ at[c, b]).bit_count() <= simhash.NEAR}
+    fits = {(a, b) for a, b in collide if simhash.MARKS - sum((x ^ y).bit_count() for x, y in zip(simhash.marks(sets[a]), simhash.marks(sets[b]), strict=True)) >= simhash.LEAST}
+    found = pairs_of(items) & want
+    print(f"{families} families of {size}: {len(want)} pairs, {len(collide)} collide, {len(found)} found")
+    assert found == fits and len(fits) >= 0.98 * len(collide) and len(found) >= 0.9 * len(want)
+
+
+def test_the_least_key_stays(spark):
+    """Whatever the order of rows and files."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:at], "x", *base[at + 1 :]]) for at in range(0, 60, 3)] + ["alone here now"]
+    for order in (1, -1):
+        rows = list(enumerate(texts))[::order]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.doc_id for r in simhash.similar_kept(docs.transform(written)).collect()} == {0, 20}
