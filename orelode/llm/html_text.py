@@ -18,7 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections import deque
-from functools import cache
+from functools import cache, lru_cache
 from math import exp, log1p
 from operator import mul
 
@@ -88,7 +88,7 @@ class Block:
         self.text, self.element, self.linked, self.size, self.away = text, element, linked, size, away
 
 
-@cache
+@lru_cache(1 << 16)
 def name_hint(name: str) -> int:
     """1 boilerplate, 2 readers, 4 content, 8 a head; 0 if it says nothing of that or is set aside."""
     parts = [p.lower() for p in PART.findall(name)]
@@ -107,8 +107,8 @@ def hints(tag: str, attributes: str) -> int:
         name = m[1].lower()
         if name in ("class", "id", "itemprop"):
             value = m[2] or m[3] or m[4] or ""
-            for word in (html.unescape(value) if "&" in value else value).split()[:64]:
-                out |= name_hint(word[:128])
+            for word in (html.unescape(value) if "&" in value else value).split():
+                out |= name_hint(word)
         elif name == "role":
             out |= ROLES.get((m[2] or m[3] or m[4] or "").strip().lower(), 0)
         elif name == "hidden" or name == "style" and UNSHOWN.search(m[2] or m[3] or m[4] or ""):

@@ -17,7 +17,7 @@ import codecs
 import hashlib
 import re
 import zlib
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -57,8 +57,11 @@ KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 INFLATED, PIECE = 64 << 20, 8 << 20
 #: Bytes of a stream that are fed at once, and characters of the line before a run that can belong to it.
 FED, RUN_BEFORE = 16 << 10, 18
-#: Where a text can be cut: no secret or encoded run goes over the end of such a match.
-CUT = re.compile(r"""[A-Za-z0-9]\x20(?=[A-Za-z0-9])|[^A-Za-z0-9+/_.=:\-"'\s%\\]""")
+#: Where a text can be cut: a blank between words, or two characters beyond ASCII. No pattern, escape, reference or encoded
+#: run has either within it.
+CUT = re.compile(r"""[A-Za-z0-9]\x20(?=[A-Za-z0-9])|[^\x00-\x7f](?=[^\x00-\x7f])""")
+#: Four ASCII characters in UTF-16, in either order.
+PAIRS = re.compile(rb"(?:[\x20-\x7e]\x00){4}")
 SCANNED = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -102,11 +105,11 @@ def parts(source: Source, kind: str = "utf-8") -> Iterator[tuple[str, bool]]:
         held.append(decoder.decode(piece))
         size += len(held[-1])
         if size > INFLATED:
-            text, width, at = "".join(held), 1 << 16, 0
-            while not at and width < 2 * size:
+            text, width, at, low = "".join(held), 1 << 10, 0, size
+            while not at and low:
                 low = max(0, size - width)
                 at = max((m.end() for m in CUT.finditer(text, low)), default=0)
-                width *= 2
+                width *= 8
             if at:
                 yield text[:at], True
                 cut = True
@@ -173,7 +176,7 @@ def opened(source: Source) -> Iterator[tuple[str, bool]]:
     seen = set()
     while True:
         yield from parts(source)
-        if kind := two_bytes(bytes(next(source(), b"")[:64])):
+        for kind in wide(source):
             yield from parts(source, kind)
         found = inflated(source)
         if not found or found[1] in seen or found[3] and found[2] < sum(map(len, source())):
@@ -231,7 +234,7 @@ def octet_layers(layer: Layer, sign: str) -> Iterator[Layer]:
         for i in sorted({first, 0, *(x.start() for x in MARKED.finditer(view))}):
             if i < done or not (found := inflated(chunks(view[i:]))):
                 continue
-            if found[3] and (found[2] < len(view) - i or not readable(found[0])):
+            if found[3] and found[2] < len(view) - i:
                 continue  # raw deflate has no mark: it must fill the run and hold text
             done = i + found[2]
             for new, part in opened(found[0]):
@@ -303,25 +306,36 @@ class Run(Layer):
         return self.whole(begin, end)
 
 
-def two_bytes(head: bytes) -> str | None:
-    """The kind of UTF-16 that bytes begin with, if every other one of many is zero, as in text that is mostly Latin."""
-    for zero, kind in ((head[1::2], "utf-16-le"), (head[::2], "utf-16-be")):
-        if 2 * zero.count(0) > len(zero) > 3:
-            return kind
-    return None
+def one_script(head: bytes) -> bool:
+    """Whether every other byte is mostly one of three, as in UTF-16 text of an alphabet."""
+    return len(head) > 7 and any(4 * sum(n for _, n in Counter(head[k::2]).most_common(3)) > 3 * len(head[k::2]) for k in (0, 1))
 
 
-def readable(source: Source) -> bool:
-    """Whether bytes begin with what is mostly text."""
-    text = next(source())[:4096].decode("utf-8", "replace")
-    return 8 * sum(c == "�" or c < " " and c not in "\t\n\f\r" for c in text) <= len(text)
+def wide(source: Source) -> list[str]:
+    """The kinds of UTF-16 in which the bytes, read from their start, hold ASCII characters in a row anywhere.
+
+    What can match is ASCII, so text of any script counts where it holds some; and bytes of both orders are read as both.
+    """
+    kinds, at, tail = [], 0, b""
+    for piece in source():
+        data = tail + bytes(piece)
+        if b"\0" in data:
+            for m in PAIRS.finditer(data):
+                kind = "utf-16-be" if (at - len(tail) + m.start()) & 1 else "utf-16-le"
+                if kind not in kinds:
+                    kinds.append(kind)
+                if len(kinds) == 2:
+                    return kinds
+        at += len(piece)
+        tail = data[-7:]
+    return kinds
 
 
 def packed(layer: Layer, lines: list[tuple[int, int]], end: int) -> Iterator[Layer]:
     """Layers that a base64 run holds, by itself or compressed.
 
-    Raw deflate has no mark and no checksum, and other bytes often are a short stream: it must end where base64 can, and
-    in a part of the run it must be text.
+    Raw deflate has no mark and no checksum, and other bytes often are a short stream: it must end where base64 can. What
+    is in it then counts by its matches alone, however it begins.
     """
     bare = "".join(layer.text[a:b] for a, b in lines).translate(CODES)
     heads = [0, *accumulate(b - a for a, b in lines)]
@@ -342,11 +356,12 @@ def packed(layer: Layer, lines: list[tuple[int, int]], end: int) -> Iterator[Lay
         raw = base64.b64decode(token + "=" * (-len(token) % 4))
         if raw:
             yield Run(raw, own, stops, whole)
-            for s in own:
+            if kinds := wide(lambda raw=raw: iter((raw,))):
+                first = PAIRS.search(raw).start()
+                s = next((s for s in own if (s - own[0]) // 4 * 3 <= first and one_script(raw[(s - own[0]) // 4 * 3 :][:64])), own[0])
                 i = (s - own[0]) // 4 * 3
-                if kind := two_bytes(raw[i : i + 64]):
+                for kind in wide(lambda raw=raw, i=i: iter((raw[i:],))) or kinds:
                     yield Layer(raw[i:].decode(kind, "replace"), at=whole(s, stops[-1]))
-                    break
         view = memoryview(raw)
         for s in own:
             if s not in places and s in breaks:
@@ -354,7 +369,7 @@ def packed(layer: Layer, lines: list[tuple[int, int]], end: int) -> Iterator[Lay
             source = chunks(view[(s - own[0]) // 4 * 3 :])
             if found := inflated(source):
                 stop = stops[min(bisect.bisect_left(stops, s + -(-found[2] * 4 // 3)), len(stops) - 1)]
-                if found[3] and ((stop - s) * 3 // 4 != found[2] or (s or stop < heads[-1]) and not readable(found[0])):
+                if found[3] and (stop - s) * 3 // 4 != found[2]:
                     continue
                 for new, part in opened(found[0]):
                     yield Layer(new, at=whole(s, stop), part=part)

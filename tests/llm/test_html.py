@@ -161,3 +161,10 @@ def test_the_small_table(spark):
         article = re.search("<article>(.*)</article>", r.html, re.DOTALL)[1]
         blocks = [" ".join(unescape(b.replace("<br>", " ").replace("<b>", "")).split()) for b in re.split("</?(?:h1|p)>", article)]
         assert H.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+def test_names_are_read_whole():
+    """However many names an attribute has, and however long they are."""
+    many = " ".join(f"n{i}" for i in range(500))
+    assert H.hints("div", f'class="{many} sidebar"') == H.hints("div", 'class="sidebar"') != 0
+    assert H.hints("div", f'class="{"x" * 5000}-sidebar"') == H.hints("div", 'class="x-sidebar"') != 0

@@ -109,6 +109,40 @@ def test_large_layers_by_parts(monkeypatch):
     assert not held(b64(gzip.compress(b"lorem ipsum, " * 9999)))
 
 
+def test_parts_are_cut_where_nothing_goes_on(monkeypatch):
+    """A secret in numeric references, and one in plain text, at every place around the bound; parts are really cut."""
+    bound = 40_000
+    monkeypatch.setattr(S, "INFLATED", bound)
+    monkeypatch.setattr(S, "PIECE", 5_000)
+    references = "".join(f"&#{ord(c)};" for c in SECRET)
+    for before in range(bound - 90, bound + 20, 3):
+        for secret in (references, SECRET):
+            raw = (("lorem ipsum " * 9999)[:before] + f"\n{secret} " + "lorem ipsum " * 900).encode()
+            assert held(b64(gzip.compress(raw))), (before, secret)
+            assert sum(1 for _ in S.parts(lambda raw=raw: (raw[i : i + 5_000] for i in range(0, len(raw), 5_000)))) > 1
+    for fill in ("и" * 60_000, "no-blanks;" * 9000):
+        assert held(b64(gzip.compress(f"{fill} {SECRET} {fill}".encode())))
+
+
+def test_two_byte_text_of_any_script():
+    """The order of bytes is told by what can match, not by how a layer begins."""
+    for kind in ("utf-16-le", "utf-16-be"):
+        for text in (f"{'привет ' * 40}{SECRET}{' мир' * 30}", f"{'漢字' * 100}{SECRET}", SECRET, f"{'x' * 50}{'и' * 50}{SECRET}"):
+            raw = text.encode(kind)
+            assert held(b64(raw)) and held(b64(gzip.compress(raw))) and held(b64(zlib.compress(b"\xff\xfe" + raw))), (kind, text[:5])
+            assert any(b64(raw) in x for x in assigned(f"https://a.com/cfg/{b64(raw)} b"))
+    assert held(b64("мир ".encode("utf-16-le") + SECRET.encode("utf-16-be")))
+
+
+def test_raw_deflate_with_a_binary_head():
+    rng = random.Random(6)
+    for size in (0, 100, 5000, 20_000):
+        d = zlib.compressobj(9, zlib.DEFLATED, -15)
+        raw = d.compress(rng.randbytes(size) + f" {SECRET} ".encode()) + d.flush()
+        assert held(b64(raw)), size
+        assert any(b64(raw) in x for x in assigned(f"https://a.com/x/{b64(raw)} b")), size
+
+
 def assigned(text: str) -> list[str]:
     return [text[a:b] for a, kind, b in S.spans(text)[1] if kind == 0]
 
