@@ -28,6 +28,8 @@ from orelode.llm.runtime import column, record, task, written
 
 #: Points in a block (a piece of it has twice as many replicas), points of a tile, and pivots at most (their table is broadcast).
 BLOCK, TILE, PIVOTS = 8_192, 1_024, 4_096
+#: Points up to which a length is one block, without pivots; more are cut into PARTS blocks at least.
+WHOLE, PARTS = 256, 8
 #: Radius of balls, and the slack that keeps rounding from settling a pair.
 BALL, SLACK = 0.05, 1e-7
 PLACED = pa.schema([("block", pa.int64()), ("home", pa.bool_()), ("point", pa.int64()), ("weight", pa.int64()), ("vector", pa.binary())])
@@ -256,18 +258,20 @@ def linked(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vec
     points = written(good.groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight")).withColumn("point", F.monotonically_increasing_id()))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sizes = points.groupBy(F.octet_length("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    few = points.join(sizes.filter(F.col("n") <= block), F.octet_length("vector") == F.col("size"), "left_semi")
+    whole = min(block, WHOLE)
+    few = points.join(sizes.filter(F.col("n") <= whole), F.octet_length("vector") == F.col("size"), "left_semi")
     home = few.select(F.octet_length("vector").cast("long").alias("block"), F.lit(True).alias("home"), "point", "weight", "vector")
     found = home.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(task(__name__, "join_block", threshold=threshold), "point long, other long, n long")
-    for size, total in sorted(sizes.filter(F.col("n") > block).collect()):  # lengths of more than a block of points each
+    for size, total in sorted(sizes.filter(F.col("n") > whole).collect()):  # lengths of hundreds of points each
+        own = min(block, max(whole, -(-total // PARTS)))
         same = points.filter(F.octet_length("vector") == size)
         reach = float(np.sqrt(2 - 2 * threshold))
-        draw = sorted(same.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(min(PIVOTS, max(1, round((total / block) ** 0.5 * 4)))).collect())
+        draw = sorted(same.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(min(PIVOTS, max(1, round((total / own) ** 0.5 * 4)))).collect())
         pivots = spark.sparkContext.broadcast(unit(np.frombuffer(b"".join(bytes(r[0]) for r in draw), np.float64).reshape(len(draw), -1)))
         counts = np.zeros((2, len(draw)), np.int64)
         for r in same.select("vector").mapInArrow(task(__name__, "home_cells", pivots=pivots, reach=reach), "cell long, n long, guests long").groupBy("cell").sum("n", "guests").collect():
             counts[:, r[0]] = r[1], r[2]
-        blocks = spark.sparkContext.broadcast(layout(*counts, block, 2 * block))
+        blocks = spark.sparkContext.broadcast(layout(*counts, own, 2 * own))
         dealt = same.select("point", "weight", "vector").mapInArrow(task(__name__, "placed", pivots=pivots, blocks=blocks, reach=reach), "block long, home boolean, point long, weight long, vector binary")
         n = max(tasks, min(3 * int(blocks.value[3].sum()), 20 * tasks))  # given, as a piece's work grows faster than its bytes
         joined = dealt.repartition(n, "block").sortWithinPartitions("block", F.desc("home")).mapInArrow(task(__name__, "join_block", threshold=threshold, blocks=blocks), "point long, other long, n long")
