@@ -42,7 +42,7 @@ SHORT, TABLES, NEAR, SHORT_CELL = 40, 10, 4, 64_000_000
 WORDS, MARKS, LEAST, CERTAIN = 7, 512, 444, 494
 #: Pairs that are held at once, and those of a fingerprint's rows beyond which rows meet the next ones in some orders of
 #: their marks only: over 20,000 rows of as many classes that share a fingerprint of a cell.
-PART, MOST, ORDERS, NEXT = 1_000_000, 400_000_000, 16, 64
+PART, MOST, ORDERS, NEXT = 200_000, 400_000_000, 16, 64
 HASHED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 CELLS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("free", pa.int32())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -134,12 +134,16 @@ def collisions(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ON
             yield pairs // len(fp), pairs % len(fp)
 
 
-def ball_pairs(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ONCE):
-    """All pairs of distinct fingerprints that share a variant, as (index, index) arrays; a ball bounds those of a variant."""
+def ball_pairs(fp: np.ndarray, free: np.ndarray, kind: np.ndarray, bits: int, at_once: int = AT_ONCE):
+    """All pairs of distinct fingerprints of different kinds that share a variant, as (index, index) arrays.
+
+    ``kind`` is -1 for a fingerprint that is of several. What only one kind shares is left before pairs are made, a ball
+    bounds the fingerprints of a variant, and pairs are handed on by ``PART``; a pair may come more than once.
+    """
     stack = [(np.arange(len(fp)), free, bits)]
     while stack:
         own, left, b = stack.pop()
-        if len(own) < 2:
+        if len(own) < 2 or kind[own[0]] >= 0 and (kind[own] == kind[own[0]]).all():
             continue
         if b and size_of(b, left) > at_once:
             bit = (fp[own] >> np.uint64(b - 1)) & np.uint64(1)
@@ -148,20 +152,31 @@ def ball_pairs(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ON
                 stack.append((own[after >= 0], after[after >= 0], b - 1))
             continue
         low = fp[own] & np.uint64((1 << b) - 1)
-        made = [((low[left == f][:, None] ^ masks(b, int(f))[None, :]).ravel(), np.repeat(own[left == f], len(masks(b, int(f))))) for f in np.unique(left)]
+        made = [((low[left == f][:, None] ^ masks(b, int(f))[None, :]).ravel(), np.repeat(own[left == f], len(masks(b, int(f)))).astype(np.int32)) for f in np.unique(left)]
         variants, source = (np.concatenate(c) for c in zip(*made, strict=True))
+        del made
         order = np.argsort(variants, kind="stable")
         variants, source = variants[order], source[order]
-        codes, at, d = [], np.flatnonzero(variants[1:] == variants[:-1]), 1
+        firsts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
+        sizes = np.diff(np.append(firsts, len(variants)))
+        kinds = kind[source]
+        mixed = (np.minimum.reduceat(kinds, firsts) != np.maximum.reduceat(kinds, firsts)) | (np.minimum.reduceat(kinds, firsts) < 0)
+        keep = np.repeat(mixed & (sizes > 1), sizes)
+        variants, source, kinds = variants[keep], source[keep], kinds[keep]
+        del order, firsts, sizes, keep
+        codes, held, at, d = [], 0, np.flatnonzero(variants[1:] == variants[:-1]), 1
         while len(at):
-            x, y = np.minimum(source[at], source[at + d]), np.maximum(source[at], source[at + d])
-            codes.append(np.unique(x * len(fp) + y))
+            differ = at[(kinds[at] != kinds[at + d]) | (kinds[at] < 0)]
+            x, y = source[differ].astype(np.int64), source[differ + d].astype(np.int64)
+            codes.append(np.unique(np.minimum(x, y) * len(fp) + np.maximum(x, y)))
+            held += len(codes[-1])
             d += 1
             at = at[at + d < len(variants)]
             at = at[variants[at] == variants[at + d]]
-        if codes:
-            pairs = np.unique(np.concatenate(codes))
-            yield pairs // len(fp), pairs % len(fp)
+            if held > PART or not len(at):
+                pairs = np.unique(np.concatenate(codes))
+                codes, held = [], 0
+                yield pairs // len(fp), pairs % len(fp)
 
 
 def between(kind: np.ndarray, first: np.ndarray, second: np.ndarray | None, told: np.ndarray):
@@ -361,7 +376,7 @@ def colliding(batches, prefix: int, nearest: bool, similarity: float):
         for f in np.flatnonzero(least < most):
             for pairs in between(kind, rows[f], None, told):
                 yield from made(pairs)
-        for a, b in ball_pairs(own, free[at], SHORT - prefix):
+        for a, b in ball_pairs(own, free[at], np.where(least == most, least, -1), SHORT - prefix):
             differ = (np.bitwise_count(own[a] ^ own[b]) <= NEAR) & (np.minimum(least[a], least[b]) < np.maximum(most[a], most[b]))
             a, b = a[differ], b[differ]
             single = (count[a] == 1) & (count[b] == 1)
