@@ -81,3 +81,32 @@ def test_a_hot_key_costs_a_sum(spark):
     assert got == {("ambiguous", 2000, None, "HOT"): 200_000, ("resolved", 1, "x", "ONE"): 100_000}
     sets = R.candidate_sets(index, out.filter("status = 'ambiguous'")).collect()
     assert [(r.place, r.record) for r in sorted(sets, key=lambda r: r.place)] == [(k, f"r{k}") for k in range(2000)]
+
+
+def test_merged_sets_match_plain_lists(spark, monkeypatch):
+    """Sets sent to all tasks, groups of more references than are looked up side by side, and shuffled sets give the same rows."""
+    index = spark.range(60).selectExpr("concat('K', CAST(id % 7 AS STRING)) AS key", "concat('r', CAST(id AS STRING)) AS id", "id DIV 2 AS ordinal")
+    refs = spark.range(400).selectExpr("CASE WHEN id < 12 THEN 0 ELSE id DIV 3 END AS ref", "concat(' k', CAST(id * 5 % 9 AS STRING)) AS value")
+    by_key, by_ref = {}, {}
+    for k in range(60):
+        by_key.setdefault(f"k{k % 7}", []).append((k // 2, f"r{k}"))
+    rows = [(r.ref, r.value) for r in refs.collect()]
+    for ref, value in rows:
+        by_ref.setdefault(ref, []).extend(by_key.get(value.strip(), []))
+    want = sorted((ref, value, len(by_ref[ref]), ",".join(r for _, r in sorted(by_ref[ref]))) for ref, value in rows)
+    for sent in (R.SENT, 10):
+        monkeypatch.setattr(R, "SENT", sent)
+        out = R.merged_sets(R.keyed(refs, "value", None), R.sets_of(index, "ordinal", "id", None), "ref")
+        assert sorted(tuple(r) for r in out.select("ref", "value", "n_candidates", "candidates").collect()) == want
+
+
+def test_references_to_a_hot_key_shuffle_no_candidates(spark):
+    """20,000 references to a key of 500 records: 10 million candidates, of which none meets a row of its own."""
+    index = spark.range(500).selectExpr("'HOT' AS key", "concat('r', id) AS id", "id AS ordinal")
+    refs = R.keyed(spark.range(20_000).selectExpr("id DIV 2 AS ref", "'hot' AS value"), "value", None)
+    out = R.merged_sets(refs, R.sets_of(index, "ordinal", "id", None), "ref").withColumn("size", F.length("candidates"))
+    assert out.agg(F.sum("n_candidates"), F.min("size"), F.max("size")).first() == (20_000_000, 4779, 4779)
+    status, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    last = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    recent = [last.apply(i) for i in range(min(15, last.size()))]
+    assert max(s.shuffleWriteRecords() for s in recent) <= 20_000
