@@ -113,13 +113,16 @@ def section_texts(items: DataFrame) -> DataFrame:
     return items.filter("text IS NOT NULL").groupBy("package_id", "section").agg(F.array_join(F.transform(lists, lambda x: x["text"]), "\n\n").alias("text"), F.count(F.lit(1)).alias("items"))
 
 
-def problems(items: DataFrame, total_limit: int = TOTAL_LIMIT - RESERVED, section_limit: int = SECTION_LIMIT) -> DataFrame:
-    """(code, package_id, subject): budgets, ids that come twice, order of sections, marks of cut items, secrets."""
+def problems(items: DataFrame, total_limit: int = TOTAL_LIMIT - RESERVED, section_limit: int = SECTION_LIMIT, order: tuple[str, ...] = ("place", "item_id")) -> DataFrame:
+    """(code, package_id, subject): budgets, ids that come twice, order of sections, marks of cut items, secrets.
+
+    ``order`` is that of a package's items; it has to tell apart those that share a place.
+    """
     rows = items.withColumn("section_ord", F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")))
     per_section = rows.groupBy("package_id", "section").agg(F.sum(F.length("text")).alias("size")).filter(F.col("size") > section_limit).select(F.lit("section_over_budget").alias("code"), "package_id", F.col("section").alias("subject"))
     total = rows.groupBy("package_id").agg(F.sum(F.length("text")).alias("size")).filter(F.col("size") > total_limit).select(F.lit("over_budget").alias("code"), "package_id", F.lit("").alias("subject"))
     twice = rows.groupBy("package_id", "item_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate_item").alias("code"), "package_id", F.col("item_id").alias("subject"))
-    before = rows.withColumn("before", F.lag("section_ord").over(Window.partitionBy("package_id").orderBy("place")))
+    before = rows.withColumn("before", F.lag("section_ord").over(Window.partitionBy("package_id").orderBy(*order)))
     secret = F.lit(False)
     for _, pattern, _ in CREDENTIALS:
         secret = secret | F.col("text").rlike(pattern)

@@ -257,10 +257,10 @@ def problems(items: DataFrame, section_limit: int = C.SECTION_LIMIT, total_limit
     for _, pattern, _ in C.CREDENTIALS:
         hit = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         secret = secret | F.exists(hit, lambda h: ~h.contains("[REDACTED]"))
-    at = Window.partitionBy("package_id").orderBy("place")
+    at = Window.partitionBy("package_id").orderBy("place", "item_id")
     section = F.array_position(F.array(*map(F.lit, C.SECTIONS)), F.col("section"))
     sort_key = F.struct("priority", F.coalesce("rank", F.lit(1 << 30)), -F.coalesce("score", F.lit(-1.0)), F.coalesce("hops", F.lit(1 << 30)), "item_id")
-    rows = items.withColumns({"before": F.lag(section).over(at), "key": sort_key, "key_before": F.lag(sort_key).over(Window.partitionBy("package_id", "section").orderBy("place"))})
+    rows = items.withColumns({"before": F.lag(section).over(at), "key": sort_key, "key_before": F.lag(sort_key).over(Window.partitionBy("package_id", "section").orderBy("place", "item_id"))})
     n = F.length("text")
     codes = {
         "missing_graph_path": (F.col("kind") == "retrieved_graph") & (F.col("hops") > 0) & (F.coalesce(F.size("paths"), F.lit(0)) < 1),

@@ -157,8 +157,9 @@ DROPPED = CONTEXT_BUDGET.replace("SELECT package_id, item_id, place::INT AS plac
 
 
 def package_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = items(spark, sf_dir).withColumns({"truncated": F.col("ordinal") % 11 == 0, "item_id": F.when(F.col("ordinal") % 13 == 0, "same").otherwise(F.col("item_id")), "place": F.when(F.col("ordinal") % 50 == 0, F.lit(0)).otherwise(F.col("place")) * 1000 + F.col("ordinal") % 1000})
-    return C.problems(rows)
+    """Packages with items that are said to be cut, share an id, or a place: these stay in the order that they had."""
+    rows = items(spark, sf_dir).withColumns({"first_place": F.col("place"), "truncated": F.col("ordinal") % 11 == 0, "item_id": F.when(F.col("ordinal") % 13 == 0, "same").otherwise(F.col("item_id")), "place": F.when(F.col("ordinal") % 50 == 0, F.lit(0)).otherwise(F.col("place")) * 1000 + F.col("ordinal") % 1000})
+    return C.problems(rows, order=("place", "first_place"))
 
 
 PACKAGE_VALIDATE = f"""WITH {ORGANISED}, rows AS (SELECT package_id, section, list_position({list(C.SECTIONS)}, section) AS so, CASE WHEN ordinal % 13 = 0 THEN 'same' ELSE item_id END AS item_id, ordinal % 11 = 0 AS truncated, CASE WHEN ordinal % 50 = 0 THEN 0 ELSE place END * 1000 + ordinal % 1000 AS place, text FROM organised),

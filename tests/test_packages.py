@@ -101,3 +101,12 @@ def test_warning_ceiling(spark):
     one = [r for r in got if r.package_id == 1]
     assert len(one) == 200 and one[-1].text.startswith("101 more") and sum(len(r.text) for r in one) <= 20_000
     assert [r.text for r in got if r.package_id == 2] == ["y"]
+
+
+@pytest.mark.parametrize("deal", [1, 3])
+def test_items_of_one_place_are_taken_in_a_stated_order(spark, deal):
+    """Two items share a place: whichever comes first decides which of them follows a later section."""
+    rows = [("p", "z", "rule", 5, 1), ("p", "a", "graph", 5, 2), ("p", "m", "rule", 6, 3)]
+    items = spark.createDataFrame(rows[::-1] if deal == 3 else rows, "package_id string, item_id string, section string, place int, first int").selectExpr("*", "'t' AS text", "false AS truncated").repartition(deal)
+    found = lambda order: [(r.code, r.subject) for r in C.problems(items, order=order).collect()]
+    assert found(("place", "first")) == [("section_order", "m")] and found(("place", "item_id")) == [("section_order", "z")] == found(("place", "item_id"))
