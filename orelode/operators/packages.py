@@ -73,7 +73,12 @@ def redaction_warnings(rows: DataFrame, batch: str, where: str) -> DataFrame:
 
 
 def rule_context(rules: DataFrame, key: str = "rule_id", raw: str = "text") -> DataFrame:
-    """What a package says of a parsed rule (``rule_parsing.described``): a row with ``package_id`` and text columns."""
+    """What a package says of a parsed rule (``rule_parsing.described``): a row with ``package_id`` and text columns.
+
+    Rules are settled before those with a fault are left out: a filter would move into the parsing, ahead of the tasks that
+    rows are dealt to, and parse a document once for each field that a fault may lie in.
+    """
+    rules = settled(rules)
     said = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}="), value))
     source = F.concat_ws(", ", said("category", F.col("category")), said("product", F.col("product")), said("service", F.col("service")), said("indices", F.array_join("indices", ",")))
     condition = F.when(F.size("condition") == 1, F.get("condition", F.lit(0))).otherwise(F.array_join("condition", " or "))

@@ -13,12 +13,13 @@ from orelode.operators import reply_specs as S
 from orelode.operators import rule_parsing as RP
 from orelode.plans import builds, graphs, rules
 from orelode.plans.evidence import FULL
-from orelode.session import settled, table
+from orelode.session import settled, spread, table
 
 
 def rule_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header and detection items of rules, and their references."""
-    context = settled(P.rule_context(RP.described(table(spark, sf_dir, "part").selectExpr("p_partkey AS rule_id", f"{FULL} AS text"))))
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+    context = P.rule_context(RP.described(parts.selectExpr("p_partkey AS rule_id", f"{FULL} AS text")))
     items = P.rule_batch(context)[0].unionByName(P.reference_batch(context)[0])
     return items.select("package_id", "item_id", "kind", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
