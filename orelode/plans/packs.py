@@ -66,7 +66,7 @@ REPLY = f"""concat('{{"operation": "analyze", "summary": "', CASE WHEN k = 4 THE
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS STRING) AS request_id", "'analyze' AS operation", "p_type", "p_size", "p_partkey % 16 AS k")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")).selectExpr("CAST(p_partkey AS STRING) AS request_id", "'analyze' AS operation", "p_type", "p_size", "p_partkey % 16 AS k")
     return S.typed(rows.selectExpr("request_id", "operation", f"CASE WHEN k = 15 THEN 'broken' ELSE {REPLY} END AS reply"))
 
 
