@@ -137,7 +137,7 @@ def built(records: DataFrame, sources: tuple[str, ...] | None = None) -> tuple[D
 
     A part of the sources is a graph by itself: references to the rest are unresolved or find no node.
     """
-    some = chosen(records, sources)
+    some = settled(chosen(records, sources))  # read once for nodes, references, their index, names and tags
     own = settled(record_nodes(some))
     edges, skipped = reference_edges(some, own)
     derived, tagged = tag_parts(some, own)

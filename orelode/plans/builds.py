@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orelode.operators import graph as G
 from orelode.operators import graph_build as B
 from orelode.operators import references as R
-from orelode.session import settled, table
+from orelode.session import settled, spread, table
 
 T = "concat('T', CAST({} AS STRING))".format
 #: Table, and its record's source, line, id, source id and metadata; nations of key 3 in 7 are in two domains.
@@ -25,7 +25,7 @@ TABLES = (
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, source, line, ident, source_id, metadata in TABLES:
-        rows = table(spark, sf_dir, name).selectExpr(f"'{source}' AS source", f"CAST({line} AS BIGINT) AS line_number", f"{ident} AS id", f"{source_id} AS source_id", "'' AS text", f"parse_json(to_json({metadata})) AS metadata")
+        rows = spread(table(spark, sf_dir, name)).selectExpr(f"'{source}' AS source", f"CAST({line} AS BIGINT) AS line_number", f"{ident} AS id", f"{source_id} AS source_id", "'' AS text", f"parse_json(to_json({metadata})) AS metadata")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -110,3 +110,20 @@ def test_items_of_one_place_are_taken_in_a_stated_order(spark, deal):
     items = spark.createDataFrame(rows[::-1] if deal == 3 else rows, "package_id string, item_id string, section string, place int, first int").selectExpr("*", "'t' AS text", "false AS truncated").repartition(deal)
     found = lambda order: [(r.code, r.subject) for r in C.problems(items, order=order).collect()]
     assert found(("place", "first")) == [("section_order", "m")] and found(("place", "item_id")) == [("section_order", "z")] == found(("place", "item_id"))
+
+
+def test_a_rules_fault_is_not_sought_in_a_scan(spark):
+    """A filter on faults inside the parsing would parse a document anew for each field, in as few tasks as a scan has."""
+    rows = spark.createDataFrame([("a", '{"title": "t", "detection": {"condition": "c"}}'), ("b", "{broken")], "rule_id string, text string")
+    context = P.rule_context(RP.described(rows))
+    assert [r.package_id for r in context.collect()] == ["a"]
+    assert "parse_json" not in context._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parsing_is_dealt_over_all_cores(spark):
+    """Tables of one file and few rows a core would be parsed by one task."""
+    from orelode.plans import builds, packs
+
+    cores, sf = spark.sparkContext.defaultParallelism, "/root/testdata/sf0.001"
+    assert packs.replies(spark, sf).rdd.getNumPartitions() == cores
+    assert builds.records(spark, sf).rdd.getNumPartitions() == cores * len(builds.TABLES)
