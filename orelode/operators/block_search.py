@@ -79,13 +79,13 @@ def met(asked: Asked, chosen: DataFrame) -> DataFrame:
 
 
 def in_full(asked: Asked, pairs: DataFrame, few: bool = False) -> DataFrame:
-    """``query_id, chunk_id, score, matched`` of pairs, by the chunks' own terms; ``few``: look first which slots they are in."""
+    """``query_id, chunk_id, score, matched`` of pairs (query_id, chunk_id), by the chunks' own terms; ``few``: look first which slots they are in."""
     index = asked.index
     forward = index.forward.select("chunk_id", "length", "terms", "slot")
     if few:
         slots = [r[0] for r in pairs.select(X.bucket(F.col("chunk_id").cast("string"), index.slots)).distinct().collect()]  # a row for each slot at most
         forward = forward.filter(F.col("slot").isin(slots))
-    rows = pairs.select("query_id", "chunk_id").join(forward.drop("slot"), "chunk_id").select("query_id", "chunk_id", "length", F.inline("terms"))
+    rows = pairs.join(forward.drop("slot"), "chunk_id").select("query_id", "chunk_id", "length", F.inline("terms"))
     rows = rows.join(asked.sent(asked.weights), ["query_id", "term"])
     part = F.col("idf") * X.impact(F.col("tf"), F.col("length"), index.average)
     return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.array_sort(F.collect_list("term")).alias("matched"))
@@ -95,7 +95,7 @@ def tried(asked: Asked, found: DataFrame, by: str, limit: int) -> DataFrame:
     """``query_id, least``: the k-th score of each query's best chunks so far, in full."""
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id"))
     some = settled(found.select("query_id", "chunk_id", by).withColumn("place", best).filter(F.col("place") <= TRIED * limit).select("query_id", "chunk_id"))
-    return kth(in_full(asked, some, few=True), limit)
+    return kth(in_full(asked, F.broadcast(some) if some.count() <= X.SENT else some, few=True), limit)
 
 
 def kth(scored: DataFrame, limit: int) -> DataFrame:
@@ -137,7 +137,8 @@ def search(index: X.Index, queries: DataFrame, limit: int, lets: Filter | None =
     found = settled(lets(found.join(asked.sent(whole), "query_id").filter(F.col("least").isNull() | (F.col("gain") + F.col("unread") >= F.col("least") - SLACK))))
     higher = tried(asked, found, "gain", limit).withColumnRenamed("least", "higher")
     hopeful = found.join(asked.sent(higher), "query_id", "left").filter(F.col("higher").isNull() | (F.col("gain") + F.col("unread") >= F.col("higher") - SLACK))
-    return X.top(in_full(asked, hopeful), limit)
+    hopeful = settled(hopeful.select("query_id", "chunk_id"))
+    return X.top(in_full(asked, F.broadcast(hopeful) if hopeful.count() <= X.SENT else hopeful), limit)  # else chunks' terms are shuffled
 
 
 def report(index: X.Index, queries: DataFrame, limit: int) -> DataFrame:

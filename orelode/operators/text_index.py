@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orelode.functions.text import counted, first_seen, tokens
-from orelode.session import dropped, settled, spread
+from orelode.session import settled, spread
 
 K1, B = 1.2, 0.75
 #: Buckets of a stored index, and query terms up to which they are sent to all tasks.
@@ -106,14 +106,14 @@ def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk
     """
     source = [c for c in ("source",) if c in chunks.columns]
     rows = spread(chunks.select(F.col(key).alias("chunk_id"), *source, F.col(text).alias("words"))).select("chunk_id", *source, tokens(F.col("words")).alias("tokens"))
-    rows = settled(rows.select("chunk_id", *source, F.size("tokens").alias("length"), counted(F.col("tokens")).alias("terms"), bucket(F.col("chunk_id").cast("string"), slots).alias("slot")))
-    rows.hint("rebalance", "slot").sortWithinPartitions("slot", "chunk_id").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/forward")
+    rows = rows.select("chunk_id", *source, F.size("tokens").alias("length"), counted(F.col("tokens")).alias("terms"), bucket(F.col("chunk_id").cast("string"), slots).alias("slot"))
+    rows.sortWithinPartitions("slot", "chunk_id").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/forward")  # from where they are: a file for each task and slot
+    rows = chunks.sparkSession.read.schema(rows.schema).parquet(f"{path}/forward")
     n, average = rows.agg(F.count(F.lit(1)), F.avg("length")).first()
     own = rows.select("chunk_id", "length", F.inline("terms")).withColumn("bucket", bucket(F.col("term"), buckets))
     band = F.floor((1 - impact(F.col("tf"), F.col("length"), average or 0.0) / (K1 + 1)) * bands)
     placed = own.withColumn("block", F.greatest(F.lit(0), F.least(band, F.lit(bands - 1))).cast("int"))
     placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    dropped(rows)
     highest = F.max(impact(F.col("tf"), F.col("length"), average or 0.0)).alias("impact")
     blocks = _stored(chunks.sparkSession, path, "postings", dict(chunks.dtypes)[key], n).groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("n"), highest)
     blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")

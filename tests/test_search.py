@@ -77,3 +77,14 @@ def test_bounds_hold(stored):
     for r in index.blocks.orderBy("term", "block").collect():
         assert r.impact <= highest.get(r.term, 9)
         highest[r.term] = r.impact
+
+
+def test_few_pairs_are_sent_to_the_chunks(spark, tmp_path):
+    """What is scored in full at last is few pairs: chunks' terms, the whole corpus at worst, stay where they are."""
+    docs = spark.range(300).selectExpr("id AS chunk_id", "concat('word', CAST(id % 7 AS STRING), ' common ', CAST(id AS STRING)) AS text")
+    X.save(docs, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "word3 common")], "query_id long, text string")
+    found = S.search(X.load(spark, str(tmp_path / "index")), asked, 5)
+    assert [r.chunk_id for r in found.orderBy("rank").collect()] == [3, 10, 17, 24, 31]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "leftHint=(strategy=broadcast)" in plan
