@@ -12,7 +12,8 @@ One fingerprint of 64 bits within 4 finds few texts whose shingle sets are 0.8 a
 ten bits. ``similar_links`` therefore takes ``TABLES`` shorter fingerprints of each set and hashes the balls of each; what
 collides in any is a candidate, whatever else collides with it. Candidates are sifted where they meet, by their sizes and
 by a sketch that estimates their similarity (a bit each of ``MARKS`` least hashes), and the sets themselves decide. What a
-first pass has joined counts as one class: of a fingerprint's rows only those meet that are of different classes.
+first pass has joined counts as one class: of a fingerprint's rows only those meet that are of different classes, and the
+sets of those go to their cells, which hand on fewer links than they have rows.
 """
 
 from __future__ import annotations
@@ -305,6 +306,8 @@ SKETCHED = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int
 ITEMS = pa.schema([("cell", pa.int64()), ("fp", pa.int64()), ("row", pa.int64()), ("free", pa.int32()), ("class", pa.int64()), ("n", pa.int32()), ("marks", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("certain", pa.bool_())])
 SETS = pa.schema([("row", pa.int64()), ("members", pa.list_(pa.int64()))])
+PACKED = pa.schema([("row", pa.int64()), ("members", pa.binary())])
+ITEM_COLUMNS = "cell long, fp long, row long, free int, class long, n int, marks binary"
 
 
 def sketches(batches, k: int):
@@ -334,74 +337,126 @@ def short_cells(batches, prefix: int):
                 yield record(ITEMS, cell=cell, fp=np.repeat(fp.astype(np.int64), len(flips)), free=np.tile(free, len(fp)), **told)
 
 
-def colliding(batches, prefix: int, nearest: bool, similarity: float):
-    """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius and whose sizes and
-    marks don't rule them out: of each cell all of them, whatever the order of rows. ``nearest``: for each row only the one
-    before it that agrees in most marks in this cell, of its neighbours in each variant.
-    """
-    cell, held = None, []
+class Cell:
+    """The items of one cell, in the order of their rows."""
+
+    def __init__(self, held: list[tuple], prefix: int, similarity: float):
+        fp, row, free, kind, n, told, *more = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(row, kind="stable")
+        self.fp, self.row, self.free, self.kind, self.n, self.told = fp[order].view(np.uint64), row[order], free[order], kind[order], n[order], told[order]
+        self.members = more[0][order] if more else None
+        self.bits, self.similarity = SHORT - prefix, similarity
 
-    def sifted(a, b):
-        fits = (kind[a] != kind[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+    def sifted(self, a, b):
+        """Pairs of different classes that sizes and marks don't rule out, and their marks in common."""
+        fits = (self.kind[a] != self.kind[b]) & (np.minimum(self.n[a], self.n[b]) >= self.similarity * np.maximum(self.n[a], self.n[b]) - 1e-9)
         a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
-        agree = np.concatenate([np.zeros(0, np.int64), *(MARKS - np.bitwise_count(told[a[k : k + 50_000]] ^ told[b[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 50_000))])
+        agree = np.concatenate([np.zeros(0, np.int64), *(MARKS - np.bitwise_count(self.told[a[k : k + 50_000]] ^ self.told[b[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(a), 50_000))])
         fits = agree >= LEAST
         return a[fits], b[fits], agree[fits]
 
-    def made(pairs):
-        a, b, agree = sifted(*pairs)
-        if len(a):
-            yield record(PAIRS, a=row[a], b=row[b], certain=agree >= CERTAIN)
-
-    def done():
-        nonlocal fp, row, free, kind, n, told
-        fp, row, free, kind, n, told = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(row, kind="stable")
-        fp, row, free, kind, n, told = fp[order].view(np.uint64), row[order], free[order], kind[order], n[order], told[order]
-        if nearest:
-            best = np.full(len(row), -1)
-            for a, b in collisions(fp, free, SHORT - prefix):
-                near = np.bitwise_count(fp[a] ^ fp[b]) <= NEAR
-                a, b, agree = sifted(a[near], b[near])
-                np.maximum.at(best, b, agree << 40 | a)
-            found = np.flatnonzero(best >= 0)
-            if len(found):
-                yield record(PAIRS, a=row[best[found] & ((1 << 40) - 1)], b=row[found], certain=best[found] >> 40 >= CERTAIN)
-            return
+    def nearest(self):
+        """For each row only the one before it that agrees in most marks, of its neighbours in each variant."""
+        best = np.full(len(self.row), -1)
+        for a, b in collisions(self.fp, self.free, self.bits):
+            near = np.bitwise_count(self.fp[a] ^ self.fp[b]) <= NEAR
+            a, b, agree = self.sifted(a[near], b[near])
+            np.maximum.at(best, b, agree << 40 | a)
+        found = np.flatnonzero(best >= 0)
+        return best[found] & ((1 << 40) - 1), found, best[found] >> 40
+
+    def across(self):
+        """All pairs of different classes within the radius, before they are sifted; a pair may come more than once."""
+        kind, fp = self.kind, self.fp
         if (kind == kind[0]).all():
             return
         own, at, count = np.unique(fp, return_index=True, return_counts=True)
         rows = np.split(np.argsort(fp, kind="stable"), np.cumsum(count)[:-1])
         least, most = (np.array([f(kind[r]) for r in rows]) for f in (np.min, np.max))
         for f in np.flatnonzero(least < most):
-            for pairs in between(kind, rows[f], None, told):
-                yield from made(pairs)
-        for a, b in ball_pairs(own, free[at], np.where(least == most, least, -1), SHORT - prefix):
+            yield from between(kind, rows[f], None, self.told)
+        for a, b in ball_pairs(own, self.free[at], np.where(least == most, least, -1), self.bits):
             differ = (np.bitwise_count(own[a] ^ own[b]) <= NEAR) & (np.minimum(least[a], least[b]) < np.maximum(most[a], most[b]))
             a, b = a[differ], b[differ]
             single = (count[a] == 1) & (count[b] == 1)
             if single.any():
-                yield from made((at[a[single]], at[b[single]]))
+                yield at[a[single]], at[b[single]]
             for x, y in zip(a[~single].tolist(), b[~single].tolist(), strict=True):
-                for i, j in between(kind, rows[x], rows[y], told):
-                    across = fp[i] != fp[j]  # those of one fingerprint have met
-                    yield from made((i[across], j[across]))
+                for i, j in between(kind, rows[x], rows[y], self.told):
+                    apart = fp[i] != fp[j]  # those of one fingerprint have met
+                    yield i[apart], j[apart]
 
-    fp = row = free = kind = n = told = None
+
+def cells_of(batches, prefix: int, similarity: float):
+    """Rows come sorted by cell: each cell by itself, with its number."""
+    cell, held = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
         cells, *own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ITEMS.names[:-1])
         own.append(np.frombuffer(b"".join(batch.column("marks").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+        if "members" in batch.schema.names:
+            own.append(batch.column("members").to_numpy(zero_copy_only=False))
         cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if held and cells[a] != cell:
-                yield from done()
+                yield cell, Cell(held, prefix, similarity)
                 held = []
             cell = cells[a]
             held.append(tuple(c[a:b].copy() for c in own))
     if held:
-        yield from done()
+        yield cell, Cell(held, prefix, similarity)
+
+
+def colliding(batches, prefix: int, nearest: bool, similarity: float):
+    """Rows come sorted by cell. Pairs of different classes whose fingerprints are within the radius and whose sizes and
+    marks don't rule them out: of each cell all of them, whatever the order of rows. ``nearest``: for each row only the one
+    before it that agrees in most marks in this cell, of its neighbours in each variant.
+    """
+    for _, of in cells_of(batches, prefix, similarity):
+        for a, b, agree in [of.nearest()] if nearest else (of.sifted(*pair) for pair in of.across()):
+            if len(a):
+                yield record(PAIRS, a=of.row[a], b=of.row[b], certain=agree >= CERTAIN)
+
+
+def meeting(batches, prefix: int, similarity: float):
+    """Rows come sorted by cell. The items of each cell that have a pair by ``colliding``, each once, however many pairs."""
+    for cell, of in cells_of(batches, prefix, similarity):
+        met = np.zeros(len(of.row), bool)
+        for a, b in of.across():
+            new = ~(met[a] & met[b])
+            a, b, _ = of.sifted(a[new], b[new])
+            met[a] = met[b] = True
+        own = np.flatnonzero(met)
+        for at in range(0, len(own), 20_000):
+            k = own[at : at + 20_000]
+            yield record(ITEMS, cell=np.full(len(k), cell), fp=of.fp[k].view(np.int64), row=of.row[k], free=of.free[k], n=of.n[k], marks=[m.tobytes() for m in of.told[k]], **{"class": of.kind[k]})
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, in order, are that similar."""
+    if not len(x) or not len(y):
+        return len(x) == len(y)
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def decided(batches, prefix: int, similarity: float):
+    """Rows come sorted by cell, with their sets (``members``). Similar rows of different classes, as a forest: pairs that others
+    of the cell join already are left, so a cell has fewer links than rows.
+    """
+    for _, of in cells_of(batches, prefix, similarity):
+        forest, sets, links = Forest(), [np.frombuffer(m, np.uint64) for m in of.members], []
+        for pair in of.across():
+            a, b, agree = of.sifted(*pair)
+            order = np.argsort(-agree, kind="stable")
+            for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                one, other = int(of.kind[x]), int(of.kind[y])
+                if forest.root(one) != forest.root(other) and alike(sets[x], sets[y], similarity):
+                    forest.link(one, other)
+                    links.append((x, y))
+        if links:
+            yield record(EDGES, a=of.row[[x for x, _ in links]], b=of.row[[y for _, y in links]])
 
 
 def member_sets(batches, k: int):
@@ -410,6 +465,13 @@ def member_sets(batches, k: int):
             yield record(SETS, row=[row], members=[shingle_set(text or "", k).view(np.int64)])
 
 
+def packed_sets(batches, k: int):
+    """As ``member_sets``, 8 bytes a member."""
+    for batch in batches:
+        for row, text in zip(batch.column("row").to_pylist(), values(batch, "text"), strict=True):
+            yield record(PACKED, row=[row], members=[shingle_set(text or "", k).tobytes()])
+
+
 def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) that are similar, but for those that others join already.
 
@@ -437,7 +499,8 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int =
     Similarity is that of Jaccard over sets of ``shingle`` words. Sets that collide in no table are missed (see the
     constants, which are for a similarity of 0.8 and more); no pair below it is linked, but for the error of ``CERTAIN``.
     First each set meets its nearest one in each cell, which joins dense groups with few pairs; then all that collide and
-    aren't joined yet. Links stand for their components.
+    aren't joined yet. Of these no pairs are made: the sets of the rows that have any go where they meet, and a cell hands on
+    a forest. Links stand for their components.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -449,16 +512,20 @@ def similar_links(docs: DataFrame, row: str, text: str = "text", shingle: int =
     prefix = min(24, max(0, round(log2(variants / SHORT_CELL)) if variants > SHORT_CELL else 0))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TABLES)
 
-    def pairs(sets: DataFrame, nearest: bool) -> DataFrame:
-        items = sets.drop("digest").mapInArrow(task(__name__, "short_cells", prefix=prefix), "cell long, fp long, row long, free int, class long, n int, marks binary")
-        return items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, "colliding", prefix=prefix, nearest=nearest, similarity=similarity), "a long, b long, certain boolean")
+    def by_cell(items: DataFrame, function: str, schema: str, **settings) -> DataFrame:
+        return items.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(task(__name__, function, prefix=prefix, similarity=similarity, **settings), schema)
+
+    def items(sets: DataFrame) -> DataFrame:
+        return sets.drop("digest").mapInArrow(task(__name__, "short_cells", prefix=prefix), ITEM_COLUMNS)
 
-    near = verified(pairs(distinct.withColumn("class", F.col("row")), True), rows, shingle, similarity)
+    near = verified(by_cell(items(distinct.withColumn("class", F.col("row"))), "colliding", "a long, b long, certain boolean", nearest=True), rows, shingle, similarity)
     classes = written(components(near))
     joined = distinct.join(classes.select(F.col("node").alias("row"), "component"), "row", "left").withColumn("class", F.coalesce("component", "row")).drop("component")
-    rest = verified(pairs(joined, False), rows, shingle, similarity)
+    met = written(by_cell(items(joined), "meeting", ITEM_COLUMNS))
+    sets = rows.join(met.select("row").distinct(), "row", "left_semi").mapInArrow(task(__name__, "packed_sets", k=shingle), "row long, members binary")
+    rest = written(by_cell(met.join(sets, "row"), "decided", "a long, b long"))
     links = written(near.unionByName(rest))
-    for table in (distinct, classes, near, rest):
+    for table in (distinct, classes, near, met, rest):
         dropped(table)
     return same, links
 

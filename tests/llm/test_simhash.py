@@ -221,3 +221,26 @@ def test_the_least_key_stays(spark):
         rows = list(enumerate(texts))[::order]
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         assert {r.doc_id for r in simhash.similar_kept(docs.transform(written)).collect()} == {0, 20}
+
+
+@pytest.mark.parametrize("changed", [6, 10])
+def test_a_cell_hands_on_less_than_its_rows(changed):
+    """Copies of one template, alike or just not: pairs grow with the square of the group, rows and links don't, and they join the same."""
+    rng = random.Random(changed)
+    base, texts = [f"t{i}" for i in range(400)], []
+    for _ in range(160):
+        own = list(base)
+        for at in rng.sample(range(400), changed // 2):
+            own[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    sets, items = [simhash.shingle_set(t, 5) for t in texts], items_of(texts)
+    n = sum(b.num_rows for b in items)
+    pairs = list(simhash.colliding(iter(items), 0, False, 0.8))
+    met = list(simhash.meeting(iter(items), 0, 0.8))
+    packed = [pa.RecordBatch.from_arrays([*b.columns, pa.array([sets[r].tobytes() for r in b.column("row").to_pylist()], pa.binary())], names=[*b.schema.names, "members"]) for b in met]
+    links = [p for r in simhash.decided(iter(packed), 0, 0.8) for p in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True)]
+    members = [frozenset(s.tolist()) for s in sets]
+    want = {p for r in pairs for p in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True) if similarity(members[p[0]], members[p[1]]) >= 0.8}
+    assert sum(r.num_rows for r in pairs) > n and sum(b.num_rows for b in met) <= n and len(links) < n
+    assert all(similarity(members[a], members[b]) >= 0.8 for a, b in links)
+    assert plain_components(links, range(len(texts))) == plain_components(want, range(len(texts)))
