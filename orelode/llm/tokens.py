@@ -24,11 +24,13 @@ from tokenizers import Tokenizer
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 DIGITS = "0-9²³¹¼-¾"
 #: The contractions of both pre-tokenizers: fixed values.
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_PIECES = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
-WORD_PIECES = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+CONTRACTIONS = "'(?:[stmd]|re|ve|ll)"
+#: Letters first, as most pre-tokens are words: no contraction starts with one.
+BYTE_PIECES = re.compile(rf" ?[{LETTERS}]+| ?[{DIGITS}]+|{CONTRACTIONS}| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"[{LETTERS}]+|{CONTRACTIONS}|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 #: Characters whose class or lower case may differ between the two expression engines.
 UNSURE = re.compile("[^\x00-\x1b\x20-ſ]")
+ASCII_UNSURE = "\x1c\x1d\x1e\x1f"
 #: The pattern of the word vocabulary's splitter: a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands for a word's end where ids are merged by rank.
@@ -69,7 +71,7 @@ class Cache(dict):
 class Encoder:
     """Encodes whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does, as packed ids."""
 
-    def __init__(self, path: str, entries: int = 150_000):
+    def __init__(self, path: str, entries: int = 400_000):
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.path, self.size = path, len(made["model"]["vocab"].keys() | {t["content"] for t in made["added_tokens"]})
@@ -98,7 +100,7 @@ class Encoder:
 
     def split(self, text: str) -> list[str] | None:
         """The pre-tokens of a text, or None if only the library splits it."""
-        if self.pieces is None or UNSURE.search(text) or (self.special and self.special.search(text)):
+        if self.pieces is None or (any(c in text for c in ASCII_UNSURE) if text.isascii() else UNSURE.search(text)) or (self.special and self.special.search(text)):
             return None
         return self.pieces.findall(text.lower() if self.lower else text)
 

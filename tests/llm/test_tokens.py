@@ -162,3 +162,21 @@ def test_record_width_and_stores(spark, tmp_path):
     assert records.opened("file:/a/b")[1] == records.opened("file:///a/b")[1] == "/a/b"
     with pytest.raises(ValueError, match="qualified"):
         records.opened("/a/b")
+
+
+def test_letters_first_splits_alike():
+    """The expressions that try letters before contractions against those in the pre-tokenizers' order."""
+    import random
+    import re
+
+    from orelode.llm import tokens as T
+
+    first = "'s|'t|'re|'ve|'m|'ll|'d"
+    byte = re.compile(rf"{first}| ?[{T.LETTERS}]+| ?[{T.DIGITS}]+| ?[^\s{T.LETTERS}{T.DIGITS}]+|\s+(?!\S)|\s+")
+    word = re.compile(rf"{first}|[{T.LETTERS}]+|[{T.DIGITS}]|[^\s{T.LETTERS}{T.DIGITS}]+")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(rng.choices(["'", "'s", "'re", "'ll", "l", "v", "e", "é", " ", "\n", "1", "²", "!", "\xa0", "_"], k=rng.randrange(12)))
+        assert T.BYTE_PIECES.findall(text) == byte.findall(text) and T.WORD_PIECES.findall(text) == word.findall(text)
+        assert (T.UNSURE.search(text) is None) or not text.isascii()
+    assert {chr(i) for i in range(128) if T.UNSURE.search(chr(i))} == set(T.ASCII_UNSURE)
