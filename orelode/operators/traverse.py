@@ -2,12 +2,14 @@
 
 Walks of a whole batch of queries run together, one pair of joins for each hop. Of several parents in one hop the one
 that is earliest in the queue counts, then the edge's type, the neighbour and the edge's key; the first discovery fixes
-a node's hop and path.
+a node's hop and path. Walks run on numbers; names and paths are joined in the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from orelode.operators import vocabulary as V
 from orelode.operators.numbering import numbered
 from orelode.session import settled
 
+#: Rows of a level up to which its paths are sent to all tasks.
+SENT = 50_000
+
 
 def identifier_index(nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``key, node_id`` for each distinct identifier (trimmed, lower-cased) of a node."""
@@ -59,25 +64,63 @@ def queued(rows: DataFrame, order: list[str]) -> DataFrame:
     return numbered(rows, ["query_id"], order, "rank").withColumn("rank", F.col("rank") + 1)
 
 
-def walked(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """``query_id, node_id, hop, rank, path`` of the nodes within ``hops`` of a query's starts (query_id, node_id, ordinal).
+class Walk(NamedTuple):
+    """What a walk reached, by numbers.
+
+    ``levels``: for each hop ``query_id, node, hop, rank, from, way``, with the rank of the parent and the way taken (null
+    for starts); ``nodes``: ``node, node_id``; ``ways``: ``way, node_id, key``, with the node that it leads to.
+    """
+
+    levels: list[DataFrame]
+    nodes: DataFrame
+    ways: DataFrame
+
+    @property
+    def reached(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [level.select("query_id", "node", "hop", "rank") for level in self.levels])
 
-    ``edges`` (key, type, start_id, end_id) count both ways. ``rank`` is the place in the queue of its hop. Queues are
-    numbered by ranges, so one query's level runs in as many tasks as its rows fill.
+
+def walk(starts: DataFrame, edges: DataFrame, hops: int = 2) -> Walk:
+    """The nodes within ``hops`` of a query's starts (query_id, node_id, ordinal), without names and paths.
+
+    ``edges`` (key, type, start_id, end_id) count both ways; one that lacks an end links nothing. Each way of an edge has a
+    number by type, node it leads to and key, so that it stands for all three in a queue's order, and each node has one by its
+    id. What is shuffled and written for each node that is reached are a few numbers. Queues are numbered by ranges, so one
+    query's level runs in as many tasks as its rows fill.
     """
-    both = edges.select(F.col("start_id").alias("node_id"), F.col("end_id").alias("next"), "type", "key").unionByName(edges.select(F.col("end_id").alias("node_id"), F.col("start_id").alias("next"), "type", "key"))
-    both = settled(both)
-    level = queued(settled(starts.select("query_id", "node_id", "ordinal")), ["ordinal", "node_id"])
-    level = settled(level.select("query_id", "node_id", F.lit(0).alias("hop"), "rank", F.array().cast("array<string>").alias("path")))
-    seen = level
+    one, other = (F.struct(F.col(x).alias("node_id"), F.col(y).alias("next"), "type", "key") for x, y in (("start_id", "end_id"), ("end_id", "start_id")))
+    both = edges.filter("start_id IS NOT NULL AND end_id IS NOT NULL").select(F.inline(F.array(one, other)))
+    both = settled(numbered(settled(both), [], ["type", "next", "key"], "way"))
+    starts = settled(starts.select("query_id", "node_id", "ordinal"))
+    nodes = settled(numbered(settled(both.select("node_id").union(starts.select("node_id")).distinct()), [], ["node_id"], "node"))
+    near = both.select("way", "node_id", "next").join(nodes, "node_id").select("way", F.col("node").alias("at"), F.col("next").alias("node_id"))
+    near = settled(near.join(nodes, "node_id").select("at", "way", "node"))
+    level = queued(settled(starts.join(nodes, "node_id").drop("node_id").withColumn("node_id", F.col("node"))), ["ordinal", "node_id"])
+    none = F.lit(None).cast("long")
+    levels = [settled(level.select("query_id", "node", F.lit(0).alias("hop"), "rank", none.alias("from"), none.alias("way")))]
     for hop in range(1, hops + 1):
-        reach = level.join(both, "node_id").select("query_id", F.col("next").alias("node_id"), "rank", "type", "key", F.concat("path", F.array("key")).alias("path"))
-        new = reach.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
-        first = new.groupBy("query_id", "node_id").agg(F.min(F.struct("rank", "type", "key", "path")).alias("f"))
-        first = settled(first.select("query_id", "node_id", F.col("f.rank").alias("from"), "f.type", "f.key", "f.path"))
-        level = settled(queued(first, ["from", "type", "node_id", "key"]).select("query_id", "node_id", F.lit(hop).alias("hop"), "rank", "path"))
-        seen = seen.unionByName(level)
-    return seen
+        reach = levels[-1].select("query_id", F.col("node").alias("at"), "rank").join(near, "at").select("query_id", "node", F.lit(hop).alias("hop"), "rank", "way")
+        seen = [level.select("query_id", "node", "hop", "rank", F.lit(0).cast("long").alias("way")) for level in levels]
+        first = reduce(DataFrame.unionByName, seen, reach).groupBy("query_id", "node").agg(F.min(F.struct("hop", "rank", "way")).alias("f"))
+        first = settled(first.filter(F.col("f.hop") == hop).select("query_id", "node", F.col("f.rank").alias("from"), "f.way"))
+        levels.append(settled(queued(first, ["from", "way"]).select("query_id", "node", F.lit(hop).alias("hop"), "rank", "from", "way")))
+    return Walk(levels, nodes, both.select("way", F.col("next").alias("node_id"), "key"))
+
+
+def walked(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """``query_id, node_id, hop, rank, path`` of ``walk``. ``rank`` is the place in the queue of its hop; ``path`` holds the
+    keys of the edges. Names are joined in the end, and a level's paths are written only where the next one goes on from them.
+    """
+    of = walk(starts, edges, hops)
+    named = [of.levels[0].join(of.nodes, "node").select("query_id", "node_id", "hop", "rank", F.array().cast("array<string>").alias("path"))]
+    for hop, level in enumerate(of.levels[1:], 1):
+        before = named[-1] if hop == 1 else settled(named[-1])
+        parents = before.select("query_id", F.col("rank").alias("from"), F.col("path").alias("before"))
+        if of.levels[hop - 1].count() <= SENT:
+            parents = F.broadcast(parents)
+        rows = level.join(of.ways, "way").join(parents, ["query_id", "from"])
+        named.append(rows.select("query_id", "node_id", "hop", "rank", F.concat("before", F.array("key")).alias("path")))
+    return reduce(DataFrame.unionByName, named)
 
 
 def expanded(reached: DataFrame, candidates_of: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:

@@ -69,3 +69,28 @@ def test_levels_without_candidates_end(spark):
     reached = spark.range(1, 1000).selectExpr("1 AS query_id", "1 AS hop", "id AS rank")
     none = T.expanded(reached, lambda some: some.filter("rank < 0").withColumn("place", F.col("rank")), 10)
     assert none.count() == 0
+
+
+def test_a_walk_writes_numbers(spark, monkeypatch):
+    """A hub, eight queries and keys of 1,000 characters: what is written for each node reached doesn't hold the key or the path."""
+    from orelode.operators import numbering
+
+    made = []
+
+    def settled(df, **options):
+        made.append(old(df, **options))
+        return made[-1]
+
+    old = T.settled
+    monkeypatch.setattr(T, "settled", settled)
+    monkeypatch.setattr(numbering, "settled", settled)
+    key = F.concat(F.lit("k" * 1000), F.format_string("%06d", "id"))
+    edges = spark.range(500).select(key.alias("key"), F.lit("t").alias("type"), F.lit("hub").alias("start_id"), F.concat(F.lit("c"), "id").alias("end_id"))
+    starts = spark.createDataFrame([(q, f"c{q}", 0) for q in range(8)], "query_id int, node_id string, ordinal int")
+    out = T.walked(starts, edges, 2)
+    for df in made:  # a walk has 8 x 501 rows, edges are there twice
+        kinds = dict(df.dtypes)
+        assert "query_id" not in kinds or df.count() < 100 or set(kinds.values()) <= {"int", "bigint"}
+    got = {(r.query_id, r.node_id): (r.hop, r["rank"], len(r.path)) for r in out.collect()}
+    assert len(got) == 8 * 501 and got[3, "hub"] == (1, 1, 1) and got[3, "c0"] == (2, 1, 2) and got[3, "c499"][0] == 2
+    assert all(n == hop for hop, _, n in got.values())
