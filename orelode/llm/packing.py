@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orelode.llm.runtime import Sink, column, task, values, written
+from orelode.llm.runtime import Sink, column, let_go, task, values, written
 from orelode.llm.tokens import encoder, unpack
 
 WINDOW, SHARD = 2048, 2_000
@@ -188,6 +188,7 @@ def fill(sizes: list[int], index: Index, window: int, offset: int = 0):
 
 def pack_shards(batches, idf, window: int, kind: str, terms: int | None, shard: int):
     """A partition's rows come sorted; each ``shard`` of them in turn is a shard, which goes on in the last one's window."""
+    let_go(f"{__name__}.pack_shards")  # all texts are encoded by now
     sink, base, taken, held = Sink(PIECES), TaskContext.get().partitionId() << 32, 0, []
 
     def pack():

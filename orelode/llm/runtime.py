@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -26,7 +28,8 @@ def bytes_of(size: str) -> int:
 
 
 def task(module: str, function: str, **settings) -> Callable:
-    """A function for mapInArrow that imports ``module`` in the worker, so that what it caches lives as long as that.
+    """A function for mapInArrow that imports ``module`` in the worker, so that what it caches lives until the worker
+    goes on to another module's task.
 
     Lowers the session's bound on the bytes of an Arrow batch to ``BATCH``: whole texts vary so much in length that a
     bound on rows alone would not hold an executor's and a worker's memory.
@@ -41,9 +44,11 @@ def task(module: str, function: str, **settings) -> Callable:
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        from orelode.llm.runtime import trimmed
+        from orelode.llm.runtime import give_back, let_go, trimmed
 
-        return getattr(importlib.import_module(module), function)(trimmed(batches), **settings)
+        let_go(module)
+        yield from getattr(importlib.import_module(module), function)(trimmed(batches), **settings)
+        give_back()
 
     return run
 
@@ -111,6 +116,22 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
 
 
+#: What the worker's last task was of.
+_last = {"module": ""}
+
+
+def let_go(module: str) -> None:
+    """Drops the encoders of another operator's tasks (or another part's): workers outlive them, and each would hold its vocabulary and cache on."""
+    if module != _last["module"]:
+        _last["module"] = module
+        holders = [m for n in ("tokens", "token_counts") if (m := sys.modules.get(f"orelode.llm.{n}")) and m._kept]
+        for holder in holders:
+            holder._kept.clear()
+        if holders:
+            gc.collect()  # an encoder and its cache know each other
+            give_back()
+
+
 def give_back() -> None:
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -32,8 +32,8 @@ from orelode.llm.components import Forest, components, grouped_back
 from orelode.llm.runtime import dropped, fresh, record, task, values, written
 
 BITS, SEED = 64, 42
-#: Variants that a cell holds on average, and that a task sorts at once.
-CELL, AT_ONCE = 2_000_000, 2_000_000
+#: Variants that a cell holds on average, and that a task sorts at once: 8 bytes each, and a few times that while they are sorted.
+CELL, AT_ONCE = 2_000_000, 500_000
 #: For similarity of sets: bits of a short fingerprint, tables of them, their radius, and variants of a table's cell. Texts
 #: 0.8 alike share a ball in one table with a probability of 0.27, so in one of ten with 0.96; more alike ones with more.
 SHORT, TABLES, NEAR, SHORT_CELL = 40, 10, 4, 64_000_000
@@ -102,6 +102,32 @@ def size_of(bits: int, free: np.ndarray) -> int:
     return sum(int(n[f]) * sum(comb(bits, i) for i in range(f + 1)) for f in range(len(n)))
 
 
+def sorted_variants(fp: np.ndarray, own: np.ndarray, left: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """All variants in the last ``b`` bits, in order, and whose (index) they are; equal ones are in one order everywhere."""
+    low = fp[own] & np.uint64((1 << b) - 1)
+    bits_of = int(len(fp)).bit_length()
+    packed = b + bits_of <= BITS
+    variants, source = [], []
+    for f in np.unique(left):
+        m, some = masks(b, int(f)), left == f
+        made = (low[some][:, None] ^ m[None, :]).ravel()
+        of = np.repeat(own[some].astype(np.int32), len(m))
+        if packed:
+            made <<= np.uint64(bits_of)
+            made |= of.astype(np.uint64)
+        else:
+            source.append(of)
+        variants.append(made)
+    variants = np.concatenate(variants)
+    if packed:
+        variants.sort()
+        source = (variants & np.uint64((1 << bits_of) - 1)).astype(np.int64)
+        variants >>= np.uint64(bits_of)
+        return variants, source
+    order = np.argsort(variants, kind="stable")
+    return variants[order], np.concatenate(source)[order]
+
+
 def collisions(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ONCE):
     """Neighbours among the fingerprints that share a variant: (index, index) arrays. Splits by the next bit if many."""
     stack = [(np.arange(len(fp)), free, bits)]
@@ -116,19 +142,7 @@ def collisions(fp: np.ndarray, free: np.ndarray, bits: int, at_once: int = AT_ON
                 keep = after >= 0
                 stack.append((own[keep], after[keep], b - 1))
             continue
-        low = fp[own] & np.uint64((1 << b) - 1)
-        variants, source = [], []
-        for f in np.unique(left):
-            m = masks(b, int(f))
-            variants.append((low[left == f][:, None] ^ m[None, :]).ravel())
-            source.append(np.repeat(own[left == f], len(m)).astype(np.int32))
-        variants, source = np.concatenate(variants), np.concatenate(source)
-        if b + (bits_of := int(len(fp)).bit_length()) <= BITS:  # sorted with their source, so that equal ones are in one order everywhere
-            keys = np.sort(variants << np.uint64(bits_of) | source.astype(np.uint64))
-            variants, source = keys >> np.uint64(bits_of), (keys & np.uint64((1 << bits_of) - 1)).astype(np.int64)
-        else:
-            order = np.argsort(variants)
-            variants, source = variants[order], source[order]
+        variants, source = sorted_variants(fp, own, left, b)
         same = np.flatnonzero(variants[1:] == variants[:-1])
         if len(same):
             pairs = np.unique(source[same].astype(np.int64) * len(fp) + source[same + 1])
@@ -152,19 +166,18 @@ def ball_pairs(fp: np.ndarray, free: np.ndarray, kind: np.ndarray, bits: int, at
                 after = left - (bit != side)
                 stack.append((own[after >= 0], after[after >= 0], b - 1))
             continue
-        low = fp[own] & np.uint64((1 << b) - 1)
-        made = [((low[left == f][:, None] ^ masks(b, int(f))[None, :]).ravel(), np.repeat(own[left == f], len(masks(b, int(f)))).astype(np.int32)) for f in np.unique(left)]
-        variants, source = (np.concatenate(c) for c in zip(*made, strict=True))
-        del made
-        order = np.argsort(variants, kind="stable")
-        variants, source = variants[order], source[order]
-        firsts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
-        sizes = np.diff(np.append(firsts, len(variants)))
+        variants, source = sorted_variants(fp, own, left, b)
+        equal = variants[1:] == variants[:-1]
+        shared = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
+        variants, source = variants[shared], source[shared]
+        if not len(variants):
+            continue
         kinds = kind[source]
-        mixed = (np.minimum.reduceat(kinds, firsts) != np.maximum.reduceat(kinds, firsts)) | (np.minimum.reduceat(kinds, firsts) < 0)
-        keep = np.repeat(mixed & (sizes > 1), sizes)
-        variants, source, kinds = variants[keep], source[keep], kinds[keep]
-        del order, firsts, sizes, keep
+        firsts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
+        low = np.minimum.reduceat(kinds, firsts)
+        mixed = np.repeat((low < 0) | (low != np.maximum.reduceat(kinds, firsts)), np.diff(np.append(firsts, len(variants))))
+        variants, source, kinds = variants[mixed], source[mixed], kinds[mixed]
+        del equal, shared, firsts, low, mixed
         codes, held, at, d = [], 0, np.flatnonzero(variants[1:] == variants[:-1]), 1
         while len(at):
             differ = at[(kinds[at] != kinds[at + d]) | (kinds[at] < 0)]

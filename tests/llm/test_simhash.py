@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -244,3 +245,18 @@ def test_a_cell_hands_on_less_than_its_rows(changed):
     assert sum(r.num_rows for r in pairs) > n and sum(b.num_rows for b in met) <= n and len(links) < n
     assert all(similarity(members[a], members[b]) >= 0.8 for a, b in links)
     assert plain_components(links, range(len(texts))) == plain_components(want, range(len(texts)))
+
+
+@pytest.mark.parametrize("of", ["collisions", "ball_pairs"])
+def test_variants_are_sorted_in_bounded_memory(of):
+    rng = np.random.default_rng(3)
+    fp = np.unique(rng.integers(0, 1 << 40, 20_000, np.uint64))
+    free = np.full(len(fp), 2)
+    more = (np.arange(len(fp)),) if of == "ball_pairs" else ()
+    tracemalloc.start()
+    try:
+        for _ in getattr(simhash, of)(fp, free, *more, 40):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()

@@ -1,11 +1,12 @@
 """Encoding, counts and records against the library itself."""
 
 import random
+import weakref
 
 import public_tokenizers as P
 import pytest
 
-from orelode.llm import bpe, records, token_counts
+from orelode.llm import bpe, records, runtime, token_counts, tokens
 from orelode.llm.tokens import Encoder, unpack
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -180,3 +181,13 @@ def test_letters_first_splits_alike():
         assert T.BYTE_PIECES.findall(text) == byte.findall(text) and T.WORD_PIECES.findall(text) == word.findall(text)
         assert (T.UNSURE.search(text) is None) or not text.isascii()
     assert {chr(i) for i in range(128) if T.UNSURE.search(chr(i))} == set(T.ASCII_UNSURE)
+
+
+def test_encoders_go_with_their_operator():
+    runtime.let_go("packing")
+    held = weakref.ref(tokens.encoder(BYTE))
+    held().encode("some words that are cached")
+    runtime.let_go("packing")
+    assert held() is not None
+    runtime.let_go("simhash")
+    assert held() is None and tokens.encoder(BYTE).encode("some")
