@@ -12,19 +12,25 @@ reads the blocks that a query can need only.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orelode.functions.text import counted, first_seen, tokens
-from orelode.session import settled, spread
+from orelode.functions.text import TOKEN, counted, first_seen, tokens
+from orelode.session import arrow_task, settled, spread
 
 K1, B = 1.2, 0.75
 #: Buckets of a stored index, and query terms up to which they are sent to all tasks.
 BUCKETS, SENT = 16, 100_000
 #: Bands of impact, and groups that the chunks' terms are stored by.
 BANDS, SLOTS = 32, 8
+#: Texts whose terms a worker holds at once.
+HELD = 500
+WORD, PARTED = re.compile(TOKEN), re.compile("[._-]")
 
 
 class Index(NamedTuple):
@@ -98,6 +104,32 @@ def weight(df: Column, chunks: int) -> Column:
     return F.log1p((F.lit(chunks) - df + 0.5) / (df + 0.5))
 
 
+def term_counts(text: str) -> Counter:
+    """How often a text in lower case has each term, as ``tokens`` has them."""
+    out = Counter(WORD.findall(text))
+    for word, n in [x for x in out.items() if not x[0].isalnum()]:
+        for part in PARTED.split(word):
+            out[part] += n
+    return out
+
+
+def counted_batches(batches):
+    """The rows with ``length, terms``, an array of (term, tf) by term, in place of ``words``, their text in lower case."""
+    for batch in batches:
+        for rows in (batch.slice(k, HELD) for k in range(0, len(batch), HELD)):
+            lengths, ends, terms, tfs = [], [0], [], []
+            for text in rows.column("words"):
+                counts = term_counts(text.as_py())
+                own = sorted(counts)
+                lengths.append(counts.total())
+                terms += own
+                tfs += [counts[t] for t in own]
+                ends.append(len(terms))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tfs, pa.int32())], ["term", "tf"])
+            rest = rows.drop_columns(["words"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*rest.schema.names, "length", "terms"])
+
+
 def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk_id", text: str = "text", bands: int = BANDS, slots: int = SLOTS) -> None:
     """Writes the index of chunks below ``path``: their words are read once, and no term's postings go through one task.
 
@@ -105,8 +137,9 @@ def save(chunks: DataFrame, path: str, buckets: int = BUCKETS, key: str = "chunk
     is split over files.
     """
     source = [c for c in ("source",) if c in chunks.columns]
-    rows = spread(chunks.select(F.col(key).alias("chunk_id"), *source, F.col(text).alias("words"))).select("chunk_id", *source, tokens(F.col("words")).alias("tokens"))
-    rows = rows.select("chunk_id", *source, F.size("tokens").alias("length"), counted(F.col("tokens")).alias("terms"), bucket(F.col("chunk_id").cast("string"), slots).alias("slot"))
+    rows = spread(chunks.select(F.col(key).alias("chunk_id"), *source, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("words")))
+    kinds = [f"{c} {kind}" for c, kind in rows.dtypes if c != "words"]
+    rows = rows.mapInArrow(arrow_task(__name__, "counted_batches"), ", ".join([*kinds, "length int", "terms array<struct<term:string,tf:int>>"])).withColumn("slot", bucket(F.col("chunk_id").cast("string"), slots))
     rows.sortWithinPartitions("slot", "chunk_id").write.mode("overwrite").partitionBy("slot").parquet(f"{path}/forward")  # from where they are: a file for each task and slot
     rows = chunks.sparkSession.read.schema(rows.schema).parquet(f"{path}/forward")
     n, average = rows.agg(F.count(F.lit(1)), F.avg("length")).first()

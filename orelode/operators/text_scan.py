@@ -10,31 +10,18 @@ An index costs a shuffle of all postings and pays when many batches follow; this
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelode.functions.text import TOKEN
 from orelode.operators import text_index as X
+from orelode.operators.text_index import term_counts
 from orelode.session import arrow_task, settled, spread
 
 #: Pairs of a chunk and a query's term that are scored at once, if each chunk had them all.
 AT_ONCE = 4_000_000
-WORD, PARTED = re.compile(TOKEN), re.compile("[._-]")
-
-
-def term_counts(text: str) -> Counter:
-    """How often a text in lower case has each term, as ``tokens`` has them."""
-    out = Counter(WORD.findall(text))
-    for word, n in [x for x in out.items() if not x[0].isalnum()]:
-        for part in PARTED.split(word):
-            out[part] += n
-    return out
 
 
 def kept_batches(batches, terms: pa.Array):
