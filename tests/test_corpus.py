@@ -110,3 +110,22 @@ def test_references_to_a_hot_key_shuffle_no_candidates(spark):
     last = status.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
     recent = [last.apply(i) for i in range(min(15, last.size()))]
     assert max(s.shuffleWriteRecords() for s in recent) <= 20_000
+
+
+def test_references_are_read_once_and_answers_lie_together(spark, tmp_path):
+    """Groups without a set, of few and of many references come from one shuffle; each task writes a set's text in one stretch."""
+    read, folder = spark.sparkContext.accumulator(0), str(tmp_path / "out")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    index = spark.range(900).selectExpr("concat('K', CAST(id % 30 AS STRING)) AS key", "concat('r', CAST(id AS STRING)) AS id", "id AS ordinal")
+    refs = spark.range(6000).selectExpr("CASE WHEN id < 40 THEN -1 ELSE id END AS ref", "concat('k', CAST(id * 7 % 40 AS STRING)) AS value").mapInArrow(counted, "ref long, value string")
+    R.merged_sets(R.keyed(refs, "value", None), R.sets_of(index, "ordinal", "id", None), "ref").write.parquet(folder)
+    assert read.value == 6000
+    rows = spark.read.parquet(folder).filter("ref >= 0 AND candidates <> ''").selectExpr("input_file_name() AS file", "monotonically_increasing_id() AS at", "candidates").orderBy("at").collect()
+    assert len(rows) == 4470
+    stretches = sum(i == 0 or (a.file, a.candidates) != (rows[i - 1].file, rows[i - 1].candidates) for i, a in enumerate(rows))
+    assert stretches <= 30 + len({r.file for r in rows})
