@@ -2,7 +2,10 @@
 
 Replies have ``request_id, operation, result`` (see ``reply_specs.typed``). What was supplied is one row for a request
 (``supplied``): its text as it is and folded, its items, its uncertain identifiers and the rule's query. A check reads
-one row, so a batch of replies needs one join.
+one row, so a batch of replies needs one join, for all groups.
+
+Joins are by sorting: what was supplied and what was found repeat themselves, so a table of them is far larger than its
+files, and Spark, which goes by these, would send it to all executors through the driver.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ def supplied(items: DataFrame, rules: DataFrame, accounts: DataFrame | None = No
     material = F.concat_ws("\n", "raw_text", "query", F.array_join(F.transform("texts", lambda t: t["text"]), "\n"))
     entries = F.coalesce(F.transform(first, lambda e: F.struct(e["identifier"].alias("identifier"), e["status"].alias("status"), e["candidates"].alias("candidates"))), F.array().cast(LEDGER))
     if accounts is not None:
-        out = out.withColumn("entries", entries).join(accounts.select("package_id", "unresolved_identifiers", "ambiguous_identifiers"), "package_id", "left")
+        out = out.withColumn("entries", entries).join(accounts.select("package_id", "unresolved_identifiers", "ambiguous_identifiers").hint("merge"), "package_id", "left")
         listed = lambda status: F.transform(F.array_distinct(F.coalesce(f"{status}_identifiers", F.array().cast("array<string>"))), lambda i: F.struct(i.alias("identifier"), F.lit(status).alias("status"), F.array().cast("array<string>").alias("candidates")))
         more = F.filter(F.concat(listed("unresolved"), listed("ambiguous")), lambda e: ~F.exists("entries", lambda o: o["identifier"] == e["identifier"]))
         entries = F.concat("entries", more.cast(LEDGER))
@@ -273,7 +276,7 @@ def provenance(r: Column) -> Column:
 def checked(replies: DataFrame, given: DataFrame) -> DataFrame:
     """``request_id, category, code, severity, path, message`` of all issues; a reply without a result has one."""
     none = F.array().cast(ISSUE)
-    rows = replies.select("request_id", "operation", "result").join(given, "request_id", "left")
+    rows = replies.select("request_id", "operation", "result").join(given.hint("merge"), "request_id", "left")
     rows = rows.withColumns({"material": blank(F.col("material")), "folded": blank(F.col("folded")), "rule_query": blank(F.col("rule_query")), "ledger": F.coalesce("ledger", F.array().cast("array<struct<identifier:string,status:string,candidates:array<string>>>"))})
     r, op = F.col("result"), F.col("operation")
     rows = rows.withColumn("said", texts(r, S.ALL))
@@ -285,18 +288,13 @@ def checked(replies: DataFrame, given: DataFrame) -> DataFrame:
         own = F.when(r.isNull(), broken if group == "structure" else none).otherwise(found)
         return F.transform(own, lambda i: F.struct(F.lit(group).alias("category"), i["code"].alias("code"), i["severity"].alias("severity"), i["path"].alias("path"), i["message"].alias("message")))
 
-    tagged = [tag(g, c) for g, c in groups.items()]
-    parts = [rows.select("request_id", F.inline(t)) for t in tagged]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rows.select("request_id", F.inline(F.concat(*[tag(g, c) for g, c in groups.items()])))
 
 
 def verdicts(replies: DataFrame, found: DataFrame) -> DataFrame:
     """Every reply with its errors, warnings, whether it is valid (without an error), and its issues by category, path, code and message."""
     per = found.groupBy("request_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.array_sort(F.collect_list(F.struct("category", "path", "code", "message"))).alias("issues"))
-    out = replies.select("request_id").join(per, "request_id", "left")
+    out = replies.select("request_id").join(per.hint("merge"), "request_id", "left")
     return out.select("request_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"), (F.coalesce("errors", F.lit(0)) == 0).alias("valid"), F.coalesce("issues", F.array().cast("array<struct<category:string,path:string,code:string,message:string>>")).alias("issues"))
 
 

@@ -78,7 +78,7 @@ def reply_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = ids.select("package_id", F.lit("graph:0000").alias("item_id"), F.lit("retrieved_graph").alias("kind"), F.lit(1).alias("place"), F.lit("T1059 is here").alias("text"), F.lit("mitre").alias("source"), F.lit("m:1").alias("location"), F.lit("resolved").alias("status"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"), none.alias("source_id"), none.alias("record_id"))
     seeds = ids.select("package_id", F.lit("knowledge:0000").alias("item_id"), F.lit("seed_resolution").alias("kind"), F.lit(2).alias("place"), F.lit("T9999").alias("text"), none.alias("source"), none.alias("location"), F.lit("unresolved").alias("status"), F.create_map(F.lit("identifier"), F.lit("T9999")).alias("metadata"), none.alias("source_id"), none.alias("record_id"))
     given = C.supplied(items.unionByName(seeds), ids.select("package_id", F.lit("raw").alias("raw_text"), F.lit("q").alias("query")))
-    out = C.verdicts(typed, C.checked(typed, settled(given)))
+    out = C.verdicts(typed, C.checked(typed, given))
     return out.select("request_id", "errors", "warnings", "valid", F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", i["category"], i["path"], i["code"])), ";").alias("issues"))
 
 

@@ -121,3 +121,11 @@ def test_supplied_from_packages(spark):
     assert C.supplied(items, rules).first().material == "raw\nq"
     accounts = spark.createDataFrame([("1", ["T1", "T1"], ["M1"])], "package_id string, unresolved_identifiers array<string>, ambiguous_identifiers array<string>")
     assert [(e.identifier, e.status) for e in C.supplied(items, rules, accounts).first().ledger] == [("T1", "unresolved"), ("M1", "ambiguous")]
+
+
+def test_what_was_supplied_is_never_sent_to_all_tasks(spark):
+    """20,000 packages whose texts repeat themselves: small as files, yet not to be collected; all groups share one join."""
+    replies = settled(S.typed(spark.range(20_000).select(F.col("id").cast("string").alias("request_id"), F.lit("analyze").alias("operation"), F.lit(json.dumps(GOOD["analyze"])).alias("reply"))))
+    given = replies.select("request_id", F.repeat(F.lit("T1059 "), 500).alias("material"), F.lit("t1059").alias("folded"), F.create_map(F.lit("graph:0000"), F.struct(F.lit("mitre").alias("source"), F.lit("l").alias("location"), F.lit(True).alias("retrieved"), F.lit("resolved").alias("status"), F.lit("").alias("identifier"))).alias("items"), F.array().cast(C.LEDGER).alias("ledger"), F.lit("").alias("rule_query"))
+    plan = C.checked(replies, settled(given))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
